@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK)
         if column.null_count:
             column = column.fill_null("")
             batch = pa.RecordBatch.from_arrays([column if i == text else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
-        size = np.asarray(pa.compute.binary_length(column), np.int64)
+        size = np.asarray(pc.binary_length(column), np.int64)
         part = (np.cumsum(size) - 1).clip(0) // limit
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]))
         for a, b in zip(cuts[:-1], cuts[1:]):
