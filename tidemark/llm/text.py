@@ -127,10 +127,10 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bucket_bits(docs: DataFrame) -> int:
-    """log2 of the number of hash buckets: a power of two of at least 256 and four for each shuffle partition, so
-    that a bucket's share of the input stays the same when both grow."""
+    """log2 of the number of hash buckets: a power of two of at least 256 and two for each shuffle partition, so that
+    a bucket's share of the input stays the same when both grow."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, (4 * width - 1).bit_length())
+    return max(8, (2 * width - 1).bit_length())
 
 
 def ensure_checkpoint_dir(docs: DataFrame) -> None:
