@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lang_id, near_dup, passages, suffix_tree
+from tidemark.llm import bpe, fertility, lang_id, near_dup, passages, quality_rank, sharding, suffix_tree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"), held_out="crc32(cast(doc_id as string)) % 7 = 2")
 
 
+def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out="crc32(cast(doc_id as string)) % 4 = 2")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -38,14 +42,22 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"), held_out="crc32(cast(doc_id as string)) % 4 = 2")
 
 
+def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = passages.cut_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"), "doc_id", [f"shard-{i:02d}" for i in range(64)])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_suffix_tree": op2_suffix_tree, "op6_minhash": op6_minhash, "op7_kneser_ney": op7_kneser_ney, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_bpe": op1_bpe, "op2_suffix_tree": op2_suffix_tree, "op4_bradley_terry": op4_bradley_terry, "op6_minhash": op6_minhash, "op7_kneser_ney": op7_kneser_ney, "op8_fertility": op8_fertility, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
