@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import SliceHash, Texts, bucket_bits, chunks, id_and_text, mix
+from tidemark.llm.text import SliceHash, Texts, bucket_bits, chunks, mix
 
 ANCHOR = 16
 _U = np.uint64
@@ -128,12 +128,14 @@ def _table(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.Table:
     return pa.table({k: pa.array(columns[k], kind) for k, kind in kinds.items()})
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes long, spans array<struct<start,end>> (maximal removed runs, in bytes), kept binary (the rest)."""
+def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes long, spans array<struct<start,end>> (maximal removed runs, in bytes), kept binary (the rest),
+    carried array<string> (the ``carry`` columns as text, so that a caller need not join them back)."""
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be at least {2 * ANCHOR}")
     bits = bucket_bits(docs)
-    docs = id_and_text(docs, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    carried = F.array(*(F.col(c).cast("string") for c in carry)).cast("array<string>")
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
     docs = docs.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << bits)).cast("int"))
     key_shift, bucket_shift = _U(32 - bits), _U(64 - bits)
 
@@ -292,10 +294,10 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
         starts, ends = pa.array(every[:, 1].astype(np.int32)), pa.array(every[:, 2].astype(np.int32))
         offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
         values = pa.StructArray.from_arrays([starts, ends], names=["start", "end"])
-        return pa.table({"doc_id": rows["doc_id"].combine_chunks(), "n_bytes": pa.array(lengths, pa.int64()), "spans": pa.ListArray.from_arrays(offsets, values), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": rows["doc_id"].combine_chunks(), "n_bytes": pa.array(lengths, pa.int64()), "spans": pa.ListArray.from_arrays(offsets, values), "kept": pa.array(kept, pa.binary()), "carried": rows["carried"].combine_chunks()})
 
     by_bin = docs.groupBy("bin")
     flags = by_bin.applyInArrow(names, "bin int, bucket int, once binary, more binary").groupBy("bucket").applyInArrow(shared, "bin int, bucket int, names binary")
     strings = by_bin.cogroup(flags.groupBy("bin")).applyInArrow(suffixes, "bucket int, bin int, ids binary, rows binary, starts binary, sizes binary, strings binary, spans binary")
     spans = strings.groupBy("bucket").applyInArrow(ranks, "bin int, spans binary")
-    return by_bin.cogroup(spans.groupBy("bin")).applyInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return by_bin.cogroup(spans.groupBy("bin")).applyInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary, carried array<string>")

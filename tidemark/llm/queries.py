@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fertility, lang_id, near_dup, passages, quality_rank, sharding, suffix_tree
+from tidemark.llm import bpe, decontaminate, fertility, lang_id, licences, near_dup, passages, quality_rank, sharding, suffix_tree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,23 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"), held_out="crc32(cast(doc_id as string)) % 7 = 2")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out="crc32(cast(doc_id as string)) % 4 = 2")
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: a source is a tree of folders of 1000 and 50 documents by id, and the first document
+    of a folder of 50 stands for its licence file."""
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    name = F.when(i % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    folder = lambda n: F.floor(i / n).cast("string")
+    return licences.scan(docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("none")), folder(1000), folder(50), name)))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -57,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_suffix_tree": op2_suffix_tree, "op4_bradley_terry": op4_bradley_terry, "op6_minhash": op6_minhash, "op7_kneser_ney": op7_kneser_ney, "op8_fertility": op8_fertility, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding}
+    return {"op1_bpe": op1_bpe, "op2_suffix_tree": op2_suffix_tree, "op3_decontaminate": op3_decontaminate, "op4_bradley_terry": op4_bradley_terry, "op5_licence_scan": op5_licence_scan, "op6_minhash": op6_minhash, "op7_kneser_ney": op7_kneser_ney, "op8_fertility": op8_fertility, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
@@ -133,16 +133,17 @@ def bucket_bits(docs: DataFrame) -> int:
     return max(8, (2 * width - 1).bit_length())
 
 
-def ensure_checkpoint_dir(docs: DataFrame) -> None:
-    """Uses the cluster's checkpoint folder; sets one only where neither it nor the context has any (tests)."""
-    spark = docs.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the cluster's spark.checkpoint.dir, or one for this run where none is set."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
