@@ -5,10 +5,13 @@ hashes are evaluated for a signature length. Signatures are banded; documents th
 and a link is confirmed on the full shingle sets.
 
 Documents with equal sets form a class first and take part once. In each band's group all members are compared with
-the group's smallest; after those links are joined into components, only pairs of one group that are still in
-different components remain to be compared, so a large group of copies costs one comparison a member. Both times a
-pair is skipped if the set sizes rule the link out (exact), or if the signatures agree in less than ``floor`` of their
-values (for a link at 0.8 that is more than four standard deviations off).
+a leader, the member whose groups are largest over all bands, which in a family of copies is the least edited one;
+groups that are still in several components get a second and a third leader. Only pairs of one group that are then
+still in different components remain, and of those only the ones that an exact bound leaves open: shingles that no
+other such document has cannot be shared, so with n shingles of which m are not unique, the similarity is at most
+min(m) / (n + n' - min(m)). So a large family of copies costs a few comparisons a member, and no link is lost.
+Pairs are not compared if sizes rule the link out, or if their signatures agree so little that a link would be 4.5
+standard deviations off.
 
 A document's set: distinct word shingles in lower case (A-Z); with fewer words than a shingle has, the whole sequence;
 without a word, empty, and then it links with nothing. Rows without an id are left out; rows that repeat an id are one
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import components
 from tidemark.llm.text import SliceHash, Texts, chunks, cut, id_and_text, list_array, lower, mix
 
-PERMUTATIONS = 24
-ROWS = 3  # signature values in a band: 16 bands of 3; a pair at 0.8 is missed by all with probability 1e-5
+PERMUTATIONS = 48
+ROWS = 4  # signature values in a band: 24 bands of 4; a pair at 0.8 is missed by all with probability 3e-6
+LEADERS = 3
 
 _U = np.uint64
 _rng = np.random.default_rng(6)
@@ -97,25 +101,39 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _possible(pairs: DataFrame, sketches: DataFrame, least: float, floor: float) -> DataFrame:
-    """The pairs (a, b) that sizes and signatures leave open."""
-    for side in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    same = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    return pairs.where((F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (same >= floor * 2 * PERMUTATIONS)).select("a", "b")
+def _agree() -> F.Column:
+    """In how many values the two sketches agree."""
+    return F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), words).groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
+def _close(percent: int) -> F.Column:
+    """What sizes and sketches leave open."""
+    t = percent / 100
+    floor = t - 4.5 * (t * (1 - t) / (2 * PERMUTATIONS)) ** 0.5
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_agree() >= floor * 2 * PERMUTATIONS)
+
+
+def _sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Joins columns of table(rep, ...) to both ends of pairs(a, b)."""
     for side in ("b", "a"):
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
+        pairs = pairs.join(table.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    return pairs
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    found = _sides(pairs, sets, "shingles").withColumn("shared", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    return found.where(100 * F.col("shared") >= percent * (F.size("shingles_a") + F.size("shingles_b") - F.col("shared"))).select("a", "b")
+
+
+def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, rep, fame, component of the groups that are in more than one component."""
+    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return labelled.join(mixed.select("band"), "band", "left_semi").select("band", "rep", "fame", "component")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, floor: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles long, component_id (the smallest id that its links reach, itself included), kept boolean."""
     docs = id_and_text(docs, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     marks = cut(signatures(docs, words))
@@ -123,23 +141,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, floor: f
     classes = cut(marks.where("n > 0").groupBy(*keys).agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("rep")))
     bands = [F.xxhash64(F.lit(k), F.slice("sketch", k * ROWS + 1, ROWS)) for k in range(2 * PERMUTATIONS // ROWS)]
     members = classes.select("rep", F.explode(F.array(*bands)).alias("band"))
-    groups = members.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last")
-    members = cut(members.join(groups.select("band", "leader"), "band"))
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = cut(_possible(stars, classes, percent / 100, floor))
-    links = cut(_confirm(tested, docs, words, percent))
-    labels = components(links)
-
-    labelled = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    open_ = labelled.join(mixed, "band", "left_semi").join(classes.select("rep", "n", "sketch"), "rep")
-    left, right = (open_.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "sketch"))) for s in ("a", "b"))
-    same = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") >= percent / 100 * F.greatest("n_a", "n_b")) & (same >= floor * 2 * PERMUTATIONS)
-    rest = left.join(right, (left["band"] == right["band"]) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    groups = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(members.join(groups, "band"))
+    fame = members.groupBy("rep").agg(F.sum("size").alias("fame"))
+    members = cut(members.join(fame, "rep").select("band", "rep", "fame"))
+    sets = full_sets(docs.join(fame.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words)
+    sets = cut(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles")))
+
+    links = tested = leaders = None
+    open_ = members.withColumn("component", F.col("rep"))
+    for _ in range(LEADERS):
+        choice = open_ if leaders is None else open_.join(leaders, ["band", "rep"], "left_anti")
+        chosen = cut(choice.groupBy("band").agg(F.max_by(F.struct("rep", "component"), F.struct("fame", -F.col("rep"))).alias("lead")).select("band", F.col("lead.rep").alias("leader"), F.col("lead.component").alias("leading")))
+        stars = open_.join(chosen, "band").where("component <> leading").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+        if tested is not None:
+            stars = stars.join(tested, ["a", "b"], "left_anti")
+        fresh = cut(_sides(stars, classes, "n", "sketch").where(_close(percent)).select("a", "b"))
+        found = cut(_confirm(fresh, sets, percent))
+        tested, links = (fresh, found) if tested is None else (tested.union(fresh), links.union(found))
+        used = chosen.select("band", F.col("leader").alias("rep"))
+        leaders = used if leaders is None else leaders.union(used)
+        labels = components(links)
+        open_ = cut(_still_open(members, labels))
+
+    shared = open_.select("rep").distinct().join(sets, "rep").select("rep", F.explode("shingles").alias("shingle"))
+    common = shared.groupBy("shingle").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    common = shared.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("m"))
+    sides = cut(open_.join(common, "rep").join(classes.select("rep", "n", "sketch"), "rep").select("band", "rep", "component", "n", "m", "sketch"))
+    left, right = (sides.select(*(F.col(c).alias(f"{c}_{side}") for c in sides.columns)) for side in ("a", "b"))
+    most = F.least("m_a", "m_b")
+    near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)) & _close(percent)
+    rest = left.join(right, (F.col("band_a") == F.col("band_b")) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        labels = components(links.union(_confirm(rest, docs, words, percent)))
+        labels = components(links.union(_confirm(rest, sets, percent)))
 
     out = marks.join(classes.select(*keys, "rep"), keys, "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
