@@ -5,13 +5,12 @@ hashes are evaluated for a signature length. Signatures are banded; documents th
 and a link is confirmed on the full shingle sets.
 
 Documents with equal sets form a class first and take part once. In each band's group all members are compared with
-a leader, the member whose groups are largest over all bands, which in a family of copies is the least edited one;
-groups that are still in several components get a second and a third leader. Only pairs of one group that are then
-still in different components remain, and of those only the ones that an exact bound leaves open: shingles that no
-other such document has cannot be shared, so with n shingles of which m are not unique, the similarity is at most
-min(m) / (n + n' - min(m)). So a large family of copies costs a few comparisons a member, and no link is lost.
-Pairs are not compared if sizes rule the link out, or if their signatures agree so little that a link would be 4.5
-standard deviations off.
+a leader, the member whose groups are largest over all bands, which in a family of copies is the least edited one.
+Only pairs of one group that are then in different components remain, and of those only the ones that an exact bound
+leaves open: each member knows which of the leader's shingles it holds, as bits, and how many others it holds that
+any other such document has; two members share at most their common bits and the smaller number of others. So a large
+family of copies costs a comparison or two a member, and no link is lost. Pairs are not compared if sizes rule the
+link out, or if their signatures agree so little that a link would be 4.5 standard deviations off.
 
 A document's set: distinct word shingles in lower case (A-Z); with fewer words than a shingle has, the whole sequence;
 without a word, empty, and then it links with nothing. Rows without an id are left out; rows that repeat an id are one
@@ -32,7 +31,6 @@ from tidemark.llm.text import SliceHash, Texts, chunks, cut, id_and_text, list_a
 
 PERMUTATIONS = 48
 ROWS = 4  # signature values in a band: 24 bands of 4; a pair at 0.8 is missed by all with probability 3e-6
-LEADERS = 3
 
 _U = np.uint64
 _rng = np.random.default_rng(6)
@@ -133,6 +131,28 @@ def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed.select("band"), "band", "left_semi").select("band", "rep", "fame", "component")
 
 
+def _held(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, leader, held array<long> (a bit for each of the leader's shingles that the rep holds), others long (its
+    other shingles that at least one more open document has)."""
+    shared = open_.select("rep").distinct().join(sets, "rep").select("rep", F.explode("shingles").alias("shingle"))
+    several = shared.groupBy("shingle").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("shingle")
+    own = shared.join(several, "shingle", "left_semi").groupBy("rep").agg(F.collect_list("shingle").alias("own"))  # at most one set's size
+    pairs = open_.select("rep", "leader").distinct().join(own, "rep").join(sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("led")), "leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, others = [], []
+            for own, led in zip(batch.column(2), batch.column(3)):
+                own, led = np.asarray(own.values), np.asarray(led.values)
+                holds = np.isin(led, own)
+                bits.append(np.packbits(np.pad(holds, (0, -len(holds) % 64))).view(np.int64))
+                others.append(len(own) - int(holds.sum()))
+            lists = list_array(np.concatenate(bits) if bits else np.zeros(0, np.int64), np.array([len(b) for b in bits], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(others, pa.int64())], names=["rep", "leader", "held", "others"])
+
+    return pairs.select("rep", "leader", "own", "led").mapInArrow(run, "rep long, leader long, held array<long>, others long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles long, component_id (the smallest id that its links reach, itself included), kept boolean."""
     docs = id_and_text(docs, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
@@ -148,28 +168,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = full_sets(docs.join(fame.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words)
     sets = cut(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles")))
 
-    links = tested = leaders = None
-    open_ = members.withColumn("component", F.col("rep"))
-    for _ in range(LEADERS):
-        choice = open_ if leaders is None else open_.join(leaders, ["band", "rep"], "left_anti")
-        chosen = cut(choice.groupBy("band").agg(F.max_by(F.struct("rep", "component"), F.struct("fame", -F.col("rep"))).alias("lead")).select("band", F.col("lead.rep").alias("leader"), F.col("lead.component").alias("leading")))
-        stars = open_.join(chosen, "band").where("component <> leading").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
-        if tested is not None:
-            stars = stars.join(tested, ["a", "b"], "left_anti")
-        fresh = cut(_sides(stars, classes, "n", "sketch").where(_close(percent)).select("a", "b"))
-        found = cut(_confirm(fresh, sets, percent))
-        tested, links = (fresh, found) if tested is None else (tested.union(fresh), links.union(found))
-        used = chosen.select("band", F.col("leader").alias("rep"))
-        leaders = used if leaders is None else leaders.union(used)
-        labels = components(links)
-        open_ = cut(_still_open(members, labels))
+    leaders = cut(members.groupBy("band").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("leader")))
+    stars = members.join(leaders, "band").where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+    tested = cut(_sides(stars, classes, "n", "sketch").where(_close(percent)).select("a", "b"))
+    links = cut(_confirm(tested, sets, percent))
+    labels = components(links)
 
-    shared = open_.select("rep").distinct().join(sets, "rep").select("rep", F.explode("shingles").alias("shingle"))
-    common = shared.groupBy("shingle").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    common = shared.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("m"))
-    sides = cut(open_.join(common, "rep").join(classes.select("rep", "n", "sketch"), "rep").select("band", "rep", "component", "n", "m", "sketch"))
+    open_ = cut(_still_open(members, labels).join(leaders, "band"))
+    held = _held(open_, sets)
+    sides = cut(open_.join(held, ["rep", "leader"]).join(classes.select("rep", "n", "sketch"), "rep").select("band", "rep", "component", "n", "held", "others", "sketch"))
     left, right = (sides.select(*(F.col(c).alias(f"{c}_{side}") for c in sides.columns)) for side in ("a", "b"))
-    most = F.least("m_a", "m_b")
+    common = F.aggregate(F.zip_with("held_a", "held_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
+    most = common + F.least("others_a", "others_b")
     near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)) & _close(percent)
     rest = left.join(right, (F.col("band_a") == F.col("band_b")) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
