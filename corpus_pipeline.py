@@ -53,8 +53,7 @@ def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_sha256."""
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, path), path)
+    decoded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

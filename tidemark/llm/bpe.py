@@ -143,7 +143,7 @@ class Vocabulary:
 
     loaded: dict[str, "Vocabulary"] = {}
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 100_000):
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
@@ -281,10 +281,26 @@ class Vocabulary:
         return self.bytes[shift + np.arange(len(shift))]
 
 
+def _decoded(vocab: Vocabulary, ids: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The bytes of each text."""
+    cuts = np.concatenate(([0], np.cumsum(counts)))
+    return pa.array([vocab.decode(ids[a:b], ends[a:b]).tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, ends array<int> (the byte offset after each token) of every whole text.
 
     ``vocabulary`` is the path of a rank file that every executor can open (it comes with a Python package)."""
+    return _encode(docs, vocabulary, id_col, text_col, False)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, ends, decoded binary: ``encode`` and ``decode`` chunk by chunk in one task, so that token arrays of
+    a whole batch never wait between two workers."""
+    return _encode(docs, vocabulary, id_col, text_col, True)
+
+
+def _encode(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, back: bool) -> DataFrame:
     docs = id_and_text(docs, id_col, text_col)
     kind = docs.schema["doc_id"].dataType
 
@@ -292,13 +308,17 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         vocab = Vocabulary.at(vocabulary)
         for part in chunks(batches):
             ids, counts = vocab.encode(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), list_array(ids, counts), list_array(vocab.ends(ids, counts), counts)], names=["doc_id", "ids", "ends"])
+            ends = vocab.ends(ids, counts)
+            columns = {"doc_id": part.column(0), "ids": list_array(ids, counts), "ends": list_array(ends, counts)}
+            if back:
+                columns["decoded"] = _decoded(vocab, ids, ends, counts)
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, ids array<int>, ends array<int>")
+    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, ids array<int>, ends array<int>" + ", decoded binary" * back)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids, decoded binary: the bytes that the ids stand for; null ids decode as empty."""
+    """doc_id, ids, decoded binary: the bytes that the ids stand for; null ids decode as empty, null ends are found."""
     kind = encoded.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,10 +326,10 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                out = []
-                for ids, ends in zip(part.column(1), part.column(2)):
-                    here = np.asarray(ids.values) if ids.is_valid else np.zeros(0, np.int32)
-                    out.append(vocab.decode(here, np.asarray(ends.values) if ends.is_valid else np.cumsum(vocab.lengths[here])).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+                ids = [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in part.column(1)]
+                counts, flat = np.array([len(x) for x in ids], np.int64), np.concatenate(ids)
+                held = [np.asarray(x.values) if x.is_valid else None for x in part.column(2)]
+                ends = vocab.ends(flat, counts) if any(x is None for x in held) else np.concatenate(held)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _decoded(vocab, flat, ends, counts)], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids", "ends").mapInArrow(run, f"doc_id {kind.simpleString()}, ids array<int>, decoded binary")

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"), path)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
