@@ -164,7 +164,7 @@ def velocity(tracks: DataFrame, keys: list[str], micros: str, tie: str, x: str,
         return F.struct(row[x].alias("x"), row[y].alias("y"), vx.alias("vx"), vy.alias("vy"), F.concat(s["out"], F.array(F.struct(row[tie].alias("id"), vx.alias("vx"), vy.alias("vy")))).alias("out"))
 
     out = _fold(tracks, keys, [micros, tie], [x, y], start, step)
-    return out.select(*keys, F.explode("_state.out").alias("o")).select(*keys, F.col("o.id").alias(tie), F.round("o.vx", 6).alias("vx"), F.round("o.vy", 6).alias("vy"))
+    return out.select(*keys, F.explode("_state.out").alias("o")).select(*keys, F.col("o.id").alias(tie), F.col("o.vx").alias("vx"), F.col("o.vy").alias("vy"))
 
 
 def failure_runs(attempts: DataFrame, key: str, time: str, tie: str, ok: str) -> DataFrame:

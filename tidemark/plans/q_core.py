@@ -176,7 +176,7 @@ def _(t):
 
 @query("wn_14", """with recursive f as (select camera_id, event_id, k * 1e0 as x, (k * 7 % 50) * 1e0 as y, row_number() over (partition by camera_id order by t_us, event_id) as rn from v_frames),
 e as (select camera_id, rn, event_id, x, y, 0e0 as vx, 0e0 as vy from f where rn = 1 union all select f.camera_id, f.rn, f.event_id, f.x, f.y, (f.x - e.x) * 0.65e0 + e.vx * 0.35e0, (f.y - e.y) * 0.65e0 + e.vy * 0.35e0 from f join e on f.camera_id = e.camera_id and f.rn = e.rn + 1)
-select camera_id, event_id, round(vx, 6) as vx, round(vy, 6) as vy from e""")
+select camera_id, event_id, vx, vy from e""")
 def _(t):
     tracks = t.v_frames.withColumn("x", F.col("k") * 1.0).withColumn("y", F.col("k") * 7 % 50 * 1.0)
     return Q.velocity(tracks, ["camera_id"], "t_us", "event_id", "x", "y")
