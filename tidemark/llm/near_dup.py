@@ -30,6 +30,7 @@ from tidemark.llm.components import components
 from tidemark.llm.text import SliceHash, Texts, chunks, cut, id_and_text, list_array, lower, mix
 
 PERMUTATIONS = 48
+SLIM = 200_000  # rows of a few numbers in a partition
 ROWS = 4  # signature values in a band: 24 bands of 4; a pair at 0.8 is missed by all with probability 3e-6
 
 _U = np.uint64
@@ -164,25 +165,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     groups = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(members.join(groups, "band"))
     fame = members.groupBy("rep").agg(F.sum("size").alias("fame"))
-    members = cut(members.join(fame, "rep").select("band", "rep", "fame"))
+    members = cut(members.join(fame, "rep").select("band", "rep", "fame"), SLIM)
+    marked = cut(classes.join(fame, "rep", "left_semi").select("rep", "n", "sketch"))
     sets = full_sets(docs.join(fame.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words)
     sets = cut(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles")))
 
-    leaders = cut(members.groupBy("band").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("leader")))
+    leaders = cut(members.groupBy("band").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("leader")), SLIM)
     stars = members.join(leaders, "band").where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
-    tested = cut(_sides(stars, classes, "n", "sketch").where(_close(percent)).select("a", "b"))
-    links = cut(_confirm(tested, sets, percent))
+    tested = cut(_sides(stars, marked, "n", "sketch").where(_close(percent)).select("a", "b"), SLIM)
+    links = cut(_confirm(tested, sets, percent), SLIM)
     labels = components(links)
 
-    open_ = cut(_still_open(members, labels).join(leaders, "band"))
+    open_ = cut(_still_open(members, labels).join(leaders, "band"), SLIM)
     held = _held(open_, sets)
-    sides = cut(open_.join(held, ["rep", "leader"]).join(classes.select("rep", "n", "sketch"), "rep").select("band", "rep", "component", "n", "held", "others", "sketch"))
+    sides = cut(open_.join(held, ["rep", "leader"]).join(marked.select("rep", "n"), "rep").select("band", "rep", "component", "n", "held", "others"))
     left, right = (sides.select(*(F.col(c).alias(f"{c}_{side}") for c in sides.columns)) for side in ("a", "b"))
     common = F.aggregate(F.zip_with("held_a", "held_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
     most = common + F.least("others_a", "others_b")
-    near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)) & _close(percent)
+    near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
     rest = left.join(right, (F.col("band_a") == F.col("band_b")) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
+    rest = cut(_sides(rest.join(tested, ["a", "b"], "left_anti"), marked, "n", "sketch").where(_close(percent)).select("a", "b"), SLIM)
     if not rest.isEmpty():
         labels = components(links.union(_confirm(rest, sets, percent)))
 

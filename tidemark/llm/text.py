@@ -143,7 +143,9 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, slim: int = 0) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder. A table of slim rows may say how many of them
+    a partition should hold; it is then read in no more partitions than that takes."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.coalesce(1 + out.count() // slim) if slim else out
