@@ -8,7 +8,7 @@ added or missing word. The score is the best alignment's sum divided by the item
 
 Items are taken in blocks of at most ``block_bytes`` of text; each block's seed table is bounded by that and is
 broadcast, and all documents are searched for every block, so test sets of any size work. Words are compared in lower
-case (A-Z) without leading and trailing punctuation. Items with fewer words than a seed are seeds as a whole; items
+case (A-Z) without leading and trailing punctuation. Items with fewer words than a seed has are one seed each; items
 and texts without words, null ones included, match nothing. Rows with equal ids are searched row by row.
 """
 
@@ -42,17 +42,13 @@ def plain_words(batch: pa.RecordBatch, text: int = 1) -> tuple[np.ndarray, np.nd
     return SliceHash(lower(texts.data))(start, end), row[good], texts.n
 
 
-def _grams(h: np.ndarray, row: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of every n-gram within a text; a shorter text is one n-gram."""
+def _grams(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of every n-gram within a text."""
     out = np.full(max(len(h) - size + 1, 0), size, np.uint64)
     for k in range(size):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
     at = np.flatnonzero(row[size - 1 :] == row[: len(out)]) if len(out) else np.zeros(0, np.int64)
-    counts = sums_by(row, n)
-    short = np.flatnonzero((counts > 0) & (counts < size))
-    begin = np.searchsorted(row, short)
-    whole = np.array([int(np.bitwise_xor.reduce(mix(h[b : b + counts[s]] + np.uint64(counts[s])))) for b, s in zip(begin, short)], np.uint64)
-    return np.concatenate([out[at], whole]), np.concatenate([at, begin])
+    return out[at], at
 
 
 class Items:
@@ -64,8 +60,16 @@ class Items:
         self.words, row, n = plain_words(batch)
         self.count = sums_by(row, n)
         self.first = np.cumsum(self.count) - self.count
-        seed, at = _grams(self.words, row, n, size)
-        table = pd.DataFrame({"seed": seed, "item": row[at] if len(at) else at}).drop_duplicates().sort_values(["seed", "item"])
+        parts, self.sizes = [], []
+        for k in range(1, size + 1):  # a short item is one seed
+            seed, at = _grams(self.words, row, k)
+            item = row[at] if len(at) else at
+            mine = self.count[item] == k if k < size else np.ones(len(item), bool)
+            if mine.any():
+                self.sizes.append(k)
+                parts.append(pd.DataFrame({"seed": seed[mine], "item": item[mine]}))
+        table = pd.concat(parts) if parts else pd.DataFrame({"seed": np.zeros(0, np.uint64), "item": np.zeros(0, np.int64)})
+        table = table.drop_duplicates().sort_values(["seed", "item"])
         self._set(table)
 
     def _set(self, table: pd.DataFrame) -> None:
@@ -80,9 +84,10 @@ class Items:
         rank = table.groupby("item").cumcount()
         self._set(table[rank < (table.groupby("item")["seed"].transform("size") + 1) // 2].drop(columns="n").sort_values(["seed", "item"]))
 
-    def hits(self, h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of seeds found and the places of their first words."""
-        gram, at = _grams(h, row, n, self.size)
+        found = [_grams(h, row, k) for k in self.sizes]
+        gram, at = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
         if not len(self.seeds) or not len(gram):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         found = np.minimum(np.searchsorted(self.seeds, gram), len(self.seeds) - 1)
@@ -133,7 +138,7 @@ def _search(docs: DataFrame, block: Items, least: float, schema: str) -> DataFra
         seen = np.zeros(len(items.seeds), np.int64)
         for part in chunks(batches):
             h, row, n = plain_words(part)
-            number, at = items.hits(h, row, n)
+            number, at = items.hits(h, row)
             pair = np.unique(number * (n + 1) + row[at])
             seen += np.bincount(pair // (n + 1), minlength=len(seen))
         some = np.flatnonzero(seen)
@@ -147,7 +152,7 @@ def _search(docs: DataFrame, block: Items, least: float, schema: str) -> DataFra
         items = rare.value
         for part in chunks(batches):
             h, row, n = plain_words(part)
-            number, at = items.hits(h, row, n)
+            number, at = items.hits(h, row)
             if not len(at):
                 continue
             times = (items.stop - items.start)[number]
