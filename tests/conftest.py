@@ -1,6 +1,10 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent / "llm"), str(Path(__file__).parents[1])]
 SF = "/root/testdata/sf0.001"
 
 
