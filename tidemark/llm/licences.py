@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import chunks
 from tidemark.llm.decontaminate import plain_words
+from tidemark.llm.text import chunks, cut, mix
 
 # fixed values: identifiers and the grants that files carry
 TEMPLATES = {
@@ -96,9 +96,10 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
             h, row, at, hit = h[mine], new[row[mine]], at[mine], hit[mine]
             tf = np.zeros((int(some.sum()), len(m.terms)), np.float32)
             np.add.at(tf, (row[hit], at[hit]), 1)
-            key, times = np.unique(np.stack([row[~hit].astype(np.uint64), h[~hit]], 1), axis=0, return_counts=True) if (~hit).any() else (np.zeros((0, 2), np.uint64), np.zeros(0))
+            odd = np.flatnonzero(~hit)
+            _, first, times = np.unique(mix(h[odd] + mix(row[odd].astype(np.uint64))), return_index=True, return_counts=True)
             weights = tf * m.idf
-            norm = np.sqrt((weights**2).sum(1) + np.bincount(key[:, 0].astype(np.int64), (times * m.other) ** 2, len(tf)))
+            norm = np.sqrt((weights**2).sum(1) + np.bincount(row[odd[first]], (times * m.other) ** 2, len(tf)))
             cosine = weights @ m.unit.T / np.maximum(norm, 1e-12)[:, None]
             best, which = np.zeros(n), np.full(n, -1)
             value, template, whose = cosine.max(1, initial=0), cosine.argmax(1) if len(cosine) else np.zeros(0, np.int64), owner[some]
@@ -107,7 +108,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
             names = [m.names[w] if b >= least else None for b, w in zip(best.tolist(), which.tolist())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.string()), pa.array(best)], names=["doc_id", "path", "own_licence", "cosine"])
 
-    found = files.select("doc_id", "text", "path").mapInArrow(match, f"doc_id {kind}, path string, own_licence string, cosine double")
+    found = cut(files.select("doc_id", "text", "path").mapInArrow(match, f"doc_id {kind}, path string, own_licence string, cosine double"))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     holders = found.where("own_licence is not null").where(F.col("path").rlike(licence_file)).groupBy(folder.alias("folder")).agg(F.max_by("own_licence", F.struct("cosine", F.concat(F.lit("-"), "path"))).alias("inherited"))
     bare = found.where("own_licence is null and path is not null").select(F.col("path").alias("bare_path")).distinct()
