@@ -145,6 +145,41 @@ def test_decontamination_finds_edited_copies_only(spark, none):
     assert decontaminate.contaminated(none, benchmark).count() == 0 and decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def best_alignment(item, text):
+    """Best local alignment: 1 for equal words, -1 for a replaced, added or missing one."""
+    above, best = [0] * (len(text) + 1), 0
+    for w in item:
+        now = [0]
+        for j, x in enumerate(text, 1):
+            now.append(max(0, above[j - 1] + (1 if x == w else -1), above[j] - 1, now[j - 1] - 1))
+        best, above = max(best, *now), now
+    return best
+
+
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    r = random.Random(14)
+    vocabulary = [f"v{k}" for k in range(60)]  # few words, so that pairs of them are everywhere
+    items = [(k, [r.choice(vocabulary) for _ in range(r.choice([3, 4, 7, 12, 30]))]) for k in range(25)]
+    items += [(25, [f"u{k}" for k in range(30)]), (26, [f"o{k % 4}" for k in range(20)])]
+    texts = [items[25][1]] * 20  # exact copies make the surviving seeds the common ones
+    texts += [[w if k % 6 != 2 else "new" for k, w in enumerate(items[25][1])], items[25][1][:16], items[25][1][:14]]
+    texts += [[x for k, w in enumerate(items[25][1]) for x in ((w, "more") if k % 2 else (w,))]]  # no three neighbours
+    for _ in range(150):
+        copy, n = list(r.choice(items)[1]), r.randint(0, 14)
+        for _ in range(n):
+            at = r.randrange(len(copy) + 1)
+            copy[at : at + r.choice([0, 1, 1])] = r.choice([[], ["new"], ["new"]])
+        texts.append([r.choice(vocabulary) for _ in range(r.randint(0, 20))] + copy + [r.choice(vocabulary) for _ in range(r.randint(0, 20))])
+    want = {(d, k): best_alignment(item, text) / len(item) for d, text in enumerate(texts) for k, item in items}
+    want = {pair: score for pair, score in want.items() if score >= 0.5}
+    assert {(20, 25), (21, 25), (23, 25)} <= set(want) and (22, 25) not in want
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    found = decontaminate.contaminated(docs, benchmark).collect()
+    assert {(f.doc_id, f.item_id): f.score for f in found} == pytest.approx(want)
+    assert decontaminate.contaminated(spark.createDataFrame([(1, "u0 u1 x y z")], "doc_id long, text string"), benchmark).count() == 0
+
+
 def test_quality_ranking_separates_held_out_labels(spark, none):
     r = random.Random(5)
     good = lambda: " ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) for _ in range(80))
