@@ -289,6 +289,23 @@ def test_fertility_base_columns_equal_brute_force(docs, rows, none):
     assert fertility.rules(none, PIECES).count() == 0
 
 
+def test_fertility_bands_reject_junk_in_sparse_groups(spark):
+    r = random.Random(8)
+    plain = "the river rose over the old stone bridge and water came into houses near market while people carried chairs upstairs then rain stopped after noon".split()
+    prose = lambda k: " ".join(r.choice(plain) + r.choice(["", "s", "ed", ",", "."]) for _ in range(k))
+    junk = lambda k: " ".join("".join(chr(r.randrange(0xE000, 0xE100)) for _ in range(5)) for _ in range(k))
+    rows = [(i, prose(r.randint(60, 200)), "en") for i in range(300)]
+    rows += [(1000 + i, prose(r.randint(60, 200)), "xx") for i in range(8)]
+    rows += [(2000, junk(100), "xx"), (2001, junk(100), "yy"), (2002, junk(100), None), (2003, junk(4000), "en")]
+    few = [*rows[:9], (2000, junk(100), "xx")]  # a table smaller than any group
+    few += [(3000 + i, " ".join(f"{w}{i}" for w in plain[:12]), "en") for i in range(3)] + [(2004, "\ue000 \ue001 \ue002 \ue003 \ue004 \ue005 \ue006 \ue007 \ue008 \ue009", "en")]  # short ones
+    for table in (rows, few):
+        found = {f.doc_id: f for f in fertility.rules(spark.createDataFrame(table, "doc_id long, text string, lang string"), PIECES).collect()}
+        assert not any(f.base_failed for f in found.values())
+        assert not any(f.kept for i, f in found.items() if 2000 <= i < 3000)
+        assert sum(f.kept for i, f in found.items() if not 2000 <= i < 3000) >= 0.97 * sum(not 2000 <= i < 3000 for i in found)
+
+
 def cut_by_hand(rows, length=50):
     first, out = {}, {}
     for i, text in sorted({(i, (t or "").encode()) for i, t, *_ in rows}):

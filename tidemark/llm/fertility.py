@@ -3,9 +3,12 @@
 Each word is encoded by a public vocabulary with byte fallback. A text's characters per token, share of byte-fallback
 tokens and token entropy (bits, against what its number of tokens allows) are compared with the band of its language
 and length class (each doubling of the number of tokens): the middle half of all such texts that pass the base rules,
-widened by ``width`` times its range on either side. Texts with fewer than ``least_tokens`` tokens, and classes of
-fewer than ``least_texts`` texts, have no stable measures and are not held against bands. Rows without a language are
-banded by their main script. Bands are statistics over all texts (approximate quantiles).
+widened by ``width`` times its range on either side. Where that group has fewer than ``least_texts`` texts, the first
+larger one that has enough gives the band: the language and four length classes, the language, the main script, and the
+whole corpus however small it is (then wider by the root of the factor that it lacks). So every text is held against a
+band. The measures of texts with fewer than ``least_tokens`` tokens spread more, and their bands are wider by the factor
+that they lack. Rows without a language are banded by their main script. Bands are statistics over all texts
+(approximate quantiles).
 
 Null and empty texts have no words and fail the base rules.
 """
@@ -24,6 +27,10 @@ from tidemark.llm.text import SliceHash, Texts, chunks, cut, mix, sums_by
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+SCRIPTS = (("Latin", ((0xC0, 0x24F), (0x1E00, 0x1EFF))), ("Cyrillic", ((0x400, 0x52F),)), ("Arabic", ((0x600, 0x6FF),)), ("Han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF))), ("Hangul", ((0x1100, 0x11FF), (0xAC00, 0xD7AF))), ("Devanagari", ((0x900, 0x97F),)))
+_LETTER = np.zeros(256, bool)
+_LETTER[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
+LEVELS = (("group_name", "length_class"), ("group_name", "length_range"), ("group_name",), ("script",), ())
 _loaded: dict = {}
 
 
@@ -101,6 +108,26 @@ def measure(batch: pa.RecordBatch, vocabulary: str) -> dict[str, np.ndarray]:
     }
 
 
+def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and code points of the characters of two and three bytes."""
+    two, three = np.flatnonzero((data & 0xE0) == 0xC0), np.flatnonzero((data & 0xF0) == 0xE0)
+    tail = lambda at: (data[at] & 0x3F).astype(np.int64)
+    points = ((data[two] & 0x1F).astype(np.int64) << 6) | tail(two + 1), ((data[three] & 0x0F).astype(np.int64) << 12) | (tail(three + 1) << 6) | tail(three + 2)
+    return np.concatenate((two, three)), np.concatenate(points)
+
+
+def main_script(column: pa.Array) -> np.ndarray:
+    """The main script of every text by its letters in the scripts' main blocks."""
+    texts = Texts(column)
+    latin = np.concatenate(([0], np.cumsum(_LETTER[texts.data])))[texts.offsets]
+    at, point = _code_points(texts.data)
+    row = np.searchsorted(texts.offsets, at, side="right") - 1
+    counts = np.stack([sums_by(row[mine], texts.n) for mine in (np.any([(point >= a) & (point <= b) for a, b in spans], axis=0) for _, spans in SCRIPTS)])
+    counts[0] += np.diff(latin)
+    names = np.array([f"script:{name}" for name, _ in SCRIPTS], object)
+    return np.where(counts.max(0) > 0, names[counts.argmax(0)], "script:other")
+
+
 def _script() -> F.Column:
     """The main script by its letters, for rows without a language."""
     counts = {name: F.length(F.regexp_replace("text", rf"[^\p{{Is{name}}}]", "")) for name in ("Latin", "Cyrillic", "Arabic", "Han", "Hangul", "Devanagari")}
@@ -119,17 +146,23 @@ def rules(docs: DataFrame, vocabulary: str, width: float = 3.0, least_tokens: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             found = measure(part, vocabulary)
-            columns = [part.column(0), part.column(2), *(pa.array(found[c].astype(np.int64)) for c in longs), *(pa.array(found[c].astype(float)) for c in MEASURES)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "group_name", *longs, *MEASURES])
+            columns = [part.column(0), part.column(2), pa.array(main_script(part.column(1)), pa.string()), *(pa.array(found[c].astype(np.int64)) for c in longs), *(pa.array(found[c].astype(float)) for c in MEASURES)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "group_name", "script", *longs, *MEASURES])
 
-    schema = ", ".join([f"doc_id {kind}", "group_name string", *(f"{c} long" for c in longs), *(f"{c} double" for c in MEASURES)])
+    schema = ", ".join([f"doc_id {kind}", "group_name string", "script string", *(f"{c} long" for c in longs), *(f"{c} double" for c in MEASURES)])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = cut(docs.mapInArrow(run, schema).withColumn("base_failed", failed)).withColumn("length_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))))
     quartiles = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in MEASURES]
-    bands = measured.where(~F.col("base_failed") & (F.col("n_tokens") >= least_tokens)).groupBy("group_name", "length_class").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= least_texts)
-    bands = bands.select("group_name", "length_class", *(F.struct((F.col(c)[0] - width * (F.col(c)[1] - F.col(c)[0])).alias("low"), (F.col(c)[1] + width * (F.col(c)[1] - F.col(c)[0])).alias("high")).alias(f"band_{c}") for c in MEASURES))
-    inside = F.lit(True)
+    measured = measured.withColumn("length_range", F.floor(F.col("length_class") / 4))
+    good, bands = measured.where(~F.col("base_failed")), []
+    for k, keys in enumerate(LEVELS):
+        band = good.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles)
+        band = band.where(F.col("n") >= (least_texts if keys else 1)).select(*keys, F.struct(*MEASURES, "n").alias(f"band_{k}"))
+        measured = measured.join(F.broadcast(band), list(keys), "left") if keys else measured.join(F.broadcast(band), how="left")
+        bands.append(f"band_{k}")
+    inside, band = F.lit(True), F.coalesce(*bands)
+    wide = width * F.greatest(least_tokens / F.greatest("n_tokens", F.lit(1)), F.lit(1.0)) * F.sqrt(F.greatest(least_texts / band["n"], F.lit(1.0)))
     for c in MEASURES:
-        inside = inside & F.col(c).between(F.col(f"band_{c}.low") - 0.02 * (c == "byte_share"), F.col(f"band_{c}.high") + 0.02 * (c == "byte_share"))
-    fine = (F.col("n_tokens") < least_tokens) | F.coalesce(inside, F.lit(True))
-    return measured.join(bands, ["group_name", "length_class"], "left").withColumn("kept", ~F.col("base_failed") & fine).select("doc_id", "group_name", *longs, *MEASURES, "base_failed", "kept")
+        low, high, spare = band[c][0], band[c][1], 0.02 * (c == "byte_share")
+        inside = inside & F.col(c).between(low - wide * (high - low) - spare, high + wide * (high - low) + spare)
+    return measured.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).select("doc_id", "group_name", *longs, *MEASURES, "base_failed", "kept")
