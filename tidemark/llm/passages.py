@@ -1,12 +1,13 @@
 """Suffix-array deduplication: bytes covered by a string of ``length`` bytes that also starts in an earlier document.
 
-Prefix doubling over a sparse set of suffixes, each round a Spark shuffle by the rank reached so far:
+Winnowed hash grouping instead of prefix doubling (ranks of all byte positions would be 14 times the input on disk):
+hashes stand for ranks, and each round is a Spark shuffle by hash.
 
 1. In every window of ``length`` bytes the 16-byte string with the smallest hash is its anchor, so equal windows have
-   equal anchors at equal offsets. The anchors' names are sorted by Spark into buckets; a name of one document only
-   is unique and its suffixes drop out. (A suffix is ranked to 16 bytes.)
-2. Suffixes that start the remaining windows are ranked by the pair (rank of the first half, rank of the half at that
-   offset), again dealt by bucket; the unique ones drop out, the others go on to the full ``length`` and stop there.
+   equal anchors at equal offsets. The anchors' names are dealt by Spark into buckets by hash; a name of one document
+   only is unique and its windows drop out.
+2. The remaining windows go along as bytes, again dealt by bucket, and are grouped by a hash of their first half; the
+   unique ones drop out, the others are grouped by a hash of the full ``length``.
 3. In every class of equal ``length``-byte strings all but the smallest document's are removed.
 
 Copies within one bin of documents are settled before the shuffle, so a string that a third of the documents share
