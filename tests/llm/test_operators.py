@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, fertility, lang_id, licences, near_dup, passages, quality_rank, sharding, suffix_tree
 from tidemark.llm.components import components
+from tidemark.llm.text import Scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -256,7 +257,8 @@ def test_near_duplicates_of_a_family_without_its_base(spark):
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
-    got = {r.node: r.component for r in components(edges).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.node: r.component for r in components(edges, scratch).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 

@@ -27,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.text import SliceHash, Texts, chunks, cut, id_and_text, list_array, lower, mix
+from tidemark.llm.text import Scratch, SliceHash, Texts, chunks, id_and_text, list_array, lower, mix
 
 PERMUTATIONS = 48
-SLIM = 200_000  # rows of a few numbers in a partition
 ROWS = 4  # signature values in a band: 24 bands of 4; a pair at 0.8 is missed by all with probability 3e-6
 
 _U = np.uint64
@@ -157,37 +156,49 @@ def _held(open_: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles long, component_id (the smallest id that its links reach, itself included), kept boolean."""
     docs = id_and_text(docs, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    marks = cut(signatures(docs, words))
-    keys = ["n", "key1", "key2"]
-    classes = cut(marks.where("n > 0").groupBy(*keys).agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("rep")))
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_near_duplicates(docs, words, percent, scratch))
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    keys, cut = ["n", "key1", "key2"], scratch.cut
+    signed = cut(signatures(docs, words))
+    classes = cut(signed.where("n > 0").groupBy(*keys).agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("rep")))
+    marks = cut(signed.select("doc_id", *keys).join(classes.select(*keys, "rep"), keys, "left").select("doc_id", "n", "rep"))
+    scratch.drop(signed)
     bands = [F.xxhash64(F.lit(k), F.slice("sketch", k * ROWS + 1, ROWS)) for k in range(2 * PERMUTATIONS // ROWS)]
     members = classes.select("rep", F.explode(F.array(*bands)).alias("band"))
     groups = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(members.join(groups, "band"))
-    fame = members.groupBy("rep").agg(F.sum("size").alias("fame"))
-    members = cut(members.join(fame, "rep").select("band", "rep", "fame"), SLIM)
-    marked = cut(classes.join(fame, "rep", "left_semi").select("rep", "n", "sketch"))
-    sets = full_sets(docs.join(fame.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words)
-    sets = cut(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles")))
-
-    leaders = cut(members.groupBy("band").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("leader")), SLIM)
+    sized = cut(members.join(groups, "band"))
+    fame = sized.groupBy("rep").agg(F.sum("size").alias("fame"))
+    members = cut(sized.join(fame, "rep").select("band", "rep", "fame"))
+    famous = cut(members.select("rep").distinct())
+    marked = cut(classes.join(famous, "rep", "left_semi").select("rep", "n", "sketch"))
+    scratch.drop(classes, sized)
+
+    leaders = cut(members.groupBy("band").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("leader")))
     stars = members.join(leaders, "band").where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
-    tested = cut(_sides(stars, marked, "n", "sketch").where(_close(percent)).select("a", "b"), SLIM)
-    links = cut(_confirm(tested, sets, percent), SLIM)
-    labels = components(links)
-
-    open_ = cut(_still_open(members, labels).join(leaders, "band"), SLIM)
-    held = _held(open_, sets)
-    sides = cut(open_.join(held, ["rep", "leader"]).join(marked.select("rep", "n"), "rep").select("band", "rep", "component", "n", "held", "others"))
-    left, right = (sides.select(*(F.col(c).alias(f"{c}_{side}") for c in sides.columns)) for side in ("a", "b"))
-    common = F.aggregate(F.zip_with("held_a", "held_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
-    most = common + F.least("others_a", "others_b")
-    near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-    rest = left.join(right, (F.col("band_a") == F.col("band_b")) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    rest = cut(_sides(rest.join(tested, ["a", "b"], "left_anti"), marked, "n", "sketch").where(_close(percent)).select("a", "b"), SLIM)
-    if not rest.isEmpty():
-        labels = components(links.union(_confirm(rest, sets, percent)))
-
-    out = marks.join(classes.select(*keys, "rep"), keys, "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    tested = cut(_sides(stars, marked, "n", "sketch").where(_close(percent)).select("a", "b"))
+    sets = full_sets(docs.join(famous.toDF("doc_id"), "doc_id", "left_semi"), words)
+    sets = cut(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles")))
+    links = cut(_confirm(tested, sets, percent))
+    labels = cut(components(links, scratch))
+
+    open_ = cut(_still_open(members, labels).join(leaders, "band"))
+    scratch.drop(members, leaders)
+    if not open_.isEmpty():
+        held = _held(open_, sets)
+        sides = cut(open_.join(held, ["rep", "leader"]).join(marked.select("rep", "n"), "rep").select("band", "rep", "component", "n", "held", "others"))
+        left, right = (sides.select(*(F.col(c).alias(f"{c}_{side}") for c in sides.columns)) for side in ("a", "b"))
+        common = F.aggregate(F.zip_with("held_a", "held_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
+        most = common + F.least("others_a", "others_b")
+        near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+        rest = cut(left.join(right, (F.col("band_a") == F.col("band_b")) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
+        scratch.drop(sides, open_)
+        rest = cut(_sides(rest.join(tested, ["a", "b"], "left_anti"), marked, "n", "sketch").where(_close(percent)).select("a", "b"))
+        if not rest.isEmpty():
+            labels = components(links.union(cut(_confirm(rest, sets, percent))), scratch)
+
+    out = marks.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

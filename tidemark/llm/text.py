@@ -6,6 +6,8 @@ Words are maximal runs of bytes outside space and 0x09-0x0D. Every helper takes
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,18 +136,63 @@ def bucket_bits(docs: DataFrame) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: the cluster's spark.checkpoint.dir, or one for this run where none is set."""
+    """The folder that all machines share: the cluster's spark.checkpoint.dir. One of this run's own where none is set
+    and all tasks run in the driver's process; elsewhere that would be a different folder on every machine."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(folder)
     return context.getCheckpointDir().get()
 
 
-def cut(df: DataFrame, slim: int = 0) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder. A table of slim rows may say how many of them
-    a partition should hold; it is then read in no more partitions than that takes."""
-    shared_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    return out.coalesce(1 + out.count() // slim) if slim else out
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables that an operator writes to the shared folder to cut its lineage, so that a lost executor costs no more
+    than the step that runs. A step's shuffle files go when its table is written, the tables when they are dropped or
+    the ``with`` block ends; only ``result`` stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.folder)
+
+    def _write(self, df: DataFrame, folder: str) -> DataFrame:
+        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting, "false")
+        self.spark.conf.set(setting, "true")
+        try:
+            df.write.parquet(folder)
+        finally:
+            self.spark.conf.set(setting, before)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """The same rows, read from a table of their own."""
+        folder = f"{self.folder}/{len(self.tables)}"
+        self.tables.append((table := self._write(df, folder), folder))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, folder in self.tables:
+            if any(table is t for t in tables):
+                remove(self.spark, folder)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return self._write(df, self.folder.replace("/scratch-", "/result-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder that stays there, for results that are read lazily."""
+    return Scratch(df.sparkSession).result(df)
