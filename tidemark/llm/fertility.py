@@ -8,9 +8,11 @@ larger one that has enough gives the band: the language and four length classes,
 whole corpus however small it is (then wider by the root of the factor that it lacks). So every text is held against a
 band. The measures of texts with fewer than ``least_tokens`` tokens spread more, and their bands are wider by the factor
 that they lack. Rows without a language are banded by their main script. Bands are statistics over all texts
-(approximate quantiles).
+(approximate quantiles), found in one aggregation; they are broadcast as long as they are few.
 
-Null and empty texts have no words and fail the base rules.
+Null and empty texts have no words and fail the base rules; an empty table gives no rows. Texts are judged whole,
+whatever their length, and row by row: repeated rows and null ids get rows of their own. Values at a band's edge pass.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ SCRIPTS = (("Latin", ((0xC0, 0x24F), (0x1E00, 0x1EFF))), ("Cyrillic", ((0x400, 0
 _LETTER = np.zeros(256, bool)
 _LETTER[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
 LEVELS = (("group_name", "length_class"), ("group_name", "length_range"), ("group_name",), ("script",), ())
+MOST_BANDS = 20_000  # bands that are broadcast (under 4 MB); more are joined
 _loaded: dict = {}
 
 
@@ -128,25 +132,18 @@ def main_script(column: pa.Array) -> np.ndarray:
     return np.where(counts.max(0) > 0, names[counts.argmax(0)], "script:other")
 
 
-def _script() -> F.Column:
-    """The main script by its letters, for rows without a language."""
-    counts = {name: F.length(F.regexp_replace("text", rf"[^\p{{Is{name}}}]", "")) for name in ("Latin", "Cyrillic", "Arabic", "Han", "Hangul", "Devanagari")}
-    most = F.greatest(*counts.values(), F.lit(1))
-    return F.coalesce(*(F.when(c == most, F.lit(f"script:{name}")) for name, c in counts.items()), F.lit("script:other"))
-
-
 def rules(docs: DataFrame, vocabulary: str, width: float = 3.0, least_tokens: int = 40, least_texts: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, group_name, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_tokens long, the three
     measures double, base_failed and kept boolean."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    docs = docs.select("doc_id", "text", F.when(F.col("lang").isNull(), _script()).otherwise(F.col("lang")).alias("group_name"))
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             found = measure(part, vocabulary)
-            columns = [part.column(0), part.column(2), pa.array(main_script(part.column(1)), pa.string()), *(pa.array(found[c].astype(np.int64)) for c in longs), *(pa.array(found[c].astype(float)) for c in MEASURES)]
+            script = pa.array(main_script(part.column(1)), pa.string())
+            columns = [part.column(0), pc.coalesce(part.column(2), script), script, *(pa.array(found[c].astype(np.int64)) for c in longs), *(pa.array(found[c].astype(float)) for c in MEASURES)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "group_name", "script", *longs, *MEASURES])
 
     schema = ", ".join([f"doc_id {kind}", "group_name string", "script string", *(f"{c} long" for c in longs), *(f"{c} double" for c in MEASURES)])
@@ -154,12 +151,17 @@ def rules(docs: DataFrame, vocabulary: str, width: float = 3.0, least_tokens: in
     measured = cut(docs.mapInArrow(run, schema).withColumn("base_failed", failed)).withColumn("length_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))))
     quartiles = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in MEASURES]
     measured = measured.withColumn("length_range", F.floor(F.col("length_class") / 4))
-    good, bands = measured.where(~F.col("base_failed")), []
-    for k, keys in enumerate(LEVELS):
-        band = good.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles)
-        band = band.where(F.col("n") >= (least_texts if keys else 1)).select(*keys, F.struct(*MEASURES, "n").alias(f"band_{k}"))
-        measured = measured.join(F.broadcast(band), list(keys), "left") if keys else measured.join(F.broadcast(band), how="left")
-        bands.append(f"band_{k}")
+    keys = sorted({k for level in LEVELS for k in level})
+    sets = [[F.col(k) for k in level] for level in LEVELS]
+    grouped = measured.where(~F.col("base_failed")).groupingSets(sets, *keys).agg(F.grouping_id(*keys).alias("level"), F.count("*").alias("n"), *quartiles)
+    table = cut(grouped)
+    few, bands = table.count() <= MOST_BANDS, []
+    for k, level in enumerate(LEVELS):
+        mark = sum(1 << (len(keys) - 1 - i) for i, key in enumerate(keys) if key not in level)
+        band = table.where((F.col("level") == mark) & (F.col("n") >= (least_texts if level else 1))).select(*level, F.struct(*MEASURES, "n").alias(f"band_{k}"))
+        if level:
+            measured = measured.join(F.broadcast(band) if few else band, list(level), "left")
+        bands.append(F.col(f"band_{k}") if level else band.scalar())
     inside, band = F.lit(True), F.coalesce(*bands)
     wide = width * F.greatest(least_tokens / F.greatest("n_tokens", F.lit(1)), F.lit(1.0)) * F.sqrt(F.greatest(least_texts / band["n"], F.lit(1.0)))
     for c in MEASURES:
