@@ -39,12 +39,18 @@ def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: a source is a tree of folders of 1000 and 50 documents by id, and the first document
-    of a folder of 50 stands for its licence file."""
+    """Documents have no paths: a source is a tree of folders of 1000 and 50 documents by id, and of every 50 documents
+    one stands for the licence file of the folder of 50, one of every 250 for that of 1000, and one of every 2000 for
+    that of the source."""
     docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    name = F.when(i % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
     folder = lambda n: F.floor(i / n).cast("string")
-    return licences.scan(docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("none")), folder(1000), folder(50), name)))
+    source, number = F.coalesce("source", F.lit("none")), i.cast("string")
+    path = (
+        F.when(i % 2000 == 3, F.concat_ws("/", source, F.concat(F.lit("COPYING."), number)))
+        .when(i % 250 == 7, F.concat_ws("/", source, folder(1000), F.concat(F.lit("LICENSE."), number)))
+        .otherwise(F.concat_ws("/", source, folder(1000), folder(50), F.when(i % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(number, F.lit(".txt")))))
+    )
+    return licences.scan(docs.withColumn("path", path))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
