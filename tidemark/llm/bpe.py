@@ -5,7 +5,8 @@ the few that need a look ahead), each class is a function from scanner state to
 functions is associative, a blocked prefix scan over the functions gives the state at every code point of a whole
 chunk at once. The slices between boundaries are merged pair by pair, lowest rank first, behind a bounded cache.
 
-Null texts encode as empty; empty texts give empty arrays. Ids may be null or repeated: rows are handled one by one.
+Null texts encode as empty; empty texts give empty arrays. Ids may be null or repeated: rows are handled one by one. An
+empty table gives no rows; texts are read whole, whatever their length; other columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ Items are taken in blocks of at most ``block_bytes`` of text; each block's seed
 broadcast, and all documents are searched for every block, so test sets of any size work. Words are compared in lower
 case (A-Z) without leading and trailing punctuation. Items of one or two words have to occur whole (one word of two
 would reach 0.5 by itself); longer items that one word can bring to ``least`` have single words as seeds. Items and
-texts without words, null ones included, match nothing. Rows with equal ids are searched row by row.
+texts without words, null ones included, match nothing. Rows with equal ids are searched row by row. Item ids are whole
+numbers (or text of such); document ids are of any kind and may be null. An empty table on either side finds nothing.
+Texts and items are read whole, whatever their length; other columns are not read.
 """
 
 from __future__ import annotations
@@ -134,12 +136,12 @@ class Items:
 def smith_waterman(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment sum of an item with each row of windows (0: no word), and where in the window it ends."""
     n, width = windows.shape
-    place = np.arange(width, dtype=np.int16)
-    above, best, end = np.zeros((n, width), np.int16), np.zeros(n, np.int16), np.zeros(n, np.int64)
+    place = np.arange(width, dtype=np.int32)
+    above, best, end = np.zeros((n, width), np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
     for word in item:
-        diagonal = np.zeros((n, width), np.int16)
+        diagonal = np.zeros((n, width), np.int32)
         diagonal[:, 1:] = above[:, :-1]
-        cell = np.maximum(np.maximum(diagonal + np.where(windows == word, 1, -1).astype(np.int16), above - 1), 0)
+        cell = np.maximum(np.maximum(diagonal + np.where(windows == word, np.int32(1), np.int32(-1)), above - 1), 0)
         above = np.maximum.accumulate(cell + place, axis=1) - place  # words added in the window
         at = above.argmax(1)
         top = above[np.arange(n), at]
@@ -211,7 +213,7 @@ def _search(docs: DataFrame, block: Items, least: float, schema: str) -> DataFra
                     while len(mine):  # windows of like width together, at most a few million cells at once
                         width = int(high[mine[0]] - low[mine[0]])
                         fit = (high - low)[mine] <= max(2 * width, 64)
-                        now = mine[fit][: max(1, 4_000_000 // max(2 * width, 64))]
+                        now = mine[fit][: max(1, 2_000_000 // max(2 * width, 64))]
                         mine = mine[len(now) :]
                         widest = int((high - low)[now].max())
                         window = np.zeros((len(now), widest), np.uint64)
