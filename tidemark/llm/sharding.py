@@ -5,7 +5,7 @@ name); shards take turns claiming their next free slot until the table is full.
 size, so placement is one look-up, shards get equal shares to within one slot, and adding or removing a shard moves
 few keys. The table's size is a parameter and does not depend on the data, so it is broadcast.
 
-Null keys take slot 0. Repeated keys go to one shard; all rows are kept.
+Null keys take slot 0. Repeated keys go to one shard; all rows are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +48,9 @@ def fill(shards: list[str], slots: int = SLOTS) -> list[int]:
 
 
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """key, slot long, shard string for every row; other columns are left out."""
-    table = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(fill(shards, slots))], "slot long, shard string")
-    keyed = df.select(F.col(key), F.coalesce(number_column(F.col(key)) % slots, F.lit(0).cast("long")).alias("slot"))
-    return keyed.join(F.broadcast(table), "slot").select(key, "slot", "shard")
+    """key, slot long, shard string for every row; other columns are left out. A key column that is itself called slot
+    or shard keeps its name and the new column gets an underscore behind its own."""
+    table = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(fill(shards, slots))], "_slot long, _shard string")
+    keyed = df.select(F.col(key).alias("_key")).withColumn("_slot", F.coalesce(number_column(F.col("_key")) % slots, F.lit(0).cast("long")))
+    names = [n + "_" * (n == key) for n in ("slot", "shard")]
+    return keyed.join(F.broadcast(table), "_slot").select(F.col("_key").alias(key), F.col("_slot").alias(names[0]), F.col("_shard").alias(names[1]))
