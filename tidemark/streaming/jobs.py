@@ -57,24 +57,35 @@ def append_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def ordered_state(stream: DataFrame, key: str, order: list[str], start: tuple, step: Callable[[tuple, object], tuple[tuple, tuple | None]], output: str, state: str) -> DataFrame:
+def ordered_state(stream: DataFrame, key: str, order: list[str], start: tuple, step: Callable[[tuple, object], tuple[tuple, tuple | None]], output: str, state: str, time: str | None = None, silence: str = "10 seconds") -> DataFrame:
     """Runs ``step(state, row) -> (state, output row or None)`` over each key's rows, a batch's rows in order.
 
     output and state are schemas; output starts with the key's column. Files arrive in time order for an exact match
-    with the batch twin."""
+    with the batch twin. With an event time, a key's state ends once the watermark is ``silence`` past its newest row,
+    by which time the rule has forgotten it, so state does not grow with every key ever seen."""
     names = [c.split()[0] for c in output.split(", ")]
 
+    wait = int(pd.Timedelta(silence).total_seconds() * 1000)
+
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         now = tuple(None if v is None or v != v else v for v in held.get) if held.exists else start
         out = []
-        for row in pd.concat(list(frames)).sort_values(order).itertuples():
+        rows = pd.concat(list(frames)).sort_values(order)
+        for row in rows.itertuples():
             now, made = step(now, row)
             if made is not None:
                 out.append((*k, *made))
         held.update(now)
+        if time is not None:
+            held.setTimeoutTimestamp(max(int(rows[time].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + wait)
         yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    if time is None:
+        return stream.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark(time, "0 seconds").groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gate_step(hits: int = 5, seconds: float = 3.0, vehicles: int = 2, ratio: float = 0.75, gap_seconds: float = 10.0, confidence: float = 0.70) -> Callable:
@@ -107,6 +118,18 @@ def cooldown_step(seconds: float = 10.0) -> Callable:
     return step
 
 
+def alert_step(frames: int = 5, least: int = 2, seconds: float = 30.0) -> Callable:
+    """Alerts: state (frames in a row that reach ``least``, time of the last alert)."""
+
+    def step(state: tuple, r) -> tuple[tuple, tuple | None]:
+        row = min(state[0] + 1, frames) if r.stage >= least else 0
+        if row < frames or (state[1] is not None and r.t_us - state[1] < seconds * 1e6):
+            return (row, state[1]), None
+        return (row, int(r.t_us)), (r.event_id,)
+
+    return step
+
+
 def change_step() -> Callable:
     """Level changes: state (last level)."""
 
@@ -129,18 +152,27 @@ def ema_step(alpha: float = 0.35, reset_seconds: float = 8.0) -> Callable:
     return step
 
 
-def track_step() -> Callable:
-    """Tracks of whole frames (boxes as a list in ``boxes``): state (JSON of the tracks and the next id)."""
+def track_step(gap: int = 1) -> Callable:
+    """Tracks of the confirmed boxes of whole frames (a list in ``boxes``): state (JSON of what is remembered)."""
     import json
 
-    from tidemark.streaming.tracking import associate
+    import numpy as np
 
-    def step(state: tuple, r) -> tuple[tuple, tuple]:
-        held = json.loads(state[0]) if state[0] else {"tracks": [], "next": 1}
-        boxes = sorted(({"box": (b["x1"], b["y1"], b["x2"], b["y2"]), "conf": b["conf"], "box_no": b["box_no"]} for b in r.boxes), key=lambda b: (-b["conf"], b["box_no"]))
-        tracks, next_id = associate(boxes, held["tracks"], held["next"])
-        return (json.dumps({"tracks": tracks, "next": next_id}),), (int(r.frame), len(tracks), max((t["track_id"] for t in tracks), default=0))
+    from tidemark.streaming import tracking as T
 
-    return step
+    load = lambda held, kinds: T.Boxes(held["box"], **{k: np.array(held[k], kind) for k, kind in kinds.items()})
 
+    def step(state: tuple, r) -> tuple[tuple, tuple]:
+        held = json.loads(state[0]) if state[0] else None
+        if held is None or r.frame - held["frame"] > gap:
+            seen, tracks, next_id = T.nothing(**T.UNSEEN), T.nothing(**T.NO_TRACKS), 1
+        else:
+            seen, tracks, next_id = load(held["seen"], T.UNSEEN), load(held["tracks"], T.NO_TRACKS), held["next"]
+        frame = T.Boxes.of(pd.DataFrame([b.asDict() if hasattr(b, "asDict") else b for b in r.boxes]), ["conf", "box_no"])
+        found, seen = T.confirm(frame, seen)
+        sure = found.take(found["confirmed"])
+        tracks, next_id = T.associate(sure, tracks, next_id)
+        now = json.dumps({"frame": int(r.frame), "seen": seen.given(label=np.full(len(seen), "")).plain(), "tracks": tracks.plain(), "next": next_id})
+        return (now,), (int(r.frame), len(tracks), int(tracks["track_id"].max()) if len(tracks) else 0)
 
+    return step

@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share (a temporary one where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    """A new path in the folder that all machines share, spark.checkpoint.dir; a temporary one where none is set and all
+    tasks run in the driver's process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,156 +1,220 @@
-"""Vehicle tracks and repeated detections: state of a camera, frame after frame.
+"""Vehicle tracks and repeated sightings of boxes along a camera's frames.
 
-The rules match boxes of consecutive frames best first, which no join expresses; they run as grouped pandas over a
-key's frames in order. Keys bound a group (a camera and a day, say); the streaming form keeps the same state."""
+What a rule remembers of the past is one table of boxes (``Boxes``); a step takes the table of a new frame and gives the
+next. Rows of a key are first cut into runs where frames lie further apart than ``gap``: frames without a box in
+between would have emptied the memory, so nothing is lost, batches and streams agree, and a group is one run."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-Box = tuple[float, float, float, float]
-# fixed values: confidence from which a box needs so many hits
+SIDES = ["x1", "y1", "x2", "y2"]
+NONE = -np.inf
+# fixed values: confidence from which a box needs so many sightings
 TIERS = ((0.12, 1), (0.03, 2), (0.008, 3), (0.0025, 4))
 
 
-def iou(a: Box, b: Box) -> float:
-    shared = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = sum(max(0.0, q[2] - q[0]) * max(0.0, q[3] - q[1]) for q in (a, b)) - shared
-    return shared / union if union > 0 else 0.0
-
-
-def centre_ratio(a: Box, b: Box) -> float:
-    reach = max(8.0, math.hypot(a[2] - a[0], a[3] - a[1]), math.hypot(b[2] - b[0], b[3] - b[1]))
-    return math.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2) / reach
-
-
-def needed_hits(conf: float, whole_frame: bool) -> int | None:
-    return next((hits for least, hits in TIERS if conf >= least), 5 if whole_frame else None)
-
-
-def confirm(frame: list[dict], state: list[dict], least_iou: float = 0.12, most_centre: float = 0.55, kept: int = 60) -> tuple[list[dict], list[dict]]:
-    """A frame's boxes with hits and confirmed, and the state for the next: weak boxes need repeated sightings."""
-    used, out = set(), []
-    for box in frame:
-        required = needed_hits(box["conf"], box.get("whole_frame", True))
-        if required is None:
-            continue
-        options = [(iou(box["box"], s["box"]) * 3.5 + max(0.0, 1.0 - centre_ratio(box["box"], s["box"])), -k) for k, s in enumerate(state)
-                   if k not in used and (iou(box["box"], s["box"]) >= least_iou or centre_ratio(box["box"], s["box"]) <= most_centre)]
-        hits = 1
-        if options:
-            before = -max(options)[1]
-            used.add(before)
-            hits = state[before]["hits"] + 1
-            if state[before]["confirmed"]:
-                hits = max(hits, required)
-        out.append(box | {"hits": hits, "confirmed": hits >= required})
-    return out, sorted(out, key=lambda b: (-b["confirmed"], -b["conf"]))[:kept]
-
-
-def associate(frame: list[dict], state: list[dict], next_id: int, least_iou: float = 0.08, most_centre: float = 0.9, most_missed: int = 1) -> tuple[list[dict], int]:
-    """Tracks after a frame: all pairs are scored, the best free ones match, others start tracks; a missed track is
-    carried with 0.9 of its confidence; of overlapping tracks the fresher, stronger one stays."""
-    pairs = sorted(((-(iou(s["box"], b["box"]) * 4 + max(0.0, 1 - centre_ratio(s["box"], b["box"]))), i, k) for i, s in enumerate(state) for k, b in enumerate(frame)
-                    if iou(s["box"], b["box"]) >= least_iou or centre_ratio(s["box"], b["box"]) <= most_centre))
-    taken, match = set(), {}
-    for _, i, k in pairs:
-        if i not in taken and k not in match:
-            taken.add(i)
-            match[k] = i
-    tracks = []
-    for k, b in enumerate(frame):
-        if k in match:
-            s = state[match[k]]
-            move = [(b["box"][j] + b["box"][j + 2] - s["box"][j] - s["box"][j + 2]) / 2 for j in (0, 1)]
-            tracks.append(b | {"track_id": s["track_id"], "missed": 0, "v": tuple(round(0.65 * m + 0.35 * v, 2) for m, v in zip(move, s["v"]))})
-        else:
-            tracks.append(b | {"track_id": next_id, "missed": 0, "v": (0.0, 0.0)})
-            next_id += 1
-    tracks += [s | {"missed": s["missed"] + 1, "conf": round(s["conf"] * 0.9, 3)} for i, s in enumerate(state) if i not in taken and s["missed"] < most_missed]
-    kept: list[dict] = []
-    for t in sorted(tracks, key=lambda x: (x["missed"], -x["conf"], x["track_id"])):
-        area = lambda q: max(1.0, (q[2] - q[0]) * (q[3] - q[1]))
-        shared = lambda q, o: max(0.0, min(q[2], o[2]) - max(q[0], o[0])) * max(0.0, min(q[3], o[3]) - max(q[1], o[1]))
-        if not any(iou(t["box"], o["box"]) >= 0.45 or shared(t["box"], o["box"]) / min(area(t["box"]), area(o["box"])) >= 0.72 for o in kept):
-            kept.append(t)
-    return kept, next_id
-
-
-def repeated(frame: list[dict], state: list[dict], least_iou: float = 0.3, required: int = 3, least_motion: float | None = None) -> tuple[list[dict], list[dict]]:
-    """A frame's privacy boxes with hits and confirmed: the same label near the same place in enough frames."""
-    used, out = set(), []
-    for box in frame:
-        options = [(iou(s["box"], box["box"]), -k) for k, s in enumerate(state) if k not in used and s["label"] == box["label"] and iou(s["box"], box["box"]) >= least_iou]
-        hits = 1
-        if options:
-            before = -max(options)[1]
-            used.add(before)
-            hits = state[before]["hits"] + 1
-        moved = least_motion is None or not state or box.get("motion", 0.0) >= least_motion
-        out.append(box | {"hits": min(required + 1, hits), "confirmed": hits >= required and moved})
+class Boxes:
+    """Some boxes as columns: ``box`` (n x 4) and one-dimensional arrays by name."""
+
+    def __init__(self, box: np.ndarray, **columns: np.ndarray):
+        self.box, self.columns = np.asarray(box, float).reshape(-1, 4), {k: np.asarray(v) for k, v in columns.items()}
+
+    @staticmethod
+    def of(rows: pd.DataFrame, names: list[str]) -> Boxes:
+        """Rows of one frame, the strongest first."""
+        rows = rows.sort_values(["conf", "box_no"], ascending=[False, True], kind="stable")
+        return Boxes(rows[SIDES].to_numpy(), **{n: rows[n].to_numpy() for n in names if n in rows})
+
+    def __len__(self) -> int:
+        return len(self.box)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+    def take(self, at: np.ndarray) -> Boxes:
+        return Boxes(self.box[at], **{k: v[at] for k, v in self.columns.items()})
+
+    def given(self, **columns: np.ndarray) -> Boxes:
+        return Boxes(self.box, **self.columns | columns)
+
+    def plain(self) -> dict[str, list]:
+        return {"box": self.box.tolist()} | {k: v.tolist() for k, v in self.columns.items()}
+
+
+def nothing(**kinds: type) -> Boxes:
+    return Boxes(np.zeros((0, 4)), **{k: np.zeros(0, kind) for k, kind in kinds.items()})
+
+
+def nearness(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all boxes of a (rows) against all of b (columns): IoU, distance of the centres in diagonals of the larger box
+    (of 8 at least), and the share of the smaller box that both cover."""
+    span = np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2])
+    shared = np.clip(span, 0, None).prod(2)
+    size_a, size_b = (np.clip(q[:, 2:] - q[:, :2], 0, None) for q in (a, b))
+    area_a, area_b = size_a.prod(1)[:, None], size_b.prod(1)[None]
+    union = area_a + area_b - shared
+    apart = (a[:, None, :2] + a[:, None, 2:] - b[None, :, :2] - b[None, :, 2:]) / 2
+    diagonal = np.maximum(np.maximum(np.linalg.norm(a[:, 2:] - a[:, :2], axis=1)[:, None], np.linalg.norm(b[:, 2:] - b[:, :2], axis=1)[None]), 8.0)
+    return shared / np.where(union > 0, union, 1), np.hypot(apart[..., 0], apart[..., 1]) / diagonal, shared / np.minimum(np.maximum(area_a, 1), np.maximum(area_b, 1))
+
+
+def moves(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """How far each box's centre has moved."""
+    return ((now - before)[:, :2] + (now - before)[:, 2:]) / 2
+
+
+def first_come(score: np.ndarray) -> np.ndarray:
+    """For each row in turn the free column of its best score, or -1 where all are NONE."""
+    score, pick = score.copy(), np.full(len(score), -1)
+    for k in range(len(score) if score.size else 0):
+        best = int(score[k].argmax())
+        if score[k, best] > NONE:
+            pick[k], score[:, best] = best, NONE
+    return pick
+
+
+def best_first(score: np.ndarray) -> np.ndarray:
+    """For each column its row when the best of all free pairs is taken again and again, or -1."""
+    score, pick = score.copy(), np.full(score.shape[1], -1)
+    while score.size and score.max() > NONE:
+        row, column = np.unravel_index(int(score.argmax()), score.shape)
+        pick[column] = row
+        score[row], score[:, column] = NONE, NONE
+    return pick
+
+
+def sightings_needed(conf: np.ndarray, whole_frame: bool) -> np.ndarray:
+    """By confidence; 0 for boxes too weak to count outside a whole-frame pass."""
+    return np.select([conf >= least for least, _ in TIERS], [n for _, n in TIERS], 5 if whole_frame else 0)
+
+
+def confirm(frame: Boxes, before: Boxes, whole_frame: bool = True, least_iou: float = 0.12, most_centre: float = 0.55, kept: int = 60) -> tuple[Boxes, Boxes]:
+    """The frame's boxes with hits and confirmed, and what to remember. Weak boxes need repeated sightings; a confirmed
+    box stays so while it is seen."""
+    needed = sightings_needed(frame["conf"], whole_frame)
+    frame, needed = frame.take(needed > 0), needed[needed > 0]
+    iou, centre, _ = nearness(frame.box, before.box)
+    seen = first_come(np.where((iou >= least_iou) | (centre <= most_centre), 3.5 * iou + np.clip(1 - centre, 0, None), NONE))
+    hits = np.ones(len(frame), np.int64)
+    old = seen >= 0
+    hits[old] += before["hits"][seen[old]]
+    sure = np.zeros(len(frame), bool)
+    sure[old] = before["confirmed"][seen[old]]
+    hits = np.where(sure, np.maximum(hits, needed), hits)
+    out = frame.given(hits=hits, confirmed=hits >= needed)
+    return out, out.take(np.lexsort((-out["conf"], ~out["confirmed"]))[:kept])
+
+
+def associate(frame: Boxes, before: Boxes, next_id: int, least_iou: float = 0.08, most_centre: float = 0.9, most_missed: int = 1, blend: float = 1.0) -> tuple[Boxes, int]:
+    """Tracks after a frame. A matched box is blended with its track's, moves the velocity and keeps the track's stage
+    (as stale) if it has none of its own; other boxes start tracks; a track that is missed is carried with 0.9 of its
+    confidence. Of tracks that cover each other the present, then the stronger one stays."""
+    n = len(frame)
+    iou, centre, _ = nearness(before.box, frame.box)
+    track = best_first(np.where((iou >= least_iou) | (centre <= most_centre), 4 * iou + np.clip(1 - centre, 0, None), NONE))
+    old = np.flatnonzero(track >= 0)
+    box, velocity, ids = frame.box.copy(), np.zeros((n, 2)), np.zeros(n, np.int64)
+    stage = frame.columns.get("stage", np.full(n, np.nan)).astype(float)
+    stale = np.zeros(n, bool)
+    if len(old):
+        mate = track[old]
+        box[old] = np.round(blend * frame.box[old] + (1 - blend) * before.box[mate], 1)
+        velocity[old] = np.round(0.65 * moves(before.box[mate], frame.box[old]) + 0.35 * np.stack([before["vx"][mate], before["vy"][mate]], 1), 2)
+        ids[old] = before["track_id"][mate]
+        stale[old] = np.isnan(stage[old]) & ~np.isnan(before["stage"][mate])
+        stage[old] = np.where(np.isnan(stage[old]), before["stage"][mate], stage[old])
+    new = np.flatnonzero(track < 0)
+    ids[new] = next_id + np.arange(len(new))
+    lost = np.setdiff1d(np.arange(len(before)), track)
+    lost = before.take(lost[before["missed"][lost] < most_missed])
+    join = lambda mine, theirs: np.concatenate([mine, theirs])
+    every = Boxes(np.concatenate([box, lost.box]), conf=join(frame["conf"], np.round(0.9 * lost["conf"], 3)), box_no=join(frame["box_no"], lost["box_no"]), track_id=join(ids, lost["track_id"]), missed=join(np.zeros(n, np.int64), lost["missed"] + 1),
+                  vx=join(velocity[:, 0], lost["vx"]), vy=join(velocity[:, 1], lost["vy"]), stage=join(stage, lost["stage"]), stale=join(stale, lost["stale"]))
+    every = every.take(np.lexsort((every["track_id"], -every["conf"], every["missed"])))
+    iou, _, smaller = nearness(every.box, every.box)
+    double, stays = (iou >= 0.45) | (smaller >= 0.72), np.zeros(len(every), bool)
+    for k in range(len(every)):
+        stays[k] = not (double[k] & stays).any()
+    return every.take(stays), next_id + len(new)
+
+
+def repeated(frame: Boxes, before: Boxes, least_iou: float = 0.3, required: int = 3, least_motion: float | None = None) -> tuple[Boxes, Boxes]:
+    """The frame's privacy boxes with hits and confirmed: the same label near the same place in enough frames, and, if
+    asked for, enough motion since the frame before."""
+    iou, _, _ = nearness(frame.box, before.box)
+    seen = first_come(np.where((iou >= least_iou) & (frame["label"][:, None] == before["label"][None]), iou, NONE))
+    hits = np.ones(len(frame), np.int64)
+    hits[seen >= 0] += before["hits"][seen[seen >= 0]]
+    moved = frame["motion"] >= least_motion if least_motion is not None and len(before) else np.ones(len(frame), bool)
+    out = frame.given(hits=np.minimum(hits, required + 1), confirmed=(hits >= required) & moved)
     return out, out
 
 
-def frames(rows: pd.DataFrame, order: list[str]) -> list[tuple[tuple, list[dict]]]:
-    """The frames of a group in order, their boxes strongest first."""
-    rows = rows.sort_values([*order, "conf", "box_no"], ascending=[True] * len(order) + [False, True])
-    out = []
-    for key, part in rows.groupby(order, sort=True):
-        boxes = [{"box": (r.x1, r.y1, r.x2, r.y2), "conf": r.conf, "box_no": r.box_no, "label": getattr(r, "label", ""), "motion": getattr(r, "motion", 0.0)} for r in part.itertuples()]
-        out.append((key if isinstance(key, tuple) else (key,), boxes))
-    return out
+UNSEEN = {"hits": np.int64, "confirmed": bool, "label": object, "conf": float}
+NO_TRACKS = {"conf": float, "box_no": np.int64, "track_id": np.int64, "missed": np.int64, "vx": float, "vy": float, "stage": float, "stale": bool}
+
+
+def runs(boxes: DataFrame, keys: list[str], frame: str, gap: int) -> DataFrame:
+    """The boxes with ``run``, the first frame of their run."""
+    order = Window.partitionBy(*keys).orderBy(frame)
+    apart = F.col(frame) - F.lag(frame).over(order)
+    rows = boxes.withColumn("_starts", F.when(apart.isNull() | (apart > gap), F.col(frame)))
+    return rows.withColumn("run", F.last("_starts", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
 
 
-def _per_group(boxes: DataFrame, keys: list[str], frame: str, run: Callable[[pd.DataFrame], list[tuple]], extra: str) -> DataFrame:
-    kinds = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in [*keys, frame, "box_no"])
-    names = [*keys, frame, "box_no", *(c.split()[0] for c in extra.split(", "))]
+def _each_run(boxes: DataFrame, keys: list[str], frame: str, gap: int, steps: Callable[[Iterator[tuple[int, Boxes]]], Iterator[tuple[int, Boxes]]], out: str) -> DataFrame:
+    """keys, frame and the columns ``out`` (name kind, ...) of what the steps give for a run's frames in order."""
+    names = [c.split()[0] for c in out.split(", ")]
+    read = [c for c in ("conf", "box_no", "label", "motion", "stage") if c in boxes.columns]
 
-    def apply(g: pd.DataFrame) -> pd.DataFrame:
-        head = tuple(g[k].iloc[0] for k in keys)
-        return pd.DataFrame([head + row for row in run(g)], columns=names)
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        head = {k: group[k].iloc[0] for k in keys}
+        frames = ((number, Boxes.of(rows, read)) for number, rows in group.groupby(frame, sort=True))
+        parts = [pd.DataFrame(head | {frame: number} | {n: b[n] for n in names}, index=range(len(b))) for number, b in steps(frames) if len(b)]
+        return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, frame, *names])
 
-    return boxes.groupBy(*keys).applyInPandas(apply, f"{kinds}, {extra}")
+    kinds = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in [*keys, frame])
+    return runs(boxes.select(*keys, frame, *SIDES, *read), keys, frame, gap).groupBy(*keys, "run").applyInPandas(run, f"{kinds}, {out}")
 
 
-def confirmed_boxes(boxes: DataFrame, keys: list[str], frame: str) -> DataFrame:
+def confirmed_boxes(boxes: DataFrame, keys: list[str], frame: str, gap: int = 1) -> DataFrame:
     """keys, frame, box_no, hits, confirmed."""
 
-    def run(g: pd.DataFrame) -> list[tuple]:
-        state, out = [], []
-        for key, boxes_ in frames(g, [frame]):
-            now, state = confirm(boxes_, state)
-            out += [(*key, b["box_no"], b["hits"], b["confirmed"]) for b in now]
-        return out
+    def steps(frames):
+        memory = nothing(**UNSEEN)
+        for number, now in frames:
+            found, memory = confirm(now, memory)
+            yield number, found
 
-    return _per_group(boxes, keys, frame, run, "hits int, confirmed boolean")
+    return _each_run(boxes, keys, frame, gap, steps, "box_no long, hits int, confirmed boolean")
 
 
-def tracks(boxes: DataFrame, keys: list[str], frame: str) -> DataFrame:
-    """keys, frame, box_no (of the last sighting), track_id, missed, conf, vx, vy."""
+def tracks(boxes: DataFrame, keys: list[str], frame: str, gap: int = 1) -> DataFrame:
+    """keys, frame, box_no (of the last sighting), track_id (within a run), missed, conf, vx, vy."""
 
-    def run(g: pd.DataFrame) -> list[tuple]:
-        state, next_id, out = [], 1, []
-        for key, boxes_ in frames(g, [frame]):
-            state, next_id = associate(boxes_, state, next_id)
-            out += [(*key, t["box_no"], t["track_id"], t["missed"], t["conf"], *t["v"]) for t in state]
-        return out
+    def steps(frames):
+        memory, next_id = nothing(**NO_TRACKS), 1
+        for number, now in frames:
+            memory, next_id = associate(now, memory, next_id)
+            yield number, memory
 
-    return _per_group(boxes, keys, frame, run, "track_id int, missed int, conf double, vx double, vy double")
+    return _each_run(boxes, keys, frame, gap, steps, "box_no long, track_id int, missed int, conf double, vx double, vy double")
 
 
-def repeated_boxes(boxes: DataFrame, keys: list[str], frame: str, **limits) -> DataFrame:
+def repeated_boxes(boxes: DataFrame, keys: list[str], frame: str, gap: int = 1, **limits) -> DataFrame:
     """keys, frame, box_no, hits, confirmed."""
 
-    def run(g: pd.DataFrame) -> list[tuple]:
-        state, out = [], []
-        for key, boxes_ in frames(g, [frame]):
-            now, state = repeated(boxes_, state, **limits)
-            out += [(*key, b["box_no"], b["hits"], b["confirmed"]) for b in now]
-        return out
+    def steps(frames):
+        memory = nothing(**UNSEEN)
+        for number, now in frames:
+            found, memory = repeated(now, memory, **limits)
+            yield number, found
 
-    return _per_group(boxes, keys, frame, run, "hits int, confirmed boolean")
+    return _each_run(boxes, keys, frame, gap, steps, "box_no long, hits int, confirmed boolean")
