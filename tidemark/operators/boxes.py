@@ -121,9 +121,10 @@ def scores(matches: DataFrame, truth: DataFrame, frame: list[str], cls: str) ->
 
 def pr_curve(matches: DataFrame, labels: int | Column, thresholds: list[float]) -> DataFrame:
     """threshold, precision, recall of matches at or above each threshold; labels is the number of truth boxes."""
-    spark = matches.sparkSession
-    grid = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    rows = grid.join(matches.select("conf", "hit"), F.col("conf") >= F.col("threshold"), "left").groupBy("threshold").agg(F.count_if("hit").alias("hits"), F.count("conf").alias("n"))
+    steps = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), (F.col("conf") >= t).alias("in")) for t in thresholds))
+    each = matches.select("hit", F.explode(steps).alias("s")).groupBy(F.col("s.threshold").alias("threshold")).agg(F.count_if(F.col("hit") & F.col("s.in")).alias("hits"), F.count_if("s.in").alias("n"))
+    grid = matches.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    rows = grid.join(each, "threshold", "left").select("threshold", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("n", F.lit(0)).alias("n"))
     n_labels = labels if isinstance(labels, Column) else F.lit(labels)
     return rows.select("threshold", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(1.0).alias("precision"), (F.col("hits") / n_labels).alias("recall"))
 

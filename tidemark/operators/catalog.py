@@ -53,18 +53,54 @@ def sensor_candidates(readings: DataFrame, until_us: int) -> DataFrame:
     return upto.groupBy("sensor_type", "sensor_id").agg(F.max("sensor_name").alias("sensor_name"), F.max("lat").alias("lat"), F.max("lon").alias("lon"), F.max("us").alias("last_us"))
 
 
+LEVELS = 9  # cells of 4, 1, 1/4, ... radii of the Earth; the finest are about 400 m wide
+AROUND = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+
+
+def _sphere_cells(rows: DataFrame, lat: str, lon: str, level: Column) -> DataFrame:
+    """Rows with the cell (cx, cy, cz) of a place at a level: cubes around the unit sphere, so cells meet across the
+    date line and the poles."""
+    la, lo = F.radians(lat), F.radians(lon)
+    size = F.pow(F.lit(4.0), level - 1)
+    sides = (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))
+    return rows.withColumns({c: F.floor(side * size) for c, side in zip(("cx", "cy", "cz"), sides)})
+
+
+def _and_around(rows: DataFrame) -> DataFrame:
+    """Each row for its cell and the 26 around it."""
+    steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip("xyz", step))) for step in AROUND)))
+    return rows.withColumn("_o", steps).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"_o.{a}") for a in "xyz"}).drop("_o")
+
+
+def nearest_located(places: DataFrame, sensors: DataFrame) -> DataFrame:
+    """id, sensor_type, sensor_id, metres: the nearest sensor of each type for places(id, lat, lon), by equi joins.
+
+    For each place and type the finest level is found at which one of the 27 cells around the place holds a sensor; it
+    is then nearer than 3.5 cells, so the 27 cells of the next coarser level (4 times as wide) hold the nearest."""
+    cell = ["level", "cx", "cy", "cz"]
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    held = _sphere_cells(sensors.select("sensor_type", "sensor_id", "slat", "slon").withColumn("level", levels), "slat", "slon", F.col("level"))
+    near = _and_around(held.select("sensor_type", *cell).distinct()).distinct()
+    own = _sphere_cells(places.select("id", "lat", "lon").withColumn("level", levels), "lat", "lon", F.col("level"))
+    finest = own.join(near, cell).groupBy("id", "sensor_type", "lat", "lon").agg(F.max("level").alias("_finest"))
+    search = finest.withColumn("level", F.greatest(F.col("_finest") - 1, F.lit(0))).drop("_finest")
+    pairs = _and_around(_sphere_cells(search, "lat", "lon", F.col("level"))).join(held, ["sensor_type", *cell])
+    metres = F.round(haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), 1)
+    best = pairs.withColumn("metres", metres).groupBy("id", "sensor_type").agg(F.min(F.struct("metres", "sensor_id")).alias("_b"))
+    return best.select("id", "sensor_type", "_b.sensor_id", "_b.metres")
+
+
 def nearest_sensor(places: DataFrame, sensors: DataFrame, since_us: int) -> DataFrame:
     """id, sensor_type, sensor_id, metres: among sensors active in the range, else all, the nearest with a place; a
     place without coordinates, or a type without any, takes the newest sensor."""
     active = F.col("last_us") >= since_us
     use = sensors.withColumn("_any", F.max(active).over(Window.partitionBy("sensor_type"))).where(active | ~F.col("_any"))
     located = use.where("lat is not null and lon is not null").select("sensor_type", "sensor_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    pairs = places.where("lat is not null and lon is not null").select("id", "lat", "lon").join(located)
-    metres = F.round(haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), 1)
-    near = pairs.withColumn("metres", metres).groupBy("id", "sensor_type").agg(F.min(F.struct("metres", "sensor_id")).alias("_best"))
+    near = nearest_located(places.where("lat is not null and lon is not null"), located).withColumnRenamed("sensor_id", "_near")
     newest = use.groupBy("sensor_type").agg(F.max(F.struct("last_us", "sensor_id")).alias("_new"))
-    every = places.select("id").join(newest).join(near, ["id", "sensor_type"], "left")
-    return every.select("id", "sensor_type", F.coalesce("_best.sensor_id", "_new.sensor_id").alias("sensor_id"), F.col("_best.metres").alias("metres"))
+    kinds = newest.agg(F.collect_list(F.struct("sensor_type", F.col("_new.sensor_id").alias("newest")))).scalar()  # a row a type
+    every = places.select("id", F.explode(kinds).alias("k")).select("id", "k.sensor_type", "k.newest").join(near, ["id", "sensor_type"], "left")
+    return every.select("id", "sensor_type", F.coalesce("_near", "newest").alias("sensor_id"), "metres")
 
 
 def _cells(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
@@ -104,11 +140,15 @@ def as_of(probes: DataFrame, readings: DataFrame, key: str, probe_us: str = "us"
     return rows.withColumn("previous", F.last("value", ignorenulls=True).over(back)).where("_side = 0").select(key, "id", F.col("_t").alias("us"), "previous")
 
 
-def markers(cameras: DataFrame, stored: DataFrame, live: DataFrame, as_of_us: int, rain: DataFrame, fresh_seconds: float = 15.0) -> DataFrame:
+def markers(cameras: DataFrame, stored: DataFrame, live: DataFrame, as_of_us: int, rain: DataFrame, fresh_seconds: float = 15.0, by_name: DataFrame | None = None, trusted: Column | None = None) -> DataFrame:
     """Map markers: a live stage of at most ``fresh_seconds`` wins over the stored one, 0 without either; rain is shown
-    and never raises a level."""
+    and never raises a level. A trusted camera without a stored stage takes that of its name (camera_name, stage)."""
     now = live.where(F.col("us").between(as_of_us - int(fresh_seconds * 1e6), as_of_us)).groupBy("camera_id").agg(F.max_by("stage", F.struct("us", "stage")).alias("live_stage"))
     joined = cameras.join(stored.select(F.col("camera_id").alias("id"), F.col("stage").alias("stored_stage")), "id", "left").join(now.withColumnRenamed("camera_id", "id"), "id", "left").join(rain, "id", "left")
+    if by_name is not None:
+        named = by_name.select(F.col("camera_name").alias("name"), F.col("stage").alias("_named"))
+        own = F.coalesce("stored_stage", F.when(F.lit(False) if trusted is None else trusted, F.col("_named")))
+        joined = joined.join(named, "name", "left").withColumn("stored_stage", own)
     source = F.when(F.col("live_stage").isNotNull(), "live").when(F.col("stored_stage").isNotNull(), "stored").otherwise("none")
     return joined.select("id", "lat", "lon", F.coalesce("live_stage", "stored_stage", F.lit(0)).cast("int").alias("stage"), source.alias("stage_from"), F.coalesce("rain_mm", F.lit(0.0)).alias("rain_mm"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.sequences import numbered
+
 
 def keep_by_class(files: DataFrame, class_id: str, text: str = "json") -> DataFrame:
     """file, status: keep if the class id occurs anywhere in the nested JSON, remove if not, error if it is no JSON."""
@@ -20,26 +22,36 @@ def shuffled(name: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), name.cast("string")))
 
 
+def ranked(rows: DataFrame, keys: list[str], name: str, mark: Column) -> DataFrame:
+    """Rows with ``_rank`` by their mark (hex text of a hash), then name: its first three digits are the chunks in which
+    they are ranked apart, so no key is one task."""
+    return numbered(rows.withColumn("_mark", mark), keys, ["_mark", name], F.substring("_mark", 1, 3), "_rank").drop("_mark")
+
+
 def split_by_group(rows: DataFrame, group: str, seed: str, share: float = 0.2) -> DataFrame:
     """Rows with split train or val so that no group is in both; max(1, int(share * groups)) groups are val."""
-    groups = rows.select(group).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(shuffled(F.col(group), seed), group)))
-    n = groups.agg(F.greatest(F.lit(1), F.floor(F.lit(share) * F.count("*"))).alias("_n"))
-    return rows.join(groups.join(n), group).withColumn("split", F.when(F.col("_rank") <= F.col("_n"), "val").otherwise("train")).drop("_rank", "_n")
+    groups = rows.select(group).distinct()
+    n = groups.agg(F.greatest(F.lit(1), F.floor(F.lit(share) * F.count("*")))).scalar()
+    side = ranked(groups, [], group, shuffled(F.col(group), seed)).select(group, F.when(F.col("_rank") <= n, "val").otherwise("train").alias("split"))
+    return rows.join(side, group)
 
 
 def split_by_class(rows: DataFrame, cls: str, name: str, seed: str, share: float = 0.2) -> DataFrame:
     """int(share * n) rows of each class are val."""
-    by = Window.partitionBy(cls)
-    rank, n = F.row_number().over(by.orderBy(shuffled(F.col(name), seed), name)), F.count("*").over(by)
-    return rows.withColumn("split", F.when(rank <= F.floor(share * n), "val").otherwise("train"))
+    sizes = rows.groupBy(cls).agg(F.floor(share * F.count("*")).alias("_val"))
+    out = ranked(rows, [cls], name, shuffled(F.col(name), seed)).join(sizes, cls)
+    return out.withColumn("split", F.when(F.col("_rank") <= F.col("_val"), "val").otherwise("train")).drop("_rank", "_val")
 
 
 def sample_per_preset(rows: DataFrame, presets: DataFrame, name: str, seed: str) -> DataFrame:
-    """int(n * ratio) rows without replacement for each preset(preset, ratio), and the output's name."""
-    n = rows.count()
+    """int(n * ratio) rows without replacement for each preset(preset, ratio), and the output's name. Presets are a short
+    list; each row is met with all of them."""
+    kinds = presets.agg(F.collect_list(F.struct("preset", "ratio"))).scalar()
+    every = rows.select(name, F.explode(kinds).alias("p")).select(name, "p.preset", "p.ratio")
+    most = every.groupBy("preset").agg(F.floor(F.count("*") * F.first("ratio")).alias("_most"))
     key = F.md5(F.concat(F.lit(seed), "preset", F.col(name).cast("string")))
-    ranked = rows.join(F.broadcast(presets)).withColumn("_rank", F.row_number().over(Window.partitionBy("preset").orderBy(key, name)))
-    return ranked.where(F.col("_rank") <= F.floor(F.lit(n) * F.col("ratio"))).select("preset", name, F.concat_ws("_", F.col(name).cast("string"), "preset").alias("output"))
+    chosen = ranked(every, ["preset"], name, key).join(most, "preset").where(F.col("_rank") <= F.col("_most"))
+    return chosen.select("preset", name, F.concat_ws("_", F.col(name).cast("string"), "preset").alias("output"))
 
 
 def normalised(boxes: DataFrame, width: float, height: float, least: float = 2.0) -> DataFrame:
@@ -85,7 +97,7 @@ def dense_classes(rows: DataFrame, category: str, excluded: list[int]) -> DataFr
 def inconsistent_files(categories: DataFrame) -> DataFrame:
     """file, consistent: whether a file's set of (id, name) equals the first file's."""
     marks = categories.groupBy("file").agg(F.md5(F.to_json(F.array_sort(F.collect_set(F.struct("category", "name")))).cast("binary")).alias("mark"))
-    return marks.join(marks.agg(F.min_by("mark", "file").alias("first"))).select("file", (F.col("mark") == F.col("first")).alias("consistent"))
+    return marks.select("file", (F.col("mark") == marks.agg(F.min_by("mark", "file")).scalar()).alias("consistent"))
 
 
 def sizes_by_code(images: DataFrame, codes: DataFrame, fallback: DataFrame) -> DataFrame:

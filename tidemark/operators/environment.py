@@ -35,6 +35,11 @@ def expired(stored: DataFrame, before_us: int, most: int = 5000) -> DataFrame:
     return stored.where(F.col("us") < before_us).orderBy("id").limit(most)
 
 
+def retained(stored: DataFrame, before_us: int, most: int = 5000) -> DataFrame:
+    """What a retention pass leaves of the store; a caller writes it as the store's next version."""
+    return stored.join(expired(stored, before_us, most).select("id"), "id", "left_anti")
+
+
 def last_per_bucket(readings: DataFrame, minutes: int) -> DataFrame:
     """The last reading of each sensor and bucket (ties: later id)."""
     width = minutes * 60_000_000
@@ -57,10 +62,11 @@ def ingest_report(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 def cycle_rollup(attempts: DataFrame, cycle: str, ok: str, saved: str, time: str, tie: str, last: int = 20) -> DataFrame:
     """Counts and the newest errors of each scan cycle."""
-    errors = F.array_sort(F.collect_list(F.when(~F.col(ok), F.struct(time, tie))))
-    rows = attempts.groupBy(cycle).agg(F.count("*").alias("processed"), F.count_if(ok).alias("success"), F.count_if(~F.col(ok)).alias("failed"), F.count_if(F.col(ok) & F.col(saved)).alias("stored"), F.max(time).alias("last_time"), errors.alias("_e"))
-    recent = F.slice("_e", F.greatest(F.size("_e") - last + 1, F.lit(1)), last)
-    return rows.select(cycle, "processed", "success", "failed", "stored", "last_time", F.array_join(F.transform(recent, lambda e: e[tie].cast("string")), ",").alias("last_errors"))
+    newest = F.row_number().over(Window.partitionBy(cycle).orderBy(F.desc(time), F.desc(tie)))
+    errors = attempts.where(~F.col(ok)).withColumn("_rank", newest).where(F.col("_rank") <= last).groupBy(cycle).agg(F.array_sort(F.collect_list(F.struct(time, tie))).alias("_e"))
+    rows = attempts.groupBy(cycle).agg(F.count("*").alias("processed"), F.count_if(ok).alias("success"), F.count_if(~F.col(ok)).alias("failed"), F.count_if(F.col(ok) & F.col(saved)).alias("stored"), F.max(time).alias("last_time"))
+    text = F.coalesce(F.array_join(F.transform("_e", lambda e: e[tie].cast("string")), ","), F.lit(""))
+    return rows.join(errors, cycle, "left").select(cycle, "processed", "success", "failed", "stored", "last_time", text.alias("last_errors"))
 
 
 def rain_grid_summary(points: DataFrame, keys: list[str]) -> DataFrame:

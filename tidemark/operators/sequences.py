@@ -1,13 +1,12 @@
 """Operators along time: changes, runs, gates, folds and carries. Orders are total (time, then id).
 
-Where a rule depends on what it decided before (cooldowns, smoothing), rows of a key and day are folded in order inside
-the JVM; a day bounds the array that a fold holds, and such operators say so.
+Where a rule depends on what it decided before, a key's rows are first cut where the rule forgets it: cooldowns at level
+changes and silences, so that a fold (inside the JVM) holds one run of equal levels; smoothing looks back over as many
+rows as still count in a double.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,27 +85,29 @@ def gate(frames: DataFrame, key: str = "camera_id", micros: str = "t_us", tie: s
     )
 
 
-def _fold(rows: DataFrame, keys: list[str], order: list[str], keep: list[str], start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """keys and state.out: an ordered fold over a key's rows as one array (the caller's keys bound it)."""
-    items = F.array_sort(F.collect_list(F.struct(*order, *(c for c in keep if c not in order))))
-    return rows.groupBy(*keys).agg(items.alias("_items")).select(*keys, F.aggregate("_items", start, step).alias("_state"))
+def _spaced(rows: DataFrame, keys: list[str], micros: str, tie: str, apart_us: int, level: str | None = None) -> DataFrame:
+    """keys, micros, tie of rows that are taken: one is skipped within ``apart_us`` of the last taken row (of the same
+    level). The first row after a change of level or a silence of ``apart_us`` is always taken, so rows are cut there
+    and each run is folded by itself, one number a row."""
+    order = Window.partitionBy(*keys).orderBy(micros, tie)
+    starts = F.lag(micros).over(order).isNull() | (F.col(micros) - F.lag(micros).over(order) >= apart_us)
+    if level is not None:
+        starts = starts | ~F.col(level).eqNullSafe(F.lag(level).over(order))
+    runs = rows.withColumn("_starts", F.when(starts, 1).otherwise(0)).withColumn("_run", F.sum("_starts").over(order))
+    items = F.array_sort(F.collect_list(F.struct(micros, tie)))
+    start = F.struct(F.lit(None).cast("long").alias("at"), F.expr(f"cast(array() as array<struct<{micros}:bigint,{tie}:bigint>>)").alias("taken"))
 
+    def step(state: Column, row: Column) -> Column:
+        skip = F.coalesce(row[micros] - state["at"] < apart_us, F.lit(False))
+        return F.when(skip, state).otherwise(F.struct(row[micros].alias("at"), F.concat(state["taken"], F.array(F.struct(row[micros].alias(micros), row[tie].alias(tie)))).alias("taken")))
 
-def _out(kind: str) -> Column:
-    return F.expr(f"cast(array() as array<{kind}>)")
+    folded = runs.groupBy(*keys, "_run").agg(items.alias("_items")).select(*keys, F.aggregate("_items", start, step).alias("_s"))
+    return folded.select(*keys, F.explode("_s.taken").alias("t")).select(*keys, f"t.{micros}", f"t.{tie}")
 
 
 def save_cooldown(rows: DataFrame, keys: list[str], micros: str = "us", tie: str = "id", level: str = "level", seconds: float = 10.0) -> DataFrame:
-    """keys, ids of the rows saved: a row of the same level within ``seconds`` of the last *saved* row is dropped.
-    Keys should bound a fold, for example camera and day."""
-    start = F.struct(F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("at"), _out("bigint").alias("saved"))
-
-    def step(state: Column, row: Column) -> Column:
-        drop = (state["level"] == row[level]) & (row[micros] - state["at"] < int(seconds * 1e6))
-        drop = F.coalesce(drop, F.lit(False))
-        return F.struct(F.when(drop, state["level"]).otherwise(row[level]).cast("int").alias("level"), F.when(drop, state["at"]).otherwise(row[micros]).alias("at"), F.when(drop, state["saved"]).otherwise(F.concat(state["saved"], F.array(row[tie]))).alias("saved"))
-
-    return _fold(rows, keys, [micros, tie], [level], start, step).select(*keys, F.explode("_state.saved").alias(tie))
+    """keys, ids of the rows saved: a row of the same level within ``seconds`` of the last *saved* row is dropped."""
+    return _spaced(rows, keys, micros, tie, int(seconds * 1e6), level).drop(micros)
 
 
 def alerts(rows: DataFrame, keys: list[str], micros: str = "t_us", tie: str = "event_id", level: str = "stage", frames: int = 5, least: int = 2, seconds: float = 30.0) -> DataFrame:
@@ -114,57 +115,37 @@ def alerts(rows: DataFrame, keys: list[str], micros: str = "t_us", tie: str = "e
     ``seconds`` old; the first is always allowed."""
     span = Window.partitionBy(*keys).orderBy(micros, tie).rowsBetween(1 - frames, 0)
     full = rows.withColumn("_low", F.min(level).over(span)).withColumn("_n", F.count(level).over(span)).where((F.col("_n") == frames) & (F.col("_low") >= least))
-    start = F.struct(F.lit(None).cast("long").alias("at"), _out("bigint").alias("raised"))
+    return _spaced(full, keys, micros, tie, int(seconds * 1e6)).drop(micros)
 
-    def step(state: Column, row: Column) -> Column:
-        quiet = F.coalesce(row[micros] - state["at"] < int(seconds * 1e6), F.lit(False))
-        return F.struct(F.when(quiet, state["at"]).otherwise(row[micros]).alias("at"), F.when(quiet, state["raised"]).otherwise(F.concat(state["raised"], F.array(row[tie]))).alias("raised"))
-
-    return _fold(full, keys, [micros, tie], [], start, step).select(*keys, F.explode("_state.raised").alias(tie))
 
-
-def stage_ema(votes: DataFrame, key: str, micros: str, tie: str, shares: str = "shares", alpha: float = 0.35, reset_seconds: float = 8.0) -> DataFrame:
+def stage_ema(votes: DataFrame, key: str, micros: str, tie: str, shares: str = "shares", alpha: float = 0.35, reset_seconds: float = 8.0, look_back: int = 96) -> DataFrame:
     """key, tie, ema_stage int, ema_confidence double: exponential smoothing of vote shares (array of 5), started
-    afresh after a silence; the lowest level wins ties. A run of frames without silence is one fold."""
+    afresh after a silence; the lowest level wins ties. What lies more than ``look_back`` rows back weighs less than
+    1e-17 and is left out, so no row holds more than that."""
     order = Window.partitionBy(key).orderBy(micros, tie)
     fresh = F.coalesce(F.col(micros) - F.lag(micros).over(order) > int(reset_seconds * 1e6), F.lit(True))
     rows = votes.withColumn("_fresh", fresh).withColumn("_run", F.sum(F.when(F.col("_fresh"), 1).otherwise(0)).over(order))
-    start = F.struct(F.lit(None).cast("array<double>").alias("p"), _out("struct<id:bigint,stage:int,confidence:double>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        p = F.when(state["p"].isNull(), row[shares]).otherwise(F.zip_with(row[shares], state["p"], lambda x, y: x * alpha + y * (1 - alpha)))
-        top = F.array_max(p)
-        item = F.struct(row[tie].alias("id"), (F.array_position(p, top) - 1).cast("int").alias("stage"), top.alias("confidence"))
-        return F.struct(p.alias("p"), F.concat(state["out"], F.array(item)).alias("out"))
-
-    folded = _fold(rows, [key, "_run"], [micros, tie], [shares], start, step)
-    return folded.select(key, F.explode("_state.out").alias("o")).select(key, F.col("o.id").alias(tie), F.col("o.stage").alias("ema_stage"), F.round("o.confidence", 6).alias("ema_confidence"))
+    recent = F.collect_list(shares).over(Window.partitionBy(key, "_run").orderBy(micros, tie).rowsBetween(1 - look_back, 0))
+    p = F.aggregate(F.slice("_recent", 2, look_back), F.col("_recent")[0], lambda s, x: F.zip_with(x, s, lambda a, b: a * alpha + b * (1 - alpha)))
+    rows = rows.withColumn("_recent", recent).withColumn("_p", p).withColumn("_top", F.array_max("_p"))
+    return rows.select(key, tie, (F.array_position("_p", F.col("_top")) - 1).cast("int").alias("ema_stage"), F.round("_top", 6).alias("ema_confidence"))
 
 
 def sampled(rows: DataFrame, keys: list[str], micros: str = "us", tie: str = "id", level: str = "level", seconds: float = 8.0, keep: int = 720) -> DataFrame:
     """keys, ids of live samples: a row is taken at a level change or ``seconds`` after the last taken one; the newest
     ``keep`` stay."""
-    start = F.struct(F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("at"), _out("bigint").alias("taken"))
-
-    def step(state: Column, row: Column) -> Column:
-        skip = F.coalesce((state["level"] == row[level]) & (row[micros] - state["at"] < int(seconds * 1e6)), F.lit(False))
-        return F.struct(F.when(skip, state["level"]).otherwise(row[level]).cast("int").alias("level"), F.when(skip, state["at"]).otherwise(row[micros]).alias("at"), F.when(skip, state["taken"]).otherwise(F.concat(state["taken"], F.array(row[tie]))).alias("taken"))
+    taken = _spaced(rows, keys, micros, tie, int(seconds * 1e6), level)
+    return top_per_key(taken, keys, [F.desc(micros), F.desc(tie)], keep).drop(micros)
 
-    taken = _fold(rows, keys, [micros, tie], [level], start, step)
-    return taken.select(*keys, F.explode(F.slice("_state.taken", F.greatest(F.size("_state.taken") - keep + 1, F.lit(1)), keep)).alias(tie))
 
-
-def velocity(tracks: DataFrame, keys: list[str], micros: str, tie: str, x: str, y: str, gain: float = 0.65) -> DataFrame:
-    """keys, tie, vx, vy: 0.65 of the last move plus 0.35 of the velocity before; a track starts at rest."""
-    start = F.struct(*(F.lit(None).cast("double").alias(c) for c in ("x", "y")), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), _out("struct<id:bigint,vx:double,vy:double>").alias("out"))
-
-    def step(s: Column, row: Column) -> Column:
-        vx = F.when(s["x"].isNull(), 0.0).otherwise((row[x] - s["x"]) * gain + s["vx"] * (1 - gain))
-        vy = F.when(s["y"].isNull(), 0.0).otherwise((row[y] - s["y"]) * gain + s["vy"] * (1 - gain))
-        return F.struct(row[x].alias("x"), row[y].alias("y"), vx.alias("vx"), vy.alias("vy"), F.concat(s["out"], F.array(F.struct(row[tie].alias("id"), vx.alias("vx"), vy.alias("vy")))).alias("out"))
-
-    out = _fold(tracks, keys, [micros, tie], [x, y], start, step)
-    return out.select(*keys, F.explode("_state.out").alias("o")).select(*keys, F.col("o.id").alias(tie), F.col("o.vx").alias("vx"), F.col("o.vy").alias("vy"))
+def velocity(tracks: DataFrame, keys: list[str], micros: str, tie: str, x: str, y: str, gain: float = 0.65, look_back: int = 40) -> DataFrame:
+    """keys, tie, vx, vy: 0.65 of the last move plus 0.35 of the velocity before; a track starts at rest. Moves more
+    than ``look_back`` rows back weigh less than 1e-17 and are left out."""
+    order = Window.partitionBy(*keys).orderBy(micros, tie)
+    rows = tracks.withColumns({f"_d{a}": F.coalesce(F.col(c) - F.lag(c).over(order), F.lit(0.0)) for a, c in (("x", x), ("y", y))})
+    moves = F.collect_list(F.struct("_dx", "_dy")).over(order.rowsBetween(1 - look_back, 0))
+    fold = lambda a: F.round(F.aggregate("_moves", F.lit(0.0), lambda v, m: m[f"_d{a}"] * gain + v * (1 - gain)), 9)
+    return rows.withColumn("_moves", moves).select(*keys, tie, fold("x").alias("vx"), fold("y").alias("vy"))
 
 
 def failure_runs(attempts: DataFrame, key: str, time: str, tie: str, ok: str) -> DataFrame:
@@ -181,11 +162,32 @@ def running_median(rows: DataFrame, key: str, order: list[str], value: str, size
     return rows.where(F.col(value).isNotNull()).withColumn("median", F.expr(f"percentile({value}, 0.5)").over(span))
 
 
-def timeline(series: DataFrame, time: str, name: str, value: str, names: list[str], keys: list[str] = ()) -> DataFrame:
-    """One row at every time of any series with all series held forward from their last value before or at it."""
+def timeline(series: DataFrame, time: str, name: str, value: str, names: list[str], keys: list[str] = (), chunk: int | None = None) -> DataFrame:
+    """One row at every time of any series with all series held forward from their last value before or at it.
+
+    With ``chunk`` (a span of time), spans are filled apart and start from the last values of the spans before, one row
+    a span; so a single long timeline is not one task."""
     wide = series.groupBy(*keys, time).agg(*(F.max(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names))
-    back = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return wide.select(*keys, time, *(F.last(n, ignorenulls=True).over(back).alias(n) for n in names))
+    back = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    held = lambda by, at: {n: F.last(n, ignorenulls=True).over(back(by, at)) for n in names}
+    if chunk is None:
+        return wide.select(*keys, time, *(c.alias(n) for n, c in held(keys, time).items()))
+    wide = wide.withColumn("_span", F.floor(F.col(time) / chunk))
+    last = wide.groupBy(*keys, "_span").agg(*(F.max_by(n, F.when(F.col(n).isNotNull(), F.col(time))).alias(n) for n in names))
+    before = last.withColumns({f"_{n}": F.last(n, ignorenulls=True).over(back(keys, "_span").rowsBetween(Window.unboundedPreceding, -1)) for n in names}).drop(*names)
+    rows = wide.withColumns(held([*keys, "_span"], time)).join(before, [*keys, "_span"])
+    return rows.select(*keys, time, *(F.coalesce(n, f"_{n}").alias(n) for n in names))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str | Column], chunk: Column, number: str = "number") -> DataFrame:
+    """Rows with their number from 1 in the order within keys. Rows of a chunk are numbered apart (a chunk is a value
+    that never falls along the order) and begin after those of the chunks before, whose counts are one row a chunk."""
+    rows = rows.withColumn("_chunk", chunk)
+    counts = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*keys, "_chunk", F.coalesce(before, F.lit(0).cast("long")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
+    return rows.withColumn("_own", own).join(offsets, [*keys, "_chunk"]).withColumn(number, F.col("_own") + F.col("_before")).drop("_chunk", "_own", "_before")
 
 
 def edge_carry(points: DataFrame, prior: DataFrame, key: str, start_us: int, end_us: int, age_seconds: float = 1200) -> DataFrame:

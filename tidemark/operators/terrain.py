@@ -121,38 +121,97 @@ def slope(grid: DataFrame, cell_m: float = 30.0) -> DataFrame:
     return rows.withColumn("slope", F.sqrt(F.col("_gy") * F.col("_gy") + F.col("_gx") * F.col("_gx"))).drop("_gy", "_gx")
 
 
-def susceptibility(grid: DataFrame, history: DataFrame | None = None, cell_m: float = 30.0) -> DataFrame:
-    """source_id, r, c, score 0..1 from low slope, valleys (below the mean of the cells around), low land (between the
-    10th and 90th percentile of the grid), nearness to water and past floods."""
-    rows = slope(grid, cell_m)
-    offsets = F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (-1, 0, 1) for c in (-1, 0, 1)))
-    spread = rows.select("source_id", "elev", F.col("r").alias("_r"), F.col("c").alias("_c"), F.explode(offsets).alias("_o"))
-    blur = spread.select("source_id", (F.col("_r") + F.col("_o.dr")).alias("r"), (F.col("_c") + F.col("_o.dc")).alias("c"), "elev").groupBy("source_id", "r", "c").agg(F.avg("elev").alias("around"))
-    land = rows.groupBy("source_id").agg(F.percentile("elev", F.lit(0.1)).alias("p10"), F.percentile("elev", F.lit(0.9)).alias("p90"))
-    water = rows.where("hydro").select("source_id", F.col("r").alias("hr"), F.col("c").alias("hc"))
-    near = rows.join(water, "source_id").groupBy("source_id", "r", "c").agg(F.min(F.sqrt(F.pow(F.col("r") - F.col("hr"), F.lit(2.0)) + F.pow(F.col("c") - F.col("hc"), F.lit(2.0)))).alias("hydro_cells"))
-    joined = rows.join(blur, ["source_id", "r", "c"]).join(land, "source_id").join(near, ["source_id", "r", "c"], "left")
-    joined = joined.join(history, ["source_id", "r", "c"], "left") if history is not None else joined.withColumn("influence", F.lit(0.0))
+def _along(value: str, line: str, order: str) -> Column:
+    """The values of a grid's whole row or column, in order (101 at most)."""
+    w = Window.partitionBy("source_id", line).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.collect_list(value).over(w)
+
+
+def smoothed(grid: DataFrame, sigma: float, out: str = "around") -> DataFrame:
+    """The grid with its heights under a Gaussian of ``sigma`` cells, the edge cells repeated beyond the edge: along
+    columns, then along rows."""
+    reach = (int(round(8 * sigma + 1)) | 1) // 2
+    weights = [math.exp(-(d**2) / (2 * sigma**2)) for d in range(-reach, reach + 1)]
+
+    def pass_over(rows: DataFrame, value: str, line: str, order: str) -> DataFrame:
+        def at(d: int) -> Column:
+            return F.element_at("_v", F.least(F.greatest(F.col(order) + (d + 1), F.lit(1)), F.size("_v")).cast("int"))
+
+        total = sum((w * at(d) for w, d in zip(weights, range(-reach, reach + 1))), F.lit(0.0))
+        return rows.withColumn("_v", _along(value, line, order)).withColumn(out, total / sum(weights)).drop("_v")
+
+    return pass_over(pass_over(grid, "elev", "c", "r"), out, "r", "c")
+
+
+def water_distance(grid: DataFrame, cell_m: float = 30.0) -> DataFrame:
+    """The grid with ``water_m``, each cell's distance to the nearest water cell (null without any): the distance along
+    its column, then the least over its row."""
+    up = Window.partitionBy("source_id", "c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("source_id", "c").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
+    wet = F.when(F.col("hydro"), F.col("r"))
+    far = F.lit(1e9)
+    own = F.least(F.coalesce(F.col("r") - F.last(wet, True).over(up), far), F.coalesce(F.last(wet, True).over(down) - F.col("r"), far))
+    rows = grid.withColumn("_own", own.cast("double")).withColumn("_row", _along("_own", "r", "c"))
+    squares = F.transform("_row", lambda d, k: d * d + (k - F.col("c")) * (k - F.col("c")))
+    best = F.array_min(squares)
+    return rows.withColumn("water_m", F.when(best < 1e17, F.sqrt(best) * cell_m)).drop("_own", "_row")
+
+
+def susceptibility(grid: DataFrame, history: DataFrame | None = None, cell_m: float = 30.0, slope_scale: float = 0.075, hydro_m: float = 180.0, history_weight: float = 0.14) -> DataFrame:
+    """source_id, r, c, score 0..1 from low slope, valleys (below the smoothed ground), low land (between the 10th and
+    90th percentile of the grid), roads (a boolean column ``road``, if there is one) and the cells around them, nearness
+    to water, and past floods (source_id, r, c, influence)."""
+    rows = water_distance(smoothed(slope(grid, cell_m), max(0.8, 45.0 / max(1.0, cell_m))), cell_m)
+    if "road" in grid.columns:
+        beside = buffered(grid.where("road").select("source_id", "r", "c"), ["source_id"], 1, 1)
+        corners = grid.where("road").select("source_id", F.explode(F.array(*(F.struct((F.col("r") + r).alias("r"), (F.col("c") + c).alias("c")) for r in (-1, 1) for c in (-1, 1)))).alias("p")).select("source_id", "p.r", "p.c")
+        rows = rows.join(beside.unionByName(corners).distinct().withColumn("_road", F.lit(1.0)), ["source_id", "r", "c"], "left")
+    else:
+        rows = rows.withColumn("_road", F.lit(0.0))
+    land = grid.groupBy("source_id").agg(F.percentile("elev", F.lit(0.1)).alias("p10"), F.percentile("elev", F.lit(0.9)).alias("p90"))
+    rows = rows.join(land, "source_id")
+    rows = rows.join(history, ["source_id", "r", "c"], "left") if history is not None else rows.withColumn("influence", F.lit(0.0))
     unit = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    low = unit((F.col("p90") - F.col("elev")) / F.greatest(F.col("p90") - F.col("p10"), F.lit(0.5)))
-    score = 0.25 * F.exp(-F.pow(F.col("slope") / 0.08, F.lit(2.0))) + 0.2 * unit((F.col("around") - F.col("elev")) / 0.5) + 0.3 * low + 0.15 * F.coalesce(F.exp(-F.col("hydro_cells") * cell_m / 120.0), F.lit(0.0)) + 0.1 * unit(F.coalesce("influence", F.lit(0.0)))
-    return joined.select("source_id", "r", "c", F.round(score, 6).alias("score"))
-
-
-def depth(grid: DataFrame, sources: DataFrame, spill: DataFrame, cell_m: float = 30.0, radius_m: float = 600.0, decay: float = 0.25, slope_scale: float = 0.08) -> DataFrame:
-    """source_id, r, c, depth_m: water above the ground where its surface reaches, thinned by slope and distance, scaled
-    to the volume that the rain and stage bring, capped by stage; never on water cells."""
-    rows = slope(grid, cell_m).join(spill, ["source_id", "r", "c"]).join(sources, "source_id")
-    cap = F.element_at(F.array(*map(F.lit, STAGE_CAP_M)), (F.col("stage") + 1).cast("int"))
-    head = F.least(cap, F.greatest(F.col("depth_cm") / 100, 0.05 + F.col("rain_mm") * 0.012))
-    distance = F.sqrt(F.pow(F.col("r") - F.col("seed_r"), F.lit(2.0)) + F.pow(F.col("c") - F.col("seed_c"), F.lit(2.0))) * cell_m
-    surface = F.col("seed_elev") + head
-    raw = F.when((F.col("spill") <= surface + 1e-5) & (distance <= radius_m) & ~F.col("hydro"), F.greatest(surface - F.col("elev"), F.lit(0.0))).otherwise(0.0)
-    thinned = raw * F.exp(-F.pow(F.col("slope") / slope_scale, F.lit(2.0))) * F.greatest(1 - decay * F.pow(distance / radius_m, F.lit(2.0)), F.lit(1 - decay))
-    rows = rows.withColumn("_cap", cap).withColumn("_d", thinned)
-    budget = (0.02 + F.col("rain_mm") / 1000 + F.col("stage") * 0.02) * math.pi * radius_m**2 / 10
-    scale = F.least(F.lit(1.0), budget / F.greatest(F.sum("_d").over(Window.partitionBy("source_id")) * cell_m**2, F.lit(1e-9)))
-    return rows.select("source_id", "r", "c", F.round(F.least(F.col("_d") * scale, F.col("_cap")), 6).alias("depth_m"))
+    score = (
+        0.24 * F.exp(-F.pow(F.col("slope") / slope_scale, F.lit(2.0)))
+        + 0.22 * unit((F.col("around") - F.col("elev") + 0.15) / 1.5)
+        + 0.22 * unit((F.col("p90") - F.col("elev")) / F.greatest(F.col("p90") - F.col("p10"), F.lit(0.25)))
+        + 0.11 * F.coalesce("_road", F.lit(0.0))
+        + 0.11 * F.coalesce(F.exp(-F.pow(F.col("water_m") / max(cell_m, hydro_m), F.lit(2.0))), F.lit(0.0))
+        + history_weight * unit(F.coalesce("influence", F.lit(0.0)))
+    )
+    return rows.select("source_id", "r", "c", F.round(unit(score), 6).alias("score"))
+
+
+# fixed values: shares of rain that run off, of the seed's depth that its surroundings hold, and the least volume
+RUNOFF, HELD, LEAST_M3 = 0.68, 0.62, 250.0
+
+
+def depth(grid: DataFrame, sources: DataFrame, spill: DataFrame, scores: DataFrame, cell_m: float = 30.0, radius_m: float = 600.0, decay: float = 0.08, slope_scale: float = 0.075, support_m: float = 115.0, spare_m: float = 0.30, least_score: float = 0.26) -> DataFrame:
+    """source_id, r, c, depth_m: water above the ground where its surface reaches prone land, thinned by slope and
+    distance; around a seed of observed depth a footprint that no ridge cuts off; all scaled to the volume that rain and
+    seed bring and capped by stage; on water cells only at the seed, which keeps its depth."""
+    rows = slope(grid, cell_m).join(spill, ["source_id", "r", "c"]).join(scores, ["source_id", "r", "c"]).join(sources, "source_id")
+    stage, rain = F.least(F.greatest(F.col("stage"), F.lit(1)), F.lit(4)), F.greatest(F.col("rain_mm"), F.lit(0.0))
+    seen = F.greatest(F.col("depth_cm") / 100, F.lit(0.0))
+    cap = F.element_at(F.array(*map(F.lit, STAGE_CAP_M)), (stage + 1).cast("int"))
+    surface = F.col("seed_elev") + F.least(cap, F.greatest(seen, 0.05 + rain * 0.012))
+    away = F.sqrt(F.pow(F.col("r") - F.col("seed_r"), F.lit(2.0)) + F.pow(F.col("c") - F.col("seed_c"), F.lit(2.0))) * cell_m
+    seed = away == 0
+    land = ~F.col("hydro") | seed
+    prone = (F.col("score") >= least_score) | (away <= max(45.0, 2.5 * cell_m))
+    reached = (F.col("spill") <= surface + 1e-5) & (away <= radius_m) & prone & land
+    thinned = F.greatest(surface - F.col("elev"), F.lit(0.0)) * F.exp(-F.pow(F.col("slope") / slope_scale, F.lit(2.0))) * F.greatest(1 - decay * F.pow(away / radius_m, F.lit(2.0)), F.lit(1 - decay))
+    support = seen * F.exp(-F.pow(away / max(1.5 * cell_m, min(support_m, 0.45 * radius_m)), F.lit(2.0)))
+    beside = (seen > 0) & (F.col("spill") <= F.col("seed_elev") + seen + spare_m) & land
+    found = F.greatest(F.when(reached, thinned).otherwise(0.0), F.when(beside, support).otherwise(0.0))
+    rows = rows.withColumns({"_cap": cap, "_d": found, "_seed": F.when(seed, F.least(seen, F.lit(STAGE_CAP_M[-1]))).otherwise(0.0)})
+    catchment = F.least(F.lit(radius_m), 300.0 + 130.0 * F.col("stage"))
+    budget = F.greatest(F.lit(LEAST_M3), rain / 1000 * math.pi * F.pow(catchment, F.lit(2.0)) * RUNOFF + seen * math.pi * support_m**2 * HELD)
+    volume = F.sum("_d").over(Window.partitionBy("source_id")) * cell_m**2
+    rows = rows.withColumn("_scale", F.when(volume > budget, budget / volume).otherwise(1.0))
+    value = F.greatest(F.least(F.col("_d") * F.col("_scale"), F.col("_cap")), F.col("_seed"))
+    return rows.select("source_id", "r", "c", F.round(F.when(value < BANDS_M[0], 0.0).otherwise(value), 6).alias("depth_m"))
 
 
 def bands(depths: DataFrame, cell_m: float = 30.0) -> DataFrame:

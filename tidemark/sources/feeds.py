@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import number_in, parse_digits_time
+from tidemark.operators.sequences import numbered
 
 
 def lines_of(files: DataFrame, key: str = "file", text: str = "value") -> DataFrame:
@@ -59,8 +60,8 @@ def camera_catalog(items: DataFrame, order: str = "pos", payload: str = "item")
     inside = F.coalesce(lat.between(33, 39) & lon.between(124, 132), F.lit(False))
     some = lambda c: F.nullif(c, F.lit(""))
     name = F.coalesce(some(F.col("parent")), some(F.col("r.istl_lctn")), some(F.col("r.drct_lctn")), F.lit("이름없음"))
-    number = F.row_number().over(Window.orderBy(order, "sub"))
-    return rows.select(F.format_string("POH-%03d", number).alias("id"), name.alias("name"), F.coalesce(some(F.col("r.istl_lctn")), some(F.col("r.drct_lctn")), F.lit("")).alias("address"), F.when(inside, lat).alias("lat"), F.when(inside, lon).alias("lon"), "stream_url")
+    rows = numbered(rows, [], [order, "sub"], F.floor(F.col(order) / 4096))
+    return rows.select(F.format_string("POH-%03d", "number").alias("id"), name.alias("name"), F.coalesce(some(F.col("r.istl_lctn")), some(F.col("r.drct_lctn")), F.lit("")).alias("address"), F.when(inside, lat).alias("lat"), F.when(inside, lon).alias("lon"), "stream_url")
 
 
 # fixed values: names that water-level services give their fields
@@ -76,13 +77,30 @@ WATER_NAMES = {
     "lon": ("lon", "lng", "longitude", "x"),
     "observed_at": ("observed_at", "observedAt", "obs_time", "obsTime", "tm", "datetime", "dateTime", "obsrdate", "measure_time"),
 }
-ENVELOPES = ("$", "$.sensors", "$.items", "$.item", "$.records", "$.data", "$.list", "$.result", "$.results", "$.response.body.items.item", "$.response.body.items", "$.body.items.item", "$.body.items", "$.content")
+# fixed values: fields by which an object is a sensor, and where lists of them are looked for first
+SENSOR_KEYS = ("level_m", "water_level_m", "level", "wal", "wl", "wlobscd", "wlobsCd", "wlobsnm", "station_id", "stationId", "station_name", "stationName", "flux")
+ENVELOPES = ("sensors", "items", "item", "records", "data", "list", "result", "results", "response", "body", "header")
+
+
+def sensor_list(payloads: DataFrame, text: str, out: str, levels: int = 6) -> DataFrame:
+    """Payloads with the JSON text of their list of sensors, or of a single one: level by level the first known envelope,
+    else the first field, that holds either."""
+    holds = r"\[\s*\{|\"(" + "|".join(SENSOR_KEYS) + r")\"\s*:"
+    rows = payloads.withColumn(out, F.trim(text))
+    for _ in range(levels):
+        rows = rows.withColumn("_m", F.from_json(out, "map<string,string>"))
+        good = lambda c: F.when(c.rlike(r"^\s*[\[{]") & c.rlike(holds), c)
+        known = F.arrays_overlap(F.map_keys("_m"), F.array(*map(F.lit, SENSOR_KEYS)))
+        inner = F.coalesce(*(good(F.try_element_at("_m", F.lit(n))) for n in ENVELOPES), F.try_element_at(F.filter(F.map_values("_m"), lambda c: good(c).isNotNull()), F.lit(1)))
+        rows = rows.withColumn(out, F.when(F.col(out).startswith("[") | F.col("_m").isNull() | known, F.col(out)).otherwise(F.coalesce(inner, out))).drop("_m")
+    return rows
 
 
 def water_levels(payloads: DataFrame, key: str = "file", text: str = "value") -> DataFrame:
-    """key, pos and the fields of WATER_NAMES (numbers as double, centimetres become metres) of JSON payloads: the first
-    envelope that holds a list is read, else a single sensor at the top. XML payloads go through ``xml_items`` first."""
-    lists = F.coalesce(*(F.from_json(F.get_json_object(text, p), "array<map<string,string>>") for p in ENVELOPES), F.array(F.from_json(text, "map<string,string>")))
+    """key, pos and the fields of WATER_NAMES (numbers as double, centimetres become metres) of JSON payloads, whatever
+    envelopes their sensors are in. XML payloads go through ``xml_items`` first."""
+    payloads = sensor_list(payloads.select(key, text), text, "_list")
+    lists = F.when(F.col("_list").startswith("["), F.from_json("_list", "array<map<string,string>>")).otherwise(F.array(F.from_json("_list", "map<string,string>")))
     rows = payloads.select(key, F.posexplode(lists).alias("pos", "s")).where("s is not null")
 
     def first(name: str) -> Column:
@@ -96,8 +114,14 @@ def water_levels(payloads: DataFrame, key: str = "file", text: str = "value") ->
 def xml_items(payloads: DataFrame, key: str = "file", text: str = "value", path: str = "body/items/item") -> DataFrame:
     """key, value: the items of XML payloads as JSON lists that ``water_levels`` reads."""
     names = [n for every in WATER_NAMES.values() for n in every]
-    items = F.from_xml(F.col(text), f"body struct<items: struct<item: array<struct<{', '.join(f'{n}: string' for n in dict.fromkeys(names) if n.lower() not in [m.lower() for m in names[: names.index(n)]])}>>>>")
-    return payloads.select(key, F.to_json(items[path.split("/")[0]]["items"]["item"]).alias("value"))
+    schema = f"array<struct<{', '.join(f'{n}: string' for n in dict.fromkeys(names) if n.lower() not in [m.lower() for m in names[: names.index(n)]])}>>"
+    steps = path.split("/")
+    for step in reversed(steps[1:]):
+        schema = f"struct<{step}: {schema}>"
+    items = F.from_xml(F.col(text), f"{steps[0]} {schema}")
+    for step in steps:
+        items = items[step]
+    return payloads.select(key, F.to_json(items).alias("value"))
 
 
 def camera_annotations(files: DataFrame, excluded: tuple[str, ...] = (), key: str = "file", text: str = "value") -> DataFrame:
