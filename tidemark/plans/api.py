@@ -64,6 +64,20 @@ def map_overlay(cameras: DataFrame, flood: DataFrame, rain: DataFrame, as_of_us:
     return marks.join(influence, "id", "left").withColumn("influence", F.coalesce("influence", F.lit(0.0)))
 
 
+def flood_surface(markers: DataFrame, tiles: DataFrame, zooms: list[int], tile_size: int) -> DataFrame:
+    """source_id, wet_cells, max_depth_m, mean_depth_m: the water around the most urgent flood sources among markers(id,
+    lat, lon, stage, rain_mm, depth_cm) on the ground of elevation tiles(z, x, y, elev)."""
+    chosen = G.select_sources(markers.withColumn("snapshot", F.lit(0)), "snapshot").select("id")
+    sources = markers.join(chosen, "id").withColumnRenamed("id", "source_id")
+    cells = G.analysis_grid(sources).withColumn("id", F.concat_ws(":", "source_id", "r", "c"))
+    heights = G.sample_tiles(cells.select("id", "lat", "lon"), tiles, zooms, tile_size).select("id", "elev")
+    grid = cells.join(heights, "id").select("source_id", "r", "c", "elev", F.lit(False).alias("hydro"))
+    middle = grid.groupBy("source_id").agg((F.max("r") / 2).cast("int").alias("seed_r")).withColumn("seed_c", F.col("seed_r"))
+    seeds = grid.join(middle, "source_id").where("r = seed_r and c = seed_c").select("source_id", "seed_r", "seed_c", F.col("elev").alias("seed_elev"))
+    depths = G.depth(grid, sources.select("source_id", "stage", "rain_mm", "depth_cm").join(seeds, "source_id"), G.spill_heights(grid, middle), G.susceptibility(grid))
+    return G.report(depths, ["source_id"])
+
+
 def ingest_environment(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of a batch to append to the store, and the report by sensor type."""
     rows = E.unified(*(batch.where(F.col("sensor_type") == k) for k in ("rain", "sewer", "river")))
@@ -84,8 +98,8 @@ def frames_to_events(detections: DataFrame, frame_area: float = 1920.0 * 1080.0,
 
 def detector_benchmark(predictions: DataFrame, truth: DataFrame, frames: DataFrame) -> DataFrame:
     """model, precision, recall, f1, median_ms, coverage of each model's boxes against the truth."""
-    models = predictions.select("model").distinct()
-    labels = truth.join(models)
+    models = predictions.select("model").distinct().agg(F.collect_list("model")).scalar()  # a handful of names
+    labels = truth.withColumn("model", F.explode(models))
     matches = B.greedy_matches(predictions, labels, ["model", "frame"])
     scores = B.scores(matches, labels, ["model", "frame"], "model").select("model", "precision", "recall", "f1", "miss_rate")
     covered = B.coverage(labels, predictions, ["model", "frame"]).groupBy("model").agg(F.avg("covered").alias("coverage"))

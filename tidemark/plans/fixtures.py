@@ -22,7 +22,7 @@ VIEWS = {
         k % 3 <> 0 as positive_confirmed from v_events""",
     "v_env": """select event_id as id, user_id, case user_id % 3 when 0 then 'rain' when 1 then 'sewer' else 'river' end as sensor_type, 'S' || cast(user_id as varchar) as sensor_id,
         'Sensor ' || cast(k % 3 as varchar) as sensor_name, value / 10e0 as value, case when user_id % 17 = 0 then null else 3588e-2 + (user_id % 20) * 2e-2 end as lat,
-        case when user_id % 17 = 0 then null else 12920e-2 + ((user_id // 20) % 9) * 5e-2 end as lon, (us // 1000000) * 1000000 as us, [[(us // 1000000) * 1000000]] as observed_at from v_events""",
+        case when user_id % 17 = 0 then null else 12920e-2 + ((user_id // 20) % 9) * 5e-2 end as lon, (us // 1000000) * 1000000 as us, [[(us // 1000000) * 1000000]] as observed_at, ts as read_at from v_events""",
     "v_cams": """select c_custkey, 'CAM-' || lpad(cast(c_custkey as varchar), 4, '0') as id, 'Cam ' || cast(c_custkey % 40 as varchar) as name, c_name as address,
         case when c_custkey % 23 = 0 then null else 35883e-3 + (c_custkey % 20) * 2e-2 end as lat,
         case when c_custkey % 23 = 0 then null else 129203e-3 + ((c_custkey // 20) % 9) * 5e-2 end as lon, 'http://cam/' || cast(c_custkey as varchar) as stream_url from customer""",
@@ -40,8 +40,9 @@ VIEWS = {
     "series6": """select 1 as explode_n union all select 2 union all select 3 union all select 4 union all select 5 union all select 6""",
     "v_stripes": """select l_orderkey as frame, l_orderkey % 9 as camera, l_linenumber as stripe, (l_partkey % 100) * 1e0 as y, l_quantity / 10e0 as contrast, l_discount * 10 as noise,
         l_extendedprice / 1000e0 as pos, l_suppkey, l_partkey from lineitem""",
-    "v_grid": """select s_suppkey % 10 as source_id, r, c, (2e0 + ((r - 5) * (r - 5) + (c - 5) * (c - 5)) / 20e0 + (s_suppkey % 10) / 10e0) as elev, c = 9 as hydro
-        from (select distinct s_suppkey % 10 as s_suppkey from supplier) cross join (select n as r from series11) cross join (select n as c from series11)""",
+    "v_grid": """select source_id, r, c, (2e0 + ((r - 10) * (r - 10) + (c - 10) * (c - 10)) / 80e0 + (source_id % 10) / 10e0) as elev, c = 19 as hydro
+        from (select s_suppkey as source_id from supplier) cross join (select n as r from series21) cross join (select n as c from series21)""",
+    "series21": "select n from series11 union all select n + 11 from series11 where n < 10",
     "series11": "select 0 as n union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8 union all select 9 union all select 10",
 }
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -53,7 +53,10 @@ def _(t):
     return B.suppress(t.v_boxes, ["frame"]).select("frame", "box_no")
 
 
-@query("tk_06")
+@query("tk_06", f"""with recursive b as (select *, row_number() over (partition by cam, frame order by box_no) as rn, struct_pack(no := box_no, x1 := x1, y1 := y1, x2 := x2, y2 := y2, conf := conf) as f from v_boxes where x2 - x1 >= 8 and y2 - y1 >= 8),
+e as (select cam, frame, rn, [f] as kept from b where rn = 1 union all select b.cam, b.frame, b.rn, case when z.p = 0 then list_append(e.kept, b.f) when b.f.conf > e.kept[z.p].conf then list_concat(list_append(e.kept[:z.p - 1], b.f), e.kept[z.p + 1:]) else e.kept end
+from e join b on b.cam = e.cam and b.frame = e.frame and b.rn = e.rn + 1, lateral (select coalesce(list_position(list_transform(e.kept, lambda k: {iou("b.f", "k")} >= 0.55), true), 0) as p) z)
+select cam, frame, cast(i - 1 as int) as slot, kept[i].no as box_no, kept[i].conf as conf from (select *, unnest(generate_series(1, len(kept))) as i from (select * from e qualify row_number() over (partition by cam, frame order by rn desc) = 1))""")
 def _(t):
     return B.merge_candidates(t.v_boxes, ["cam", "frame"]).select("cam", "frame", "slot", "box_no", "conf")
 
@@ -79,28 +82,41 @@ def _(t):
     return B.agreement(m, ["frame"], 0.2)
 
 
-@query("ag_21")
+def matches_sql(predictions: str, truth: str, keys: str) -> str:
+    """Recursive parts whose last, m, has each prediction with its hit; predictions and truth have the frame's keys."""
+    cols, on = keys.split(", "), lambda a, b: " and ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    of = lambda a: ", ".join(f"{a}.{k}" for k in cols)
+    return f"""p as (select {keys}, box_no, conf, x1, y1, x2, y2, row_number() over (partition by {keys} order by conf desc, box_no) as rn from {predictions}),
+o as (select {of("p")}, p.rn, list(struct_pack(i := {iou("p", "g")}, n := -g.box_no) order by {iou("p", "g")} desc, g.box_no) as near from p join {truth} g on {on("g", "p")} group by all),
+q as (select {of("p")}, p.rn, p.box_no, p.conf, coalesce(o.near, []) as near from p left join o on {on("o", "p")} and o.rn = p.rn),
+e as (select {keys}, rn, box_no, conf, case when near[1].i >= 0.5 then [near[1].n] else [] end as used, coalesce(near[1].i >= 0.5, false) as hit from q where rn = 1 union all
+select {of("q")}, q.rn, q.box_no, q.conf, case when b.i >= 0.5 then list_append(e.used, b.n) else e.used end, coalesce(b.i >= 0.5, false) from e join q on {on("q", "e")} and q.rn = e.rn + 1, lateral (select list_filter(q.near, lambda x: not list_contains(e.used, x.n))[1] as b) z),
+m as (select {keys}, box_no, conf, hit from e)"""
+
+
+def scores_sql(truth: str, cls: str) -> str:
+    return f"""select {cls}, predictions, hits, labels, precision, recall, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0e0 end as f1, miss_rate from (select l.{cls}, coalesce(n, 0) as predictions, coalesce(h, 0) as hits, labels, case when n > 0 then h / n else 0e0 end as precision, coalesce(h, 0) / labels as recall, 1 - coalesce(caught, 0) / (select count(distinct frame) from {truth}) as miss_rate
+from (select {cls}, count(*) as labels from {truth} group by 1) l left join (select {cls}, count(*) as n, count(*) filter (where hit) as h, count(distinct frame) filter (where hit) as caught from m group by 1) f on f.{cls} = l.{cls})"""
+
+
+@query("ag_21", f"with recursive {matches_sql('(select * from v_boxes where conf >= 0.1)', 'v_truth', 'frame, cls')} {scores_sql('v_truth', 'cls')}")
 def _(t):
     matches = B.greedy_matches(t.v_boxes.where("conf >= 0.1"), t.v_truth, ["frame", "cls"])
     return B.scores(matches, t.v_truth, ["frame", "cls"], "cls")
 
 
-@query("ag_21_matches", f"""with recursive p as (select frame, cls, box_no, conf, x1, y1, x2, y2, row_number() over (partition by frame, cls order by conf desc, box_no) as rn from v_boxes where conf >= 0.1),
-o as (select p.frame, p.cls, p.rn, list(struct_pack(i := {iou("p", "g")}, n := -g.box_no) order by {iou("p", "g")} desc, g.box_no) as near from p join v_truth g on g.frame = p.frame and g.cls = p.cls group by 1, 2, 3),
-q as (select p.frame, p.cls, p.rn, p.box_no, p.conf, coalesce(o.near, []) as near from p left join o on o.frame = p.frame and o.cls = p.cls and o.rn = p.rn),
-e as (select frame, cls, rn, box_no, conf, case when near[1].i >= 0.5 then [near[1].n] else [] end as used, coalesce(near[1].i >= 0.5, false) as hit from q where rn = 1 union all
-select q.frame, q.cls, q.rn, q.box_no, q.conf, case when b.i >= 0.5 then list_append(e.used, b.n) else e.used end, coalesce(b.i >= 0.5, false) from e join q on q.frame = e.frame and q.cls = e.cls and q.rn = e.rn + 1, lateral (select list_filter(q.near, lambda x: not list_contains(e.used, x.n))[1] as b) z)
-select frame, cls, box_no, conf, hit from e""")
+@query("ag_21_matches", f"with recursive {matches_sql('(select * from v_boxes where conf >= 0.1)', 'v_truth', 'frame, cls')} select * from m")
 def _(t):
     return B.greedy_matches(t.v_boxes.where("conf >= 0.1"), t.v_truth, ["frame", "cls"])
 
 
-@query("ag_22")
+@query("ag_22", f"""with recursive {matches_sql('v_boxes', 'v_truth', 'frame, cls')},
+c as (select n / 20e0 as threshold, case when count(conf) > 0 then count(*) filter (where hit) / count(conf) else 1e0 end as precision, count(*) filter (where hit) / (select count(*) from v_truth) as recall from series21 left join m on conf >= n / 20e0 where n < 20 group by 1)
+select round(coalesce(sum((recall - r) * (precision + p) / 2), 0e0), 9) as ap from (select *, lag(recall) over w as r, lag(precision) over w as p from c window w as (order by recall, threshold desc))""")
 def _(t):
     matches = B.greedy_matches(t.v_boxes, t.v_truth, ["frame", "cls"])
-    n = t.v_truth.agg(F.count("*").alias("labels"))
-    curve = B.pr_curve(matches.join(n).select("conf", "hit"), n.first()[0], [k / 20 for k in range(20)])
-    return B.average_precision(curve)
+    curve = B.pr_curve(matches, t.v_truth.agg(F.count("*")).scalar(), [k / 20 for k in range(20)])
+    return B.average_precision(curve).withColumn("ap", F.round("ap", 9))
 
 
 @query("ag_23", f"""with b as (select g.frame, g.box_no, max({iou("g", "p")}) as best from v_truth g join v_boxes p on p.frame = g.frame where p.conf >= 0.5 group by 1, 2)

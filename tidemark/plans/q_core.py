@@ -10,6 +10,7 @@ from tidemark.plans.registry import query
 
 END_US = 1706572800000000  # 2024-01-30 00:00
 START_US = END_US - 4 * 86_400_000_000
+START, END = "2024-01-26 00:00:00", "2024-01-30 00:00:00"
 
 
 def consensus_sql(rows: str, keys: str, level: str = "level", conf: str = "confidence") -> str:
@@ -113,7 +114,7 @@ SERIES = "(select us // 1000000 as s, sensor_type, value, sensor_id from v_env)"
 @query("wn_04", f"""select s, {", ".join(f"last_value({n} ignore nulls) over (order by s rows between unbounded preceding and current row) as {n}" for n in ("rain", "river", "sewer"))} from (select s, {", ".join(f"max(case when sensor_type = '{n}' then value end) as {n}" for n in ("rain", "river", "sewer"))} from {SERIES} group by s)""")
 def _(t):
     series = t.v_env.select(F.expr("us div 1000000").alias("s"), "sensor_type", "value")
-    return Q.timeline(series.withColumn("place", F.lit("all")), "s", "sensor_type", "value", ["rain", "river", "sewer"], ["place"]).drop("place")
+    return Q.timeline(series, "s", "sensor_type", "value", ["rain", "river", "sewer"], chunk=21600)
 
 
 @query("wn_05", f"""with p as (select * from v_flood where us between {START_US} and {END_US}), f as (select camera_id, arg_max(level, us) as level from v_flood where us < {START_US} and {START_US} - us <= 86400000000 group by camera_id),
@@ -154,7 +155,10 @@ select f.camera_id, f.rn, f.{id}, case when {drop} then e.at else f.{us} end, ca
 select camera_id, {id} from e where taken"""
 
 
-@query("wn_08", FOLD.format(us="t_us", id="event_id", level="stage", drop="(f.t_us - e.at < 30000000)", rows="(select * from (select *, min(stage) over w as low, count(*) over w as n from v_frames window w as (partition by camera_id order by t_us, event_id rows between 2 preceding and current row)) where n = 3 and low >= 2)"))
+ALERTS = FOLD.format(us="t_us", id="event_id", level="stage", drop="(f.t_us - e.at < 30000000)", rows="(select * from (select *, min(stage) over w as low, count(*) over w as n from v_frames window w as (partition by camera_id order by t_us, event_id rows between 2 preceding and current row)) where n = 3 and low >= 2)")
+
+
+@query("wn_08", ALERTS)
 def _(t):
     return Q.alerts(t.v_frames, ["camera_id"], frames=3)
 
@@ -176,7 +180,7 @@ def _(t):
 
 @query("wn_14", """with recursive f as (select camera_id, event_id, k * 1e0 as x, (k * 7 % 50) * 1e0 as y, row_number() over (partition by camera_id order by t_us, event_id) as rn from v_frames),
 e as (select camera_id, rn, event_id, x, y, 0e0 as vx, 0e0 as vy from f where rn = 1 union all select f.camera_id, f.rn, f.event_id, f.x, f.y, (f.x - e.x) * 0.65e0 + e.vx * 0.35e0, (f.y - e.y) * 0.65e0 + e.vy * 0.35e0 from f join e on f.camera_id = e.camera_id and f.rn = e.rn + 1)
-select camera_id, event_id, vx, vy from e""")
+select camera_id, event_id, round(vx, 9) as vx, round(vy, 9) as vy from e""")
 def _(t):
     tracks = t.v_frames.withColumn("x", F.col("k") * 1.0).withColumn("y", F.col("k") * 7 % 50 * 1.0)
     return Q.velocity(tracks, ["camera_id"], "t_us", "event_id", "x", "y")
@@ -209,9 +213,11 @@ def _(t):
 
 @query("sc_01", f"""select id, camera_id, level from v_flood where us >= {START_US} and us < {END_US} and level >= 1""")
 def _(t):
-    return t.v_flood.where(F.col("us").between(START_US, END_US - 1) & (F.col("level") >= 1)).select("id", "camera_id", "level")
+    span = f"detected_at >= timestamp_ntz'{START}' and detected_at < timestamp_ntz'{END}'"
+    return t.v_flood.where(span).where("level >= 1").select("id", "camera_id", "level")
 
 
 @query("sc_02", f"""select id, sensor_id, value from v_env where sensor_type = 'rain' and us between {START_US} and {END_US}""")
 def _(t):
-    return t.v_env.where((F.col("sensor_type") == "rain") & F.col("us").between(START_US, END_US)).select("id", "sensor_id", "value")
+    span = f"read_at >= timestamp_ntz'{START}' and read_at < timestamp_ntz'{END}' + interval 1 second"  # readings count by whole seconds
+    return t.v_env.where(span).where("sensor_type = 'rain'").select("id", "sensor_id", "value")

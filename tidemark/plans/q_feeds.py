@@ -43,7 +43,8 @@ def _(t):
         F.concat(F.lit('{"id":"W'), F.col("event_id").cast("string"), F.lit('","wal":'), F.col("k").cast("string"), F.lit(',"flow":"'), (F.col("k") * 2).cast("string"), F.lit('"}')))
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", s.alias("s")))), lambda x: x["s"]), ",")
     files = t.v_events.groupBy("user_id").agg(items.alias("i"))
-    wrap = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("["), "i", F.lit("]"))).when(F.col("user_id") % 3 == 1, F.concat(F.lit('{"items":['), "i", F.lit("]}"))).otherwise(F.concat(F.lit('{"response":{"body":{"items":{"item":['), "i", F.lit("]}}}}")))
+    wrap = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit('{"code":"00","result":{"data":[]},"payload":{"stations":['), "i", F.lit("]}}"))).when(F.col("user_id") % 5 == 2, F.concat(F.lit('{"result":{"data":['), "i", F.lit("]}}")))
+    wrap = wrap.when(F.col("user_id") % 3 == 0, F.concat(F.lit("["), "i", F.lit("]"))).when(F.col("user_id") % 3 == 1, F.concat(F.lit('{"items":['), "i", F.lit("]}"))).otherwise(F.concat(F.lit('{"response":{"body":{"items":{"item":['), "i", F.lit("]}}}}")))
     return R.water_levels(files.select(F.col("user_id").alias("file"), wrap.alias("value"))).select("file", "pos", "id", "level_m", "flow_cms")
 
 
@@ -83,7 +84,7 @@ def _(t):
     return t.v_cams.select("id", F.to_json(one).alias("feature"))
 
 
-@query("sn_04_layers")
+@query("sn_04_layers", """select name, '{"type":"FeatureCollection","features":[' || string_agg('{"type":"Feature","geometry":{"type":"Point","coordinates":[' || cast(lon as varchar) || ',' || cast(lat as varchar) || ']},"properties":{"id":"' || id || '"}}', ',' order by lon, lat, id) || ']}' as geojson from v_cams where lat is not null group by name""")
 def _(t):
     return W.feature_collection(t.v_cams.where("lat is not null"), W.feature(F.col("lon"), F.col("lat"), id=F.col("id")), ["name"])
 
@@ -99,17 +100,20 @@ def _(t):
     return back.select(F.col("cls").cast("int").alias("cls"), "n")
 
 
+STEP = 15  # frames of a camera lie this far apart; one empty frame ends a run
+
+
 @query("wn_12")
 def _(t):
-    return T.confirmed_boxes(t.v_boxes.withColumn("part", F.expr("frame div 1000")), ["cam", "part"], "frame")
+    return T.confirmed_boxes(t.v_boxes, ["cam"], "frame", STEP)
 
 
 @query("wn_13")
 def _(t):
-    return T.tracks(t.v_boxes.withColumn("part", F.expr("frame div 1000")), ["cam", "part"], "frame")
+    return T.tracks(t.v_boxes, ["cam"], "frame", STEP)
 
 
 @query("wn_18")
 def _(t):
-    boxes = t.v_boxes.where("cls < 2").withColumn("label", F.when(F.col("cls") == 0, "face").otherwise("license_plate")).withColumn("part", F.expr("frame div 1000"))
-    return T.repeated_boxes(boxes, ["cam", "part"], "frame", least_iou=0.05)
+    boxes = t.v_boxes.where("cls < 2").withColumn("label", F.when(F.col("cls") == 0, "face").otherwise("license_plate"))
+    return T.repeated_boxes(boxes.withColumn("motion", F.lit(0.0)), ["cam"], "frame", STEP, least_iou=0.05)

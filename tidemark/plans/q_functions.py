@@ -219,7 +219,7 @@ def _(t):
     return t.v_cams.select("id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("stripe")).select("id", "stripe", low.alias("low"), (low + 10).alias("high"), (low + 5).alias("centre"))
 
 
-@query("fn_33")
+@query("fn_33", """select name, sha256('[' || string_agg('{"id":"' || id || '"' || coalesce(',"lat":' || cast(round(lat, 7) as varchar), '') || coalesce(',"lon":' || cast(round(lon, 7) as varchar), '') || '}', ',' order by id) || ']') as signature from v_cams group by name""")
 def _(t):
     rows = F.collect_list(F.struct("id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon")))
     return t.v_cams.groupBy("name").agg(S.signature(rows).alias("signature"))

@@ -26,15 +26,22 @@ def _(t):
     return D.split_by_class(t.v_events, "event_type", "event_id", "s2").select("event_id", "split")
 
 
-NORMAL = "(select frame, box_no, cls, round((a + c) / 2 / 640, 8) as cx, round((b + d) / 2 / 360, 8) as cy, round((c - a) / 640, 8) as w, round((d - b) / 360, 8) as h, case when c - a < 2 or d - b < 2 then 'small' end as skipped from (select *, least(greatest(x1, 0), 640) as a, least(greatest(y1, 0), 360) as b, least(greatest(x2, 0), 640) as c, least(greatest(y2, 0), 360) as d from v_boxes))"
+def normal_sql(width: int, height: int) -> str:
+    return f"(select cam, frame, box_no, cls, round((a + c) / 2 / {width}, 8) as cx, round((b + d) / 2 / {height}, 8) as cy, round((c - a) / {width}, 8) as w, round((d - b) / {height}, 8) as h, case when c - a < 2 or d - b < 2 then 'small' end as skipped from (select *, least(greatest(x1, 0), {width}) as a, least(greatest(y1, 0), {height}) as b, least(greatest(x2, 0), {width}) as c, least(greatest(y2, 0), {height}) as d from v_boxes))"
 
 
-@query("ds_04", f"select * from {NORMAL}")
+def text_sql(width: int, height: int) -> str:
+    number = lambda c: f"cast(cast(round(cast({c} as decimal(12, 8)), 6) as decimal(12, 6)) as varchar)"
+    line = " || ' ' || ".join(["cast(cls as varchar)", *map(number, ("cx", "cy", "w", "h"))])
+    return f"(select cam, frame, string_agg({line}, chr(10) order by box_no) as lines, count(*) as boxes from {normal_sql(width, height)} where skipped is null group by cam, frame)"
+
+
+@query("ds_04", f"select frame, box_no, cls, cx, cy, w, h, skipped from {normal_sql(640, 360)}")
 def _(t):
     return D.normalised(t.v_boxes, 640.0, 360.0)
 
 
-@query("ds_04_text")
+@query("ds_04_text", f"select frame, lines, boxes from {text_sql(640, 360)}")
 def _(t):
     return D.label_text(D.normalised(t.v_boxes, 640.0, 360.0))
 

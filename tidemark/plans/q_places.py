@@ -83,13 +83,18 @@ def _(t):
     return J.as_of(t.v_flood, t.v_env, "user_id")
 
 
-@query("jn_07", f"""select c.id, c.lat, c.lon, cast(coalesce(l.stage, s.stage, 0) as int) as stage, case when l.stage is not null then 'live' when s.stage is not null then 'stored' else 'none' end as stage_from, coalesce(r.rain_mm, 0) as rain_mm
-from v_cams c left join (select camera_id, arg_max(level, us) as stage from v_flood where us <= {END_US} group by camera_id) s on s.camera_id = c.id left join (select camera_id, arg_max(level, us) as stage from v_flood where us between {END_US} - 86400000000 and {END_US} and record_source = 'foreground' group by camera_id) l on l.camera_id = c.id left join {IDW.format(radius=35000)} r on r.id = c.id""")
+MARKERS = """(select c.id, c.lat, c.lon, cast(coalesce(l.stage, s.stage, m.stage, 0) as int) as stage, case when l.stage is not null then 'live' when coalesce(s.stage, m.stage) is not null then 'stored' else 'none' end as stage_from, coalesce(r.rain_mm, 0) as rain_mm
+from v_cams c left join {stored} s on s.camera_id = c.id left join {named} m on m.camera_name = c.name and {trusted} left join (select camera_id, arg_max(level, {{'u': us, 'l': level}}) as stage from v_flood where us between {since} and {end} and record_source = 'foreground' group by camera_id) l on l.camera_id = c.id left join {rain} r on r.id = c.id)"""
+
+
+@query("jn_07", "select * from " + MARKERS.format(stored=f"(select camera_id, arg_max(level, us) as stage from v_flood where us <= {END_US} and camera_id < 'CAM-0040' group by camera_id)", named=f"(select camera_name, arg_max(level, {{{{'u': us, 'i': id}}}}) as stage from v_flood where us <= {END_US} group by camera_name)".replace("{{", "{").replace("}}", "}"), trusted="c.c_custkey % 7 = 0", since=END_US - 86400000000, end=END_US, rain=IDW.format(radius=35000)))
 def _(t):
-    stored = t.v_flood.where(F.col("us") <= END_US).groupBy("camera_id").agg(F.max_by("level", "us").alias("stage"))
+    past = t.v_flood.where(F.col("us") <= END_US)
+    stored = past.where("camera_id < 'CAM-0040'").groupBy("camera_id").agg(F.max_by("level", "us").alias("stage"))
+    named = past.groupBy("camera_name").agg(F.max_by("level", F.struct("us", "id")).alias("stage"))
     live = t.v_flood.where("record_source = 'foreground'").withColumnRenamed("level", "stage")
     rain = J.idw_rain(t.v_cams, rain_points(t)).withColumn("rain_mm", F.round("rain_mm", 6))
-    return J.markers(t.v_cams, stored, live, END_US, rain, fresh_seconds=86400)
+    return J.markers(t.v_cams, stored, live, END_US, rain, 86400, named, F.col("c_custkey") % 7 == 0)
 
 
 SNAPSHOTS = "(select *, us // 21600000000 as snapshot, case when k % 4 = 0 then -1e0 else value end as rain_mm from (select *, id % 100 as k from v_env))"
@@ -146,6 +151,11 @@ def _(t):
     return E.expired(t.v_env, START_US, 500).select("id", "us")
 
 
+@query("sn_03_kept", f"""select id from v_env where id not in (select id from v_env where us < {START_US} order by id limit 500)""")
+def _(t):
+    return E.retained(t.v_env, START_US, 500).select("id")
+
+
 @query("ag_08", """select sensor_type, sensor_id, us // 1800000000 * 1800000000 as bucket_us, arg_max(value, {'u': us, 'i': id}) as value, arg_max(id, {'u': us, 'i': id}) as id from v_env group by 1, 2, 3""")
 def _(t):
     return E.last_per_bucket(t.v_env, 30)

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans.q_core import CHANGES, EMA_VIEW, FOLD, GATE, consensus_sql
+from tidemark.plans.q_core import ALERTS, CHANGES, EMA_VIEW, FOLD, GATE, consensus_sql
 from tidemark.plans.registry import query
 from tidemark.streaming import jobs as J
 from tidemark.streaming.replay import replay, shared_path
@@ -22,6 +22,10 @@ def frames(t):
     return flushed(t.v_frames.withColumn("at", F.timestamp_micros(1704067200000000 + F.col("t_us"))), "at")
 
 
+def timed(t):
+    return t.v_frames.withColumn("at", F.timestamp_micros(1704067200000000 + F.col("t_us")))
+
+
 FAR = 3_000_000_000_000_000
 
 
@@ -33,13 +37,18 @@ def _(t):
 
 @query("ss_02", GATE + " select camera_id, event_id, hits, accepted, reason from g")
 def _(t):
-    job = lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None, 0, 0, 0), J.gate_step(), "camera_id string, event_id long, hits int, accepted boolean, reason string", "stage int, hits int, first long, last long")
-    return replay(t.v_frames, job)
+    job = lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None, 0, 0, 0), J.gate_step(), "camera_id string, event_id long, hits int, accepted boolean, reason string", "stage int, hits int, first long, last long", "at", "10 seconds")
+    return replay(timed(t), job)
 
 
 @query("ss_03", FOLD.format(us="t_us", id="event_id", level="stage", drop="(e.lv = f.stage and f.t_us - e.at < 10000000)", rows="v_frames"))
 def _(t):
-    return replay(t.v_frames, lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None, 0), J.cooldown_step(), "camera_id string, event_id long", "level int, at long"))
+    return replay(timed(t), lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None, 0), J.cooldown_step(), "camera_id string, event_id long", "level int, at long", "at", "10 seconds"))
+
+
+@query("ss_03_alerts", ALERTS)
+def _(t):
+    return replay(timed(t), lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (0, None), J.alert_step(3), "camera_id string, event_id long", "row int, at long", "at", "1 hour"))
 
 
 @query("ss_04", """select sensor_id, us // 86400000000 as day from v_env group by 1, 2""")
@@ -91,18 +100,18 @@ def _(t):
 e as (select camera_id, rn, event_id, {", ".join(f"p{k} as s{k}" for k in range(5))} from f where rn = 1 union all select f.camera_id, f.rn, f.event_id, {", ".join(f"case when f.t_us - f.bt > 8000000 then f.p{k} else f.p{k} * 0.35e0 + e.s{k} * 0.65e0 end" for k in range(5))} from f join e on f.camera_id = e.camera_id and f.rn = e.rn + 1)
 select camera_id, event_id, cast(case greatest(s0, s1, s2, s3, s4) when s0 then 0 when s1 then 1 when s2 then 2 when s3 then 3 else 4 end as int) as ema_stage, round(greatest(s0, s1, s2, s3, s4), 6) as ema_confidence from e""")
 def _(t):
-    rows = t.v_frames.select("camera_id", "event_id", "t_us", *(F.when(F.col("stage") == k, 0.5).otherwise(0.125).alias(f"p{k}") for k in range(5)))
+    rows = timed(t).select("camera_id", "event_id", "t_us", "at", *(F.when(F.col("stage") == k, 0.5).otherwise(0.125).alias(f"p{k}") for k in range(5)))
     state = "at long, " + ", ".join(f"s{k} double" for k in range(5))
-    return replay(rows, lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None,) + (0.0,) * 5, J.ema_step(), "camera_id string, event_id long, ema_stage int, ema_confidence double", state)).withColumn("ema_confidence", F.round("ema_confidence", 6))
+    return replay(rows, lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None,) + (0.0,) * 5, J.ema_step(), "camera_id string, event_id long, ema_stage int, ema_confidence double", state, "at", "8 seconds")).withColumn("ema_confidence", F.round("ema_confidence", 6))
 
 
 @query("ss_09")
 def _(t):
     boxes = F.collect_list(F.struct("x1", "y1", "x2", "y2", "conf", "box_no"))
     rows = t.v_boxes.groupBy("cam", "frame").agg(boxes.alias("boxes"))
-    return replay(rows, lambda s: J.ordered_state(s, "cam", ["frame"], (None,), J.track_step(), "cam long, frame long, tracks int, newest int", "held string"))
+    return replay(rows, lambda s: J.ordered_state(s, "cam", ["frame"], (None,), J.track_step(15), "cam long, frame long, tracks int, newest int", "held string"))
 
 
 @query("ss_10", CHANGES.format(least=0).replace("us, id", "t_us, event_id").replace("select id, camera_id, level, us", "select camera_id, event_id, level").replace("v_flood", "(select *, stage as level from v_frames)"))
 def _(t):
-    return replay(t.v_frames, lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None,), J.change_step(), "camera_id string, event_id long, level int", "level int"))
+    return replay(timed(t), lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None,), J.change_step(), "camera_id string, event_id long, level int", "level int", "at", "30 days"))

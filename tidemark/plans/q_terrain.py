@@ -10,15 +10,15 @@ from tidemark.plans.q_core import END_US
 from tidemark.plans.q_places import FLAT
 from tidemark.plans.registry import query
 
-SEEDS = "(select s as source_id, 5 as seed_r, 5 as seed_c from (select n as s from series11 where n < 10))"
+SEEDS = "(select s_suppkey as source_id, 10 as seed_r, 10 as seed_c from supplier)"
 
 
 def seeds(t):
-    return t.series11.where("n < 10").select(F.col("n").cast("long").alias("source_id"), F.lit(5).alias("seed_r"), F.lit(5).alias("seed_c"))
+    return t.supplier.select(F.col("s_suppkey").alias("source_id"), F.lit(10).alias("seed_r"), F.lit(10).alias("seed_c"))
 
 
 def sources(t):
-    return seeds(t).join(t.v_grid.where("r = 5 and c = 5").select("source_id", F.col("elev").alias("seed_elev")), "source_id").select("*", (F.col("source_id") % 4 + 1).cast("int").alias("stage"), F.lit(70.0).alias("depth_cm"), (F.col("source_id") * 5.0).alias("rain_mm"))
+    return seeds(t).join(t.v_grid.where("r = 10 and c = 10").select("source_id", F.col("elev").alias("seed_elev")), "source_id").select("*", (F.col("source_id") % 4 + 1).cast("int").alias("stage"), F.lit(70.0).alias("depth_cm"), (F.col("source_id") % 10 * 5.0).alias("rain_mm"))
 
 
 @query("ge_01", """select cast(c_custkey as bigint) as source_id, count(*) as cells, max(r) as last_r from (select c_custkey, h, r from (select c_custkey, least(greatest(cast(ceil((150 + 60 * (c_custkey % 4 + 1) + least(2 * (c_custkey % 50), 200)) / 30e0) as int), 5), 50) as h from v_cams where lat is not null), unnest(generate_series(0, 2 * h)) a(r), unnest(generate_series(0, 2 * h)) b(c)) group by 1""")
@@ -41,7 +41,7 @@ def _(t):
     return G.buffered(t.v_grid.where("hydro").select("source_id", "r", "c"), ["source_id"], 2, 1)
 
 
-@query("ge_04", """with recursive low as (select source_id, r, c from v_grid where elev <= 4.6), reach as (select * from low where r in (0, 10) or c in (0, 10) union select l.source_id, l.r, l.c from reach q join low l on l.source_id = q.source_id and abs(l.r - q.r) <= 1 and abs(l.c - q.c) <= 1) select * from reach""")
+@query("ge_04", """with recursive low as (select source_id, r, c from v_grid where elev <= 4.6), reach as (select * from low where r in (0, 20) or c in (0, 20) union select l.source_id, l.r, l.c from reach q join low l on l.source_id = q.source_id and abs(l.r - q.r) <= 1 and abs(l.c - q.c) <= 1) select * from reach""")
 def _(t):
     return G.open_sea(t.v_grid, 4.6)
 
@@ -51,19 +51,43 @@ def _(t):
     return G.wet_component(t.v_grid.withColumn("wet", (F.col("elev") < 3) & ~F.col("hydro")), seeds(t), "wet")
 
 
-@query("ge_05")
+SPILL = f"""spill(source_id, r, c, cost) using key (source_id, r, c) as (select g.source_id, g.r, g.c, g.elev from v_grid g join {SEEDS} s on s.source_id = g.source_id and r = seed_r and c = seed_c union
+select source_id, r, c, min(cost) from (select g.source_id, g.r, g.c, greatest(q.cost + 0.4e0 / 1000 * 30 * sqrt(pow(g.r - q.r, 2) + pow(g.c - q.c, 2)), g.elev) as cost, o.cost as known from spill q join v_grid g on g.source_id = q.source_id and g.r between q.r - 1 and q.r + 1 and g.c between q.c - 1 and q.c + 1 left join recurring.spill o on o.source_id = g.source_id and o.r = g.r and o.c = g.c) where known is null or cost < known group by 1, 2, 3)"""
+
+
+@query("ge_05", f"with recursive {SPILL} select source_id, r, c, round(cost, 6) as spill from spill")
 def _(t):
     return G.spill_heights(t.v_grid, seeds(t)).withColumn("spill", F.round("spill", 6))
 
 
-@query("ge_06")
+SLOPE = """(select source_id, r, c, elev, hydro, sqrt(gy * gy + gx * gx) as slope from (select *, coalesce((lead(elev) over v - lag(elev) over v) / 60, (lead(elev) over v - elev) / 30, (elev - lag(elev) over v) / 30) as gy, coalesce((lead(elev) over h - lag(elev) over h) / 60, (lead(elev) over h - elev) / 30, (elev - lag(elev) over h) / 30) as gx from v_grid window v as (partition by source_id, c order by r), h as (partition by source_id, r order by c)))"""
+SCORES = f"""bell as (select n - 6 as d, exp(-pow(n - 6, 2) / 4.5e0) as w from series21 where n < 13),
+tall as (select g.source_id, g.r, g.c, sum(x.elev * w) / sum(w) as v from v_grid g cross join bell join v_grid x on x.source_id = g.source_id and x.c = g.c and x.r = least(greatest(g.r + d, 0), 20) group by 1, 2, 3),
+soft as (select g.source_id, g.r, g.c, sum(x.v * w) / sum(w) as around from v_grid g cross join bell join tall x on x.source_id = g.source_id and x.r = g.r and x.c = least(greatest(g.c + d, 0), 20) group by 1, 2, 3),
+wet as (select g.source_id, g.r, g.c, min(sqrt(pow(g.r - h.r, 2) + pow(g.c - h.c, 2))) * 30 as water_m from v_grid g join v_grid h on h.source_id = g.source_id and h.hydro group by 1, 2, 3),
+land as (select source_id, quantile_cont(elev, 0.1) as p10, quantile_cont(elev, 0.9) as p90 from v_grid group by 1),
+score as (select s.source_id, s.r, s.c, round(least(greatest(0.24e0 * exp(-pow(slope / 0.075e0, 2)) + 0.22e0 * least(greatest((around - elev + 0.15e0) / 1.5e0, 0), 1) + 0.22e0 * least(greatest((p90 - elev) / greatest(p90 - p10, 0.25e0), 0), 1) + case when s.r between 3 and 5 then 0.11e0 else 0 end + 0.11e0 * exp(-pow(water_m / 180, 2)), 0), 1), 6) as score
+from {SLOPE} s join soft on soft.source_id = s.source_id and soft.r = s.r and soft.c = s.c join wet on wet.source_id = s.source_id and wet.r = s.r and wet.c = s.c join land on land.source_id = s.source_id)"""
+
+
+def scores(t):
+    return G.susceptibility(t.v_grid.withColumn("road", F.col("r") == 4))
+
+
+@query("ge_06", f"with {SCORES} select * from score")
 def _(t):
-    return G.susceptibility(t.v_grid)
+    return scores(t)
 
 
-@query("ge_07")
+@query("ge_07", f"""with recursive {SPILL}, {SCORES}, x as (select s.*, spill.cost as spill, score, cast(s.source_id % 4 + 1 as int) as stage, s.source_id % 10 * 5e0 as rain_mm, 0.7e0 as seen, sqrt(pow(s.r - 10, 2) + pow(s.c - 10, 2)) * 30 as away, first_value(elev) over (partition by s.source_id order by abs(s.r - 10) + abs(s.c - 10)) as seed_elev
+from {SLOPE} s join spill on spill.source_id = s.source_id and spill.r = s.r and spill.c = s.c join score on score.source_id = s.source_id and score.r = s.r and score.c = s.c),
+y as (select *, seed_elev + least(cap, greatest(seen, 0.05e0 + rain_mm * 0.012e0)) as surface, not hydro or away = 0 as land from (select *, case stage when 1 then 0.119e0 when 2 then 0.349e0 when 3 then 0.599e0 else 1.2e0 end as cap from x)),
+z as (select *, greatest(case when spill <= surface + 1e-5 and away <= 600 and (score >= 0.26 or away <= 75) and land then greatest(surface - elev, 0) * exp(-pow(slope / 0.075e0, 2)) * greatest(1 - 0.08e0 * pow(away / 600, 2), 0.92e0) else 0 end, case when spill <= seed_elev + seen + 0.3e0 and land then seen * exp(-pow(away / 115, 2)) else 0 end) as d,
+greatest(250e0, rain_mm / 1000 * pi() * pow(least(600, 300e0 + 130 * stage), 2) * 0.68e0 + seen * pi() * 115 * 115 * 0.62e0) as budget from y),
+v as (select *, greatest(least(d * case when volume > budget then budget / volume else 1 end, cap), case when away = 0 then 0.7e0 else 0 end) as value from (select *, sum(d) over (partition by source_id) * 900 as volume from z))
+select source_id, r, c, round(case when value < 0.01 then 0 else value end, 6) as depth_m from v""")
 def _(t):
-    return G.depth(t.v_grid, sources(t), G.spill_heights(t.v_grid, seeds(t)))
+    return G.depth(t.v_grid, sources(t), G.spill_heights(t.v_grid, seeds(t)), scores(t))
 
 
 DEPTHS = "(select source_id, r, c, greatest(3 - elev, 0) as depth_m from v_grid)"
@@ -74,15 +98,15 @@ def _(t):
     return G.bands(t.v_grid.select("source_id", "r", "c", F.greatest(3 - F.col("elev"), F.lit(0.0)).alias("depth_m")))
 
 
-@query("ge_10", """select source_id, r, c from (select *, row_number() over (partition by source_id order by elev, pow(r - 5, 2) + pow(c - 5, 2), r, c) as rank from v_grid) where rank <= case source_id % 4 + 1 when 1 then 5 when 2 then 10 when 3 then 18 else 30 end""")
+@query("ge_10", """select source_id, r, c from (select *, row_number() over (partition by source_id order by elev, pow(r - 10, 2) + pow(c - 10, 2), r, c) as rank from v_grid) where rank <= case source_id % 4 + 1 when 1 then 5 when 2 then 10 when 3 then 18 else 30 end""")
 def _(t):
-    reach = t.v_grid.select("source_id", "r", "c", F.col("elev").alias("spill"), (F.pow(F.col("r") - 5, F.lit(2)) + F.pow(F.col("c") - 5, F.lit(2))).alias("distance"))
+    reach = t.v_grid.select("source_id", "r", "c", F.col("elev").alias("spill"), (F.pow(F.col("r") - 10, F.lit(2)) + F.pow(F.col("c") - 10, F.lit(2))).alias("distance"))
     return G.least_footprint(reach, sources(t))
 
 
 @query("ge_11", """select id, n as corner, round(lon + (22 + 6 * (c_custkey % 4 + 1)) * cos(n * (2 * pi() / 24)) / (111320 * cos(radians(lat))), 9) as lon from v_cams, (select unnest(generate_series(0, 24)) as n) where lat is not null and c_custkey % 10 >= 5""")
 def _(t):
-    covered = t.v_grid.select("source_id").distinct().where("source_id < 5")
+    covered = t.v_grid.select((F.col("source_id") % 10).alias("source_id")).distinct().where("source_id < 5")
     failed = t.v_cams.where("lat is not null").join(covered, F.col("c_custkey") % 10 == F.col("source_id"), "left_anti")
     rings = failed.select("id", F.posexplode(ring(F.col("lat"), F.col("lon"), 22 + 6 * (F.col("c_custkey") % 4 + 1), 24)).alias("corner", "p"))
     return rings.select("id", F.col("corner").cast("long").alias("corner"), F.round("p.lon", 9).alias("lon"))
@@ -105,18 +129,18 @@ def _(t):
     return G.report(d, ["source_id"]).withColumn("mean_depth_m", F.round("mean_depth_m", 9))
 
 
-@query("wn_20", """select source_id, r, c, round(sqrt(gy * gy + gx * gx), 9) as slope from (select *, coalesce((lead(elev) over v - lag(elev) over v) / 60, (lead(elev) over v - elev) / 30, (elev - lag(elev) over v) / 30) as gy, coalesce((lead(elev) over h - lag(elev) over h) / 60, (lead(elev) over h - elev) / 30, (elev - lag(elev) over h) / 30) as gx from v_grid window v as (partition by source_id, c order by r), h as (partition by source_id, r order by c))""")
+@query("wn_20", f"select source_id, r, c, round(slope, 9) as slope from {SLOPE}")
 def _(t):
     return G.slope(t.v_grid).select("source_id", "r", "c", F.round("slope", 9).alias("slope"))
 
 
-@query("tk_03", f"""with recursive f as (select snapshot, id, lat, lon, row_number() over (partition by snapshot order by -(stage * 100 + rain_mm * 2 + depth_cm), id) as rn from (select c_custkey % 5 as snapshot, id, lat, lon, c_custkey % 5 as stage, (c_custkey % 7) * 1e0 as rain_mm, (c_custkey % 3) * 10e0 as depth_cm from v_cams where lat is not null and c_custkey < 1500) where stage >= 1),
+@query("tk_03", f"""with recursive f as (select snapshot, id, lat, lon, row_number() over (partition by snapshot order by -(stage * 100 + rain_mm * 2 + depth_cm), id) as rn from (select c_custkey % 5 as snapshot, id, lat, lon, c_custkey % 5 as stage, (c_custkey % 7) * 1e0 as rain_mm, (c_custkey % 3) * 10e0 as depth_cm from v_cams where lat is not null) where stage >= 1),
 n as (select a.snapshot, a.rn, coalesce(list(b.rn) filter (where {FLAT.format(lat1='b.lat', lon1='b.lon', lat2='a.lat', lon2='a.lon')} < 3000), []) as near from f a join f b on a.snapshot = b.snapshot and b.rn < a.rn group by 1, 2),
 e as (select snapshot, rn, id, [rn] as kept, true as stays from f where rn = 1 union all select f.snapshot, f.rn, f.id, case when len(e.kept) >= 24 or len(list_intersect(e.kept, n.near)) > 0 then e.kept else list_append(e.kept, f.rn) end, not (len(e.kept) >= 24 or len(list_intersect(e.kept, n.near)) > 0) from e join f on f.snapshot = e.snapshot and f.rn = e.rn + 1 join n on n.snapshot = f.snapshot and n.rn = f.rn)
 select snapshot, id from e where stays""")
 def _(t):
     k = F.col("c_custkey")
-    c = t.v_cams.where("lat is not null and c_custkey < 1500").select((k % 5).alias("snapshot"), "id", "lat", "lon", (k % 5).alias("stage"), (k % 7 * 1.0).alias("rain_mm"), (k % 3 * 10.0).alias("depth_cm"))
+    c = t.v_cams.where("lat is not null").select((k % 5).alias("snapshot"), "id", "lat", "lon", (k % 5).alias("stage"), (k % 7 * 1.0).alias("rain_mm"), (k % 3 * 10.0).alias("depth_cm"))
     return G.select_sources(c, "snapshot", 3000.0).select("snapshot", "id")
 
 
@@ -136,7 +160,7 @@ def _(t):
     return G.line_points(t.v_cams.where("lat is not null").select(F.col("c_custkey").alias("id"), text.alias("geometry"))).select("id", "point", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
 
 
-@query("jn_13")
+@query("jn_13", """select id, round((py * 16 + px) * 0.5e0, 6) as elev, 12 as zoom from (select id, least(greatest((fx - floor(fx)) * 16 - 0.5, 0), 15) as px, least(greatest((fy - floor(fy)) * 16 - 0.5, 0), 15) as py from (select id, (lon + 180) / 360 * 4096 as fx, (1 - asinh(tan(radians(lat))) / pi()) / 2 * 4096 as fy from v_cams where lat is not null))""")
 def _(t):
     cams = t.v_cams.where("lat is not null")
     tiles = cams.selectExpr("12 as z", "cast(floor((lon + 180) / 360 * 4096) as int) as x", "cast(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 4096) as int) as y").distinct()
@@ -159,7 +183,7 @@ def _(t):
     return G.history_influence(cells, points).select("source_id", F.round("influence", 6).alias("influence"))
 
 
-SURFACE = f"""with p as (select lat, lon, (c_custkey % 70) * 1e0 as depth_cm from v_cams where lat is not null and c_custkey % 10 = 0), b as (select min(lat) - 0.01 as s, max(lat) + 0.01 as n, min(lon) - 0.01 as w, max(lon) + 0.01 as e from p),
+SURFACE = f"""with p as (select lat, lon, (c_custkey % 70) * 1e0 as depth_cm from v_cams where lat is not null), b as (select min(lat) - 0.01 as s, max(lat) + 0.01 as n, min(lon) - 0.01 as w, max(lon) + 0.01 as e from p),
 g as (select cast(r as int) as r, cast(c as int) as c, s + (n - s) * r / 25 as glat, w + (e - w) * c / 25 as glon from b, unnest(generate_series(0, 25)) x(r), unnest(generate_series(0, 25)) y(c)),
 q as (select r, c, glat, glon, depth_cm, {FLAT.format(lat1='glat', lon1='glon', lat2='lat', lon2='lon')} as d from g cross join p)
 select r, c, round(glat, 9) as lat, round(glon, 9) as lon, depth_cm from (select r, c, glat, glon, round(sum(depth_cm / pow(greatest(d, 15), 2)) / sum(1 / pow(greatest(d, 15), 2)) * exp(-greatest(min(d) - 120, 0) / 1100), 6) as depth_cm from q group by 1, 2, 3, 4) where depth_cm >= 0.8"""
@@ -167,12 +191,12 @@ select r, c, round(glat, 9) as lat, round(glon, 9) as lon, depth_cm from (select
 
 @query("ag_19", SURFACE)
 def _(t):
-    return G.depth_surface(t.v_cams.where("lat is not null and c_custkey % 10 = 0").select("lat", "lon", (F.col("c_custkey") % 70 * 1.0).alias("depth_cm")))
+    return G.depth_surface(t.v_cams.where("lat is not null").select("lat", "lon", (F.col("c_custkey") % 70 * 1.0).alias("depth_cm")))
 
 
 @query("q_06", SURFACE)
 def _(t):
-    return G.depth_surface(t.v_cams.where("lat is not null and c_custkey % 10 = 0").select("lat", "lon", (F.col("c_custkey") % 70 * 1.0).alias("depth_cm")))
+    return G.depth_surface(t.v_cams.where("lat is not null").select("lat", "lon", (F.col("c_custkey") % 70 * 1.0).alias("depth_cm")))
 
 
 @query("ag_15", f"""select count(*) as markers, count(*) filter (where stage >= 1) as active, max(stage) as max_stage, (select max(depth_m) from {DEPTHS}) as max_depth_m, (select count(*) from {DEPTHS} where depth_m >= 0.01) as wet_cells from (select c_custkey % 5 as stage from v_cams)""")
