@@ -168,3 +168,39 @@ def test_very_long_texts(spark):
     cut = {f.doc_id: f for f in passages.cut_repeats(docs).collect()}
     assert bytes(cut[3].kept) == b"short text" and len(bytes(cut[2].kept)) <= 60
     assert quality_rank.rank(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"), "doc_id = 9").count() == 3
+
+
+def test_equal_names_of_different_strings_are_told_apart():
+    data = np.frombuffer(b"abcabdabcabe", np.uint8)
+    at, name = np.array([0, 3, 6, 9, 0]), np.array([5, 5, 5, 7, 9], np.uint64)
+    order, begin, run = passages._classes(name, data, at, 3)
+    groups = {frozenset(order[run == k].tolist()) for k in range(len(begin))}
+    assert groups == {frozenset({0, 2}), frozenset({1}), frozenset({3}), frozenset({4})}
+    later = passages._later(name, np.array([1, 2, 3, 4, 5]), data, at, 3)
+    assert later.tolist() == [False, False, True, False, False]
+
+
+def test_removal_keeps_whole_characters(spark):
+    shared = "é" * 40
+    docs = spark.createDataFrame([(1, "a" + shared + "b"), (2, "xé" + shared + "éy�")], "doc_id long, text string")
+    found = {f.doc_id: bytes(f.kept).decode() for f in passages.cut_repeats(docs, whole_characters=True).collect()}
+    assert found[1] == "a" + shared + "b" and found[2] in ("xéy�", "xy�", "xééy�")
+
+
+def test_placement_table_by_hand(spark):
+    import hashlib
+
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    names, slots = ["north", "east", "south", "west", "core"], 211
+    wishes = [[(number(f"{n}/offset") + k * (number(f"{n}/step") % (slots - 1) + 1)) % slots for k in range(slots)] for n in names]
+    assert all(len(set(w)) == slots for w in wishes)
+    owner = {}
+    while len(owner) < slots:
+        for name, wish in zip(names, wishes):
+            free = next((s for s in wish if s not in owner), None)
+            if free is not None:
+                owner[free] = name
+    docs = spark.createDataFrame([(i,) for i in range(3000)], "doc_id long")
+    for g in sharding.place(docs, "doc_id", names, slots).collect():
+        slot = number(str(g.doc_id)) % slots
+        assert (g.slot, g.shard) == (slot, owner[slot])

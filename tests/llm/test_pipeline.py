@@ -58,3 +58,20 @@ def test_each_stage_on_its_input(spark, folder):
 def test_run_chains_the_stages(spark, folder):
     got = {r.doc_id for r in P.run(spark, folder).collect()}
     assert got == {r.doc_id for r in spark.read.parquet(f"{folder}/stage-4").collect()}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "some test item of eight words in all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
+    good = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, good, "en", "s", 1), (None, "bad", "en", "s", 1), (None, None, None, None, None), (1, good, "en", "s", 1), (1, good, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (4, "short", None, "s", 5)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first = P.STAGES[0][1](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.text) for r in first) == [(False, good), (False, good), (True, good)]
+    assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == {1}

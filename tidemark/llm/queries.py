@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fertility, lang_id, licences, near_dup, passages, quality_rank, sharding, suffix_tree
+from tidemark.llm import bpe, decontaminate, fertility, lang_id, licences, near_dup, oracles, passages, quality_rank, sharding, suffix_tree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(table(spark, sf_dir, "documents"), "doc_id", [f"shard-{i:02d}" for i in range(64)])
+    return sharding.place(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -81,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; the others are tested against brute force in tests/llm."""
-    return {}
+    return {"op6_minhash": oracles.near_duplicates(3, 85), "op9_suffix_dedup": oracles.repeats(50), "op10_sharding": oracles.placement(SHARDS)}
