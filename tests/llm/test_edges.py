@@ -171,12 +171,12 @@ def test_very_long_texts(spark):
 
 
 def test_equal_names_of_different_strings_are_told_apart():
-    data = np.frombuffer(b"abcabdabcabe", np.uint8)
-    at, name = np.array([0, 3, 6, 9, 0]), np.array([5, 5, 5, 7, 9], np.uint64)
-    order, begin, run = passages._classes(name, data, at, 3)
+    data = np.frombuffer(b"abcabcabcab" b"abcabcabcax" b"abcabcabcab" b"abcabcabcay", np.uint8)
+    at, name = np.array([0, 11, 22, 33, 0]), np.array([5, 5, 5, 7, 9], np.uint64)
+    order, begin, run = passages._classes(name, data, at, 11)
     groups = {frozenset(order[run == k].tolist()) for k in range(len(begin))}
     assert groups == {frozenset({0, 2}), frozenset({1}), frozenset({3}), frozenset({4})}
-    later = passages._later(name, np.array([1, 2, 3, 4, 5]), data, at, 3)
+    later = passages._later(name, np.array([1, 2, 3, 4, 5]), data, at, 11)
     assert later.tolist() == [False, False, True, False, False]
 
 

@@ -11,11 +11,13 @@ hashes stand for ranks, and each round is a Spark shuffle by hash.
 3. In every class of equal ``length``-byte strings all but the smallest document's are removed.
 
 Copies within one bin of documents are settled before the shuffle, so a string that a third of the documents share
-moves once per bin. Names are 64-bit; only round 1 uses shorter ones (40 bits and more), where a collision merely lets
-a unique anchor pass to the next round.
+moves once per bin. Names are hashes of 64 bits, in round 1 of 40 and more, where a collision merely lets a unique anchor
+pass to the next round; before anything is removed the bytes themselves are compared. Bins and buckets hold about 4 MB
+of text each, so a task's memory does not grow with the input.
 
 Rows without an id are left out; a null text is empty; rows that repeat an id do not count as earlier than each other.
-Matches never cross documents; spans are byte offsets.
+Matches never cross documents; spans are byte offsets. Ids are whole numbers (or text of such). An empty table gives no
+rows; texts are read whole, whatever their length; other columns are not read.
 """
 
 from __future__ import annotations
@@ -90,15 +92,48 @@ def _spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _later(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a smaller document has the same name."""
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings of ``length`` bytes (8 at least) at places a and b are the same; eight bytes at once."""
+    out = np.ones(len(a), bool)
+    if not len(a):
+        return out
+    eight = np.zeros(len(data) - 7, np.uint64)
+    for k in range(8):
+        eight |= data[k : len(data) - 7 + k].astype(np.uint64) << _U(8 * k)
+    for k in (*range(0, length - 7, 8), length - 8):
+        out &= eight[a + k] == eight[b + k]
+    return out
+
+
+def _later(name: np.ndarray, doc: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Whether a smaller document has the same name and the same string of ``length`` bytes at its place."""
     order = np.lexsort((doc, name))
     begin, run = _runs(name[order])
-    out = np.zeros(len(name), bool)
-    out[order] = doc[order] > doc[order][begin][run]
+    first, out = order[begin][run], np.zeros(len(name), bool)
+    later = doc[order] > doc[first]
+    one, other = order[later], first[later]
+    out[one] = _equal(data, at[one], at[other], length)
     return out
 
 
+def _classes(name: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal strings of ``length`` bytes are neighbours, the start of each run of equal ones, and each
+    element's run. Names bring them together; where a name stands for several strings, these are told apart."""
+    order = np.argsort(name, kind="stable")
+    begin, run = _runs(name[order])
+    same = _equal(data, at[order], at[order][begin][run], length)
+    if not same.all():
+        mixed = np.flatnonzero(np.isin(run, run[~same]))
+        strings = data[at[order[mixed]][:, None] + np.arange(length)]
+        _, back = np.unique(strings, axis=0, return_inverse=True)
+        name = np.zeros(len(order), np.int64)
+        name[order] = run
+        name[order[mixed]] = len(begin) + back.ravel()
+        order = np.argsort(name, kind="stable")
+        begin, run = _runs(name[order])
+    return order, begin, run
+
+
 def _merge(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Maximal runs (row, start, end) of overlapping or touching spans."""
     order = np.lexsort((start, row))
@@ -114,6 +149,14 @@ def _merge(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([row[cut], start[cut], reach[last] - shift[last]], 1)
 
 
+def _to_characters(spans: np.ndarray, raw: bytes) -> np.ndarray:
+    """Spans of a text in UTF-8, grown to the borders of its characters."""
+    inner = (np.frombuffer(raw, np.uint8) & 0xC0) == 0x80
+    border = np.append(np.flatnonzero(~inner), len(raw))
+    starts = border[np.searchsorted(border, spans[:, 0], side="right") - 1]
+    return _merge(np.zeros(len(spans), np.int64), starts, border[np.searchsorted(border, spans[:, 1])])[:, 1:]
+
+
 def _window_runs(anchor: np.ndarray, step: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of hits at consecutive steps of one anchor: anchor, first and last step."""
     at = np.flatnonzero(hit)
@@ -129,14 +172,15 @@ def _table(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.Table:
     return pa.table({k: pa.array(columns[k], kind) for k, kind in kinds.items()})
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """doc_id, n_bytes long, spans array<struct<start,end>> (maximal removed runs, in bytes), kept binary (the rest),
-    carried array<string> (the ``carry`` columns as text, so that a caller need not join them back)."""
+    carried array<string> (the ``carry`` columns as text, so that a caller need not join them back). With
+    ``whole_characters`` the rest also lacks what a span leaves of a character that it cuts."""
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be at least {2 * ANCHOR}")
-    bits = bucket_bits(docs)
     carried = F.array(*(F.col(c).cast("string") for c in carry)).cast("array<string>")
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
+    bits = bucket_bits(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     docs = docs.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << bits)).cast("int"))
     key_shift, bucket_shift = _U(32 - bits), _U(64 - bits)
 
@@ -205,7 +249,8 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
         gram, string = np.concatenate(grams), np.concatenate(strings)
         counts = high - low + 1
         anchor, step = np.repeat(np.arange(len(row)), counts), _spread(counts)
-        settled = _later(gram, ids[row][anchor])
+        inner = np.repeat(np.cumsum(counts + length - 1) - (counts + length - 1), counts) + step
+        settled = _later(gram, ids[row][anchor], string, inner, length)
         a, first, last = _window_runs(anchor, step, settled)
         merged = _merge(row[a], low[a] + first, low[a] + last + length)
         if len(merged):
@@ -246,7 +291,8 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
         if len(doc):
             own_bin = np.repeat(np.asarray(rows["bin"].combine_chunks()), [len(x.as_buffer()) // 8 for x in rows["ids"]])
             row, start = column("rows", np.uint32).astype(np.int64), column("starts", np.uint32).astype(np.int64)
-            hashed = SliceHash(column("strings", np.uint8))
+            data = column("strings", np.uint8)
+            hashed = SliceHash(data)
             counts = size - length + 1
             anchor, step = np.repeat(np.arange(len(doc)), counts), _spread(counts)
             at = (np.cumsum(size) - size)[anchor] + step
@@ -256,8 +302,11 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
             for reach in (half, length):
                 if reach > half:  # the pair of the rank so far and the rank at that offset
                     rank = mix(rank[alive] + mix(hashed(at[alive] + half, at[alive] + length)))
-                order = np.argsort(rank, kind="stable")
-                begin, run = _runs(rank[order])
+                if reach == length:
+                    order, begin, run = _classes(rank, data, at[alive], length)
+                else:
+                    order = np.argsort(rank, kind="stable")
+                    begin, run = _runs(rank[order])
                 owner = doc[anchor[alive[order]]]
                 low, high = np.minimum.reduceat(owner, begin), np.maximum.reduceat(owner, begin)
                 if reach == length:
@@ -288,6 +337,8 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
                 at += 1
                 lengths.append(len(raw))
                 if len(mine):
+                    if whole_characters:
+                        mine = _to_characters(mine, raw)
                     edges = [0, *mine.ravel().tolist(), len(raw)]
                     raw = b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2])])
                 kept.append(raw)

@@ -128,11 +128,9 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def bucket_bits(docs: DataFrame) -> int:
-    """log2 of the number of hash buckets: a power of two of at least 256 and two for each shuffle partition, so that
-    a bucket's share of the input stays the same when both grow."""
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, (2 * width - 1).bit_length())
+def bucket_bits(total: int) -> int:
+    """log2 of the number of hash buckets for so many bytes of text: about 4 MB each, and 256 buckets at least."""
+    return max(8, (total >> 22).bit_length())
 
 
 def shared_folder(spark: SparkSession) -> str:
