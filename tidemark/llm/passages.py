@@ -97,9 +97,7 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.nd
     out = np.ones(len(a), bool)
     if not len(a):
         return out
-    eight = np.zeros(len(data) - 7, np.uint64)
-    for k in range(8):
-        eight |= data[k : len(data) - 7 + k].astype(np.uint64) << _U(8 * k)
+    eight = np.ndarray((len(data) - 7,), np.uint64, np.ascontiguousarray(data), 0, (1,))  # the eight bytes from each place on, without a copy
     for k in (*range(0, length - 7, 8), length - 8):
         out &= eight[a + k] == eight[b + k]
     return out
