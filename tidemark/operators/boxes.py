@@ -82,7 +82,8 @@ def agreement(detections: DataFrame, frame: list[str], least: float = 0.5) -> Da
     best = overlaps(detections, detections, frame).where("a_model <> b_model").groupBy(*frame, "a_model", "a_no", "b_model").agg(F.max("iou").alias("best"))
     hits = best.where(F.col("best") >= least).groupBy("a_model", "b_model").agg(F.count("*").alias("hits"))
     counts = detections.groupBy("model").agg(F.count("*").alias("boxes"))
-    pairs = counts.select(F.col("model").alias("a_model"), "boxes").join(counts.select(F.col("model").alias("b_model")))
+    models = counts.agg(F.collect_list("model")).scalar()  # a handful of names
+    pairs = counts.select(F.col("model").alias("a_model"), "boxes", F.explode(models).alias("b_model"))
     joined = pairs.where("a_model <> b_model").join(hits, ["a_model", "b_model"], "left")
     return joined.select(F.col("a_model").alias("model"), F.col("b_model").alias("other"), (F.coalesce("hits", F.lit(0)) / F.col("boxes")).alias("share"))
 
@@ -111,8 +112,8 @@ def scores(matches: DataFrame, truth: DataFrame, frame: list[str], cls: str) ->
     frames = [c for c in frame if c != cls]
     labelled = truth.select(*frames).distinct()
     caught = matches.where("hit").select(cls, *frames).distinct().groupBy(cls).agg(F.count("*").alias("caught"))
-    total = labelled.agg(F.count("*").alias("frames"))
-    rows = labels.join(found, cls, "left").join(caught, cls, "left").join(total)
+    total = labelled.agg(F.count("*")).scalar()
+    rows = labels.join(found, cls, "left").join(caught, cls, "left").withColumn("frames", total)
     hits, n = F.coalesce("hits", F.lit(0)), F.coalesce("predictions", F.lit(0))
     precision, recall = F.when(n > 0, hits / n).otherwise(0.0), hits / F.col("labels")
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)

@@ -20,8 +20,9 @@ def visible_stripes(readings: DataFrame, frame: str, share: float = 0.35) -> Dat
 def match_stripes(readings: DataFrame, expected: DataFrame, frame: str, tolerance: float) -> DataFrame:
     """Each reading goes to the nearest expected centre(stripe, centre) within the tolerance; a stripe takes its
     nearest reading."""
-    distance = F.abs(F.col("y") - F.col("centre"))
-    nearest = readings.join(F.broadcast(expected)).withColumn("_d", distance).groupBy(frame, "reading", "y").agg(F.min(F.struct("_d", "stripe")).alias("_b")).where(F.col("_b._d") <= tolerance)
+    centres = expected.agg(F.collect_list(F.struct("stripe", "centre"))).scalar()  # the stripes of one marker
+    best = F.array_min(F.transform("_centres", lambda e: F.struct(F.abs(F.col("y") - e["centre"]).alias("_d"), e["stripe"].alias("stripe"))))
+    nearest = readings.select(frame, "reading", "y", centres.alias("_centres")).withColumn("_b", best).drop("_centres").where(F.col("_b._d") <= tolerance)
     rows = nearest.withColumn("_rank", F.row_number().over(Window.partitionBy(frame, "_b.stripe").orderBy("_b._d", "reading")))
     return rows.where("_rank = 1").select(frame, "reading", F.col("_b.stripe").alias("stripe"), F.col("_b._d").alias("distance"))
 

@@ -38,7 +38,7 @@ def level_consistency(rows: DataFrame, level: str, value: str) -> DataFrame:
     """level, n, mean, std, and whether the means never fall from level to level (at most a handful of levels)."""
     stats = rows.groupBy(level).agg(F.count("*").alias("n"), F.round(F.avg(value), 9).alias("mean"), F.round(F.stddev_pop(value), 9).alias("std"))
     steps = stats.withColumn("_up", F.coalesce(F.col("mean") >= F.lag("mean").over(Window.orderBy(level)), F.lit(True)))
-    return stats.join(steps.agg(F.bool_and("_up").alias("non_decreasing")))
+    return stats.withColumn("non_decreasing", steps.agg(F.bool_and("_up")).scalar())
 
 
 def ratio_summary(rows: DataFrame, keys: list[str], ratio: str, ms: str) -> DataFrame:
@@ -48,7 +48,8 @@ def ratio_summary(rows: DataFrame, keys: list[str], ratio: str, ms: str) -> Data
 def class_weights(rows: DataFrame, cls: str) -> DataFrame:
     """total / (classes * count) of each class."""
     counts = rows.groupBy(cls).agg(F.count("*").alias("n"))
-    return counts.join(counts.agg(F.sum("n").alias("total"), F.count("*").alias("k"))).select(cls, "n", (F.col("total") / (F.col("k") * F.col("n"))).alias("weight"))
+    total, k = counts.agg(F.sum("n")).scalar(), counts.agg(F.count("*")).scalar()
+    return counts.select(cls, "n", (total / (k * F.col("n"))).alias("weight"))
 
 
 def training_log(log: DataFrame, run: str, epoch: str, score: str, patience: int = 5, least_gain: float = 1e-4) -> DataFrame:

@@ -319,7 +319,8 @@ def depth_surface(points: DataFrame, n: int = 26, margin: float = 0.01, least_cm
     cells = box.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     cells = cells.select("r", "c", (F.col("s") + (F.col("n") - F.col("s")) * F.col("r") / (n - 1)).alias("glat"), (F.col("w") + (F.col("e") - F.col("w")) * F.col("c") / (n - 1)).alias("glon"))
     d = flat_metres(F.col("glat"), F.col("glon"), F.col("lat"), F.col("lon"))
-    pairs = points.join(F.broadcast(cells)).withColumn("_d", d).withColumn("_w", 1 / F.pow(F.greatest("_d", F.lit(15.0)), F.lit(2.0)))
+    all_cells = cells.agg(F.collect_list(F.struct("r", "c", "glat", "glon"))).scalar()  # n * n of them
+    pairs = points.withColumn("_c", F.explode(all_cells)).select("lat", "lon", "depth_cm", "_c.*").withColumn("_d", d).withColumn("_w", 1 / F.pow(F.greatest("_d", F.lit(15.0)), F.lit(2.0)))
     sums = pairs.groupBy("r", "c", F.col("glat").alias("lat"), F.col("glon").alias("lon")).agg(F.sum(F.col("_w") * F.col("depth_cm")).alias("_s"), F.sum("_w").alias("_t"), F.min("_d").alias("_near"))
     value = F.col("_s") / F.col("_t") * F.exp(-F.greatest(F.col("_near") - 120, F.lit(0.0)) / 1100)
     return sums.withColumn("depth_cm", F.round(value, 6)).where(F.col("depth_cm") >= least_cm).select("r", "c", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "depth_cm")
@@ -336,4 +337,4 @@ def history_points(events: DataFrame, cameras: DataFrame, as_of_us: int, days: f
 
 def overlay_summary(markers: DataFrame, report_: DataFrame) -> DataFrame:
     m = markers.agg(F.count("*").alias("markers"), F.count_if(F.col("stage") >= 1).alias("active"), F.max("stage").alias("max_stage"))
-    return m.join(report_.agg(F.max("max_depth_m").alias("max_depth_m"), F.sum("wet_cells").alias("wet_cells")))
+    return m.withColumns({"max_depth_m": report_.agg(F.max("max_depth_m")).scalar(), "wet_cells": report_.agg(F.sum("wet_cells")).scalar()})
