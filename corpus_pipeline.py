@@ -1,9 +1,10 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark copies, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of its docs and returns a DataFrame, which ``run`` writes as
-Parquet to the folder that the cluster shares and reads again for the next stage. All but the last return the columns
-of documents. Rows that repeat an id are one document; rows without an id pass the stages that judge a text by itself
-and end at the ones that compare documents.
+Parquet to the folder that the cluster shares and reads again for the next stage, when the one before is removed. All
+but the last return the columns of documents. Rows that repeat an id are one document: it stays as long as one of them
+passes. Rows without an id pass the quality rules row by row and end at the stages that compare documents. Null and empty
+texts fail the rules; an empty table gives no rows; texts are read whole, whatever their length; other columns end.
 """
 
 from __future__ import annotations
@@ -15,20 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, fertility, near_dup, passages
-from tidemark.llm.text import shared_folder
+from tidemark.llm.text import remove, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how).select(*COLUMNS)
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", how).select(*COLUMNS)
+
+
+def _key() -> F.Column:
+    """A row's id, and for a row without one its text, so that such rows are judged apart."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.coalesce("lang", F.lit(""))))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their language's fertility bands."""
-    verdicts = fertility.rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return _only(docs, verdicts.where("kept").select("doc_id"))
+    keyed = docs.withColumn("_key", _key())
+    verdicts = fertility.rules(keyed, public_tokenizers.path("piece_bpe_32k.model"), id_col="_key")
+    return keyed.join(verdicts.where("kept").select(F.col("doc_id").alias("_key")), "_key", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier document has and without characters cut in part; none without words."""
-    cut = passages.cut_repeats(docs, carry=("lang", "source"))
-    whole = F.col("kept").cast("string")
-    text = F.when(F.size("spans") > 0, F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", "")).otherwise(whole)
-    rest = cut.select("doc_id", text.alias("text"), F.col("carried")[0].alias("lang"), F.col("carried")[1].alias("source"))
+    cut = passages.cut_repeats(docs, carry=("lang", "source"), whole_characters=True)
+    rest = cut.select("doc_id", F.col("kept").cast("string").alias("text"), F.col("carried")[0].alias("lang"), F.col("carried")[1].alias("source"))
     return rest.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -73,4 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
