@@ -35,3 +35,48 @@ def placement(shards: list[str], slots: int = sharding.SLOTS) -> str:
     names = ", ".join(f"'{s}'" for s in shards)
     table = ", ".join(str(i + 1) for i in sharding.fill(shards, slots))
     return f"""with t as (select [{names}] as names, [{table}] as slots), k as (select doc_id, coalesce(cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 15) as bigint) % {slots}, 0) as slot from documents) select doc_id, slot, names[slots[slot + 1]] as shard from k, t"""
+
+
+def _levels(name: str, count: int) -> str:
+    """CTEs {name}0 .. {name}{count} of a tree's nodes (g, i, n, h), and {name}s0 .. with what stands on either side."""
+    out = []
+    for k in range(count):
+        sides = "over (partition by g, i // 3 order by i rows between"
+        out.append(
+            f"""{name}s{k} as (select *, case when n = 1 then '' else coalesce(string_agg(h, '') {sides} unbounded preceding and 1 preceding), '') end as lft,
+case when n = 1 then '' else coalesce(string_agg(h, '') {sides} 1 following and unbounded following), '') end as rgt from {name}{k}),
+{name}{k + 1} as (select g, i // 3 as i, (any_value(n) + 2) // 3 as n, case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '' order by i)) end as h from {name}{k} group by g, i // 3)"""
+        )
+    return ",\n".join(out)
+
+
+def _climb(name: str, source: str, count: int) -> str:
+    """CTEs {name}0 .. {name}{count}: each document's folded hash f and siblings so far, one level up at a time."""
+    out = []
+    for k in range(count):
+        before = f"{name}{k}"
+        out.append(
+            f"""{name}{k + 1} as (select d.doc_id, d.row, d.g, d.i // 3 as i, case when s.n = 1 then d.f else sha256(s.lft || d.f || s.rgt) end as f, d.proof || s.lft || s.rgt as proof
+from {before} d join {source}s{k} s on s.g = d.g and s.i = d.i)"""
+        )
+    return ",\n".join(out)
+
+
+def merkle(levels: int = 13, top_levels: int = 7) -> str:
+    """The trees level by level: as many as 3 ** levels rows of a source and 3 ** top_levels sources."""
+    part = lambda c: f"coalesce(cast(strlen(cast({c} as varchar)) as varchar) || ':' || cast({c} as varchar), '-')"
+    leaf = lambda text: f"sha256({' || '.join(part(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ord(x) as bigint))), lambda c, b: {bits}), 4294967295)"
+    return f"""with b as (select doc_id, coalesce('=' || source, '-') as g, {leaf("text")} as leaf, case when {crc} % 2 = 0 then {leaf("replace(text, chr(10), '')")} else {leaf("text")} end as changed from documents),
+o as (select *, row_number() over (order by g, doc_id nulls first, leaf) as row, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as n from b),
+a0 as (select g, i, n, leaf as h from o),
+{_levels("a", levels)},
+t0 as (select '' as g, row_number() over (order by g) - 1 as i, count(*) over () as n, h, g as name from a{levels}),
+{_levels("t", top_levels)},
+c0 as (select doc_id, row, g, i, changed as f, '' as proof from o),
+{_climb("c", "a", levels)},
+e0 as (select c.doc_id, c.row, t.g, t.i, c.f, c.proof from c{levels} c join t0 t on t.name = c.g),
+{_climb("e", "t", top_levels)}
+select o.doc_id, o.leaf, s.h as subroot, r.h as root, sha256(e.proof) as proof_sha256, e.f as folded_root, e.f = r.h as verified
+from o join a{levels} s on s.g = o.g join e{top_levels} e on e.row = o.row cross join t{top_levels} r"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fertility, lang_id, licences, near_dup, oracles, passages, quality_rank, sharding, suffix_tree
+from tidemark.llm import bpe, decontaminate, fertility, lang_id, licences, merkle, near_dup, oracles, passages, quality_rank, sharding, suffix_tree, token_counts, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,10 +78,39 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), scale=64, offset=1_000_000, components=32)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's proof is checked against its text as stored, for every other row (by a checksum of the id) one whose
+    line feeds have been taken out."""
+    docs = table(spark, sf_dir, "documents")
+    hashed = lambda text: merkle.digest("doc_id", "source", "lang", "n_chars", text)
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False)) & F.contains("text", F.lit("\n"))
+    rows = docs.select("doc_id", "source", hashed("text").alias("leaf"), F.when(tampered, hashed(F.replace("text", F.lit("\n"), F.lit("")))).alias("tampered"))
+    proofs = merkle.manifest(rows, leaf="leaf", group="source", order="doc_id")
+    found = merkle.folded(F.coalesce("row.tampered", "leaf"), F.col("witness"))
+    checked = proofs.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("witness")).alias("proof_sha256"), found.alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_suffix_tree": op2_suffix_tree, "op3_decontaminate": op3_decontaminate, "op4_bradley_terry": op4_bradley_terry, "op5_licence_scan": op5_licence_scan, "op6_minhash": op6_minhash, "op7_kneser_ney": op7_kneser_ney, "op8_fertility": op8_fertility, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding}
+    found = (op1_bpe, op2_suffix_tree, op3_decontaminate, op4_bradley_terry, op5_licence_scan, op6_minhash, op7_kneser_ney)
+    found += (op8_fertility, op9_suffix_dedup, op10_sharding, op11_whitening, op12_merkle, op13_token_counts)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op6_minhash": oracles.near_duplicates(3, 85), "op9_suffix_dedup": oracles.repeats(50), "op10_sharding": oracles.placement(SHARDS)}
+    return {
+        "op6_minhash": oracles.near_duplicates(3, 85),
+        "op9_suffix_dedup": oracles.repeats(50),
+        "op10_sharding": oracles.placement(SHARDS),
+        "op12_merkle": oracles.merkle(),
+    }
