@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.q_core import ALERTS, CHANGES, EMA_VIEW, FOLD, GATE, consensus_sql
 from tidemark.plans.registry import query
 from tidemark.streaming import jobs as J
+from tidemark.streaming import ordered as O
 from tidemark.streaming.replay import replay, shared_path
 
 
@@ -19,11 +20,13 @@ def flushed(rows, time: str):
 
 
 def frames(t):
-    return flushed(t.v_frames.withColumn("at", F.timestamp_micros(1704067200000000 + F.col("t_us"))), "at")
+    """The frames, and one far in the future whose id is -1."""
+    rows = t.v_frames.withColumn("at", F.timestamp_micros(1704067200000000 + F.col("t_us")))
+    return rows.unionByName(rows.limit(1).withColumns({"at": F.timestamp_micros(F.lit(4_000_000_000_000_000)), "event_id": F.lit(-1).cast("long")}))
 
 
-def timed(t):
-    return t.v_frames.withColumn("at", F.timestamp_micros(1704067200000000 + F.col("t_us")))
+def real(rows):
+    return rows.where("event_id >= 0")
 
 
 FAR = 3_000_000_000_000_000
@@ -35,20 +38,33 @@ def _(t):
     return out.select("camera_id", F.unix_seconds("start").alias("s"), "stage", "stage_confidence", "votes")
 
 
+def gate(stream, delay="0 seconds"):
+    return O.in_order(stream, "camera_id", "at", ["event_id"], O.gate_rule(), output="camera_id string, event_id long, hits int, accepted boolean, reason string", delay=delay, **O.GATE)
+
+
 @query("ss_02", GATE + " select camera_id, event_id, hits, accepted, reason from g")
 def _(t):
-    job = lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None, 0, 0, 0), J.gate_step(), "camera_id string, event_id long, hits int, accepted boolean, reason string", "stage int, hits int, first long, last long", "at", "10 seconds")
-    return replay(timed(t), job)
+    return real(replay(frames(t), gate))
+
+
+@query("ss_02_out_of_order", GATE + " select camera_id, event_id, hits, accepted, reason from g")
+def _(t):
+    """Rows come up to 20 seconds late, over four micro-batches; the delay of the watermark holds them all."""
+    arrival = F.greatest(F.col("t_us") + F.col("event_id") * 7919 % 20 * 1_000_000, F.lit(0))
+    batch = F.when(F.col("event_id") < 0, 4).otherwise(F.least((arrival / 45_000_000).cast("int"), F.lit(3)))
+    return real(replay(frames(t), lambda s: gate(s, "21 seconds"), batch=batch, batches=5))
 
 
 @query("ss_03", FOLD.format(us="t_us", id="event_id", level="stage", drop="(e.lv = f.stage and f.t_us - e.at < 10000000)", rows="v_frames"))
 def _(t):
-    return replay(timed(t), lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None, 0), J.cooldown_step(), "camera_id string, event_id long", "level int, at long", "at", "10 seconds"))
+    job = lambda s: O.in_order(s, "camera_id", "at", ["event_id"], O.cooldown_rule(), ["t_us", "stage"], "level int, at long", "camera_id string, event_id long")
+    return real(replay(frames(t), job))
 
 
 @query("ss_03_alerts", ALERTS)
 def _(t):
-    return replay(timed(t), lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (0, None), J.alert_step(3), "camera_id string, event_id long", "row int, at long", "at", "1 hour"))
+    job = lambda s: O.in_order(s, "camera_id", "at", ["event_id"], O.alert_rule(3), ["t_us", "stage"], "row int, at long", "camera_id string, event_id long", silence="1 hour")
+    return real(replay(frames(t), job))
 
 
 @query("ss_04", """select sensor_id, us // 86400000000 as day from v_env group by 1, 2""")
@@ -100,9 +116,11 @@ def _(t):
 e as (select camera_id, rn, event_id, {", ".join(f"p{k} as s{k}" for k in range(5))} from f where rn = 1 union all select f.camera_id, f.rn, f.event_id, {", ".join(f"case when f.t_us - f.bt > 8000000 then f.p{k} else f.p{k} * 0.35e0 + e.s{k} * 0.65e0 end" for k in range(5))} from f join e on f.camera_id = e.camera_id and f.rn = e.rn + 1)
 select camera_id, event_id, cast(case greatest(s0, s1, s2, s3, s4) when s0 then 0 when s1 then 1 when s2 then 2 when s3 then 3 else 4 end as int) as ema_stage, round(greatest(s0, s1, s2, s3, s4), 6) as ema_confidence from e""")
 def _(t):
-    rows = timed(t).select("camera_id", "event_id", "t_us", "at", *(F.when(F.col("stage") == k, 0.5).otherwise(0.125).alias(f"p{k}") for k in range(5)))
-    state = "at long, " + ", ".join(f"s{k} double" for k in range(5))
-    return replay(rows, lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None,) + (0.0,) * 5, J.ema_step(), "camera_id string, event_id long, ema_stage int, ema_confidence double", state, "at", "8 seconds")).withColumn("ema_confidence", F.round("ema_confidence", 6))
+    rows = frames(t).select("camera_id", "event_id", "t_us", "at", *(F.when(F.col("stage") == k, 0.5).otherwise(0.125).alias(f"p{k}") for k in range(5)))
+    shares = [f"p{k}" for k in range(5)]
+    memory = "at long, " + ", ".join(f"s{k} double" for k in range(5))
+    job = lambda s: O.in_order(s, "camera_id", "at", ["event_id"], O.ema_rule(), ["t_us", *shares], memory, "camera_id string, event_id long, ema_stage int, ema_confidence double", silence="8 seconds")
+    return real(replay(rows, job)).withColumn("ema_confidence", F.round("ema_confidence", 6))
 
 
 @query("ss_09")
@@ -114,4 +132,5 @@ def _(t):
 
 @query("ss_10", CHANGES.format(least=0).replace("us, id", "t_us, event_id").replace("select id, camera_id, level, us", "select camera_id, event_id, level").replace("v_flood", "(select *, stage as level from v_frames)"))
 def _(t):
-    return replay(timed(t), lambda s: J.ordered_state(s, "camera_id", ["t_us", "event_id"], (None,), J.change_step(), "camera_id string, event_id long, level int", "level int", "at", "30 days"))
+    job = lambda s: O.in_order(s, "camera_id", "at", ["event_id"], O.change_rule(), ["stage"], "level int", "camera_id string, event_id long, level int", silence="30 days")
+    return real(replay(frames(t), job))

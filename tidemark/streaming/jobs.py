@@ -1,5 +1,6 @@
 """Structured Streaming jobs. Rows later than the watermark are dropped (the batch twins see all rows). Windows and
-sessions use Spark's own state; rules that depend on what they decided before keep a small state for each key."""
+sessions use Spark's own state; rules that depend on what they decided before are in ``ordered``, the tracker's frames
+keep a small state for each camera."""
 
 from __future__ import annotations
 
@@ -88,70 +89,6 @@ def ordered_state(stream: DataFrame, key: str, order: list[str], start: tuple, s
     return stream.withWatermark(time, "0 seconds").groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def gate_step(hits: int = 5, seconds: float = 3.0, vehicles: int = 2, ratio: float = 0.75, gap_seconds: float = 10.0, confidence: float = 0.70) -> Callable:
-    """The confirmation gate as a step: state (stage, hits, first, last); emits (event_id, hits, accepted, reason)."""
-
-    def step(state: tuple, r) -> tuple[tuple, tuple]:
-        none = (None, 0, 0, 0)
-        if r.confidence < confidence:
-            return none, (r.event_id, 0, False, "below_minimum_confidence")
-        if r.stage == 0:
-            return none, (r.event_id, 1, True, "normal_immediate")
-        if r.positive_votes < vehicles or r.positive_votes / max(r.total_votes, 1) < ratio:
-            return none, (r.event_id, 0, False, "insufficient_positive_vehicle_agreement")
-        same = state[0] == r.stage and r.t_us - state[3] <= gap_seconds * 1e6
-        now = (int(r.stage), state[1] + 1, state[2], int(r.t_us)) if same else (int(r.stage), 1, int(r.t_us), int(r.t_us))
-        done = now[1] >= hits and now[3] - now[2] >= seconds * 1e6
-        return now, (r.event_id, now[1], done, "confirmed" if done else "awaiting_repeated_confirmation")
-
-    return step
-
-
-def cooldown_step(seconds: float = 10.0) -> Callable:
-    """Saved rows: state (level, time of the last saved)."""
-
-    def step(state: tuple, r) -> tuple[tuple, tuple | None]:
-        if state[0] == r.stage and r.t_us - state[1] < seconds * 1e6:
-            return state, None
-        return (int(r.stage), int(r.t_us)), (r.event_id,)
-
-    return step
-
-
-def alert_step(frames: int = 5, least: int = 2, seconds: float = 30.0) -> Callable:
-    """Alerts: state (frames in a row that reach ``least``, time of the last alert)."""
-
-    def step(state: tuple, r) -> tuple[tuple, tuple | None]:
-        row = min(state[0] + 1, frames) if r.stage >= least else 0
-        if row < frames or (state[1] is not None and r.t_us - state[1] < seconds * 1e6):
-            return (row, state[1]), None
-        return (row, int(r.t_us)), (r.event_id,)
-
-    return step
-
-
-def change_step() -> Callable:
-    """Level changes: state (last level)."""
-
-    def step(state: tuple, r) -> tuple[tuple, tuple | None]:
-        return (int(r.stage),), (None if state[0] == r.stage else (r.event_id, int(r.stage)))
-
-    return step
-
-
-def ema_step(alpha: float = 0.35, reset_seconds: float = 8.0) -> Callable:
-    """Smoothed vote shares p0..p4: state (time, s0..s4)."""
-
-    def step(state: tuple, r) -> tuple[tuple, tuple]:
-        p = [r.p0, r.p1, r.p2, r.p3, r.p4]
-        if state[0] is not None and r.t_us - state[0] <= reset_seconds * 1e6:
-            p = [x * alpha + y * (1 - alpha) for x, y in zip(p, state[1:])]
-        top = max(p)
-        return (int(r.t_us), *p), (r.event_id, p.index(top), top)
-
-    return step
-
-
 def track_step(gap: int = 1) -> Callable:
     """Tracks of the confirmed boxes of whole frames (a list in ``boxes``): state (JSON of what is remembered)."""
     import json

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from tidemark.streaming.ordered import rocks_state
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -20,11 +22,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def replay(rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """The rows that a streaming job puts out until its input ends."""
+def replay(rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str = "append", batch: Column | None = None, batches: int = 1) -> DataFrame:
+    """The rows that a streaming job puts out until its input ends. With ``batch`` (a number below ``batches``), rows
+    come in so many files, one in each micro-batch, in that order."""
     spark, base = rows.sparkSession, shared_path(rows.sparkSession, "replay")
-    rows.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    run = job(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start()
-    run.awaitTermination()
+    stream = spark.readStream.schema(rows.schema)
+    if batch is None:
+        rows.write.parquet(f"{base}/in")
+    else:
+        stream = stream.option("maxFilesPerTrigger", 1)
+        for k in range(batches):
+            rows.where(batch == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    with rocks_state(spark):
+        sink = job(stream.parquet(f"{base}/in")).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
+        run = sink.trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start()
+        run.awaitTermination()
     return spark.read.parquet(f"{base}/out")
