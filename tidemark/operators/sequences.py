@@ -1,8 +1,7 @@
 """Operators along time: changes, runs, gates, folds and carries. Orders are total (time, then id).
 
-Where a rule depends on what it decided before, a key's rows are first cut where the rule forgets it: cooldowns at level
-changes and silences, so that a fold (inside the JVM) holds one run of equal levels; smoothing looks back over as many
-rows as still count in a double.
+Where a rule depends on what it decided before, no task gathers a key's rows: cooldowns compose the function from a row
+to the next one taken (``spacing``); smoothing looks back over as many rows as still count in a double.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.spacing import spaced
+
 
 def changes_only(events: DataFrame, key: str = "camera_id", level: str = "level", least: int = 0, time: str = "detected_at", tie: str = "id") -> DataFrame:
     """Rows whose level differs from the older row's of the key (the oldest counts); the floor applies afterwards."""
@@ -85,29 +86,9 @@ def gate(frames: DataFrame, key: str = "camera_id", micros: str = "t_us", tie: s
     )
 
 
-def _spaced(rows: DataFrame, keys: list[str], micros: str, tie: str, apart_us: int, level: str | None = None) -> DataFrame:
-    """keys, micros, tie of rows that are taken: one is skipped within ``apart_us`` of the last taken row (of the same
-    level). The first row after a change of level or a silence of ``apart_us`` is always taken, so rows are cut there
-    and each run is folded by itself, one number a row."""
-    order = Window.partitionBy(*keys).orderBy(micros, tie)
-    starts = F.lag(micros).over(order).isNull() | (F.col(micros) - F.lag(micros).over(order) >= apart_us)
-    if level is not None:
-        starts = starts | ~F.col(level).eqNullSafe(F.lag(level).over(order))
-    runs = rows.withColumn("_starts", F.when(starts, 1).otherwise(0)).withColumn("_run", F.sum("_starts").over(order))
-    items = F.array_sort(F.collect_list(F.struct(micros, tie)))
-    start = F.struct(F.lit(None).cast("long").alias("at"), F.expr(f"cast(array() as array<struct<{micros}:bigint,{tie}:bigint>>)").alias("taken"))
-
-    def step(state: Column, row: Column) -> Column:
-        skip = F.coalesce(row[micros] - state["at"] < apart_us, F.lit(False))
-        return F.when(skip, state).otherwise(F.struct(row[micros].alias("at"), F.concat(state["taken"], F.array(F.struct(row[micros].alias(micros), row[tie].alias(tie)))).alias("taken")))
-
-    folded = runs.groupBy(*keys, "_run").agg(items.alias("_items")).select(*keys, F.aggregate("_items", start, step).alias("_s"))
-    return folded.select(*keys, F.explode("_s.taken").alias("t")).select(*keys, f"t.{micros}", f"t.{tie}")
-
-
 def save_cooldown(rows: DataFrame, keys: list[str], micros: str = "us", tie: str = "id", level: str = "level", seconds: float = 10.0) -> DataFrame:
     """keys, ids of the rows saved: a row of the same level within ``seconds`` of the last *saved* row is dropped."""
-    return _spaced(rows, keys, micros, tie, int(seconds * 1e6), level).drop(micros)
+    return spaced(rows, keys, micros, tie, int(seconds * 1e6), level).drop(micros)
 
 
 def alerts(rows: DataFrame, keys: list[str], micros: str = "t_us", tie: str = "event_id", level: str = "stage", frames: int = 5, least: int = 2, seconds: float = 30.0) -> DataFrame:
@@ -115,7 +96,7 @@ def alerts(rows: DataFrame, keys: list[str], micros: str = "t_us", tie: str = "e
     ``seconds`` old; the first is always allowed."""
     span = Window.partitionBy(*keys).orderBy(micros, tie).rowsBetween(1 - frames, 0)
     full = rows.withColumn("_low", F.min(level).over(span)).withColumn("_n", F.count(level).over(span)).where((F.col("_n") == frames) & (F.col("_low") >= least))
-    return _spaced(full, keys, micros, tie, int(seconds * 1e6)).drop(micros)
+    return spaced(full, keys, micros, tie, int(seconds * 1e6)).drop(micros)
 
 
 def stage_ema(votes: DataFrame, key: str, micros: str, tie: str, shares: str = "shares", alpha: float = 0.35, reset_seconds: float = 8.0, look_back: int = 96) -> DataFrame:
@@ -134,10 +115,33 @@ def stage_ema(votes: DataFrame, key: str, micros: str, tie: str, shares: str = "
 def sampled(rows: DataFrame, keys: list[str], micros: str = "us", tie: str = "id", level: str = "level", seconds: float = 8.0, keep: int = 720) -> DataFrame:
     """keys, ids of live samples: a row is taken at a level change or ``seconds`` after the last taken one; the newest
     ``keep`` stay."""
-    taken = _spaced(rows, keys, micros, tie, int(seconds * 1e6), level)
+    taken = spaced(rows, keys, micros, tie, int(seconds * 1e6), level)
     return top_per_key(taken, keys, [F.desc(micros), F.desc(tie)], keep).drop(micros)
 
 
+def merged_history(stored: DataFrame, live: DataFrame, keys: list[str], start_us: int, end_us: int, micros: str = "us", tie: str = "id", level: str = "level", within_seconds: float = 1.0) -> DataFrame:
+    """keys, micros, tie, level, live: stored and live points of a range in order of time (stored before live at equal
+    times); a point is left out if the one before it has its level and is at most ``within_seconds`` older."""
+    columns = [*keys, micros, tie, level]
+    both = stored.select(*columns, F.lit(False).alias("live")).unionByName(live.select(*columns, F.lit(True).alias("live")))
+    rows = both.where(F.col(micros).between(start_us, end_us))
+    before = F.lag(F.struct(F.col(micros).alias("t"), F.col(level).alias("l"))).over(Window.partitionBy(*keys).orderBy(micros, "live", tie))
+    near = (F.col(micros) - F.col("_before.t") <= int(within_seconds * 1e6)) & F.col("_before.l").eqNullSafe(F.col(level))
+    return rows.withColumn("_before", before).where(~F.coalesce(near, F.lit(False))).drop("_before")
+
+
+def combined_history(points: DataFrame, live: DataFrame, keys: list[str], start_us: int, end_us: int, values: list[str], micros: str = "us", tie: str = "id", level: str = "level") -> DataFrame:
+    """keys, micros, level, values, live: one point a time. Live points carry the values of the key's newest stored
+    point; at equal times a later point's fields stand over an earlier one's where it has them, live over stored."""
+    last = points.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(micros, tie)).alias("_last"))
+    match = [F.col(f"l.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    carried = live.alias("l").join(last.alias("p"), match, "left").select(*(F.col(f"l.{c}").alias(c) for c in [*keys, micros, tie, level]), *(F.col(f"_last.{v}").alias(v) for v in values), F.lit(True).alias("live"))
+    both = points.select(*keys, micros, tie, level, *values, F.lit(False).alias("live")).unionByName(carried)
+    order = F.struct(F.col("live").cast("int"), F.col(tie))
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in [level, *values]]
+    return both.where(F.col(micros).between(start_us, end_us)).groupBy(*keys, micros).agg(*newest, F.max("live").alias("live"))
+
+
 def velocity(tracks: DataFrame, keys: list[str], micros: str, tie: str, x: str, y: str, gain: float = 0.65, look_back: int = 40) -> DataFrame:
     """keys, tie, vx, vy: 0.65 of the last move plus 0.35 of the velocity before; a track starts at rest. Moves more
     than ``look_back`` rows back weigh less than 1e-17 and are left out."""

@@ -191,6 +191,29 @@ def _(t):
     return Q.sampled(t.v_frames, ["camera_id"], "t_us", "event_id", "stage")
 
 
+LIVE = "event_id % 3 = 0"  # these frames stand for the live ones
+
+
+@query("wn_15_merged", f"""with b as (select camera_id, t_us, event_id, stage, {LIVE} as live from v_frames where t_us between 20000000 and 150000000),
+p as (select *, lag(t_us) over w as bt, lag(stage) over w as bs from b window w as (partition by camera_id order by t_us, live, event_id))
+select camera_id, t_us, event_id, stage, live from p where bt is null or t_us - bt > 1000000 or bs <> stage""")
+def _(t):
+    live, stored = t.v_frames.where(LIVE), t.v_frames.where(f"not ({LIVE})")
+    return Q.merged_history(stored, live, ["camera_id"], 20_000_000, 150_000_000, "t_us", "event_id", "stage")
+
+
+@query("wn_15_combined", f"""with f as (select *, (t_us // 2000000) * 2000000 as slot, case when k % 4 = 0 then null else k end as rain, case when k % 5 = 0 then null else k * 2 end as sewer from v_frames),
+s as (select camera_id, slot, event_id, stage, rain, sewer, false as live from f where not ({LIVE})),
+e as (select camera_id, arg_max({{'r': rain, 's': sewer}}, slot * 1000000 + event_id) as e from s group by 1),
+b as (select * from s union all select f.camera_id, slot, event_id, stage, e.e.r, e.e.s, true from f left join e on e.camera_id = f.camera_id where {LIVE}),
+c as (select *, case when live then 1000000000 else 0 end + event_id as place from b where slot between 20000000 and 150000000)
+select camera_id, slot, arg_max(stage, place) as stage, arg_max(rain, place) as rain, arg_max(sewer, place) as sewer, bool_or(live) as live from c group by 1, 2""")
+def _(t):
+    rain, sewer = F.when(F.col("k") % 4 != 0, F.col("k")), F.when(F.col("k") % 5 != 0, F.col("k") * 2)
+    rows = t.v_frames.select("camera_id", "event_id", "stage", F.expr("t_us div 2000000 * 2000000").alias("slot"), rain.alias("rain"), sewer.alias("sewer"))
+    return Q.combined_history(rows.where(f"not ({LIVE})"), rows.where(LIVE), ["camera_id"], 20_000_000, 150_000_000, ["rain", "sewer"], "slot", "event_id", "stage")
+
+
 @query("wn_16", """select a.user_id, count(*) filter (where not ok and (last_ok is null or us > last_ok)) as failures, make_timestamp(last_ok) as last_success, max(ts) as last_attempt from (select *, event_type <> 'error' as ok, max(case when event_type <> 'error' then us end) over (partition by user_id) as last_ok from v_events) a group by a.user_id, last_ok""")
 def _(t):
     return Q.failure_runs(t.v_events.withColumn("ok", F.col("event_type") != "error"), "user_id", "ts", "event_id", "ok")
