@@ -1,33 +1,55 @@
 """Terrain screening on long tables of cells, one grid for each flood source.
 
-A source's grid has at most 101 x 101 cells, so rules that walk over a grid (reachability, spill heights) run per source
-as grouped pandas; everything else is columns, windows and joins."""
+Rules that walk over a grid (reachability, spill heights, growing patches) run on stacks of grids (``grids``); everything
+else is columns, windows and joins. A source's grid has at most 101 x 101 cells."""
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.scalars import level_of, stage_depth
 from tidemark.functions.space import flat_metres
+from tidemark.operators import grids
 
-# fixed values: steps to the eight neighbours
-AROUND = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]
+# fixed values: the deepest water by stage, the least depth of each band and the most that it shows, in metres
 STAGE_CAP_M = (0.0, 0.119, 0.349, 0.599, 1.2)
 BANDS_M = (0.01, 0.12, 0.35, 0.60)
+SHOWN_M = (0.119, 0.349, 0.599, None)
+# fixed values: metres around a source, by kind: at stage 0, for each stage, for each millimetre of rain, and most for rain
+REACH_M = {"CCTV": (160.0, 90.0, 4.0, 120.0), "other": (150.0, 115.0, 4.0, 180.0)}
+METRES_A_DEGREE = (110_540.0, 111_320.0)  # of latitude, and of longitude at the equator
 
 
-def analysis_grid(sources: DataFrame, cell_m: float = 30.0, base_radius_m: float = 150.0, most: int = 101) -> DataFrame:
-    """source_id, r, c, lat, lon: an odd grid of 11 to ``most`` cells a side around each source, wider with stage and rain."""
-    radius = base_radius_m + 60.0 * F.col("stage") + F.least(2.0 * F.col("rain_mm"), F.lit(200.0))
-    half = F.least(F.greatest(F.ceil(radius / cell_m), F.lit(5)), F.lit((most - 1) // 2))
-    rows = sources.withColumn("_h", half.cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), 2 * F.col("_h")))).withColumn("c", F.explode(F.sequence(F.lit(0), 2 * F.col("_h"))))
-    return rows.select("source_id", "r", "c", (F.col("lat") - (F.col("r") - F.col("_h")) * cell_m / 110_540.0).alias("lat"), (F.col("lon") + (F.col("c") - F.col("_h")) * cell_m / (111_320.0 * F.cos(F.radians("lat")))).alias("lon"))
+def stage_of(stage: Column) -> Column:
+    return F.least(F.greatest(F.coalesce(stage, F.lit(1)), F.lit(1)), F.lit(4))
+
+
+def sized_sources(sources: DataFrame, cell_m: float = 15.0, most_m: float = 1000.0, most_cells: int = 101) -> DataFrame:
+    """Sources (lat, lon, stage, rain_mm, kind) with the half width of their grids in cells (``half``), radius_m, cell_m
+    (8 to 30) and the degrees of a cell (dlat, dlon). A grid has an odd number of 11 to ``most_cells`` cells a side."""
+    cell = min(30.0, max(8.0, cell_m))
+    stage, rain = stage_of(F.col("stage")), F.greatest(F.coalesce("rain_mm", F.lit(0.0)), F.lit(0.0))
+    reach = lambda kind: REACH_M[kind][0] + REACH_M[kind][1] * stage + F.least(REACH_M[kind][2] * rain, F.lit(REACH_M[kind][3]))
+    radius = F.when(F.upper("kind") == "CCTV", reach("CCTV")).otherwise(reach("other"))
+    radius = F.least(F.lit(most_m), F.greatest(F.lit(3 * cell), radius))
+    count = F.least(F.greatest(F.ceil(2 * radius / cell) + 1, F.lit(11)), F.lit(most_cells))
+    half = F.floor(count / 2).cast("int")  # an even count gets one more
+    degree = F.greatest(F.lit(1000.0), METRES_A_DEGREE[1] * F.cos(F.radians("lat")))
+    rows = sources.withColumn("half", half).withColumn("cell_m", F.lit(cell))
+    return rows.withColumns({"radius_m": F.col("half") * cell, "dlat": F.lit(cell / METRES_A_DEGREE[0]), "dlon": cell / degree})
+
+
+def analysis_grid(sources: DataFrame, cell_m: float = 15.0, most_m: float = 1000.0, most_cells: int = 101) -> DataFrame:
+    """source_id, r, c, lat, lon: the cells of the grid around each source; rows go north, columns east."""
+    side = F.sequence(F.lit(0), 2 * F.col("half"))
+    rows = sized_sources(sources, cell_m, most_m, most_cells).withColumn("r", F.explode(side)).withColumn("c", F.explode(side))
+    along = lambda place, degrees: (F.col(place) - F.col("half")) * F.col(degrees)
+    return rows.select("source_id", "r", "c", (F.col("lat") + along("r", "dlat")).alias("lat"), (F.col("lon") + along("c", "dlon")).alias("lon"))
 
 
 def line_cells(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,75 +60,123 @@ def line_cells(segments: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, at("r0", "r1").cast("int").alias("r"), at("c0", "c1").cast("int").alias("c")).distinct()
 
 
+def grid_lines(points: DataFrame, sources: DataFrame, cell_m: float = 15.0, tile_m: float = 2000.0) -> DataFrame:
+    """source_id, r, c: cells of each source's grid that lines(id, line, point, lon, lat) cross. Segments are cut into
+    pieces no longer than a coarse tile, a grid takes the tiles that it touches, and a segment is drawn in a grid only
+    between where it enters and leaves it, so the work follows the length of the lines near grids."""
+    order = Window.partitionBy("id", "line").orderBy("point")
+    to = F.lead(F.struct("lon", "lat")).over(order)
+    segments = points.withColumn("_to", to).where("_to is not null").select("id", "line", "point", F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.col("_to.lon").alias("x1"), F.col("_to.lat").alias("y1"))
+    size = tile_m / METRES_A_DEGREE[0]
+    pieces = F.ceil(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))) / size) + 1
+    tile = lambda v: F.floor(v / size)
+    at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_n")
+    cut = segments.withColumn("_n", pieces).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    ends = {f"_{v}{e}": at(f"{v}0", f"{v}1", F.col("_k") + e) for v in "xy" for e in (0, 1)}
+    cut = cut.withColumns(ends)
+    spread = lambda v: F.sequence(tile(F.least(f"_{v}0", f"_{v}1")), tile(F.greatest(f"_{v}0", f"_{v}1")))
+    dealt = cut.withColumn("_tx", F.explode(spread("x"))).withColumn("_ty", F.explode(spread("y"))).select("id", "line", "point", "x0", "y0", "x1", "y1", "_tx", "_ty").distinct()
+    grid = sized_sources(sources, cell_m).select("source_id", "half", "dlat", "dlon", (F.col("lat") - F.col("half") * F.col("dlat")).alias("_lat0"), (F.col("lon") - F.col("half") * F.col("dlon")).alias("_lon0"))
+    covers = lambda start, step: F.sequence(tile(F.col(start) - F.col(step)), tile(F.col(start) + (2 * F.col("half") + 1) * F.col(step)))
+    touched = grid.withColumn("_tx", F.explode(covers("_lon0", "dlon"))).withColumn("_ty", F.explode(covers("_lat0", "dlat")))
+    pairs = dealt.join(touched, ["_tx", "_ty"]).drop("_tx", "_ty").dropDuplicates(["source_id", "id", "line", "point"])
+    cell = lambda v, start, step: F.bround((F.col(v) - F.col(start)) / F.col(step)).cast("long")
+    pairs = pairs.withColumns({f"{n}{e}": cell(f"{v}{e}", f"_{long}0", f"d{long}") for n, v, long in (("r", "y", "lat"), ("c", "x", "lon")) for e in (0, 1)})
+    return _drawn(pairs, ["source_id"], 2 * F.col("half"))
+
+
+def _drawn(segments: DataFrame, keys: list[str], last: Column) -> DataFrame:
+    """Cells of segments as ``line_cells`` has them, only those from 0 to ``last``."""
+    n = F.greatest(F.abs(F.col("r1") - F.col("r0")), F.abs(F.col("c1") - F.col("c0")))
+    rows = segments.withColumns({"_n": n, "_last": last})
+
+    def bound(a: str, b: str, low: bool) -> Column:
+        """The first or last step at which a coordinate lies inside (a step to spare)."""
+        d = F.col(b) - F.col(a)
+        enters = F.when(d > 0, F.lit(-1) - F.col(a)).otherwise(F.col("_last") + 1 - F.col(a))
+        leaves = F.when(d > 0, F.col("_last") + 1 - F.col(a)).otherwise(F.lit(-1) - F.col(a))
+        inside = F.col(a).between(0, F.col("_last"))
+        free = F.when(inside, F.lit(0) if low else F.col("_n")).otherwise(F.col("_n") + 1 if low else F.lit(-1))
+        step = (enters if low else leaves) * F.col("_n") / d
+        return F.when(d == 0, free).otherwise(F.floor(step) if low else F.ceil(step))
+
+    first = F.greatest(F.lit(0), bound("r0", "r1", True), bound("c0", "c1", True))
+    final = F.least(F.col("_n"), bound("r0", "r1", False), bound("c0", "c1", False))
+    rows = rows.withColumns({"_first": first.cast("long"), "_final": final.cast("long")}).where("_first <= _final")
+    rows = rows.withColumn("_k", F.explode(F.sequence("_first", "_final")))
+    at = lambda a, b: F.when(F.col("_n") == 0, F.col(a)).otherwise(F.floor(F.col(a) + (F.col(b) - F.col(a)) * F.col("_k") / F.col("_n") + 0.5))
+    cells = rows.select(*keys, at("r0", "r1").cast("int").alias("r"), at("c0", "c1").cast("int").alias("c"), "_last")
+    return cells.where(F.col("r").between(0, F.col("_last")) & F.col("c").between(0, F.col("_last"))).drop("_last").distinct()
+
+
 def buffered(cells: DataFrame, keys: list[str], reach_r: int, reach_c: int) -> DataFrame:
-    """Cells within an ellipse of the given cells."""
-    steps = [(r, c) for r in range(-reach_r, reach_r + 1) for c in range(-reach_c, reach_c + 1) if (r / max(reach_r, 1)) ** 2 + (c / max(reach_c, 1)) ** 2 <= 1]
+    """Cells within an ellipse of the given cells; a row of it is as wide as the ellipse there, rounded."""
+    wide = lambda r: round(reach_c * math.sqrt(1 - (r / reach_r) ** 2)) if reach_r else reach_c
+    steps = [(r, c) for r in range(-reach_r, reach_r + 1) for c in range(-wide(r), wide(r) + 1)]
     offsets = F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in steps))
     rows = cells.withColumn("_o", F.explode(offsets))
     return rows.select(*keys, (F.col("r") + F.col("_o.dr")).alias("r"), (F.col("c") + F.col("_o.dc")).alias("c")).distinct()
 
 
-def _reached(grid: pd.DataFrame, allowed: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Allowed cells that are 8-connected to allowed starts."""
-    r, c = grid["r"].to_numpy(), grid["c"].to_numpy()
-    shape = (int(r.max()) + 3, int(c.max()) + 3)
-    free, seen = np.zeros(shape, bool), np.zeros(shape, bool)
-    free[r + 1, c + 1] = allowed
-    seen[r + 1, c + 1] = allowed & start
-    while True:
-        grown = seen.copy()
-        for dr, dc in AROUND:
-            grown[1:-1, 1:-1] |= seen[1 + dr : shape[0] - 1 + dr, 1 + dc : shape[1] - 1 + dc]
-        grown &= free
-        if (grown == seen).all():
-            return seen[r + 1, c + 1]
-        seen = grown
-
-
 def open_sea(grid: DataFrame, most_elevation: float = 0.35) -> DataFrame:
     """source_id, r, c of low cells that low cells join to the grid's edge."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        edge = (g["r"] == g["r"].min()) | (g["r"] == g["r"].max()) | (g["c"] == g["c"].min()) | (g["c"] == g["c"].max())
-        return g[_reached(g, (g["elev"] <= most_elevation).to_numpy(), edge.to_numpy())][["source_id", "r", "c"]]
+    def walk(held: np.ndarray, v: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
+        low = held & (v["elev"] <= most_elevation)
+        edge = np.zeros(held.shape, bool)
+        for axis in (0, 1):  # the first and last cell that the grid holds along each line
+            lines = np.moveaxis(held, axis, 0)
+            beyond = np.concatenate((np.zeros_like(lines[:1]), lines, np.zeros_like(lines[:1])))
+            np.moveaxis(edge, axis, 0)[:] |= lines & (~beyond[:-2] | ~beyond[2:])
+        return grids.reached(low, edge), {}
 
-    return grid.select("source_id", "r", "c", "elev").groupBy("source_id").applyInPandas(run, grid.select("source_id", "r", "c").schema)
+    return grids.walked(grid.select("source_id", "r", "c", "elev"), walk, "")
 
 
-def wet_component(grid: DataFrame, seeds: DataFrame, wet: str) -> DataFrame:
-    """source_id, r, c of wet cells that wet cells join to the source's seed (seed_r, seed_c)."""
-    rows = grid.join(seeds, "source_id").select("source_id", "r", "c", F.col(wet).alias("_wet"), "seed_r", "seed_c")
+def _with_seed(grid: DataFrame, seeds: DataFrame, *columns: str) -> DataFrame:
+    at_seed = (F.col("r") == F.col("seed_r")) & (F.col("c") == F.col("seed_c"))
+    return grid.join(seeds.select("source_id", "seed_r", "seed_c"), "source_id").select("source_id", "r", "c", *columns, at_seed.alias("seed"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        seed = (g["r"] == g["seed_r"]) & (g["c"] == g["seed_c"])
-        return g[_reached(g, g["_wet"].to_numpy(bool), seed.to_numpy())][["source_id", "r", "c"]]
 
-    return rows.groupBy("source_id").applyInPandas(run, grid.select("source_id", "r", "c").schema)
+def wet_component(grid: DataFrame, seeds: DataFrame, wet: str) -> DataFrame:
+    """source_id, r, c of wet cells that wet cells join to the source's seed (seed_r, seed_c)."""
+    walk = lambda held, v: (grids.reached(held & v[wet].astype(bool), v["seed"].astype(bool)), {})
+    return grids.walked(_with_seed(grid, seeds, wet), walk, "")
 
 
 def spill_heights(grid: DataFrame, seeds: DataFrame, cell_m: float = 30.0, friction_m_per_km: float = 0.4) -> DataFrame:
     """source_id, r, c, spill: the least, over paths from the seed, of the highest cell and the friction on the way."""
-    kind = "source_id {}, r int, c int, spill double".format(grid.schema["source_id"].dataType.simpleString())
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        height = {(r, c): e for r, c, e in zip(g["r"].tolist(), g["c"].tolist(), g["elev"].tolist())}
-        seed = (int(g["seed_r"].iloc[0]), int(g["seed_c"].iloc[0]))
-        best, heap = {seed: height[seed]}, [(height[seed], seed)]
-        while heap:
-            cost, at = heapq.heappop(heap)
-            if cost > best[at]:
-                continue
-            for dr, dc in AROUND:
-                to = (at[0] + dr, at[1] + dc)
-                if to in height:
-                    step = max(cost + friction_m_per_km / 1000 * cell_m * math.hypot(dr, dc), height[to])
-                    if step < best.get(to, math.inf):
-                        best[to] = step
-                        heapq.heappush(heap, (step, to))
-        return pd.DataFrame({"source_id": g["source_id"].iloc[0], "r": [k[0] for k in best], "c": [k[1] for k in best], "spill": list(best.values())})
-
-    rows = grid.join(seeds, "source_id").select("source_id", "r", "c", "elev", "seed_r", "seed_c")
-    return rows.groupBy("source_id").applyInPandas(run, kind)
+    step = friction_m_per_km / 1000 * cell_m
+
+    def walk(held: np.ndarray, v: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
+        found = grids.spill(np.where(held, v["elev"], np.inf), held & v["seed"].astype(bool), step)
+        return held & np.isfinite(found), {"spill": found}
+
+    return grids.walked(_with_seed(grid, seeds, "elev"), walk, "spill double")
+
+
+def snapped_seeds(grid: DataFrame, sources: DataFrame, cell_m: float = 15.0, reach_m: float = 90.0) -> DataFrame:
+    """source_id, seed_r, seed_c, seed_elev: a camera's own cell, the grid's middle; for other kinds the cell within
+    ``reach_m`` of it that is low, flat and near (elevation + 25 slope + 0.045 a metre), the first by row and column."""
+    middle = grid.groupBy("source_id").agg(F.floor(F.max("r") / 2).cast("int").alias("_m"))
+    rows = slope(grid, cell_m).join(middle, "source_id").join(sources.select("source_id", "kind"), "source_id")
+    away = F.sqrt(F.pow(F.col("r") - F.col("_m"), F.lit(2.0)) + F.pow(F.col("c") - F.col("_m"), F.lit(2.0))) * cell_m
+    free = F.coalesce(F.upper("kind") != "CCTV", F.lit(True))
+    near = rows.where(F.when(free, away <= reach_m + 1e-6).otherwise(away == 0))
+    best = F.min(F.struct((F.col("elev") + F.col("slope") * 25.0 + away * 0.045).alias("score"), "r", "c", "elev"))
+    return near.groupBy("source_id").agg(best.alias("b")).select("source_id", F.col("b.r").alias("seed_r"), F.col("b.c").alias("seed_c"), F.col("b.elev").alias("seed_elev"))
+
+
+def water_masks(grid: DataFrame, hydro: DataFrame, cell_m: float = 15.0, buffer_m: float = 35.0, sea_m: float = 0.35) -> DataFrame:
+    """The grid with ``hydro`` (cells of water lines and of the open sea) and ``water`` (those and the lines' banks)."""
+    sea = open_sea(grid, sea_m).withColumn("_sea", F.lit(True))
+    reach = max(1, round(buffer_m / max(1.0, cell_m)))
+    banks = buffered(hydro, ["source_id"], reach, reach) if buffer_m > 0 else hydro
+    rows = grid
+    for cells, name in ((sea, "_sea"), (hydro, "_core"), (banks, "_bank")):
+        rows = rows.join(cells.select("source_id", "r", "c").distinct().withColumn(name, F.lit(True)), ["source_id", "r", "c"], "left")
+    sea, core, bank = (F.coalesce(n, F.lit(False)) for n in ("_sea", "_core", "_bank"))
+    return rows.withColumns({"hydro": sea | core, "water": sea | bank}).drop("_sea", "_core", "_bank")
 
 
 def slope(grid: DataFrame, cell_m: float = 30.0) -> DataFrame:
@@ -188,43 +258,78 @@ RUNOFF, HELD, LEAST_M3 = 0.68, 0.62, 250.0
 
 
 def depth(grid: DataFrame, sources: DataFrame, spill: DataFrame, scores: DataFrame, cell_m: float = 30.0, radius_m: float = 600.0, decay: float = 0.08, slope_scale: float = 0.075, support_m: float = 115.0, spare_m: float = 0.30, least_score: float = 0.26) -> DataFrame:
-    """source_id, r, c, depth_m: water above the ground where its surface reaches prone land, thinned by slope and
-    distance; around a seed of observed depth a footprint that no ridge cuts off; all scaled to the volume that rain and
-    seed bring and capped by stage; on water cells only at the seed, which keeps its depth."""
+    """source_id, r, c, depth_m, terrain_m: water above the ground where its surface reaches prone land, thinned by
+    slope and distance; around a seed of observed depth a footprint that no ridge cuts off; ``depth_m`` is scaled to the
+    volume that rain and seed bring, ``terrain_m`` is not (it tells how deep the ground lies, for classes); both are
+    capped by stage and leave out ``water`` cells (``hydro`` without such a column), but for the seed, which keeps its
+    depth. Sources may bring a radius_m of their own."""
+    radius = F.col("radius_m") if "radius_m" in sources.columns else F.lit(radius_m)
     rows = slope(grid, cell_m).join(spill, ["source_id", "r", "c"]).join(scores, ["source_id", "r", "c"]).join(sources, "source_id")
-    stage, rain = F.least(F.greatest(F.col("stage"), F.lit(1)), F.lit(4)), F.greatest(F.col("rain_mm"), F.lit(0.0))
-    seen = F.greatest(F.col("depth_cm") / 100, F.lit(0.0))
+    stage, rain = stage_of(F.col("stage")), F.greatest(F.coalesce("rain_mm", F.lit(0.0)), F.lit(0.0))
+    seen = F.greatest(F.coalesce("depth_cm", F.lit(0.0)) / 100, F.lit(0.0))
     cap = F.element_at(F.array(*map(F.lit, STAGE_CAP_M)), (stage + 1).cast("int"))
     surface = F.col("seed_elev") + F.least(cap, F.greatest(seen, 0.05 + rain * 0.012))
     away = F.sqrt(F.pow(F.col("r") - F.col("seed_r"), F.lit(2.0)) + F.pow(F.col("c") - F.col("seed_c"), F.lit(2.0))) * cell_m
     seed = away == 0
-    land = ~F.col("hydro") | seed
+    land = ~F.col("water" if "water" in grid.columns else "hydro") | seed
     prone = (F.col("score") >= least_score) | (away <= max(45.0, 2.5 * cell_m))
-    reached = (F.col("spill") <= surface + 1e-5) & (away <= radius_m) & prone & land
-    thinned = F.greatest(surface - F.col("elev"), F.lit(0.0)) * F.exp(-F.pow(F.col("slope") / slope_scale, F.lit(2.0))) * F.greatest(1 - decay * F.pow(away / radius_m, F.lit(2.0)), F.lit(1 - decay))
-    support = seen * F.exp(-F.pow(away / max(1.5 * cell_m, min(support_m, 0.45 * radius_m)), F.lit(2.0)))
+    reached = (F.col("spill") <= surface + 1e-5) & (away <= radius) & prone & land
+    far = F.greatest(radius, F.lit(cell_m))
+    thinned = F.greatest(surface - F.col("elev"), F.lit(0.0)) * F.exp(-F.pow(F.col("slope") / slope_scale, F.lit(2.0))) * F.greatest(1 - decay * F.pow(away / far, F.lit(2.0)), F.lit(1 - decay))
+    support = seen * F.exp(-F.pow(away / F.greatest(F.lit(1.5 * cell_m), F.least(F.lit(support_m), 0.45 * radius)), F.lit(2.0)))
     beside = (seen > 0) & (F.col("spill") <= F.col("seed_elev") + seen + spare_m) & land
     found = F.greatest(F.when(reached, thinned).otherwise(0.0), F.when(beside, support).otherwise(0.0))
     rows = rows.withColumns({"_cap": cap, "_d": found, "_seed": F.when(seed, F.least(seen, F.lit(STAGE_CAP_M[-1]))).otherwise(0.0)})
-    catchment = F.least(F.lit(radius_m), 300.0 + 130.0 * F.col("stage"))
+    catchment = F.least(radius, 300.0 + 130.0 * F.coalesce("stage", F.lit(1)))
     budget = F.greatest(F.lit(LEAST_M3), rain / 1000 * math.pi * F.pow(catchment, F.lit(2.0)) * RUNOFF + seen * math.pi * support_m**2 * HELD)
     volume = F.sum("_d").over(Window.partitionBy("source_id")) * cell_m**2
     rows = rows.withColumn("_scale", F.when(volume > budget, budget / volume).otherwise(1.0))
-    value = F.greatest(F.least(F.col("_d") * F.col("_scale"), F.col("_cap")), F.col("_seed"))
-    return rows.select("source_id", "r", "c", F.round(F.when(value < BANDS_M[0], 0.0).otherwise(value), 6).alias("depth_m"))
-
-
-def bands(depths: DataFrame, cell_m: float = 30.0) -> DataFrame:
-    """source_id, level, cells, area_m2, max_depth_m of the cells at or above each band's depth."""
-    rows = depths.withColumn("level", F.explode(F.array(*(F.when(F.col("depth_m") >= b, k) for k, b in enumerate(BANDS_M, 1))))).where("level is not null")
-    return rows.groupBy("source_id", "level").agg(F.count("*").alias("cells"), (F.count("*") * cell_m**2).alias("area_m2"), F.max("depth_m").alias("max_depth_m"))
 
-
-def least_footprint(reachable: DataFrame, sources: DataFrame, counts: tuple[int, ...] = (0, 5, 10, 18, 30)) -> DataFrame:
-    """For sources without any band: the cells of lowest (spill, distance), 5 to 30 by stage."""
-    n = F.element_at(F.array(*map(F.lit, counts)), (F.col("stage") + 1).cast("int"))
-    rows = reachable.join(sources.select("source_id", "stage"), "source_id").withColumn("_rank", F.row_number().over(Window.partitionBy("source_id").orderBy("spill", "distance", "r", "c")))
-    return rows.where(F.col("_rank") <= n).select("source_id", "r", "c")
+    def shown(value: Column) -> Column:
+        value = F.greatest(F.least(value, F.col("_cap")), F.col("_seed"))
+        return F.round(F.when(value < BANDS_M[0], 0.0).otherwise(value), 6)
+
+    return rows.select("source_id", "r", "c", shown(F.col("_d") * F.col("_scale")).alias("depth_m"), shown(F.col("_d")).alias("terrain_m"))
+
+
+def bands(depths: DataFrame, cell_m: float = 30.0, least_cells: int = 1) -> DataFrame:
+    """source_id, level, cells, area_m2, max_depth_m, shown_depth_m of the wet cells (by depth_m) whose terrain_m is at
+    or above each band's depth; bands are nested. What a band shows ends where the next one starts."""
+    levels = F.array(*(F.when(F.col("terrain_m") >= b, k) for k, b in enumerate(BANDS_M, 1)))
+    rows = depths.where(F.col("depth_m") >= BANDS_M[0]).withColumn("level", F.explode(levels)).where("level is not null")
+    found = rows.groupBy("source_id", "level").agg(F.count("*").alias("cells"), (F.count("*") * cell_m**2).alias("area_m2"), F.max("terrain_m").alias("max_depth_m"))
+    most = F.element_at(F.array(*map(F.lit, SHOWN_M)), F.col("level"))
+    return found.where(F.col("cells") >= least_cells).withColumn("shown_depth_m", F.least("max_depth_m", most))
+
+
+def least_footprint(grid: DataFrame, sources: DataFrame, cell_m: float = 30.0, counts: tuple[int, ...] = (0, 5, 10, 18, 30), support_m: float = 115.0, spare_m: float = 0.30) -> DataFrame:
+    """source_id, r, c of a connected patch of 5 to 30 cells by stage around the seed, for sources (stage, depth_cm,
+    seed_r, seed_c, seed_elev) without any band. It grows from the seed to the open neighbour of least spill height,
+    distance (2.5 mm a metre) and height above the seed (a share of 0.15); not into water, not beyond a radius by stage,
+    and after four cells not above the seed's water by more than ``spare_m``. grid: source_id, r, c, elev, spill, water."""
+    stage = stage_of(F.col("stage"))
+    given = F.coalesce("depth_cm", F.lit(0.0))
+    seen = F.greatest(F.lit(0.01), F.when(given != 0, given).otherwise(stage_depth(F.coalesce("stage", F.lit(1)))) / 100)
+    reach = F.greatest(F.lit(1.5 * cell_m), F.least(F.lit(1.35 * support_m), 55.0 + 28.0 * stage))
+    far = F.sqrt(F.pow(F.col("r") - F.col("seed_r"), F.lit(2.0)) + F.pow(F.col("c") - F.col("seed_c"), F.lit(2.0))) * cell_m
+    at_seed = far == 0
+    order = F.when(at_seed, F.col("spill")).otherwise(F.col("spill") + far * 0.0025 + F.greatest(F.col("elev") - F.col("seed_elev"), F.lit(0.0)) * 0.15)
+    wanted = F.element_at(F.array(*map(F.lit, counts)), (stage + 1).cast("int"))
+    rows = grid.join(sources.select("source_id", "stage", "depth_cm", "seed_r", "seed_c", "seed_elev"), "source_id").where(far <= reach + 1e-6)
+    rows = rows.select("source_id", "r", "c", order.alias("least"), far.alias("far"), (~F.col("water")).alias("allowed"), at_seed.alias("seed"), (order > F.col("seed_elev") + seen + spare_m).alias("barred"), wanted.alias("wanted"))
+
+    def walk(held: np.ndarray, v: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
+        shape = held.shape
+        place = np.broadcast_to(np.arange(shape[0] * shape[1]).reshape(shape[:2])[:, :, None], shape)
+        flat = [a.reshape(-1, shape[2]) for a in (place, v["far"], np.where(held, v["least"], np.inf))]
+        rank = np.empty(flat[0].shape)
+        np.put_along_axis(rank, np.lexsort(flat, axis=0), np.arange(len(rank), dtype=float)[:, None], 0)  # ties: nearer, then by place
+        bools = {k: held & v[k].astype(bool) for k in ("allowed", "seed", "barred")}
+        most = v["wanted"].reshape(-1, shape[2]).max(0)
+        taken = grids.grown(rank.reshape(shape), bools["allowed"], bools["seed"], bools["barred"], most, 4)
+        return taken, {}
+
+    return grids.walked(rows, walk, "")
 
 
 def report(depths: DataFrame, keys: list[str]) -> DataFrame:
@@ -235,12 +340,19 @@ def report(depths: DataFrame, keys: list[str]) -> DataFrame:
 def history_influence(cells: DataFrame, points: DataFrame, reach_m: float = 220.0, cut_m: float = 700.0) -> DataFrame:
     """source_id, r, c, influence: the strongest past flood's (0.35 + 0.65 stage / 4) * recency * exp(-(d / 220)^2);
     points beyond ``cut_m`` (a share below 5e-5) are met through cells of that size only."""
-    size = cut_m / 110_540.0
-    key = lambda lat, lon: (F.floor(lat / size), F.floor(lon / (size * 1.3)))
-    y, x = key(F.col("lat"), F.col("lon"))
-    py, px = key(F.col("plat"), F.col("plon"))
-    around = points.withColumn("_y", F.explode(F.sequence(py - 1, py + 1))).withColumn("_x", F.explode(F.sequence(px - 1, px + 1)))
-    pairs = cells.withColumn("_y", y).withColumn("_x", x).join(around, ["_y", "_x"])
+    size = cut_m / METRES_A_DEGREE[0]
+    row = lambda lat: F.floor(lat / size)
+
+    def column(lon: Column, y: Column) -> Column:
+        """Columns of a row are as wide as the reach at the row's far side and the next one's."""
+        edge = F.least((F.greatest(F.abs(y), F.abs(y + 1)) + 1) * size, F.lit(89.9))
+        return F.floor(lon / (cut_m / (METRES_A_DEGREE[1] * F.cos(F.radians(edge)))))
+
+    around = points.withColumn("_y", F.explode(F.sequence(row(F.col("plat")) - 1, row(F.col("plat")) + 1)))
+    x = column(F.col("plon"), F.col("_y"))
+    around = around.withColumn("_x", F.explode(F.sequence(x - 1, x + 1)))
+    own = cells.withColumn("_y", row(F.col("lat")))
+    pairs = own.withColumn("_x", column(F.col("lon"), F.col("_y"))).join(around, ["_y", "_x"])
     d = flat_metres(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     value = (0.35 + 0.65 * F.col("stage") / 4) * F.col("recency") * F.exp(-F.pow(d / reach_m, F.lit(2.0)))
     return pairs.where(d <= cut_m).withColumn("_v", value).groupBy("source_id", "r", "c").agg(F.max("_v").alias("influence"))
@@ -268,20 +380,42 @@ def decode_elevation(tiles: DataFrame, encoding: str = "terrarium") -> DataFrame
     return tiles.select("z", "x", "y", F.transform(rgb, one).alias("elev"))
 
 
-def sample_tiles(cells: DataFrame, tiles: DataFrame, zooms: list[int], size: int) -> DataFrame:
-    """Bilinear elevation of cells(id, lat, lon) from tiles(z, x, y, elev array of size x size), from the finest zoom that
-    has the cell's tile."""
+def tile_of(rows: DataFrame) -> DataFrame:
+    """The rows with the place on the map of zoom z, in tiles (_fx, _fy), and the tile (x, y)."""
     n = F.pow(F.lit(2.0), F.col("z"))
-    rows = cells.withColumn("z", F.explode(F.array(*map(F.lit, zooms))))
-    fx, fy = (F.col("lon") + 180) / 360 * n, (1 - F.asinh(F.tan(F.radians("lat"))) / math.pi) / 2 * n
-    rows = rows.withColumn("_fx", fx).withColumn("_fy", fy).withColumn("x", F.floor("_fx").cast("int")).withColumn("y", F.floor("_fy").cast("int")).join(tiles, ["z", "x", "y"])
-    px, py = (F.least(F.greatest((F.col(f) - F.col(t)) * size - 0.5, F.lit(0.0)), F.lit(size - 1.0)) for f, t in (("_fx", "x"), ("_fy", "y")))
-    rows = rows.withColumn("_px", px).withColumn("_py", py)
+    lat = F.radians(F.least(F.greatest("lat", F.lit(-85.05112878)), F.lit(85.05112878)))
+    rows = rows.withColumn("_fx", (F.col("lon") + 180) / 360 * n).withColumn("_fy", (1 - F.asinh(F.tan(lat)) / math.pi) / 2 * n)
+    return rows.withColumn("x", F.floor("_fx").cast("int")).withColumn("y", F.floor("_fy").cast("int"))
+
+
+def _bilinear(size: int) -> tuple[dict[str, Column], Column]:
+    """The place within a tile of size x size, and the value there of its ``elev``."""
+    place = {p: F.least(F.greatest((F.col(f) - F.col(t)) * size - 0.5, F.lit(0.0)), F.lit(size - 1.0)) for p, f, t in (("_px", "_fx", "x"), ("_py", "_fy", "y"))}
     x0, y0 = F.least(F.floor("_px"), F.lit(size - 2)), F.least(F.floor("_py"), F.lit(size - 2))
     at = lambda dy, dx: F.element_at("elev", ((y0 + dy) * size + x0 + dx + 1).cast("int"))
     wx, wy = F.col("_px") - x0, F.col("_py") - y0
-    value = (at(0, 0) * (1 - wx) + at(0, 1) * wx) * (1 - wy) + (at(1, 0) * (1 - wx) + at(1, 1) * wx) * wy
-    return rows.withColumn("_v", value).groupBy("id").agg(F.max_by("_v", "z").alias("elev"), F.max("z").alias("zoom"))
+    return place, (at(0, 0) * (1 - wx) + at(0, 1) * wx) * (1 - wy) + (at(1, 0) * (1 - wx) + at(1, 1) * wx) * wy
+
+
+def sample_tiles(cells: DataFrame, tiles: DataFrame, zooms: list[int], size: int) -> DataFrame:
+    """Bilinear elevation of cells(id, lat, lon) from tiles(z, x, y, elev array of size x size), from the finest zoom that
+    has the cell's tile."""
+    rows = tile_of(cells.withColumn("z", F.explode(F.array(*map(F.lit, zooms))))).join(tiles.where("elev is not null"), ["z", "x", "y"])
+    place, value = _bilinear(size)
+    return rows.withColumns(place).withColumn("_v", value).groupBy("id").agg(F.max_by("_v", "z").alias("elev"), F.max("z").alias("zoom"))
+
+
+def grid_heights(cells: DataFrame, tiles: DataFrame, zooms: list[int], size: int) -> DataFrame:
+    """source_id, r, c, elev, zoom: bilinear elevation of whole grids, each from one zoom: the finest whose tiles cover
+    all of the grid's cells. Grids that no zoom covers are left out."""
+    held = tiles.where("elev is not null")
+    wanted = tile_of(cells.withColumn("z", F.explode(F.array(*map(F.lit, zooms))))).select("source_id", "z", "x", "y").distinct()
+    have = wanted.join(held.select("z", "x", "y").distinct().withColumn("_have", F.lit(1)), ["z", "x", "y"], "left")
+    whole = have.groupBy("source_id", "z").agg((F.count("*") == F.count("_have")).alias("_whole")).where("_whole")
+    chosen = whole.groupBy("source_id").agg(F.max("z").alias("z"))
+    place, value = _bilinear(size)
+    rows = tile_of(cells.join(chosen, "source_id")).join(held, ["z", "x", "y"]).withColumns(place)
+    return rows.select("source_id", "r", "c", value.alias("elev"), F.col("z").alias("zoom"))
 
 
 def tile_coverage(box: tuple[float, float, float, float], zoom: int, tiles: DataFrame) -> DataFrame:
@@ -326,6 +460,35 @@ def depth_surface(points: DataFrame, n: int = 26, margin: float = 0.01, least_cm
     return sums.withColumn("depth_cm", F.round(value, 6)).where(F.col("depth_cm") >= least_cm).select("r", "c", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "depth_cm")
 
 
+# fixed values: metres of a degree of latitude and longitude on the rain map, and its margins in degrees at least
+MAP_METRES, MAP_MARGIN, MAP_SPREAD = (111_000.0, 88_000.0), (0.003, 0.004), 0.8
+
+
+def depth_map(cameras: DataFrame, n: int = 26, least_cm: float = 0.8) -> DataFrame:
+    """r, c, west, south, east, north, depth_cm, level of the n x n cells around cameras(lat, lon, level): the depths
+    that their levels stand for, by inverse-square distance from the cell's middle (15 m at least), fading beyond 120 m
+    of the nearest camera. The map reaches 0.8 of the cameras' spread beyond them. Each camera meets the n * n cells,
+    and the sums are combined before the shuffle."""
+    located = cameras.where("lat is not null and lon is not null")
+    box = located.agg(*(f(v).alias(f"{f.__name__}_{v}") for f in (F.min, F.max) for v in ("lat", "lon")))
+    pad = {v: F.greatest(F.lit(m), (F.col(f"max_{v}") - F.col(f"min_{v}")) * MAP_SPREAD) for v, m in zip(("lat", "lon"), MAP_MARGIN)}
+    ends = {f"{v}{e}": F.col(f"{'max' if e else 'min'}_{v}") + (pad[v] if e else -pad[v]) for v in pad for e in (0, 1)}
+    frame = box.withColumns(ends).where("lat0 is not null")
+    edge = lambda v, k: F.col(f"{v}0") + F.col(k) * (F.col(f"{v}1") - F.col(f"{v}0")) / n
+    side = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = frame.withColumn("r", side).withColumn("c", side).withColumns({"r1": F.col("r") + 1, "c1": F.col("c") + 1, "rm": F.col("r") + 0.5, "cm": F.col("c") + 0.5})
+    cells = cells.select("r", "c", edge("lon", "c").alias("west"), edge("lat", "r").alias("south"), edge("lon", "c1").alias("east"), edge("lat", "r1").alias("north"), edge("lat", "rm").alias("glat"), edge("lon", "cm").alias("glon"))
+    table = cells.agg(F.collect_list(F.struct(*cells.columns))).scalar()  # n * n of them
+    met = located.select("lat", "lon", stage_depth(F.col("level")).alias("d")).withColumn("_c", F.explode(table)).select("lat", "lon", "d", "_c.*")
+    north, east = (F.col("glat") - F.col("lat")) * MAP_METRES[0], (F.col("glon") - F.col("lon")) * MAP_METRES[1]
+    far = F.greatest(F.lit(15.0), F.sqrt(north * north + east * east))
+    met = met.withColumn("_far", far).withColumn("_w", 1 / (F.col("_far") * F.col("_far")))
+    sums = met.groupBy("r", "c", "west", "south", "east", "north").agg(F.sum(F.col("d") * F.col("_w")).alias("_s"), F.sum("_w").alias("_t"), F.min("_far").alias("_near"))
+    depth = F.round(F.col("_s") / F.col("_t") * F.exp(-F.greatest(F.col("_near") - 120, F.lit(0.0)) / 1100), 6)
+    rows = sums.withColumn("depth", depth).where(F.col("depth") >= least_cm)
+    return rows.select("r", "c", "west", "south", "east", "north", F.round("depth", 1).alias("depth_cm"), level_of(F.col("depth")).alias("level"))
+
+
 def history_points(events: DataFrame, cameras: DataFrame, as_of_us: int, days: float = 30.0, guard_minutes: float = 10.0) -> DataFrame:
     """camera_id, lat5, lon5, stage, recency: past floods of the lookback without the last minutes and without
     unconfirmed ones; the strongest stage and recency of a camera and place."""

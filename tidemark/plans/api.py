@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import stage_depth
 from tidemark.functions.space import plausible_box
 from tidemark.operators import boxes as B
 from tidemark.operators import catalog as J
@@ -14,7 +15,7 @@ from tidemark.operators import environment as E
 from tidemark.operators import metrics as M
 from tidemark.operators import sequences as Q
 from tidemark.operators import terrain as G
-from tidemark.sources.sinks import event_rows
+from tidemark.sources.sinks import event_rows, written
 
 
 def events(flood: DataFrame, cameras: DataFrame, limit: int = 100, min_level: int = 0, changes_only: bool = False) -> DataFrame:
@@ -64,18 +65,39 @@ def map_overlay(cameras: DataFrame, flood: DataFrame, rain: DataFrame, as_of_us:
     return marks.join(influence, "id", "left").withColumn("influence", F.coalesce("influence", F.lit(0.0)))
 
 
-def flood_surface(markers: DataFrame, tiles: DataFrame, zooms: list[int], tile_size: int) -> DataFrame:
-    """source_id, wet_cells, max_depth_m, mean_depth_m: the water around the most urgent flood sources among markers(id,
-    lat, lon, stage, rain_mm, depth_cm) on the ground of elevation tiles(z, x, y, elev)."""
-    chosen = G.select_sources(markers.withColumn("snapshot", F.lit(0)), "snapshot").select("id")
-    sources = markers.join(chosen, "id").withColumnRenamed("id", "source_id")
-    cells = G.analysis_grid(sources).withColumn("id", F.concat_ws(":", "source_id", "r", "c"))
-    heights = G.sample_tiles(cells.select("id", "lat", "lon"), tiles, zooms, tile_size).select("id", "elev")
-    grid = cells.join(heights, "id").select("source_id", "r", "c", "elev", F.lit(False).alias("hydro"))
-    middle = grid.groupBy("source_id").agg((F.max("r") / 2).cast("int").alias("seed_r")).withColumn("seed_c", F.col("seed_r"))
-    seeds = grid.join(middle, "source_id").where("r = seed_r and c = seed_c").select("source_id", "seed_r", "seed_c", F.col("elev").alias("seed_elev"))
-    depths = G.depth(grid, sources.select("source_id", "stage", "rain_mm", "depth_cm").join(seeds, "source_id"), G.spill_heights(grid, middle), G.susceptibility(grid))
-    return G.report(depths, ["source_id"])
+def flood_surface(markers: DataFrame, tiles: DataFrame, zooms: list[int], tile_size: int, roads: DataFrame, hydro: DataFrame, history: DataFrame, cell_m: float = 15.0, friction_m_per_km: float = 0.12) -> tuple[DataFrame, DataFrame]:
+    """The water around the most urgent flood sources among markers(id, lat, lon, stage, rain_mm, depth_cm, kind) on the
+    ground of elevation tiles(z, x, y, elev), with lines(id, line, point, lon, lat) of roads and water and past floods
+    (plat, plon, stage, recency). Gives the layers (source_id, level, cells, area_m2, max_depth_cm, depth_cm, fallback;
+    a source without any band has one layer, its least footprint) and the report (source_id, wet_cells, depths)."""
+    chosen = G.select_sources(markers.withColumn("snapshot", F.lit(0)), "snapshot", 60.0).select("id")
+    sources = written(G.sized_sources(markers.join(chosen, "id").withColumnRenamed("id", "source_id"), cell_m), "sources")
+    cells = G.analysis_grid(sources, cell_m)
+    ground = written(cells.join(G.grid_heights(cells, tiles, zooms, tile_size), ["source_id", "r", "c"]), "ground")
+    grid = G.water_masks(ground.select("source_id", "r", "c", "elev"), G.grid_lines(hydro, sources, cell_m), cell_m)
+    road = G.grid_lines(roads, sources, cell_m).withColumn("road", F.lit(True))
+    grid = grid.join(road, ["source_id", "r", "c"], "left").withColumn("road", F.coalesce("road", F.lit(False)))
+    past = G.history_influence(ground, history)
+    seeds = written(G.snapped_seeds(ground, sources, cell_m), "seeds")
+    at_seed = seeds.select("source_id", F.col("seed_r").alias("r"), F.col("seed_c").alias("c"), F.lit(True).alias("_seed"))
+    grid = written(grid.join(at_seed, ["source_id", "r", "c"], "left").withColumn("water", F.col("water") & F.col("_seed").isNull()).drop("_seed"), "grid")
+    spill = written(G.spill_heights(grid, seeds, cell_m, friction_m_per_km), "spill")
+    known = sources.select("source_id", "stage", "rain_mm", "depth_cm", "radius_m").join(seeds, "source_id")
+    depths = written(G.depth(grid, known, spill, G.susceptibility(grid, past, cell_m), cell_m), "depth")
+
+    seed_cell = (F.col("r") == F.col("seed_r")) & (F.col("c") == F.col("seed_c"))
+    wet = depths.join(seeds.select("source_id", "seed_r", "seed_c"), "source_id").select("source_id", "r", "c", ((F.col("depth_m") >= G.BANDS_M[0]) | seed_cell).alias("wet"))
+    joined = G.wet_component(wet, seeds, "wet").join(depths, ["source_id", "r", "c"])
+    bands = G.bands(joined, cell_m, 2)
+    layers = bands.select("source_id", "level", "cells", "area_m2", F.round(100 * F.col("max_depth_m"), 1).alias("max_depth_cm"), F.round(100 * F.col("shown_depth_m"), 1).alias("depth_cm"), F.lit(False).alias("fallback"))
+    dry = known.join(bands.select("source_id").distinct(), "source_id", "left_anti")
+    patch = G.least_footprint(grid.join(spill, ["source_id", "r", "c"]), dry, cell_m).groupBy("source_id").agg(F.count("*").alias("cells"))
+    deepest = depths.groupBy("source_id").agg(F.max("depth_m").alias("_most"))
+    given = F.coalesce("depth_cm", F.lit(0.0))
+    observed = F.greatest(F.lit(1.0), F.when(given != 0, given).otherwise(stage_depth(F.coalesce("stage", F.lit(1)))))
+    shown = F.round(F.greatest(100 * F.col("_most"), observed), 1)
+    least = dry.join(patch, "source_id").join(deepest, "source_id").select("source_id", G.stage_of(F.col("stage")).cast("int").alias("level"), "cells", (F.col("cells") * cell_m**2).alias("area_m2"), shown.alias("max_depth_cm"), shown.alias("depth_cm"), F.lit(True).alias("fallback"))
+    return layers.unionByName(least), G.report(depths, ["source_id"])
 
 
 def ingest_environment(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:

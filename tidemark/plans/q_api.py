@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import terrain as T
 from tidemark.plans import api as A
 from tidemark.plans.q_core import CHANGES, END_US, GATE, LATEST, START_US, consensus_sql
 from tidemark.plans.q_boxes import SAME, matches_sql, scores_sql
 from tidemark.plans.q_labels import text_sql
 from tidemark.plans.q_places import FLAT, IDW, MARKERS, NEAREST, rain_points
-from tidemark.plans.q_terrain import HISTORY
+from tidemark.plans.q_terrain import HISTORY, HOLES, roads
 from tidemark.plans.registry import query
 
 
@@ -56,12 +57,17 @@ def _(t):
 
 @query("q_04_surface")
 def _(t):
+    """The ground is given by tiles of two zooms around the markers; roads and streams are lines near every fourth."""
     k = F.col("c_custkey")
-    marks = t.v_cams.where("lat is not null").select("id", "lat", "lon", (k % 5).alias("stage"), (k % 7 * 5.0).alias("rain_mm"), (k % 3 * 10.0).alias("depth_cm"))
-    corner = lambda v: F.explode(F.sequence(v - 1, v + 1))
-    tiles = marks.selectExpr("cast(floor((lon + 180) / 360 * 4096) as int) as x", "cast(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 4096) as int) as y").select(corner(F.col("x")).alias("x"), "y").select("x", corner(F.col("y")).alias("y")).distinct()
+    kind = F.when(k % 3 == 0, "KMA").otherwise("CCTV").alias("kind")
+    marks = t.v_cams.where("lat is not null").select("id", "lat", "lon", (k % 5).alias("stage"), (k % 7 * 5.0).alias("rain_mm"), (k % 3 * 10.0).alias("depth_cm"), kind)
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    tiles = T.tile_of(marks.withColumn("z", F.explode(F.array(F.lit(12), F.lit(14))))).select("z", "x", "y").withColumn("i", around).withColumn("j", around)
+    tiles = tiles.select("z", (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y")).distinct().where(f"z = 12 or {HOLES}")
     height = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda p: (p % 16 + F.floor(p / 16) + F.col("x") % 2 * 16 + F.col("y") % 2 * 16) * 0.1)
-    return A.flood_surface(marks, tiles.select(F.lit(12).alias("z"), "x", "y", height.alias("elev")), [12], 16)
+    past = T.history_points(t.v_flood, t.v_cams, END_US).select(F.col("lat5").alias("plat"), F.col("lon5").alias("plon"), "stage", "recency")
+    layers, report = A.flood_surface(marks, tiles.withColumn("elev", height), [12, 14], 16, roads(t), roads(t, 2e-3), past)
+    return layers.join(report, "source_id")
 
 
 @query("q_05", f"with {NEAREST}, {BUCKETED} select near.id, near.sensor_type, near.sensor_id, metres, bucket as us, value, previous from near join b on b.sensor_type = near.sensor_type and b.sensor_id = near.sensor_id")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from tidemark.operators.sequences import gate
-from tidemark.plans.q_core import GATE
+from tidemark.plans.q_core import END_US, GATE, START_US
 from tidemark.plans.registry import query
 from tidemark.sources import feeds as R
 from tidemark.sources import sinks as W
+from tidemark.sources import store
+from tidemark.sources.sinks import shared_path
 from tidemark.streaming import tracking as T
 
 
@@ -78,6 +82,49 @@ def _(t):
     return W.event_rows(gate(t.v_frames)).select("event_id", "camera_id", "level", "confidence", "details")
 
 
+@query("sn_01_store", """select id, camera_id, level, us // 86400000000 as day, cast(id % 3 as bigint) as batch from v_flood where level >= 1""")
+def _(t):
+    """Three batches are appended, one of them twice."""
+    path = shared_path(t.spark, "events")
+    rows = t.v_flood.where("level >= 1").select("id", "camera_id", "level", "detected_at")
+    for number in (0, 1, 2, 1):
+        store.append(rows.where(f"id % 3 = {number}"), path, "detected_at", number)
+    found = store.stored(t.spark, path, rows)
+    return found.select("id", "camera_id", "level", F.unix_date("date").cast("long").alias("day"), "batch")
+
+
+@query("sc_01_store", f"""select id, camera_id, level from v_flood where us >= {START_US} and us < {END_US} and level >= 1""")
+def _(t):
+    path = shared_path(t.spark, "events")
+    store.append(t.v_flood.select("id", "camera_id", "level", "detected_at"), path, "detected_at")
+    times = [datetime.fromtimestamp(us / 1e6, UTC).replace(tzinfo=None) for us in (START_US, END_US)]
+    found = store.scan(store.stored(t.spark, path, t.v_flood.select("id", "camera_id", "level", "detected_at")), "detected_at", *times)
+    return found.where("level >= 1").select("id", "camera_id", "level")
+
+
+@query("sn_02_store", """with f as (select *, us // 86400000000 as day from v_env), a as (select min(id) as id, sensor_id, day from f where id % 2 = 1 group by 2, 3),
+b as (select min(id) as id, sensor_id, day from f where id % 2 = 0 and (sensor_id, day) not in (select sensor_id, day from a) group by 2, 3) select *, 1 as batch from a union all select *, 2 from b""")
+def _(t):
+    """Observations of a day, once each: a batch, a second one, and the second once more."""
+    path = shared_path(t.spark, "observations")
+    rows = t.v_env.select("id", "sensor_id", F.to_date("observed_at").alias("seen_on"))
+    for number in (1, 2, 2):
+        store.append_new(rows.where(f"id % 2 = {number % 2}"), path, ["sensor_id", "seen_on"], "seen_on", number, "id")
+    found = store.stored(t.spark, path, rows)
+    return found.select("id", "sensor_id", F.unix_date("seen_on").cast("long").alias("day"), F.col("batch").cast("int").alias("batch"))
+
+
+@query("sn_03_store", f"""select id, us from v_env where us >= {START_US + 3_600_000_000}""")
+def _(t):
+    path = shared_path(t.spark, "observations")
+    rows = t.v_env.select("id", "us", "observed_at")
+    for number in (0, 1):
+        store.append(rows.where(f"id % 2 = {number}"), path, "observed_at", number)
+    before = datetime.fromtimestamp(START_US / 1e6 + 3600, UTC).replace(tzinfo=None)
+    store.expire_rows(store.stored(t.spark, path, rows), path, "observed_at", before)
+    return store.stored(t.spark, path, rows).select("id", "us")
+
+
 @query("sn_04", """select id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || cast(c_custkey * 1e0 as varchar) || ',36.5]},"properties":{"id":"' || id || '"}}' as feature from v_cams""")
 def _(t):
     one = W.feature(F.col("c_custkey") * 1.0, F.lit(36.5), id=F.col("id"))

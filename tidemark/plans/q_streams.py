@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.q_core import ALERTS, CHANGES, EMA_VIEW, FOLD, GATE, consensus_sql
 from tidemark.plans.registry import query
+from tidemark.sources import store
+from tidemark.sources.sinks import shared_path
 from tidemark.streaming import jobs as J
 from tidemark.streaming import ordered as O
-from tidemark.streaming.replay import replay, shared_path
+from tidemark.streaming.replay import replay
 
 
 def flushed(rows, time: str):
@@ -75,12 +77,13 @@ def _(t):
 
 @query("ss_04_batches", """select sensor_id, us // 86400000000 as day from v_env group by 1, 2""")
 def _(t):
-    base = shared_path(t.spark, "upsert")
-    rows = t.v_env.select("sensor_id", F.expr("us div 86400000000").alias("day"))
+    base = shared_path(t.spark, "observations")
+    rows = t.v_env.select("sensor_id", F.to_date("observed_at").alias("seen_on"))
     rows.write.parquet(f"{base}/in")
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    stream.writeStream.foreachBatch(J.append_new(f"{base}/store", ["sensor_id", "day"])).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(rows.schema).parquet(f"{base}/store")
+    writer = stream.writeStream.foreachBatch(store.appender(f"{base}/store", ["sensor_id", "seen_on"], "seen_on"))
+    writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return store.stored(t.spark, f"{base}/store", rows).select("sensor_id", F.unix_date("seen_on").cast("long").alias("day"))
 
 
 @query("ss_05", consensus_sql("(select *, us // 3600000000 * 3600 as s from v_flood)", "camera_id, s"))

@@ -21,10 +21,22 @@ def sources(t):
     return seeds(t).join(t.v_grid.where("r = 10 and c = 10").select("source_id", F.col("elev").alias("seed_elev")), "source_id").select("*", (F.col("source_id") % 4 + 1).cast("int").alias("stage"), F.lit(70.0).alias("depth_cm"), (F.col("source_id") % 10 * 5.0).alias("rain_mm"))
 
 
-@query("ge_01", """select cast(c_custkey as bigint) as source_id, count(*) as cells, max(r) as last_r from (select c_custkey, h, r from (select c_custkey, least(greatest(cast(ceil((150 + 60 * (c_custkey % 4 + 1) + least(2 * (c_custkey % 50), 200)) / 30e0) as int), 5), 50) as h from v_cams where lat is not null), unnest(generate_series(0, 2 * h)) a(r), unnest(generate_series(0, 2 * h)) b(c)) group by 1""")
+RADIUS = """case when c_custkey % 3 = 0 then 150e0 + 115 * stage + least(4 * (c_custkey % 50), 180) else 160e0 + 90 * stage + least(4 * (c_custkey % 50), 120) end"""
+HALF = f"""(select *, least(greatest(cast(ceil(2 * {RADIUS} / 15e0) as bigint) + 1, 11), 101) // 2 as h from (select *, greatest(c_custkey % 5, 1) as stage from v_cams where lat is not null))"""
+
+
+def marks(t):
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "KMA").otherwise("CCTV").alias("kind")
+    return t.v_cams.where("lat is not null").select(k.alias("source_id"), "lat", "lon", (k % 5).alias("stage"), (k % 50 * 1.0).alias("rain_mm"), kind)
+
+
+@query("ge_01", f"""select cast(c_custkey as bigint) as source_id, count(*) as cells, max(r) as last_r, round(max(lat + (r - h) * 15 / 110540e0), 9) as north, round(max(lon + (c - h) * 15 / (111320 * cos(radians(lat)))), 9) as east
+from {HALF}, unnest(generate_series(0, 2 * h)) a(r), unnest(generate_series(0, 2 * h)) b(c) group by 1""")
 def _(t):
-    s = t.v_cams.where("lat is not null").select(F.col("c_custkey").alias("source_id"), "lat", "lon", (F.col("c_custkey") % 4 + 1).alias("stage"), (F.col("c_custkey") % 50).alias("rain_mm"))
-    return G.analysis_grid(s).groupBy("source_id").agg(F.count("*").alias("cells"), F.max("r").cast("long").alias("last_r"))
+    cells = G.analysis_grid(marks(t))
+    north, east = F.round(F.max("lat"), 9).alias("north"), F.round(F.max("lon"), 9).alias("east")
+    return cells.groupBy("source_id").agg(F.count("*").alias("cells"), F.max("r").cast("long").alias("last_r"), north, east)
 
 
 SEGMENTS = "(select frame, box_no, cast(x1 as int) % 50 as r0, cast(y1 as int) % 40 as c0, cast(x2 as int) % 50 as r1, cast(y2 as int) % 40 as c1 from v_boxes)"
@@ -36,9 +48,31 @@ def _(t):
     return G.line_cells(seg, ["frame"])
 
 
-@query("ge_03", """select distinct source_id, cast(r + dr as int) as r, cast(c + dc as int) as c from v_grid, (select n - 2 as dr from series11 where n < 5), (select n - 1 as dc from series11 where n < 3) where hydro and pow(dr / 2e0, 2) + pow(dc, 2) <= 1""")
+ROADS = "(select c_custkey as id, 0 as line, n as point, lon + (n - 1) * (c_custkey % 7 - 3) * 4e-3 as lon, lat + (n - 1) * (c_custkey % 5 - 2) * 3e-3 as lat from v_cams, series11 where n < 3 and lat is not null and c_custkey % 4 = 0)"
+
+
+def roads(t, shift=0.0):
+    n = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    rows = t.v_cams.where("lat is not null and c_custkey % 4 = 0").withColumn("point", n)
+    away = lambda m, less, by: (F.col("point") - 1) * (F.col("c_custkey") % m - less) * by
+    lon, lat = F.col("lon") + away(7, 3, 4e-3) + shift, F.col("lat") + away(5, 2, 3e-3)
+    return rows.select(F.col("c_custkey").alias("id"), F.lit(0).alias("line"), "point", lon.alias("lon"), lat.alias("lat"))
+
+
+@query("ge_02_grid", f"""with l as (select *, lead(lon) over w as lon1, lead(lat) over w as lat1 from {ROADS} window w as (partition by id order by point)),
+g as (select c_custkey as source_id, h, lat - h * (15 / 110540e0) as south, lon - h * (15 / (111320 * cos(radians(lat)))) as west, 15 / 110540e0 as dlat, 15 / (111320 * cos(radians(lat))) as dlon from {HALF}),
+s as (select source_id, h, cast(round_even((l.lat - south) / dlat, 0) as bigint) as r0, cast(round_even((lat1 - south) / dlat, 0) as bigint) as r1, cast(round_even((l.lon - west) / dlon, 0) as bigint) as c0, cast(round_even((lon1 - west) / dlon, 0) as bigint) as c1 from l join g on lon1 is not null
+and greatest(l.lat, lat1) >= south - 0.001 and least(l.lat, lat1) <= south + 2 * h * dlat + 0.001 and greatest(l.lon, lon1) >= west - 0.001 and least(l.lon, lon1) <= west + 2 * h * dlon + 0.001),
+k as (select *, greatest(abs(r1 - r0), abs(c1 - c0)) as n from s), d as (select *, unnest(generate_series(0, n)) as k from k),
+p as (select source_id, h, case when n = 0 then r0 else floor(r0 + (r1 - r0) * k / n + 0.5) end as r, case when n = 0 then c0 else floor(c0 + (c1 - c0) * k / n + 0.5) end as c from d)
+select distinct source_id, cast(r as int) as r, cast(c as int) as c from p where r between 0 and 2 * h and c between 0 and 2 * h""")
+def _(t):
+    return G.grid_lines(roads(t), marks(t))
+
+
+@query("ge_03", """select distinct source_id, cast(r + dr as int) as r, cast(c + dc as int) as c from v_grid, (select n - 2 as dr from series11 where n < 5), (select n - 3 as dc from series11 where n < 7) where hydro and abs(dc) <= round_even(3 * sqrt(1 - pow(dr / 2e0, 2)), 0)""")
 def _(t):
-    return G.buffered(t.v_grid.where("hydro").select("source_id", "r", "c"), ["source_id"], 2, 1)
+    return G.buffered(t.v_grid.where("hydro").select("source_id", "r", "c"), ["source_id"], 2, 3)
 
 
 @query("ge_04", """with recursive low as (select source_id, r, c from v_grid where elev <= 4.6), reach as (select * from low where r in (0, 20) or c in (0, 20) union select l.source_id, l.r, l.c from reach q join low l on l.source_id = q.source_id and abs(l.r - q.r) <= 1 and abs(l.c - q.c) <= 1) select * from reach""")
@@ -84,8 +118,8 @@ from {SLOPE} s join spill on spill.source_id = s.source_id and spill.r = s.r and
 y as (select *, seed_elev + least(cap, greatest(seen, 0.05e0 + rain_mm * 0.012e0)) as surface, not hydro or away = 0 as land from (select *, case stage when 1 then 0.119e0 when 2 then 0.349e0 when 3 then 0.599e0 else 1.2e0 end as cap from x)),
 z as (select *, greatest(case when spill <= surface + 1e-5 and away <= 600 and (score >= 0.26 or away <= 75) and land then greatest(surface - elev, 0) * exp(-pow(slope / 0.075e0, 2)) * greatest(1 - 0.08e0 * pow(away / 600, 2), 0.92e0) else 0 end, case when spill <= seed_elev + seen + 0.3e0 and land then seen * exp(-pow(away / 115, 2)) else 0 end) as d,
 greatest(250e0, rain_mm / 1000 * pi() * pow(least(600, 300e0 + 130 * stage), 2) * 0.68e0 + seen * pi() * 115 * 115 * 0.62e0) as budget from y),
-v as (select *, greatest(least(d * case when volume > budget then budget / volume else 1 end, cap), case when away = 0 then 0.7e0 else 0 end) as value from (select *, sum(d) over (partition by source_id) * 900 as volume from z))
-select source_id, r, c, round(case when value < 0.01 then 0 else value end, 6) as depth_m from v""")
+v as (select *, greatest(least(d * case when volume > budget then budget / volume else 1 end, cap), case when away = 0 then 0.7e0 else 0 end) as value, greatest(least(d, cap), case when away = 0 then 0.7e0 else 0 end) as ground from (select *, sum(d) over (partition by source_id) * 900 as volume from z))
+select source_id, r, c, round(case when value < 0.01 then 0 else value end, 6) as depth_m, round(case when ground < 0.01 then 0 else ground end, 6) as terrain_m from v""")
 def _(t):
     return G.depth(t.v_grid, sources(t), G.spill_heights(t.v_grid, seeds(t)), scores(t))
 
@@ -93,15 +127,33 @@ def _(t):
 DEPTHS = "(select source_id, r, c, greatest(3 - elev, 0) as depth_m from v_grid)"
 
 
-@query("ge_09", f"""select source_id, level, count(*) as cells, count(*) * 900e0 as area_m2, max(depth_m) as max_depth_m from {DEPTHS} d join (select 1 as level, 0.01e0 as least_ union all select 2, 0.12e0 union all select 3, 0.35e0 union all select 4, 0.6e0) b on depth_m >= least_ group by 1, 2""")
+@query("ge_09", """with d as (select source_id, greatest(3 - elev, 0) * 0.3e0 as depth_m, greatest(3 - elev, 0) as terrain_m from v_grid),
+b as (select 1 as level, 0.01e0 as least_, 0.119e0 as most union all select 2, 0.12e0, 0.349e0 union all select 3, 0.35e0, 0.599e0 union all select 4, 0.6e0, null)
+select source_id, level, count(*) as cells, count(*) * 900e0 as area_m2, max(terrain_m) as max_depth_m, least(max(terrain_m), any_value(most)) as shown_depth_m from d join b on terrain_m >= least_ and depth_m >= 0.01 group by 1, 2""")
 def _(t):
-    return G.bands(t.v_grid.select("source_id", "r", "c", F.greatest(3 - F.col("elev"), F.lit(0.0)).alias("depth_m")))
+    deep = F.greatest(3 - F.col("elev"), F.lit(0.0))
+    return G.bands(t.v_grid.select("source_id", "r", "c", (deep * 0.3).alias("depth_m"), deep.alias("terrain_m")))
+
 
+RIDGES = "(select *, elev + case when (r * 7 + c * 3 + source_id) % 11 = 0 then 0.9e0 else 0 end as spill, (r + 2 * c + source_id) % 9 = 0 and not (r = 10 and c = 10) as water from v_grid)"
 
-@query("ge_10", """select source_id, r, c from (select *, row_number() over (partition by source_id order by elev, pow(r - 10, 2) + pow(c - 10, 2), r, c) as rank from v_grid) where rank <= case source_id % 4 + 1 when 1 then 5 when 2 then 10 when 3 then 18 else 30 end""")
+
+@query("ge_10", f"""with recursive s as (select s_suppkey as source_id, cast(s_suppkey % 4 + 1 as int) as stage from supplier),
+x as (select g.source_id, stage, r, c, sqrt(pow(r - 10, 2) + pow(c - 10, 2)) * 30 as far, spill, elev, water, first_value(elev) over (partition by g.source_id order by abs(r - 10) + abs(c - 10)) as seed_elev from {RIDGES} g join s on s.source_id = g.source_id),
+p as (select *, r * 100 + c as cell, case when far = 0 then spill else spill + far * 0.0025e0 + greatest(elev - seed_elev, 0) * 0.15e0 end as least_ from x where far <= greatest(45e0, least(155.25e0, 55e0 + 28 * stage)) + 1e-6),
+o as (select *, row_number() over (partition by source_id order by least_, far, r, c) as place, least_ > seed_elev + 0.7e0 + 0.3e0 as barred, case stage when 1 then 5 when 2 then 10 when 3 then 18 else 30 end as wanted from p),
+g as (select source_id, any_value(wanted) as wanted, list(place order by place) as places, list(cell order by place) as cells, list(barred order by place) as bars, list(water order by place) as waters, [x for x in list(case when far = 0 then place end) if x is not null] as opened from o group by 1),
+w as (select source_id, wanted, places, cells, bars, waters, opened, cast([] as bigint[]) as closed, cast([] as integer[]) as taken from g
+union all select source_id, wanted, places, cells, bars, waters,
+case when fits then list_distinct(list_concat(opened, [x for x in places if not waters[x] and abs(cells[x] // 100 - cells[nxt] // 100) <= 1 and abs(cells[x] % 100 - cells[nxt] % 100) <= 1])) else opened end,
+list_append(closed, nxt), case when fits then list_append(taken, cells[nxt]) else taken end
+from (select *, not (bars[nxt] and len(taken) >= 4) as fits from (select *, list_min([x for x in opened if not list_contains(closed, x)]) as nxt from w where len(taken) < wanted) where nxt is not null)),
+f as (select source_id, taken, row_number() over (partition by source_id order by len(closed) desc) as last from w)
+select source_id, cast(cell // 100 as int) as r, cast(cell % 100 as int) as c from (select source_id, unnest(taken) as cell from f where last = 1)""")
 def _(t):
-    reach = t.v_grid.select("source_id", "r", "c", F.col("elev").alias("spill"), (F.pow(F.col("r") - 10, F.lit(2)) + F.pow(F.col("c") - 10, F.lit(2))).alias("distance"))
-    return G.least_footprint(reach, sources(t))
+    ridge = F.when((F.col("r") * 7 + F.col("c") * 3 + F.col("source_id")) % 11 == 0, 0.9).otherwise(0.0)
+    water = ((F.col("r") + 2 * F.col("c") + F.col("source_id")) % 9 == 0) & ~((F.col("r") == 10) & (F.col("c") == 10))
+    return G.least_footprint(t.v_grid.select("source_id", "r", "c", "elev", (F.col("elev") + ridge).alias("spill"), water.alias("water")), sources(t))
 
 
 @query("ge_11", """select id, n as corner, round(lon + (22 + 6 * (c_custkey % 4 + 1)) * cos(n * (2 * pi() / 24)) / (111320 * cos(radians(lat))), 9) as lon from v_cams, (select unnest(generate_series(0, 24)) as n) where lat is not null and c_custkey % 10 >= 5""")
@@ -168,6 +220,23 @@ def _(t):
     return G.sample_tiles(cams.select("id", "lat", "lon"), tiles, [11, 12], 16).withColumn("elev", F.round("elev", 6))
 
 
+HOLES = "(x * 31 + y * 17) % 5 <> 0"  # tiles that zoom 14 has
+
+
+@query("jn_13_grid", f"""with c as (select c_custkey as source_id, r, c, lat + (r - h) * (15 / 110540e0) as lat, lon + (c - h) * (15 / (111320 * cos(radians(lat)))) as lon from {HALF}, unnest(generate_series(0, 2 * h)) a(r), unnest(generate_series(0, 2 * h)) b(c)),
+z as (select *, (lon + 180) / 360 * pow(2, z) as fx, (1 - asinh(tan(radians(lat))) / pi()) / 2 * pow(2, z) as fy from c, (select 12 as z union all select 14)),
+t as (select *, cast(floor(fx) as int) as x, cast(floor(fy) as int) as y from z), h as (select *, z = 12 or {HOLES} as have from t),
+w as (select source_id, max(z) as z from (select source_id, z from h group by 1, 2 having count(*) = count(*) filter (where have)) group by 1),
+p as (select h.*, least(greatest((fx - x) * 16 - 0.5, 0), 15) as px, least(greatest((fy - y) * 16 - 0.5, 0), 15) as py from h join w on w.source_id = h.source_id and w.z = h.z)
+select source_id, any_value(z) as zoom, count(*) as cells, round(sum((py * 16 + px) * 0.5e0 + z), 3) as total from p group by 1""")
+def _(t):
+    cells = G.analysis_grid(marks(t))
+    tiles = G.tile_of(cells.withColumn("z", F.explode(F.array(F.lit(12), F.lit(14))))).select("z", "x", "y").distinct().where(f"z = 12 or {HOLES}")
+    tiles = tiles.withColumn("elev", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: k * 0.5 + F.col("z")))
+    found = G.grid_heights(cells, tiles, [12, 14], 16)
+    return found.groupBy("source_id").agg(F.max("zoom").alias("zoom"), F.count("*").alias("cells"), F.round(F.sum("elev"), 3).alias("total"))
+
+
 HISTORY = f"(select camera_id, round(lat, 5) as lat5, round(lon, 5) as lon5, max(level) as stage, round(max(exp(-(({END_US} - us) / 1e6 / 86400) / 30e0)), 9) as recency from v_flood f join v_cams c on c.id = f.camera_id where level >= 1 and positive_confirmed and {END_US} - us <= 30 * 86400000000 and {END_US} - us > 600000000 and lat is not null group by 1, 2, 3)"
 
 
@@ -194,9 +263,15 @@ def _(t):
     return G.depth_surface(t.v_cams.where("lat is not null").select("lat", "lon", (F.col("c_custkey") % 70 * 1.0).alias("depth_cm")))
 
 
-@query("q_06", SURFACE)
+@query("q_06", """with p as (select lat, lon, case c_custkey % 5 when 0 then 0e0 when 1 then 8e0 when 2 then 25e0 when 3 then 48e0 else 70e0 end as d from v_cams where lat is not null),
+b as (select min(lat) - greatest(0.003e0, (max(lat) - min(lat)) * 0.8e0) as lat0, max(lat) + greatest(0.003e0, (max(lat) - min(lat)) * 0.8e0) as lat1, min(lon) - greatest(0.004e0, (max(lon) - min(lon)) * 0.8e0) as lon0, max(lon) + greatest(0.004e0, (max(lon) - min(lon)) * 0.8e0) as lon1 from p),
+g as (select r, c, lon0 + c * (lon1 - lon0) / 26 as west, lat0 + r * (lat1 - lat0) / 26 as south, lon0 + (c + 1) * (lon1 - lon0) / 26 as east, lat0 + (r + 1) * (lat1 - lat0) / 26 as north, lat0 + (r + 0.5e0) * (lat1 - lat0) / 26 as glat, lon0 + (c + 0.5e0) * (lon1 - lon0) / 26 as glon from b, unnest(generate_series(0, 25)) x(r), unnest(generate_series(0, 25)) y(c)),
+q as (select g.*, d, greatest(15e0, sqrt(pow((glat - lat) * 111000, 2) + pow((glon - lon) * 88000, 2))) as far from g cross join p),
+s as (select r, c, west, south, east, north, round(sum(d / (far * far)) / sum(1 / (far * far)) * exp(-greatest(min(far) - 120, 0) / 1100), 6) as depth from q group by all)
+select cast(r as int) as r, cast(c as int) as c, round(west, 9) as west, round(south, 9) as south, round(east, 9) as east, round(north, 9) as north, round(depth, 1) as depth_cm, case when depth < 1 then 0 when depth < 12 then 1 when depth < 35 then 2 when depth < 60 then 3 else 4 end as level from s where depth >= 0.8e0""")
 def _(t):
-    return G.depth_surface(t.v_cams.where("lat is not null").select("lat", "lon", (F.col("c_custkey") % 70 * 1.0).alias("depth_cm")))
+    found = G.depth_map(t.v_cams.select("lat", "lon", (F.col("c_custkey") % 5).alias("level")))
+    return found.withColumns({c: F.round(c, 9) for c in ("west", "south", "east", "north")})
 
 
 @query("ag_15", f"""select count(*) as markers, count(*) filter (where stage >= 1) as active, max(stage) as max_stage, (select max(depth_m) from {DEPTHS}) as max_depth_m, (select count(*) from {DEPTHS} where depth_m >= 0.01) as wet_cells from (select c_custkey % 5 as stage from v_cams)""")

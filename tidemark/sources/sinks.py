@@ -1,11 +1,31 @@
-"""Rows and files that the engine writes: accepted events, observation upserts, GeoJSON and CSV."""
+"""Rows and files that the engine writes: accepted events, steps, GeoJSON and CSV."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.environment import new_rows
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share, spark.checkpoint.dir; a temporary one where none is set and all
+    tasks run in the driver's process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str = "step") -> DataFrame:
+    """The same rows, read from a table in the shared folder: what is used more than once is worked out once, and a lost
+    executor costs no more than the step that runs."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def event_rows(frames: DataFrame, least_confidence: float = 0.70) -> DataFrame:
@@ -16,23 +36,6 @@ def event_rows(frames: DataFrame, least_confidence: float = 0.70) -> DataFrame:
     return frames.where(good).select("event_id", "camera_id", F.col("stage").alias("level"), "confidence", "at", details.alias("details"))
 
 
-def append_events(events: DataFrame, path: str, time: str = "at") -> None:
-    events.withColumn("date", F.to_date(time)).write.mode("append").partitionBy("date").parquet(path)
-
-
-def upsert_observations(batch: DataFrame, path: str) -> None:
-    """Appends only rows that the store at ``path`` does not have; running it again adds nothing."""
-    spark = batch.sparkSession
-    try:
-        stored = spark.read.schema(batch.schema).parquet(path)
-        stored.limit(1).count()
-    except Exception as e:  # the store's first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = batch.limit(0)
-    new_rows(batch, stored).select(*batch.columns).write.mode("append").partitionBy("sensor_type").parquet(path)
-
-
 def feature(lon: Column, lat: Column, **properties: Column) -> Column:
     """A GeoJSON point feature."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))

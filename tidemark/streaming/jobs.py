@@ -42,22 +42,6 @@ def first_within(stream: DataFrame, keys: list[str], time: str, watermark: str =
     return stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def append_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that appends only rows whose keys the store at ``path`` lacks; a batch that is run again
-    after a failure adds nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(keys)
-        try:
-            rows = rows.join(batch.sparkSession.read.schema(batch.schema).parquet(path).select(*keys), keys, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("append").parquet(path)
-
-    return write
-
-
 def ordered_state(stream: DataFrame, key: str, order: list[str], start: tuple, step: Callable[[tuple, object], tuple[tuple, tuple | None]], output: str, state: str, time: str | None = None, silence: str = "10 seconds") -> DataFrame:
     """Runs ``step(state, row) -> (state, output row or None)`` over each key's rows, a batch's rows in order.
 

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 
+from tidemark.sources.sinks import shared_path
 from tidemark.streaming.ordered import rocks_state
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share, spark.checkpoint.dir; a temporary one where none is set and all
-    tasks run in the driver's process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def replay(rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str = "append", batch: Column | None = None, batches: int = 1) -> DataFrame:
     """The rows that a streaming job puts out until its input ends. With ``batch`` (a number below ``batches``), rows
     come in so many files, one in each micro-batch, in that order."""
