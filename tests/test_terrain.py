@@ -245,7 +245,7 @@ def test_flood_surface_equals_a_loop(spark, seed):
 
 def test_classes_keep_the_ground_where_the_volume_is_short(spark):
     """A round hollow with much seen at its middle but little water: the depth is scaled down, the classes are not."""
-    cells = [(7, r, c, 5.0 + 0.0011 * ((r - 16) ** 2 + (c - 16) ** 2), (r - c) % 13 == 6) for r in range(33) for c in range(33)]
+    cells = [(7, r, c, 5.0 + 0.004 * ((r - 16) ** 2 + (c - 16) ** 2), (r - c) % 13 == 6) for r in range(33) for c in range(33)]
     grid = spark.createDataFrame(cells, "source_id int, r int, c int, elev double, hydro boolean")
     known = spark.createDataFrame([(7, 4, 1.0, 95.0, 16, 16, 5.0)], "source_id int, stage int, rain_mm double, depth_cm double, seed_r int, seed_c int, seed_elev double")
     depths = G.depth(grid, known, G.spill_heights(grid, known, CELL), G.susceptibility(grid), CELL)
