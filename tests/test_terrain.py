@@ -254,7 +254,7 @@ def test_classes_keep_the_ground_where_the_volume_is_short(spark):
     assert depths.join(grid.where("hydro"), ["source_id", "r", "c"]).where("depth_m > 0 or terrain_m > 0").count() == 0
     bands = {x.level: x for x in G.bands(depths, CELL).collect()}
     assert set(bands) == {1, 2, 3, 4} and bands[1].shown_depth_m == 0.119 and bands[4].shown_depth_m == bands[4].max_depth_m
-    assert bands[1].cells > bands[2].cells > bands[3].cells > bands[4].cells
+    assert bands[1].cells >= bands[2].cells > bands[3].cells > bands[4].cells
 
 
 def test_past_floods_count_at_every_latitude(spark):
