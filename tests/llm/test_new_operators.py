@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import merkle, token_counts, whitening
+from tidemark.llm import merkle, near_dup, token_counts, whitening
+from tidemark.llm.text import Scratch
 
 H = lambda nodes: hashlib.sha256("".join(nodes).encode()).hexdigest()
 
@@ -157,3 +158,54 @@ def test_every_assigned_letter_and_sign_starts_as_the_library_says():
     texts = [f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}" for c in points]
     mine = np.bincount(token_counts.Pretokens(texts, vocabulary).row, minlength=len(texts))
     assert mine.tolist() == [len(vocabulary.tokenizer.pre_tokenizer.pre_tokenize_str(t)) for t in texts]
+
+
+def near_by_hand(rows, size, percent):
+    """Component of every id by comparing all pairs; rows of one id have the shingles of all their texts, and link with
+    whatever has the shingles of one."""
+    sets, each = {}, {}
+    for i, text in rows:
+        w = text.split()
+        grams = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+        sets.setdefault(i, set()).update(grams)
+        each.setdefault(i, set()).add(frozenset(grams))
+    label = {i: i for i in sets}
+    ids = sorted(sets)
+    for x in ids:
+        for y in ids:
+            shared = len(sets[x] & sets[y])
+            linked = 100 * shared >= percent * len(sets[x] | sets[y]) or each[x] & each[y]
+            if x < y and shared and linked and label[x] != label[y]:
+                low, high = sorted((label[x], label[y]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_templates_and_chains_near_the_threshold(spark, percent):
+    """Texts that share most of a template, at similarities on both sides of the threshold, in families and alone."""
+    r = random.Random(percent)
+    rows = []
+    for t in range(4):
+        template = [f"t{t}w{k}" for k in range(120)]
+        for k in range(70):
+            text = list(template)
+            for _ in range(r.choice([1, 2, 3, 4, 5, 6, 8])):
+                text[r.randrange(120)] = f"x{r.randrange(10**6)}" if r.random() < 0.7 else f"y{r.randrange(6)}"
+            rows.append((len(rows), " ".join(text[: r.choice([120, 120, 110, 100])])))
+    rows += [(1000 + k, rows[k][1] + " tail") for k in range(12)] + [(5, "an id with another text of its own"), (2000, "an id with another text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {f.doc_id: f.component_id for f in near_dup.near_duplicates(docs, 3, percent).collect()}
+    assert found == near_by_hand(rows, 3, percent)
+
+
+def test_a_template_below_the_threshold_makes_few_pairs(spark):
+    """170 of 200 words in common, no link: the pairs that meet do not grow with the square of the texts."""
+    r = random.Random(2)
+    rows = [(k, " ".join(f"w{j}" if j % 20 > 2 else f"x{r.randrange(10**9)}" for j in range(200))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dup.full_sets(docs, 3).toDF("rep", "shingles")
+    with Scratch(spark) as scratch:
+        firsts = near_dup._first_shingles(docs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("component")), sets, 85, scratch)
+        assert near_dup._met(firsts, 85).count() < 600
+    assert near_dup.near_duplicates(docs, 3, 85).where("kept").count() == 600

@@ -6,15 +6,17 @@ and a link is confirmed on the full shingle sets.
 
 Documents with equal sets form a class first and take part once. In each band's group all members are compared with
 a leader, the member whose groups are largest over all bands, which in a family of copies is the least edited one.
-Only pairs of one group that are then in different components remain, and of those only the ones that an exact bound
-leaves open: each member knows which of the leader's shingles it holds, as bits, and how many others it holds that
-any other such document has; two members share at most their common bits and the smaller number of others. So a large
-family of copies costs a comparison or two a member, and no link is lost. Pairs are not compared if sizes rule the
-link out, or if their signatures agree so little that a link would be 4.5 standard deviations off.
+Only documents of groups that are then in different components are left, and those meet by their rarest shingles alone:
+shingles that one component has to itself come first, the others by how many of these documents hold them. Of two linked
+sets the smaller has a common shingle among its first n - ceil(2 p n / (100 + p)) + 1, which the larger has among its
+first n - ceil(p n / 100) + 1; so documents that share a template, but not enough of it to link, share none of those. In
+the group of a shingle the largest component is met with the others only. So neither a large family of copies nor a
+template costs a comparison of all its pairs, and no link is lost. Pairs are not compared if sizes or the places of the
+shingle rule the link out, or if their signatures agree so little that a link would be 4.5 standard deviations off.
 
 A document's set: distinct word shingles in lower case (A-Z); with fewer words than a shingle has, the whole sequence;
 without a word, empty, and then it links with nothing. Rows without an id are left out; rows that repeat an id are one
-node. Ids are whole numbers (or text of such). An empty table gives no rows; texts are read whole, whatever their
+node, which has the shingles of all their texts and is in the class of each. Ids are whole numbers (or text of such). An empty table gives no rows; texts are read whole, whatever their
 length; other columns are not read. Results do not depend on partitioning.
 
 What is not exact: a pair whose sets have a similarity of exactly ``percent`` shares no band with a probability of
@@ -129,32 +131,42 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """band, rep, fame, component of the groups that are in more than one component."""
+    """rep, component of the members of groups that are in more than one component."""
     labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return labelled.join(mixed.select("band"), "band", "left_semi").select("band", "rep", "fame", "component")
-
-
-def _held(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """rep, leader, held array<long> (a bit for each of the leader's shingles that the rep holds), others long (its
-    other shingles that at least one more open document has)."""
-    shared = open_.select("rep").distinct().join(sets, "rep").select("rep", F.explode("shingles").alias("shingle"))
-    several = shared.groupBy("shingle").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("shingle")
-    own = shared.join(several, "shingle", "left_semi").groupBy("rep").agg(F.collect_list("shingle").alias("own"))  # at most one set's size
-    pairs = open_.select("rep", "leader").distinct().join(own, "rep").join(sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("led")), "leader")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits, others = [], []
-            for own, led in zip(batch.column(2), batch.column(3)):
-                own, led = np.asarray(own.values), np.asarray(led.values)
-                holds = np.isin(led, own)
-                bits.append(np.packbits(np.pad(holds, (0, -len(holds) % 64))).view(np.int64))
-                others.append(len(own) - int(holds.sum()))
-            lists = list_array(np.concatenate(bits) if bits else np.zeros(0, np.int64), np.array([len(b) for b in bits], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(others, pa.int64())], names=["rep", "leader", "held", "others"])
-
-    return pairs.select("rep", "leader", "own", "led").mapInArrow(run, "rep long, leader long, held array<long>, others long")
+    return labelled.join(mixed.select("band"), "band", "left_semi").select("rep", "component").distinct()
+
+
+def _first_shingles(open_: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """shingle, rep, component, n, place, early of the first shingles of each open document that another component has;
+    early ones are first enough for the smaller document of a pair, all are for the larger one."""
+    held = open_.join(sets, "rep").select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    spread = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("often"))
+    several = spread.where("low <> high").select("shingle", "often")
+    own = held.join(several, "shingle").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("own"))  # at most one set's size
+    n, alone = F.col("n"), F.col("n") - F.size("own")
+    probe = n - F.ceil(percent * n / 100) + 1
+    index = n - F.ceil(2 * percent * n / (100 + percent)) + 1
+    first = F.slice("own", F.lit(1), F.greatest(probe - alone, F.lit(0)).cast("int"))
+    rows = own.select("rep", "component", "n", alone.alias("alone"), index.alias("index"), F.posexplode(first).alias("at", "own"))
+    place = F.col("alone") + F.col("at")
+    return scratch.cut(rows.select("own.shingle", "rep", "component", "n", place.alias("place"), (place < F.col("index")).alias("early")))
+
+
+def _met(firsts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in one of their first shingles and may link."""
+    sizes = firsts.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("largest"), F.count("*").alias("components")).where("components > 1")
+    rows = firsts.join(largest.drop("components"), "shingle").withColumn("most", F.col("component") == F.col("largest")).drop("largest")
+    x, y = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns)) for side in ("x", "y"))
+    order = F.struct("n_x", "rep_x") < F.struct("n_y", "rep_y")
+    left = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))  # shingles that they may still share
+    enough = (100 * F.col("n_x") >= percent * F.col("n_y")) & ((100 + percent) * left >= percent * (F.col("n_x") + F.col("n_y")))
+    link = (F.col("shingle_x") == F.col("shingle_y")) & (F.col("component_x") != F.col("component_y")) & order & enough
+    smaller = x.where("early_x")
+    pairs = [smaller.where("not most_x").join(y, link), smaller.where("most_x").join(y.where("not most_y"), link)]
+    ends = (F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+    return pairs[0].select(*ends).union(pairs[1].select(*ends)).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,22 +196,17 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, scratch: Scratch
     stars = members.join(leaders, "band").where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
     tested = cut(_sides(stars, marked, "n", "sketch").where(_close(percent)).select("a", "b"))
     sets = full_sets(docs.join(famous.toDF("doc_id"), "doc_id", "left_semi"), words)
-    sets = cut(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles")))
+    sets = cut(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")))
     links = cut(_confirm(tested, sets, percent))
     labels = cut(components(links, scratch))
 
-    open_ = cut(_still_open(members, labels).join(leaders, "band"))
+    open_ = cut(_still_open(members, labels))
     scratch.drop(members, leaders)
     if not open_.isEmpty():
-        held = _held(open_, sets)
-        sides = cut(open_.join(held, ["rep", "leader"]).join(marked.select("rep", "n"), "rep").select("band", "rep", "component", "n", "held", "others"))
-        left, right = (sides.select(*(F.col(c).alias(f"{c}_{side}") for c in sides.columns)) for side in ("a", "b"))
-        common = F.aggregate(F.zip_with("held_a", "held_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
-        most = common + F.least("others_a", "others_b")
-        near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-        rest = cut(left.join(right, (F.col("band_a") == F.col("band_b")) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
-        scratch.drop(sides, open_)
-        rest = cut(_sides(rest.join(tested, ["a", "b"], "left_anti"), marked, "n", "sketch").where(_close(percent)).select("a", "b"))
+        firsts = _first_shingles(open_, sets, percent, scratch)
+        met = cut(_met(firsts, percent).join(tested, ["a", "b"], "left_anti"))
+        scratch.drop(firsts, open_)
+        rest = cut(_sides(met, marked, "n", "sketch").where(_close(percent)).select("a", "b").distinct())
         if not rest.isEmpty():
             labels = components(links.union(cut(_confirm(rest, sets, percent))), scratch)
 
