@@ -145,19 +145,27 @@ def recall_by_size(predictions: DataFrame, truth: DataFrame, frame: list[str], l
     return rows.groupBy("size").agg(F.count("*").alias("labels"), F.avg(F.when(F.coalesce("best", F.lit(0.0)) >= least, 1.0).otherwise(0.0)).alias("recall"))
 
 
-def coverage(truth: DataFrame, predictions: DataFrame, frame: list[str], grow: float = 1.0) -> DataFrame:
-    """frame, box_no, covered: share of each label's pixels under the union of the (grown) boxes. Each label is cut
-    into pixel rows, and overlapping intervals of a row are merged by a running maximum."""
+def coverage(truth: DataFrame, predictions: DataFrame, frame: list[str], grow: float = 1.0, pixel_rows: bool = True) -> DataFrame:
+    """frame, box_no, covered: share of each label's area under the union of the (grown) boxes. A label is cut into
+    strips at the edges of the boxes that meet it, and in a strip overlapping intervals are merged by a running maximum,
+    so the work follows the number of boxes, not their height. With ``pixel_rows`` edges go up to the next pixel row, as
+    a mask has them; without, fractions count."""
     p = predictions.select(*frame, *(c.alias(f"p{n}") for c, n in zip(grown([F.col(c) for c in SIDES], grow, 1e9, 1e9), SIDES)))
     hit = truth.join(p, frame).where((F.col("px1") < F.col("x2")) & (F.col("px2") > F.col("x1")) & (F.col("py1") < F.col("y2")) & (F.col("py2") > F.col("y1")))
-    first, last = F.ceil(F.greatest("y1", "py1")), F.ceil(F.least("y2", "py2")) - 1
-    lines = hit.where(first <= last).select(*frame, "box_no", F.explode(F.sequence(first, last)).alias("y"), F.greatest("x1", "px1").alias("a"), F.least("x2", "px2").alias("b"))
-    order = Window.partitionBy(*frame, "box_no", "y").orderBy("a", "b")
+    edge = (lambda v: F.ceil(v).cast("double")) if pixel_rows else (lambda v: v.cast("double"))
+    hit = hit.select(*frame, "box_no", F.greatest("x1", "px1").alias("a"), F.least("x2", "px2").alias("b"), edge(F.greatest("y1", "py1")).alias("top"), edge(F.least("y2", "py2")).alias("foot"))
+    hit = hit.where("top < foot")
+    label = [*frame, "box_no"]
+    edges = hit.select(*label, F.explode(F.array("top", "foot")).alias("y")).distinct()
+    below = F.lead("y").over(Window.partitionBy(*label).orderBy("y"))
+    strips = edges.withColumn("y1", below).where("y1 is not null")
+    pieces = strips.join(hit, label).where((F.col("top") <= F.col("y")) & (F.col("foot") >= F.col("y1")))
+    order = Window.partitionBy(*label, "y").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    added = F.greatest(F.col("b") - F.greatest(F.col("a"), F.coalesce(reach, F.col("a"))), F.lit(0.0))
-    sums = lines.withColumn("_added", added).groupBy(*frame, "box_no").agg(F.sum("_added").alias("_covered"))
+    added = F.greatest(F.col("b") - F.greatest(F.col("a"), F.coalesce(reach, F.col("a"))), F.lit(0.0)) * (F.col("y1") - F.col("y"))
+    sums = pieces.withColumn("_added", added).groupBy(*label).agg(F.sum("_added").alias("_covered"))
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    return truth.join(sums, [*frame, "box_no"], "left").select(*frame, "box_no", F.when(size > 0, F.coalesce("_covered", F.lit(0.0)) / size).otherwise(0.0).alias("covered"))
+    return truth.join(sums, label, "left").select(*label, F.when(size > 0, F.coalesce("_covered", F.lit(0.0)) / size).otherwise(0.0).alias("covered"))
 
 
 def coverage_summary(covered: DataFrame) -> DataFrame:

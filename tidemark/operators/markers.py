@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.quantiles import exact_quantiles
+
 from tidemark.functions.scalars import level_of
 
 
@@ -76,7 +78,7 @@ def cross_check(a: DataFrame, b: DataFrame, key: str, limit: float = 5.0) -> Dat
 
 def pole_line(wet: DataFrame, key: str, y: str) -> DataFrame:
     """5th percentile of a frame's wet rows in the pole's columns."""
-    return wet.groupBy(key).agg(F.percentile(y, F.lit(0.05)).alias("line_y"))
+    return exact_quantiles(wet, [key], y, {"line_y": 0.05})
 
 
 def wheel_submersion(wheels: DataFrame, runs: DataFrame, frame: str) -> DataFrame:

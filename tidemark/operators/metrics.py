@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.quantiles import exact_quantiles
+
 
 def latency(rows: DataFrame, keys: list[str], ms: str) -> DataFrame:
     """Median, 95th percentile (exact, linear) and frames per second."""
-    return rows.groupBy(*keys).agg(F.percentile(ms, F.lit(0.5)).alias("median_ms"), F.percentile(ms, F.lit(0.95)).alias("p95_ms"), (1000.0 / F.avg(ms)).alias("fps"))
+    speed = rows.groupBy(*keys).agg((1000.0 / F.avg(ms)).alias("fps"))
+    return exact_quantiles(rows, keys, ms, {"median_ms": 0.5, "p95_ms": 0.95}).join(speed, keys)
 
 
 def per_frame(frames: DataFrame, boxes: DataFrame, keys: list[str], frame: str) -> DataFrame:
     """Detections a frame: mean, median and maximum, frames without any included."""
     counts = boxes.groupBy(*keys, frame).agg(F.count("*").alias("n"))
     rows = frames.join(counts, [*keys, frame], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return rows.groupBy(*keys).agg(F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").cast("long").alias("most"))
+    middle = exact_quantiles(rows, keys, "n", {"median": 0.5})
+    return rows.groupBy(*keys).agg(F.avg("n").alias("mean"), F.max("n").cast("long").alias("most")).join(middle, keys).select(*keys, "mean", "median", "most")
 
 
 def mask_scores(masks: DataFrame, keys: list[str]) -> DataFrame:
