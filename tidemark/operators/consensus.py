@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.scalars import floored, identity_key
+
 LEVELS = range(5)
 
 
@@ -79,19 +81,41 @@ def source_counts(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(*(F.count_if(source == s).alias(s) for s in ("background", "foreground", "legacy")))
 
 
-def current_stages(events: DataFrame, key: str, as_of: Column, stale_seconds: float = 1200, window_seconds: float = 120, records: int = 5) -> DataFrame:
+def current_stages(events: DataFrame, key: str, as_of: Column, stale_seconds: float = 1200, window_seconds: float = 120, records: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """The present stage of each key from authoritative rows no older than ``stale_seconds``: the newest row's own
-    vehicle votes if it has at least two, else one vote for each of the newest rows within ``window_seconds``."""
+    vehicle votes if it has at least two, else one vote for each of the newest rows within ``window_seconds``; and the
+    newest row's ``carry`` columns."""
     age = as_of.cast("timestamp").cast("double") - F.col("detected_at").cast("timestamp").cast("double")
     rows = events.where(F.col(key).isNotNull() & ((F.col("level") == 0) | F.col("positive_confirmed")) & (age <= stale_seconds) & (age >= 0)).withColumn("_age", age)
     newest_first = Window.partitionBy(key).orderBy(F.desc("detected_at"), F.desc("id"))
     recent = rows.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= records)
     recent = recent.withColumn("_newest", F.min("_age").over(Window.partitionBy(key))).where(F.col("_age") - F.col("_newest") <= window_seconds)
     frames = consensus(recent, [key])
-    newest = recent.where("_rank = 1").select(key, F.col("id").alias("last_id"), F.col("level").alias("last_level"), F.col("confidence").alias("last_confidence"), "vehicles")
+    newest = recent.where("_rank = 1").select(key, F.col("id").alias("last_id"), F.col("level").alias("last_level"), F.col("confidence").alias("last_confidence"), "vehicles", *carry)
     enough = F.col("vehicles") >= 2
     return frames.join(newest, key).select(key, "last_id", F.when(enough, F.col("last_level")).otherwise(F.col("stage")).cast("int").alias("stage"),
-        F.round(F.when(enough, F.col("last_confidence")).otherwise(F.col("stage_confidence")), 6).alias("confidence"), F.when(enough, F.lit(1)).otherwise(F.col("votes")).cast("long").alias("records"))
+        F.round(F.when(enough, F.col("last_confidence")).otherwise(F.col("stage_confidence")), 6).alias("confidence"), F.when(enough, F.lit(1)).otherwise(F.col("votes")).cast("long").alias("records"), *carry)
+
+
+def stage_list(events: DataFrame, as_of: Column, stale_seconds: float = 1200, window_seconds: float = 120, limit: int = 5000, test_id: str | None = None, test_name: str = "", least_stage: int = 1, least_confidence: float = 0.7) -> DataFrame:
+    """camera_id, camera_name, stage, confidence, origin (id, name or test) of every camera in the newest ``limit`` rows
+    that are not stale: by id, then rows that have only a name which no camera by id has. The test camera (by id, or by
+    its name without case and signs) is always there once, raised to its floor."""
+    age = as_of.cast("timestamp").cast("double") - F.col("detected_at").cast("timestamp").cast("double")
+    rows = events.where(age.between(0, stale_seconds)).orderBy(F.desc("detected_at"), F.desc("id")).limit(limit)
+    rows = rows.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in ("camera_id", "camera_name")})
+    of = lambda key, other: current_stages(rows, key, as_of, stale_seconds, window_seconds, carry=(other,))
+    columns = ["camera_id", "camera_name", "stage", "confidence"]
+    by_id = of("camera_id", "camera_name").select(*columns, F.lit("id").alias("origin"))
+    legacy = of("camera_name", "camera_id").where("camera_id is null").join(by_id.select("camera_name"), "camera_name", "left_anti")
+    found = by_id.unionByName(legacy.select(*columns, F.lit("name").alias("origin")))
+    if test_id is None:
+        return found
+    is_test = F.coalesce(F.col("camera_id") == test_id, F.lit(False)) | F.coalesce(identity_key(F.col("camera_name")) == identity_key(F.lit(test_name)), F.lit(False))
+    newest = found.where(is_test).agg(F.min_by(F.struct("stage", "confidence"), F.struct("origin", "camera_id", "camera_name")).alias("t"))
+    stage, confidence, _ = floored(F.coalesce("t.stage", F.lit(0)), F.coalesce("t.confidence", F.lit(0.0)), F.lit(True), least_stage, least_confidence)
+    test = newest.select(F.lit(test_id).alias("camera_id"), F.lit(test_name).alias("camera_name"), stage.cast("int").alias("stage"), confidence.alias("confidence"), F.lit("test").alias("origin"))
+    return found.where(~is_test).unionByName(test)
 
 
 def stage_sources(boxes: DataFrame, keys: list[str], source: str = "stage_source") -> DataFrame:

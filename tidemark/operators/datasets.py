@@ -54,12 +54,39 @@ def sample_per_preset(rows: DataFrame, presets: DataFrame, name: str, seed: str)
     return chosen.select("preset", name, F.concat_ws("_", F.col(name).cast("string"), "preset").alias("output"))
 
 
-def normalised(boxes: DataFrame, width: float, height: float, least: float = 2.0) -> DataFrame:
-    """Boxes clipped to the frame as centre and size in shares, with a skip reason for those under ``least`` pixels."""
-    x1, x2 = (F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(width)) for c in ("x1", "x2"))
-    y1, y2 = (F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(height)) for c in ("y1", "y2"))
-    skip = F.when((x2 - x1 < least) | (y2 - y1 < least), "small")
-    return boxes.select("frame", "box_no", "cls", *(F.round(v, 8).alias(n) for n, v in (("cx", (x1 + x2) / 2 / width), ("cy", (y1 + y2) / 2 / height), ("w", (x2 - x1) / width), ("h", (y2 - y1) / height))), skip.alias("skipped"))
+def normalised(boxes: DataFrame, width: float | Column, height: float | Column, least: float = 2.0, rule: str = "v3") -> DataFrame:
+    """Boxes as centre and size in shares of the frame, with a reason where one is skipped: ``no_size`` without a frame
+    size, and by rule: v3 clips to the frame and skips what is under ``least`` pixels (``small``); v2 clips nothing and
+    skips centres outside of the frame and sizes that are none or more than the frame (``outside``); v1 takes x2 and y2
+    as width and height and skips nothing."""
+    w, h = (v if isinstance(v, Column) else F.lit(v) for v in (width, height))
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    if rule == "v3":
+        x1, x2 = (F.least(F.greatest(v, F.lit(0.0)), w) for v in (x1, x2))
+        y1, y2 = (F.least(F.greatest(v, F.lit(0.0)), h) for v in (y1, y2))
+    elif rule == "v1":
+        x2, y2 = x1 + x2, y1 + y2
+    shares = {"cx": (x1 + x2) / 2 / w, "cy": (y1 + y2) / 2 / h, "w": (x2 - x1) / w, "h": (y2 - y1) / h}
+    skip = F.when(w.isNull() | h.isNull(), "no_size")
+    if rule == "v3":
+        skip = skip.when((x2 - x1 < least) | (y2 - y1 < least), "small")
+    elif rule == "v2":
+        inside = [(shares[c] > 0) & (shares[c] < 1) for c in ("cx", "cy")] + [(shares[c] > 0) & (shares[c] <= 1) for c in ("w", "h")]
+        skip = skip.when(~(inside[0] & inside[1] & inside[2] & inside[3]), "outside")
+    return boxes.select("frame", "box_no", "cls", *(F.round(v, 8).alias(n) for n, v in shares.items()), skip.alias("skipped"))
+
+
+def label_counters(images: DataFrame, rows: DataFrame) -> DataFrame:
+    """images, no_size, empty, written, boxes, small, outside: what became of images(frame, sized boolean) and of their
+    boxes; an image without a usable box is empty and is not written."""
+    usable = F.col("skipped").isNull()
+    of = rows.groupBy("frame").agg(F.count_if(usable).alias("kept"), *(F.count_if(F.col("skipped") == k).alias(k) for k in ("small", "outside")))
+    joined = images.join(of, "frame", "left").na.fill(0, ["kept", "small", "outside"])
+    sized = F.col("sized")
+    return joined.agg(
+        F.count("*").alias("images"), F.count_if(~sized).alias("no_size"), F.count_if(sized & (F.col("kept") == 0)).alias("empty"), F.count_if(sized & (F.col("kept") > 0)).alias("written"),
+        *(F.coalesce(F.sum(F.when(sized, F.col(c))), F.lit(0).cast("long")).alias(n) for c, n in (("kept", "boxes"), ("small", "small"), ("outside", "outside"))),
+    )
 
 
 def label_text(rows: DataFrame) -> DataFrame:
@@ -114,6 +141,17 @@ def polygons(rows: DataFrame, width: float, height: float) -> DataFrame:
     return rows.select("file", "no", F.when(n >= 3, points).alias("points"))
 
 
+def polygon_counters(images: DataFrame, rows: DataFrame) -> DataFrame:
+    """images, missing_image, polygons, empty_poly, background_only: what became of images(file, present boolean) and of
+    their polygons(file, no, points; null points are an annotation without a polygon). An image that is there and has
+    no polygon is background only; what belongs to a missing image counts nowhere."""
+    of = rows.groupBy("file").agg(F.count("points").alias("polygons"), F.count_if(F.col("points").isNull()).alias("empty_poly"))
+    joined = images.join(of, "file", "left").na.fill(0, ["polygons", "empty_poly"])
+    here = F.col("present")
+    total = lambda c: F.coalesce(F.sum(F.when(here, F.col(c))), F.lit(0).cast("long")).alias(c)
+    return joined.agg(F.count_if(here).alias("images"), F.count_if(~here).alias("missing_image"), total("polygons"), total("empty_poly"), F.count_if(here & (F.col("polygons") == 0)).alias("background_only"))
+
+
 def removal_manifest(rejected: DataFrame, labels: DataFrame, orphans: DataFrame, errors: DataFrame) -> DataFrame:
     """file, reason of everything to remove but files that could not be read."""
     every = rejected.select("file", F.lit("rejected").alias("reason")).unionByName(labels.join(rejected, "file", "left_semi").select("file", F.lit("label").alias("reason"))).unionByName(orphans.select("file", F.lit("orphan").alias("reason")))

@@ -82,13 +82,22 @@ def pole_line(wet: DataFrame, key: str, y: str) -> DataFrame:
 
 
 def wheel_submersion(wheels: DataFrame, runs: DataFrame, frame: str) -> DataFrame:
-    """frame, box_no, wet_share, top_y, height_ratio, level of wheel boxes against wet runs (y, xa, xb) of a frame."""
-    inside = wheels.join(runs, frame).where(F.col("y").between(F.col("y1"), F.col("y2") - 1) & (F.col("xa") < F.col("x2")) & (F.col("xb") > F.col("x1")))
-    wet = inside.groupBy(frame, "box_no").agg(F.sum(F.least("xb", "x2") - F.greatest("xa", "x1")).alias("_wet"), F.min("y").alias("top_y"))
-    rows = wheels.join(wet, [frame, "box_no"], "left")
-    ratio = F.when(F.col("top_y").isNull(), 0.0).otherwise((F.col("y2") - F.col("top_y")) / (F.col("y2") - F.col("y1")))
+    """frame, box_no, wet_share, top_y, height_ratio, level of wheel boxes against wet runs (y, xa, xb) of a frame: the
+    share of the box's pixels that are wet, and how high the topmost wet row over all of the box's columns stands."""
+    over = wheels.join(runs, frame).where((F.col("xa") < F.col("x2")) & (F.col("xb") > F.col("x1")))
+    inside = F.col("y").between(F.col("y1"), F.col("y2") - 1)
+    wet = over.groupBy(frame, "box_no").agg(F.sum(F.when(inside, F.least("xb", "x2") - F.greatest("xa", "x1"))).alias("_wet"), F.min("y").alias("top_y"))
+    rows = wheels.join(wet, [frame, "box_no"], "left").where((F.col("y2") > F.col("y1")) & (F.col("x2") > F.col("x1")))
+    height = (F.col("y2") - F.greatest("top_y", "y1")) / (F.col("y2") - F.col("y1"))
+    ratio = F.when(F.col("top_y").isNull(), 0.0).otherwise(F.greatest(height, F.lit(0.0)))
     share = F.coalesce("_wet", F.lit(0.0)) / ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
-    return rows.where((F.col("y2") > F.col("y1")) & (F.col("x2") > F.col("x1"))).select(frame, "box_no", share.alias("wet_share"), "top_y", ratio.alias("height_ratio"), level_of(ratio, (0.05, 0.25, 0.5, 0.75)).alias("level"))
+    return rows.select(frame, "box_no", share.alias("wet_share"), "top_y", ratio.alias("height_ratio"), level_of(ratio, (0.05, 0.25, 0.5, 0.75)).alias("level"))
+
+
+def frame_submersion(frames: DataFrame, wheels: DataFrame, frame: str) -> DataFrame:
+    """frame, wheels, level: the deepest of a frame's wheels (of ``wheel_submersion``), level 0 without any."""
+    of = wheels.groupBy(frame).agg(F.count("*").alias("wheels"), F.max("level").alias("level"))
+    return frames.select(frame).distinct().join(of, frame, "left").select(frame, F.coalesce("wheels", F.lit(0)).cast("long").alias("wheels"), F.coalesce("level", F.lit(0)).cast("int").alias("level"))
 
 
 def periodic_run(stripes: DataFrame, frame: str, position: str, tolerance: float = 0.35, rounds: int = 4) -> DataFrame:

@@ -46,13 +46,9 @@ def history(flood: DataFrame, places: DataFrame, readings: DataFrame, start_us:
     return Q.timeline(both, "us", "series", "value", ["stage", "rain", "sewer", "river"], ["camera_id"])
 
 
-def current_stages(flood: DataFrame, cameras: DataFrame, as_of_us: int, stale_seconds: float, window_seconds: float) -> DataFrame:
-    """The present stage of every camera by id, and by name for events whose id no camera has."""
-    at = F.timestamp_micros(F.lit(as_of_us))
-    by_id = C.current_stages(flood, "camera_id", at, stale_seconds, window_seconds).select(F.col("camera_id").alias("key"), "stage", "confidence", F.lit("id").alias("origin"))
-    nameless = flood.join(cameras.select(F.col("id").alias("camera_id")), "camera_id", "left_anti")
-    by_name = C.current_stages(nameless, "camera_name", at, stale_seconds, window_seconds).select(F.col("camera_name").alias("key"), "stage", "confidence", F.lit("name").alias("origin"))
-    return by_id.unionByName(by_name.join(by_id.select("key"), "key", "left_anti"))
+def current_stages(flood: DataFrame, as_of_us: int, stale_seconds: float, window_seconds: float, limit: int = 5000, test_id: str | None = None, test_name: str = "") -> DataFrame:
+    """The present stage of every camera by id, of nameless-id rows by name, and of the test camera."""
+    return C.stage_list(flood, F.timestamp_micros(F.lit(as_of_us)), stale_seconds, window_seconds, limit, test_id, test_name)
 
 
 def map_overlay(cameras: DataFrame, flood: DataFrame, rain: DataFrame, as_of_us: int, stale_seconds: float = 1200, window_seconds: float = 120) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import terrain as T
 from tidemark.plans import api as A
-from tidemark.plans.q_core import CHANGES, END_US, GATE, LATEST, START_US, consensus_sql
+from tidemark.plans.q_core import CHANGES, END_US, GATE, LATEST, START_US, consensus_sql, named, stage_list_sql
 from tidemark.plans.q_boxes import SAME, matches_sql, scores_sql
 from tidemark.plans.q_labels import text_sql
 from tidemark.plans.q_places import FLAT, IDW, MARKERS, NEAREST, rain_points
@@ -37,11 +37,9 @@ def _(t):
     return A.history(t.v_flood, t.v_cams, t.v_env, START_US, END_US, 60, 86400)
 
 
-@query("q_03", LATEST.format(key="camera_id") + f""", best as ({consensus_sql("top", "camera_id")}), byid as (select b.camera_id as key, cast(case when n.vehicles >= 2 then n.level else stage end as int) as stage, round(case when n.vehicles >= 2 then n.confidence else stage_confidence end, 6) as confidence from best b join top n on n.camera_id = b.camera_id and n.rank = 1),
-r2 as (select * from r where camera_id not in (select id from v_cams where c_custkey % 2 = 0)), top2 as (select * from (select *, row_number() over (partition by camera_name order by us desc, id desc) as rank, min(age) over (partition by camera_name) as newest from r2 where age <= 86400000000) where rank <= 5 and age - newest <= 36000000000),
-best2 as ({consensus_sql("top2", "camera_name")}) select key, stage, confidence, 'id' as origin from byid union all select b.camera_name, cast(case when n.vehicles >= 2 then n.level else stage end as int), round(case when n.vehicles >= 2 then n.confidence else stage_confidence end, 6), 'name' from best2 b join top2 n on n.camera_name = b.camera_name and n.rank = 1""")
+@query("q_03", stage_list_sql(150, "CAM-9000", "Test camera"))
 def _(t):
-    return A.current_stages(t.v_flood.withColumn("vehicles", F.col("k") % 4), t.v_cams.where("c_custkey % 2 = 0"), END_US, 86400, 36000)
+    return A.current_stages(named(t), END_US, 86400, 36000, 150, "CAM-9000", "Test camera")
 
 
 NOW = MARKERS.format(stored="stored", named="(select '' as camera_name, 0 as stage where false)", trusted="true", since=END_US - 15_000_000, end=END_US, rain=IDW.format(radius=35000))

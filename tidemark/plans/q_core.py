@@ -63,6 +63,33 @@ def _(t):
 LATEST = """with r as (select *, 1706572800000000 - us as age, k % 4 as vehicles from v_flood where us <= 1706572800000000 and (level = 0 or positive_confirmed)), top as (select * from (select *, row_number() over (partition by {key} order by us desc, id desc) as rank, min(age) over (partition by {key}) as newest from r where age <= 86400000000) where rank <= 5 and age - newest <= 36000000000)"""
 
 
+NAMED = "(select *, case when user_id % 5 = 0 then '' else camera_id end as cid, case when user_id % 7 = 0 then '' when user_id % 5 = 0 then 'Old ' || camera_name else camera_name end as cname from v_flood)"
+
+
+def stage_list_sql(limit: int, test_id: str, test_name: str) -> str:
+    """Stages by id, by name where there is no id, and the test camera raised to its floor."""
+    top = lambda key: f"(select * from (select *, row_number() over (partition by {key} order by us desc, id desc) as rank, max(us) over (partition by {key}) as newest from r where {key} <> '') where rank <= 5 and newest - us <= 36000000000)"
+    best = lambda key, table: f"(select n.cid, n.cname, cast(case when n.vehicles >= 2 then n.level else stage end as int) as stage, round(case when n.vehicles >= 2 then n.confidence else stage_confidence end, 6) as confidence from ({consensus_sql(table, key)}) b join {table} n on n.{key} = b.{key} and n.rank = 1)"
+    is_test = f"(cid = '{test_id}' or regexp_replace(lower(cname), '[^a-z0-9]', '', 'g') = regexp_replace(lower('{test_name}'), '[^a-z0-9]', '', 'g'))"
+    return f"""with f as (select *, k % 4 as vehicles from {NAMED} where us <= {END_US} and {END_US} - us <= 86400000000 order by us desc, id desc limit {limit}),
+r as (select * from f where level = 0 or positive_confirmed), i as {top("cid")}, n as {top("cname")}, bi as {best("cid", "i")}, bn as {best("cname", "n")},
+u as (select cid, nullif(cname, '') as cname, stage, confidence, 'id' as origin from bi union all select null, cname, stage, confidence, 'name' from bn where cid = '' and cname not in (select cname from bi)),
+t as (select arg_min({{'s': stage, 'c': confidence}}, {{'o': origin, 'i': coalesce(cid, ''), 'n': coalesce(cname, '')}}) as t from u where {is_test})
+select cid as camera_id, cname as camera_name, stage, confidence, origin from u where not coalesce({is_test}, false)
+union all select '{test_id}', '{test_name}', greatest(coalesce(t.s, 0), 1), case when coalesce(t.s, 0) < 1 then greatest(coalesce(t.c, 0), 0.7e0) else t.c end, 'test' from t"""
+
+
+def named(t):
+    no_id = F.col("user_id") % 5 == 0
+    name = F.when(F.col("user_id") % 7 == 0, "").when(no_id, F.concat(F.lit("Old "), "camera_name")).otherwise(F.col("camera_name"))
+    return t.v_flood.withColumns({"camera_id": F.when(no_id, "").otherwise(F.col("camera_id")), "camera_name": name, "vehicles": F.col("k") % 4})
+
+
+@query("st_05", stage_list_sql(100000, "CAM-0033", "Cam 33"))
+def _(t):
+    return C.stage_list(named(t), F.timestamp_micros(F.lit(END_US)), 86400, 36000, 100000, "CAM-0033", "Cam 33")
+
+
 @query("ag_09", LATEST.format(key="camera_id") + f""", best as ({consensus_sql("top", "camera_id")}) select b.camera_id, n.id as last_id, cast(case when n.vehicles >= 2 then n.level else stage end as int) as stage, round(case when n.vehicles >= 2 then n.confidence else stage_confidence end, 6) as confidence, cast(case when n.vehicles >= 2 then 1 else votes end as bigint) as records from best b join top n on n.camera_id = b.camera_id and n.rank = 1""")
 def _(t):
     rows = t.v_flood.withColumn("vehicles", F.col("k") % 4)

@@ -46,6 +46,37 @@ def _(t):
     return D.label_text(D.normalised(t.v_boxes, 640.0, 360.0))
 
 
+UNSIZED = "frame % 11 = 0"  # frames whose size is not known
+
+
+def sized(t):
+    known = lambda v: F.when(~F.expr(UNSIZED), F.lit(v))
+    return t.v_boxes, known(640.0), known(360.0)
+
+
+@query("ds_04_v2", f"""select frame, box_no, cls, round((x1 + x2) / 2 / w, 8) as cx, round((y1 + y2) / 2 / h, 8) as cy, round((x2 - x1) / w, 8) as w, round((y2 - y1) / h, 8) as h,
+case when w is null then 'no_size' when not ((x1 + x2) / 2 / w > 0 and (x1 + x2) / 2 / w < 1 and (y1 + y2) / 2 / h > 0 and (y1 + y2) / 2 / h < 1 and (x2 - x1) / w > 0 and (x2 - x1) / w <= 1 and (y2 - y1) / h > 0 and (y2 - y1) / h <= 1) then 'outside' end as skipped
+from (select *, case when not {UNSIZED} then 640e0 end as w, case when not {UNSIZED} then 360e0 end as h from v_boxes)""")
+def _(t):
+    return D.normalised(*sized(t), rule="v2")
+
+
+@query("ds_04_v1", """select frame, box_no, cls, round((x1 + x2 / 2) / 640, 8) as cx, round((y1 + y2 / 2) / 360, 8) as cy, round(x2 / 640, 8) as w, round(y2 / 360, 8) as h, cast(null as varchar) as skipped from v_boxes""")
+def _(t):
+    return D.normalised(t.v_boxes, 640.0, 360.0, rule="v1")
+
+
+@query("ds_04_counters", f"""with b as (select *, {UNSIZED} as unsized, least(greatest(x1, 0), 640) as a, least(greatest(y1, 0), 360) as b, least(greatest(x2, 0), 640) as c, least(greatest(y2, 0), 360) as d from v_boxes where cls <> 4),
+f as (select frame, bool_or(unsized) as unsized, count(*) filter (where c - a >= 2 and d - b >= 2) as kept, count(*) filter (where c - a < 2 or d - b < 2) as small from b group by 1),
+i as (select distinct frame, {UNSIZED} as unsized from v_boxes)
+select count(*) as images, count(*) filter (where i.unsized) as no_size, count(*) filter (where not i.unsized and coalesce(kept, 0) = 0) as empty, count(*) filter (where not i.unsized and kept > 0) as written, cast(sum(kept) filter (where not i.unsized) as bigint) as boxes, cast(sum(small) filter (where not i.unsized) as bigint) as small, 0 as outside
+from i left join f on f.frame = i.frame""")
+def _(t):
+    boxes, w, h = sized(t)
+    images = boxes.select("frame", (~F.expr(UNSIZED)).alias("sized")).distinct()
+    return D.label_counters(images, D.normalised(boxes.where("cls <> 4"), w, h))
+
+
 LINES = "case k % 5 when 0 then '1 0.5 0.5 0.1' when 1 then '7 0.5 0.5 0.1 0.1' when 2 then '2 1.5 0.5 0.1 0.1' when 3 then '3 0.5  0.25 0.1 0.1' else 'x 0.5 0.5 0.1 0.1' end"
 
 
@@ -93,6 +124,16 @@ def _(t):
     return rows.select("file", "no", F.col("points")[3]["x"].alias("x"), F.col("points")[3]["y"].alias("y"))
 
 
+@query("ds_09_counters", """with p as (select frame, count(*) filter (where box_no % 4 > 0) as polygons, count(*) filter (where box_no % 4 = 0) as empty_poly from v_boxes where cls > 2 group by 1), i as (select distinct frame, frame % 13 > 0 as present from v_boxes)
+select count(*) filter (where present) as images, count(*) filter (where not present) as missing_image, cast(sum(polygons) filter (where present) as bigint) as polygons, cast(sum(empty_poly) filter (where present) as bigint) as empty_poly, count(*) filter (where present and coalesce(polygons, 0) = 0) as background_only from i left join p on p.frame = i.frame""")
+def _(t):
+    """Every fourth annotation has two points only."""
+    whole, line = F.array("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2"), F.array("x1", "y1", "x2", "y2")
+    flat = F.when(F.col("box_no") % 4 == 0, line).otherwise(whole)
+    rows = D.polygons(t.v_boxes.where("cls > 2").select(F.col("frame").alias("file"), F.col("box_no").alias("no"), flat.alias("flat")), 640.0, 360.0)
+    return D.polygon_counters(t.v_boxes.select(F.col("frame").alias("file"), (F.col("frame") % 13 > 0).alias("present")).distinct(), rows)
+
+
 @query("st_06", """select distinct frame as file, 'image' as kind from v_boxes where cls < 3 and frame not in (select frame from v_boxes where cls > 1) union all select distinct frame, 'label' from v_boxes where cls > 1 and frame not in (select frame from v_boxes where cls < 3)""")
 def _(t):
     i, l = (t.v_boxes.where(w).select(F.col("frame").alias("file")).distinct() for w in ("cls < 3", "cls > 1"))  # noqa: E741
@@ -165,11 +206,25 @@ def _(t):
     return K.pole_line(t.v_boxes, "frame", "y1").withColumn("line_y", F.round("line_y", 6))
 
 
-@query("ag_36", """with r as (select frame, floor(y1) + 3 as y, x1 + 10 as xa, x2 + 30 as xb from v_boxes where flag = 'A'), w as (select b.frame, b.box_no, sum(least(xb, x2) - greatest(xa, x1)) as wet, min(y) as top_y from v_boxes b join r on r.frame = b.frame and y between y1 and y2 - 1 and xa < x2 and xb > x1 where b.flag = 'R' group by 1, 2)
-select b.frame, b.box_no, coalesce(wet, 0) / ((x2 - x1) * (y2 - y1)) as wet_share, top_y, case when top_y is null then 0e0 else (y2 - top_y) / (y2 - y1) end as height_ratio from v_boxes b left join w on w.frame = b.frame and w.box_no = b.box_no where b.flag = 'R' and y2 > y1""")
-def _(t):
+WHEELS = """r as (select frame, floor(y1) + 3 as y, x1 + 10 as xa, x2 + 30 as xb from v_boxes where flag = 'A'),
+w as (select b.frame, b.box_no, sum(case when y between y1 and y2 - 1 then least(xb, x2) - greatest(xa, x1) end) as wet, min(y) as top_y from v_boxes b join r on r.frame = b.frame and xa < x2 and xb > x1 where b.flag = 'R' group by 1, 2),
+h as (select b.frame, b.box_no, coalesce(wet, 0) / ((x2 - x1) * (y2 - y1)) as wet_share, top_y, case when top_y is null then 0e0 else greatest((y2 - greatest(top_y, y1)) / (y2 - y1), 0) end as height_ratio from v_boxes b left join w on w.frame = b.frame and w.box_no = b.box_no where b.flag = 'R' and y2 > y1),
+l as (select *, case when height_ratio < 0.05 then 0 when height_ratio < 0.25 then 1 when height_ratio < 0.5 then 2 when height_ratio < 0.75 then 3 else 4 end as level from h)"""
+
+
+def wheels(t):
     runs = t.v_boxes.where("flag = 'A'").select("frame", (F.floor("y1") + 3).alias("y"), (F.col("x1") + 10).alias("xa"), (F.col("x2") + 30).alias("xb"))
-    return K.wheel_submersion(t.v_boxes.where("flag = 'R'").select("frame", "box_no", "x1", "y1", "x2", "y2"), runs, "frame").drop("level")
+    return K.wheel_submersion(t.v_boxes.where("flag = 'R'").select("frame", "box_no", "x1", "y1", "x2", "y2"), runs, "frame")
+
+
+@query("ag_36", f"with {WHEELS} select * from l")
+def _(t):
+    return wheels(t)
+
+
+@query("ag_36_frame", f"with {WHEELS} select f.frame, count(l.frame) as wheels, coalesce(max(level), 0) as level from (select distinct frame from v_boxes) f left join l on l.frame = f.frame group by 1")
+def _(t):
+    return K.frame_submersion(t.v_boxes, wheels(t), "frame")
 
 
 def run_sql(rows: str) -> str:

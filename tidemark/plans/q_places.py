@@ -232,9 +232,3 @@ def _(t):
 @query("ag_18", """select cls, count(*) - count(distinct frame) as duplicates from v_boxes group by cls""")
 def _(t):
     return t.v_boxes.groupBy("cls").agg((F.count("frame") - F.count_distinct("frame")).alias("duplicates"))
-
-
-@query("st_05", f"""with i as ({consensus_sql("(select * from v_flood where id % 2 = 0)", "camera_id")}), n as ({consensus_sql("(select * from v_flood where id % 2 = 1)", "camera_id")}) select camera_id, stage, 'id' as origin from i union all select camera_id, stage, 'name' from n where camera_id not in (select camera_id from i)""")
-def _(t):
-    by_id, by_name = (C.consensus(t.v_flood.where(f"id % 2 = {k}"), ["camera_id"]).select("camera_id", "stage") for k in (0, 1))
-    return by_id.withColumn("origin", F.lit("id")).unionByName(by_name.join(by_id, "camera_id", "left_anti").withColumn("origin", F.lit("name")))
