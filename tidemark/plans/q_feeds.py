@@ -150,7 +150,39 @@ def _(t):
 STEP = 15  # frames of a camera lie this far apart; one empty frame ends a run
 
 
-@query("wn_12")
+SHARED = "greatest(least(x2, p.x2) - greatest(x1, p.x1), 0) * greatest(least(y2, p.y2) - greatest(y1, p.y1), 0)"
+UNION = f"((x2 - x1) * (y2 - y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - {SHARED})"
+OVERLAP = f"{SHARED} / case when {UNION} > 0 then {UNION} else 1 end"
+SPREAD = "greatest(8e0, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)), sqrt(pow(p.x2 - p.x1, 2) + pow(p.y2 - p.y1, 2)))"
+APART = f"sqrt(pow((x1 + x2 - p.x1 - p.x2) / 2, 2) + pow((y1 + y2 - p.y1 - p.y2) / 2, 2)) / {SPREAD}"
+
+
+def sightings_sql(rows: str, score: str, least: str, hits: str, sure: str, kept: str) -> str:
+    """Boxes one by one, the strongest of a frame first: each takes the free box of the frame before that scores best.
+    A row holds what was seen in the frame before (seen), what of it is taken (gone), and its own frame so far (now)."""
+    empty = "[{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'label': label, 'hits': 0::bigint, 'sure': false}][1:0]"
+    return f"""with recursive b as (select *, row_number() over w as rn, lag(frame) over w as bf from {rows} window w as (partition by cam order by frame, conf desc, box_no)),
+s as (select cam, frame, box_no, 0::bigint as rn, 0::bigint as hits, false as sure, {empty} as seen, cast([] as bigint[]) as gone, {empty} as now from b where rn = 1
+union all select cam, frame, box_no, rn, h, ok, seen, list_append(gone, pick), list_append(now, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'label': label, 'hits': h, 'sure': ok}})
+from (select *, {sure} as ok from (select *, {hits} as h from (select *, case when list_max(scores) >= {least} then list_position(scores, list_max(scores)) else 0 end as pick
+from (select *, list_transform(seen, lambda p, i: case when list_contains(gone, i) then -1e9 else {score} end) as scores
+from (select b.cam, b.frame, b.box_no, b.rn, b.conf, b.label, b.x1, b.y1, b.x2, b.y2, case when b.frame = b.bf then s.seen when b.frame - b.bf > {STEP} or b.bf is null then s.seen[1:0] else {kept} end as seen, case when b.frame = b.bf then s.gone else s.gone[1:0] end as gone, case when b.frame = b.bf then s.now else s.now[1:0] end as now
+from s join b on b.cam = s.cam and b.rn = s.rn + 1)))))) select cam, frame, box_no, hits, sure as confirmed from s where rn > 0"""
+
+
+NEEDED = "case when conf >= 0.12 then 1 when conf >= 0.03 then 2 when conf >= 0.008 then 3 when conf >= 0.0025 then 4 else 5 end"
+WEAK = sightings_sql(
+    "(select *, '' as label from v_boxes)", f"case when {OVERLAP} >= 0.12 or {APART} <= 0.55 then 3.5e0 * ({OVERLAP}) + greatest(1 - {APART}, 0) else -1e9 end", "-1",
+    f"case when pick > 0 and seen[pick].sure then greatest(1 + seen[pick].hits, {NEEDED}) when pick > 0 then 1 + seen[pick].hits else 1 end", f"h >= {NEEDED}",
+    "list_concat(list_filter(s.now, lambda p: p.sure), list_filter(s.now, lambda p: not p.sure))",
+)
+REPEATED = sightings_sql(
+    "(select *, case when cls = 0 then 'face' else 'license_plate' end as label from v_boxes where cls < 2)", f"case when {OVERLAP} >= 0.05 and p.label = label then {OVERLAP} else -1e9 end", "0",
+    "least(4, case when pick > 0 then 1 + seen[pick].hits else 1 end)", "h >= 3", "s.now",
+)
+
+
+@query("wn_12", WEAK)
 def _(t):
     return T.confirmed_boxes(t.v_boxes, ["cam"], "frame", STEP)
 
@@ -160,7 +192,7 @@ def _(t):
     return T.tracks(t.v_boxes, ["cam"], "frame", STEP)
 
 
-@query("wn_18")
+@query("wn_18", REPEATED)
 def _(t):
     boxes = t.v_boxes.where("cls < 2").withColumn("label", F.when(F.col("cls") == 0, "face").otherwise("license_plate"))
     return T.repeated_boxes(boxes.withColumn("motion", F.lit(0.0)), ["cam"], "frame", STEP, least_iou=0.05)
