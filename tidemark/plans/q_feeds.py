@@ -161,13 +161,15 @@ def sightings_sql(rows: str, score: str, least: str, hits: str, sure: str, kept:
     """Boxes one by one, the strongest of a frame first: each takes the free box of the frame before that scores best.
     A row holds what was seen in the frame before (seen), what of it is taken (gone), and its own frame so far (now)."""
     empty = "[{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'label': label, 'hits': 0::bigint, 'sure': false}][1:0]"
-    return f"""with recursive b as (select *, row_number() over w as rn, lag(frame) over w as bf from {rows} window w as (partition by cam order by frame, conf desc, box_no)),
-s as (select cam, frame, box_no, 0::bigint as rn, 0::bigint as hits, false as sure, {empty} as seen, cast([] as bigint[]) as gone, {empty} as now from b where rn = 1
-union all select cam, frame, box_no, rn, h, ok, seen, list_append(gone, pick), list_append(now, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'label': label, 'hits': h, 'sure': ok}})
+    return f"""with recursive f as (select *, lag(frame) over (partition by cam order by frame, conf desc, box_no) as bf from {rows}),
+r as (select *, sum(case when bf is null or frame - bf > {STEP} then 1 else 0 end) over (partition by cam order by frame, conf desc, box_no) as run from f),
+b as (select *, row_number() over (partition by cam, run order by frame, conf desc, box_no) as rn from r),
+s as (select cam, run, frame, box_no, 0::bigint as rn, 0::bigint as hits, false as sure, {empty} as seen, cast([] as bigint[]) as gone, {empty} as now from b where rn = 1
+union all select cam, run, frame, box_no, rn, h, ok, seen, list_append(gone, pick), list_append(now, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'label': label, 'hits': h, 'sure': ok}})
 from (select *, {sure} as ok from (select *, {hits} as h from (select *, case when list_max(scores) >= {least} then list_position(scores, list_max(scores)) else 0 end as pick
 from (select *, list_transform(seen, lambda p, i: case when list_contains(gone, i) then -1e9 else {score} end) as scores
-from (select b.cam, b.frame, b.box_no, b.rn, b.conf, b.label, b.x1, b.y1, b.x2, b.y2, case when b.frame = b.bf then s.seen when b.frame - b.bf > {STEP} or b.bf is null then s.seen[1:0] else {kept} end as seen, case when b.frame = b.bf then s.gone else s.gone[1:0] end as gone, case when b.frame = b.bf then s.now else s.now[1:0] end as now
-from s join b on b.cam = s.cam and b.rn = s.rn + 1)))))) select cam, frame, box_no, hits, sure as confirmed from s where rn > 0"""
+from (select b.cam, b.run, b.frame, b.box_no, b.rn, b.conf, b.label, b.x1, b.y1, b.x2, b.y2, case when b.frame = b.bf then s.seen else {kept} end as seen, case when b.frame = b.bf then s.gone else s.gone[1:0] end as gone, case when b.frame = b.bf then s.now else s.now[1:0] end as now
+from s join b on b.cam = s.cam and b.run = s.run and b.rn = s.rn + 1)))))) select cam, frame, box_no, hits, sure as confirmed from s where rn > 0"""
 
 
 NEEDED = "case when conf >= 0.12 then 1 when conf >= 0.03 then 2 when conf >= 0.008 then 3 when conf >= 0.0025 then 4 else 5 end"
