@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import merkle, near_dup, token_counts, whitening
+from tidemark.llm import lang_id, merkle, near_dup, token_counts, whitening
 from tidemark.llm.text import Scratch
 
 H = lambda nodes: hashlib.sha256("".join(nodes).encode()).hexdigest()
@@ -209,3 +210,47 @@ def test_a_template_below_the_threshold_makes_few_pairs(spark):
         firsts = near_dup._first_shingles(docs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("component")), sets, 85, scratch)
         assert near_dup._met(firsts, 85).count() < 600
     assert near_dup.near_duplicates(docs, 3, 85).where("kept").count() == 600
+
+
+def kneser_ney_by_hand(samples, text, order=4, discount=0.75):
+    """Bits a character of a text under the samples' language, from the definition, and of how many characters."""
+    def sequence(t):
+        letters = "".join(x.lower() if x.isalpha() else " " for x in t)
+        return " " * (order - 1) + " " + " ".join(letters.split()) + (" " if letters.split() else "")
+
+    def grams(t, k):
+        s = sequence(t)
+        return [s[i - k + 1 : i + 1] for i in range(order, len(s))]
+
+    counts = {order: Counter(g for t in samples for g in grams(t, order))}
+    for k in range(1, order):
+        counts[k] = Counter(g[1:] for g in {g[-(k + 1) :] for g in counts[order]})
+    alphabet = len({g[-1] for g in ALPHABET}) + 1
+
+    def p(g):
+        if not g:
+            return 1 / alphabet
+        k = len(g)
+        same = {x: n for x, n in counts[k].items() if x[:-1] == g[:-1]}
+        total = sum(same.values())
+        if not total:
+            return p(g[1:])
+        return max(same.get(g, 0) - discount, 0) / total + discount * len(same) / total * p(g[1:])
+
+    found = grams(text, order)
+    return sum(-math.log2(p(g)) for g in found) / len(found)
+
+
+ALPHABET: set = set()
+
+
+def test_language_entropies_equal_kneser_ney_by_hand(spark):
+    rows = [("The rain in the plain, the river and the rain.", "a"), ("a plain rain", "a"), ("Der Regen und das Tal; der Fluss", "b"), ("über das Tal", "b")]
+    texts = ["the river rain", "das Regental", "Über, the!", "zzz qq"]
+    ALPHABET.update({x for t, _ in rows for x in t.lower() if x.isalpha()} | {" "})
+    models = lang_id.fit(spark.createDataFrame(rows, "text string, lang string"), 100)
+    bits, has = models.entropies(texts)
+    assert has.all() and models.langs == ["a", "b"]
+    for k, text in enumerate(texts):
+        for j, lang in enumerate("ab"):
+            assert bits[k, j] == pytest.approx(kneser_ney_by_hand([t for t, x in rows if x == lang], text), rel=1e-5)
