@@ -58,10 +58,14 @@ def _(t):
     return R.water_levels(R.xml_items(t.v_events.select(F.col("event_id").alias("file"), xml.alias("value")))).select("file", "id", "level_m")
 
 
+FILE_FRAMES = 15_000  # a camera's annotations are split into files, so no document grows with the camera's age
+
+
 @query("sc_13", """select cam as file, 'f' || cast(frame as varchar) || '.jpg' as image, cls as category, x1 as x, y2 - y1 as h from v_boxes where cls <> 3""")
 def _(t):
+    """Files of a camera hold ``FILE_FRAMES`` frame numbers each."""
     boxes = t.v_boxes.groupBy("cam", "frame").agg(F.collect_list("cls").alias("c"), F.collect_list(F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("b"))
-    files = boxes.groupBy("cam").agg(F.to_json(F.struct(
+    files = boxes.groupBy("cam", F.floor(F.col("frame") / FILE_FRAMES)).agg(F.to_json(F.struct(
         F.array(*(F.struct(F.lit(k).alias("id"), F.lit(f"c{k}").alias("name")) for k in range(5))).alias("categories"),
         F.collect_list(F.struct(F.col("frame").alias("id"), F.concat(F.lit("a/f"), F.col("frame").cast("string"), F.lit(".jpg")).alias("file_name"))).alias("images"),
         F.collect_list(F.struct(F.col("frame").alias("image_id"), F.col("c").alias("category_id"), F.col("b").alias("bbox"))).alias("annotations"))).alias("value"))
@@ -70,10 +74,11 @@ def _(t):
 
 @query("sc_14", """select cam as file, 'f' || cast(frame as varchar) as image, cls - 1 as cls, x1 as first_x from v_boxes where cls > 0""")
 def _(t):
+    """Files of a camera hold ``FILE_FRAMES`` frame numbers each."""
     anns = F.collect_list(F.struct(F.col("frame").alias("image_id"), F.col("cls").alias("category_id"), F.array(F.array("x1", "y1", "x2", "y1", "x2", "y2")).alias("segmentation")))
     images = F.collect_set(F.struct(F.col("frame").alias("id"), F.concat(F.lit("f"), F.col("frame").cast("string")).alias("file_name")))
     cats = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(f"c{k}").alias("name"), F.lit("none" if k == 0 else "water").alias("supercategory")) for k in range(5)))
-    files = t.v_boxes.groupBy("cam").agg(F.to_json(F.struct(cats.alias("categories"), images.alias("images"), anns.alias("annotations"))).alias("value"))
+    files = t.v_boxes.groupBy("cam", F.floor(F.col("frame") / FILE_FRAMES)).agg(F.to_json(F.struct(cats.alias("categories"), images.alias("images"), anns.alias("annotations"))).alias("value"))
     return R.coco_polygons(files.withColumnRenamed("cam", "file")).select("file", "image", "cls", F.col("flat")[0].alias("first_x"))
 
 

@@ -126,12 +126,12 @@ def xml_items(payloads: DataFrame, key: str = "file", text: str = "value", path:
 
 def camera_annotations(files: DataFrame, excluded: tuple[str, ...] = (), key: str = "file", text: str = "value") -> DataFrame:
     """key, image, category, x, y, w, h of a camera's JSON with images and annotations whose category and box lists run
-    in parallel; excluded category names go."""
+    in parallel; excluded category names go. A camera's annotations may be split into several files of its key."""
     schema = "categories array<struct<id: int, name: string>>, images array<struct<id: int, file_name: string>>, annotations array<struct<image_id: int, category_id: array<int>, bbox: array<array<double>>>>"
     d = files.select(key, F.from_json(text, schema).alias("d"))
     images = d.select(key, F.explode("d.images").alias("i")).select(key, F.col("i.id").alias("image_id"), F.element_at(F.split("i.file_name", "/"), -1).alias("image"))
     boxes = d.select(key, F.explode("d.annotations").alias("a")).select(key, F.col("a.image_id").alias("image_id"), F.explode(F.arrays_zip(F.col("a.category_id").alias("category"), F.col("a.bbox").alias("box"))).alias("z"))
-    names = d.select(key, F.explode("d.categories").alias("c")).select(key, F.col("c.id").alias("category"), "c.name")
+    names = d.select(key, F.explode("d.categories").alias("c")).select(key, F.col("c.id").alias("category"), "c.name").distinct()
     rows = boxes.select(key, "image_id", "z.category", *(F.col("z.box")[k].alias(n) for k, n in enumerate("xywh"))).join(images, [key, "image_id"]).join(names, [key, "category"], "left")
     return rows.where(~F.coalesce(F.col("name").isin(list(excluded)), F.lit(False))).select(key, "image", "category", "x", "y", "w", "h")
 
