@@ -2,7 +2,7 @@
 
 What a rule remembers of the past is one table of boxes (``Boxes``); a step takes the table of a new frame and gives the
 next. Rows of a key are first cut into runs where frames lie further apart than ``gap``: frames without a box in
-between would have emptied the memory, so nothing is lost, batches and streams agree, and a group is one run."""
+between would have emptied the memory, so nothing is lost, batches and streams agree, and no run is ever cut."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from pyspark.sql.window import Window
 
 SIDES = ["x1", "y1", "x2", "y2"]
 NONE = -np.inf
+NEAR = 1000  # runs that start within so many gaps share a group
 # fixed values: confidence from which a box needs so many sightings
 TIERS = ((0.12, 1), (0.03, 2), (0.008, 3), (0.0025, 4))
+LEAST_CONF = np.array([least for least, _ in TIERS])
 
 
 class Boxes:
@@ -55,14 +57,15 @@ def nothing(**kinds: type) -> Boxes:
 def nearness(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all boxes of a (rows) against all of b (columns): IoU, distance of the centres in diagonals of the larger box
     (of 8 at least), and the share of the smaller box that both cover."""
-    span = np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2])
-    shared = np.clip(span, 0, None).prod(2)
-    size_a, size_b = (np.clip(q[:, 2:] - q[:, :2], 0, None) for q in (a, b))
-    area_a, area_b = size_a.prod(1)[:, None], size_b.prod(1)[None]
+    ax1, ay1, ax2, ay2 = (a[:, k, None] for k in range(4))
+    bx1, by1, bx2, by2 = (b[None, :, k] for k in range(4))
+    shared = np.maximum(np.minimum(ax2, bx2) - np.maximum(ax1, bx1), 0) * np.maximum(np.minimum(ay2, by2) - np.maximum(ay1, by1), 0)
+    aw, ah, bw, bh = ax2 - ax1, ay2 - ay1, bx2 - bx1, by2 - by1
+    area_a, area_b = np.maximum(aw, 0) * np.maximum(ah, 0), np.maximum(bw, 0) * np.maximum(bh, 0)
     union = area_a + area_b - shared
-    apart = (a[:, None, :2] + a[:, None, 2:] - b[None, :, :2] - b[None, :, 2:]) / 2
-    diagonal = np.maximum(np.maximum(np.linalg.norm(a[:, 2:] - a[:, :2], axis=1)[:, None], np.linalg.norm(b[:, 2:] - b[:, :2], axis=1)[None]), 8.0)
-    return shared / np.where(union > 0, union, 1), np.hypot(apart[..., 0], apart[..., 1]) / diagonal, shared / np.minimum(np.maximum(area_a, 1), np.maximum(area_b, 1))
+    diagonal = np.maximum(np.maximum(np.sqrt(aw * aw + ah * ah), np.sqrt(bw * bw + bh * bh)), 8.0)
+    apart = np.hypot((ax1 + ax2 - bx1 - bx2) / 2, (ay1 + ay2 - by1 - by2) / 2)
+    return shared / np.where(union > 0, union, 1), apart / diagonal, shared / np.minimum(np.maximum(area_a, 1), np.maximum(area_b, 1))
 
 
 def moves(before: np.ndarray, now: np.ndarray) -> np.ndarray:
@@ -92,7 +95,8 @@ def best_first(score: np.ndarray) -> np.ndarray:
 
 def sightings_needed(conf: np.ndarray, whole_frame: bool) -> np.ndarray:
     """By confidence; 0 for boxes too weak to count outside a whole-frame pass."""
-    return np.select([conf >= least for least, _ in TIERS], [n for _, n in TIERS], 5 if whole_frame else 0)
+    steps = np.array([5 if whole_frame else 0] + [n for _, n in TIERS[::-1]])
+    return steps[(conf[:, None] >= LEAST_CONF).sum(1)]
 
 
 def confirm(frame: Boxes, before: Boxes, whole_frame: bool = True, least_iou: float = 0.12, most_centre: float = 0.55, kept: int = 60) -> tuple[Boxes, Boxes]:
@@ -161,27 +165,49 @@ UNSEEN = {"hits": np.int64, "confirmed": bool, "label": object, "conf": float}
 NO_TRACKS = {"conf": float, "box_no": np.int64, "track_id": np.int64, "missed": np.int64, "vx": float, "vy": float, "stage": float, "stale": bool}
 
 
-def runs(boxes: DataFrame, keys: list[str], frame: str, gap: int) -> DataFrame:
-    """The boxes with ``run``, the first frame of their run."""
-    order = Window.partitionBy(*keys).orderBy(frame)
-    apart = F.col(frame) - F.lag(frame).over(order)
-    rows = boxes.withColumn("_starts", F.when(apart.isNull() | (apart > gap), F.col(frame)))
-    return rows.withColumn("run", F.last("_starts", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
+def runs(boxes: DataFrame, keys: list[str], frame: str, gap: int, span: int = 4096) -> DataFrame:
+    """The boxes with ``run``, the first frame of their run. The distinct frames are cut into spans of ``span`` gaps that
+    are looked through apart; a span starts from the last frame, and the last start of a run, of the spans before."""
+    frames = boxes.select(*keys, frame).distinct().withColumn("_span", F.floor(F.col(frame) / (max(1, gap) * span)))
+    order = Window.partitionBy(*keys, "_span").orderBy(frame)
+    spans = Window.partitionBy(*keys).orderBy("_span")
+    earlier = spans.rowsBetween(Window.unboundedPreceding, -1)
+    ends = frames.groupBy(*keys, "_span").agg(F.max(frame).alias("_end")).withColumn("_before", F.lag("_end").over(spans)).drop("_end")
+    rows = frames.join(ends, [*keys, "_span"])
+    apart = F.col(frame) - F.coalesce(F.lag(frame).over(order), "_before")
+    rows = rows.withColumn("_starts", F.when(apart.isNull() | (apart > gap), F.col(frame))).drop("_before")
+    starts = rows.groupBy(*keys, "_span").agg(F.max("_starts").alias("_last")).withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
+    own = F.last("_starts", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_own", own).join(starts, [*keys, "_span"])
+    return boxes.join(rows.select(*keys, frame, F.coalesce("_own", "_carried").alias("run")), [*keys, frame])
 
 
 def _each_run(boxes: DataFrame, keys: list[str], frame: str, gap: int, steps: Callable[[Iterator[tuple[int, Boxes]]], Iterator[tuple[int, Boxes]]], out: str) -> DataFrame:
-    """keys, frame and the columns ``out`` (name kind, ...) of what the steps give for a run's frames in order."""
+    """keys, frame and the columns ``out`` (name kind, ...) of what the steps give for a run's frames in order. Runs that
+    start near each other share a group, each worked through by itself; rows are sorted once a group."""
     names = [c.split()[0] for c in out.split(", ")]
     read = [c for c in ("conf", "box_no", "label", "motion", "stage") if c in boxes.columns]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        head = {k: group[k].iloc[0] for k in keys}
-        frames = ((number, Boxes.of(rows, read)) for number, rows in group.groupby(frame, sort=True))
-        parts = [pd.DataFrame(head | {frame: number} | {n: b[n] for n in names}, index=range(len(b))) for number, b in steps(frames) if len(b)]
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, frame, *names])
+    def some_runs(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["run", frame, "conf", "box_no"], ascending=[True, True, False, True], kind="stable")
+        run, number, box = group["run"].to_numpy(), group[frame].to_numpy(), group[SIDES].to_numpy(float)
+        columns = {n: group[n].to_numpy() for n in read}
+        cuts = lambda *by: np.flatnonzero(np.concatenate([[True], np.any([v[1:] != v[:-1] for v in by], axis=0), [True]]))
+        at = cuts(run, number)
+        first = np.searchsorted(at, cuts(run))  # of each run among the frames
+        found = []
+        for begin, end in zip(first[:-1], first[1:]):
+            frames = ((number[a], Boxes(box[a:b], **{n: v[a:b] for n, v in columns.items()})) for a, b in zip(at[begin:end], at[begin + 1 : end + 1]))
+            found += [(n, b) for n, b in steps(frames) if len(b)]
+        if not found:
+            return pd.DataFrame(columns=[*keys, frame, *names])
+        data = {frame: np.repeat([n for n, _ in found], [len(b) for _, b in found])} | {n: np.concatenate([b[n] for _, b in found]) for n in names}
+        return pd.DataFrame({k: group[k].iloc[0] for k in keys} | data)
 
     kinds = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in [*keys, frame])
-    return runs(boxes.select(*keys, frame, *SIDES, *read), keys, frame, gap).groupBy(*keys, "run").applyInPandas(run, f"{kinds}, {out}")
+    rows = runs(boxes.select(*keys, frame, *SIDES, *read), keys, frame, gap)
+    near = F.floor(F.col("run") / (max(1, gap) * NEAR)).alias("_near")
+    return rows.groupBy(*keys, near).applyInPandas(some_runs, f"{kinds}, {out}")
 
 
 def confirmed_boxes(boxes: DataFrame, keys: list[str], frame: str, gap: int = 1) -> DataFrame:
