@@ -76,3 +76,10 @@ def test_lines_in_equal_grids(spark):
     got = G.grid_lines(points, sources).collect()
     one = {(r.r, r.c) for r in got if r.source_id == 0}
     assert one and len(got) == 3 * len(one) and all({(r.r, r.c) for r in got if r.source_id == k} == one for k in (1, 2))
+
+
+def test_sources_of_one_grid_share_its_first(spark):
+    rows = [(5, 35.9, 129.3, 1, 0.0, "CCTV"), (3, 35.9, 129.3, 1, 0.0, "CCTV"), (4, 35.9, 129.3, 3, 0.0, "CCTV"), (2, 36.0, 129.3, 1, 0.0, "CCTV")]
+    sources = spark.createDataFrame(rows, "source_id long, lat double, lon double, stage int, rain_mm double, kind string")
+    assert {r["source_id"]: r["first"] for r in G.alike(sources).select("source_id", F.col("first")).collect()} == {5: 3, 3: 3, 4: 4, 2: 2}
+    assert G.analysis_grid(sources).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
