@@ -183,8 +183,8 @@ def _(t):
 
 @query("fn_27", """select frame, box_no from v_boxes where (x1 + x2) / 2 / 1920 >= 0.1 and (x1 + x2) / 2 / 1920 < 0.5 and (y1 + y2) / 2 / 1080 >= 0.05 and (y1 + y2) / 2 / 1080 < 0.4""")
 def _(t):
-    area = G.region(F.lit("0.1,0.05;0.5,0.05;0.5,0.4;0.1,0.4"))
-    return t.v_boxes.where(G.inside(area, (F.col("x1") + F.col("x2")) / 2 / 1920, (F.col("y1") + F.col("y2")) / 2 / 1080)).select("frame", "box_no")
+    area = t.spark.range(1).select(G.region(F.lit("0.1,0.05;0.5,0.05;0.5,0.4;0.1,0.4")).alias("area"))
+    return t.v_boxes.crossJoin(F.broadcast(area)).where(G.inside(F.col("area"), (F.col("x1") + F.col("x2")) / 2 / 1920, (F.col("y1") + F.col("y2")) / 2 / 1080)).select("frame", "box_no")
 
 
 @query("fn_28", """select id, round((lon + 180) / 360 * 32768, 6) as fx, round((1 - asinh(tan(radians(lat))) / pi()) / 2 * 32768, 6) as fy, floor((lon + 180) / 360 * 32768) / 32768 * 360 - 180 as west from v_cams""")
