@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from tidemark.functions import space as G
+from tidemark.operators import boxes as B
 from tidemark.plans import registry
 
 
@@ -22,3 +23,31 @@ def test_regions_are_read_once_and_polygons_agree_with_a_loop(spark):
         p = [tuple(map(float, q.split(","))) for q in text.split(";")]
         cuts = sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(p, p[1:] + p[:1]))
         assert got[k] == (cuts % 2 == 1 if len(p) >= 3 else None)
+
+
+def test_matches_agree_with_a_loop_and_scores_read_them_once(spark):
+    rng = random.Random(5)
+    box = lambda: (float(x := rng.randrange(6)), float(y := rng.randrange(6)), x + 2.0 + rng.randrange(9), y + 2.0 + rng.randrange(9))
+    found = [(f, c, k, rng.randrange(4) / 4, *box()) for f in range(60) for c in range(2) for k in range(rng.randrange(9))]
+    truth = [(f, c, k, *box()) for f in range(65) for c in range(2) for k in range(rng.randrange(6))]
+    p = spark.createDataFrame(found, "frame int, cls int, box_no int, conf double, x1 double, y1 double, x2 double, y2 double")
+    t = spark.createDataFrame(truth, "frame int, cls int, box_no int, x1 double, y1 double, x2 double, y2 double")
+
+    def iou(a, b):
+        shared = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return shared / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared)
+
+    used, want = set(), {}
+    for f, c, k, conf, *a in sorted(found, key=lambda r: (-r[3], r[2])):
+        best = max(((iou(a, g[3:]), -g[2]) for g in truth if g[:2] == (f, c) and g[:3] not in used), default=(0, 0))
+        want[f, c, k] = best[0] >= 0.5
+        if want[f, c, k]:
+            used.add((f, c, -best[1]))
+    matches = B.greedy_matches(p, t, ["frame", "cls"])
+    assert {(r.frame, r.cls, r.box_no): r.hit for r in matches.collect()} == want and sum(want.values()) > 20
+    scores = B.scores(matches, t, ["frame", "cls"], "cls")
+    assert plan(scores).count("collect_list") == 1
+    for r in scores.collect():
+        mine = {k: v for k, v in want.items() if k[1] == r.cls}
+        assert (r.predictions, r.hits) == (len(mine), sum(mine.values()))
+        assert abs(r.miss_rate - (1 - len({k[0] for k, v in mine.items() if v}) / len({g[0] for g in truth}))) < 1e-12

@@ -89,31 +89,31 @@ def agreement(detections: DataFrame, frame: list[str], least: float = 0.5) -> Da
 
 
 def greedy_matches(predictions: DataFrame, truth: DataFrame, frame: list[str], least: float = 0.5) -> DataFrame:
-    """frame, box_no, conf, hit: predictions in order of confidence each claim their best free truth box."""
-    t = truth.groupBy(*frame).agg(F.array_sort(F.collect_list(F.struct("box_no", *SIDES))).alias("truth"))
-    rows = _sorted(predictions, frame, []).join(t, frame, "left")
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("used"), F.expr("cast(array() as array<struct<box_no:bigint,conf:double,hit:boolean>>)").alias("out"))
+    """frame, box_no, conf, hit: predictions in order of confidence each claim their best free truth box. Only pairs that
+    overlap enough are put in order: by prediction, then the best truth first; a pair counts if both its boxes are free."""
+    p = predictions.select(*frame, "box_no", "conf", *SIDES)
+    t = truth.select(*frame, F.col("box_no").alias("t_no"), *(F.col(c).alias(f"t_{c}") for c in SIDES))
+    near = iou([F.col(c) for c in SIDES], [F.col(f"t_{c}") for c in SIDES])
+    pair = F.struct((-F.col("conf")).alias("order"), F.col("box_no").cast("long").alias("p"), (-near).alias("far"), F.col("t_no").cast("long").alias("t"))
+    pairs = p.join(t, frame).where(near >= least).groupBy(*frame).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
 
-    def step(state: Column, box: Column) -> Column:
-        free = F.filter(F.coalesce("truth", F.expr("cast(array() as array<struct<box_no:bigint,x1:double,y1:double,x2:double,y2:double>>)")), lambda g: ~F.array_contains(state["used"], g["box_no"].cast("bigint")))
-        best = F.array_max(F.transform(free, lambda g: F.struct(iou(corners(box), corners(g)).alias("i"), (-g["box_no"]).cast("bigint").alias("n"))))
-        hit = F.coalesce(best["i"] >= least, F.lit(False))
-        item = F.struct(box["box_no"].cast("bigint").alias("box_no"), box["conf"].alias("conf"), hit.alias("hit"))
-        return F.struct(F.when(hit, F.concat(state["used"], F.array(-best["n"]))).otherwise(state["used"]).alias("used"), F.concat(state["out"], F.array(item)).alias("out"))
+    def step(taken: Column, x: Column) -> Column:
+        return F.when(F.exists(taken, lambda k: (k["p"] == x["p"]) | (k["t"] == x["t"])), taken).otherwise(F.concat(taken, F.array(x)))
 
-    done = rows.select(*frame, F.aggregate("items", start, step)["out"].alias("out"))
-    return done.select(*frame, F.explode("out").alias("o")).select(*frame, "o.box_no", "o.conf", "o.hit")
+    hits = pairs.select(*frame, F.when(F.size("pairs") == 1, F.col("pairs")).otherwise(F.aggregate("pairs", _empty("pairs"), step))["p"].alias("hits"))
+    rows = p.select(*frame, F.col("box_no").cast("long").alias("box_no"), "conf").join(hits, frame, "left")
+    return rows.select(*frame, "box_no", "conf", F.coalesce(F.array_contains("hits", F.col("box_no")), F.lit(False)).alias("hit"))
 
 
 def scores(matches: DataFrame, truth: DataFrame, frame: list[str], cls: str) -> DataFrame:
     """cls, predictions, hits, labels, precision, recall, f1, miss_rate (frames with any label that have no hit)."""
-    found = matches.groupBy(cls).agg(F.count("*").alias("predictions"), F.count_if("hit").alias("hits"))
     labels = truth.groupBy(cls).agg(F.count("*").alias("labels"))
     frames = [c for c in frame if c != cls]
     labelled = truth.select(*frames).distinct()
-    caught = matches.where("hit").select(cls, *frames).distinct().groupBy(cls).agg(F.count("*").alias("caught"))
+    each = matches.groupBy(cls, *frames).agg(F.count("*").alias("n"), F.count_if("hit").alias("h"))  # one pass over the matches
+    found = each.groupBy(cls).agg(F.sum("n").alias("predictions"), F.sum("h").alias("hits"), F.count_if(F.col("h") > 0).alias("caught"))
     total = labelled.agg(F.count("*")).scalar()
-    rows = labels.join(found, cls, "left").join(caught, cls, "left").withColumn("frames", total)
+    rows = labels.join(found, cls, "left").withColumn("frames", total)
     hits, n = F.coalesce("hits", F.lit(0)), F.coalesce("predictions", F.lit(0))
     precision, recall = F.when(n > 0, hits / n).otherwise(0.0), hits / F.col("labels")
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
