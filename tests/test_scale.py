@@ -1,5 +1,6 @@
 """What keeps queries in proportion to their tables, and loops that give the same rows."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from conftest import SF
 from tidemark.functions import space as G
 from tidemark.operators import boxes as B
+from tidemark.operators import quantiles as Q
+from tidemark.operators import terrain as T
 from tidemark.plans import registry
 
 
@@ -51,3 +54,12 @@ def test_matches_agree_with_a_loop_and_scores_read_them_once(spark):
         mine = {k: v for k, v in want.items() if k[1] == r.cls}
         assert (r.predictions, r.hits) == (len(mine), sum(mine.values()))
         assert abs(r.miss_rate - (1 - len({k[0] for k, v in mine.items() if v}) / len({g[0] for g in truth}))) < 1e-12
+
+
+def test_small_groups_need_no_brackets(spark):
+    rows = [(None if k % 4 == 0 else k % 4, None if k % 7 == 0 else float(k * 37 % 101)) for k in range(90)] + [(9, None)]
+    data = spark.createDataFrame(rows, "k int, v double")
+    got = Q.exact_quantiles(data, ["k"], "v", {"a": 0.05, "b": 0.5})
+    assert "Join" not in plan(got)
+    wide = Q.exact_quantiles(data, ["k"], "v", {"a": 0.05, "b": 0.5}, limit=10)
+    assert sorted(map(str, got.collect())) == sorted(map(str, wide.collect())) and got.count() == 4

@@ -3,7 +3,8 @@
 A quantile of a group lies between two values of its order (it is interpolated). A mergeable sketch brackets the places
 that are sought, one more pass counts what lies below and inside of each bracket, exactly; brackets that still hold more
 than ``LIMIT`` rows are narrowed again. Only the rows of the brackets are then counted by value and put in order, so no
-task ever holds a large group. A bracket that turns out not to hold its place is left as it was and tried wider.
+task ever holds a large group. A bracket that turns out not to hold its place is left as it was and tried wider. Where
+all groups are small, each is put in order by itself, in one aggregation.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 from tidemark.sources.sinks import written
 
 LIMIT = 1 << 20
+SMALL = 4096  # rows of a group that an aggregation may hold
 STEPS, ACCURACY = 200, 20_000
 
 
@@ -45,6 +47,11 @@ def _narrowed(values: DataFrame, brackets: DataFrame, keys: list[str], limit: in
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str | Column, points: dict[str, float], limit: int = LIMIT) -> DataFrame:
     """keys and a column for each of ``points`` (name to share): quantiles with linear interpolation of the values that
     are not null. Groups without any are left out; null keys are a group."""
+    if keys and limit >= SMALL:
+        known = rows.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_value")).where("_value is not null")
+        most = known.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if (most or 0) <= SMALL:
+            return known.groupBy(*keys).agg(*(F.percentile("_value", F.lit(float(p))).alias(n) for n, p in points.items()))
     names = [f"k{i}" for i in range(len(keys))]
     safe = [F.struct(F.col(k).alias("k")).alias(n) for k, n in zip(keys, names)]  # structs of nulls are equal
     values = rows.select(*safe, (F.col(value) if isinstance(value, str) else value).cast("double").alias("value")).where("value is not null")
@@ -55,7 +62,10 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str | Column, point
     brackets = ends.select(*names, shares, "n", "low", "high")
     brackets = brackets.select(*names, "p", "n", ((F.col("n") - 1) * F.col("p")).alias("place"), "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.lit(1).alias("spare"))
     brackets = written(brackets, "brackets")
-    while brackets.where((F.col("inside") > limit) & (F.col("low") < F.col("high")) & (F.col("spare") < STEPS)).limit(1).count():
+    wide = (F.col("inside") > limit) & (F.col("low") < F.col("high")) & (F.col("spare") < STEPS)
+    if brackets.where(wide).limit(1).count():
+        values = written(values, "values")  # each round reads them again
+    while brackets.where(wide).limit(1).count():
         brackets = written(_narrowed(values, brackets, names, limit), "brackets")
     counts = _in_brackets(values, brackets, names).groupBy(*names, "p", "place", "below", "value").agg(F.count("*").alias("c"))
     upto = F.col("below") + F.sum("c").over(Window.partitionBy(*names, "p").orderBy("value"))
