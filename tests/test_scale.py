@@ -56,6 +56,15 @@ def test_matches_agree_with_a_loop_and_scores_read_them_once(spark):
         assert abs(r.miss_rate - (1 - len({k[0] for k, v in mine.items() if v}) / len({g[0] for g in truth}))) < 1e-12
 
 
+def test_agreement_keeps_near_pairs_only(spark):
+    rows = [(f, k, f"m{k % 3}", float(k), 0.0, k + 6.0, 6.0) for f in range(4) for k in range(9)]
+    boxes = spark.createDataFrame(rows, "frame int, box_no int, model string, x1 double, y1 double, x2 double, y2 double")
+    near = {(f, k, m) for f, k, a, x, *_ in rows for g, _, m, y, *_ in rows if g == f and m != a and max(0, 6 - abs(x - y)) / (6 + abs(x - y)) >= 0.5}
+    got = B.agreement(boxes, ["frame"], 0.5)
+    assert "max(iou" not in plan(got)
+    assert {(r.model, r.other): round(r.share * 12) for r in got.collect()} == {(f"m{a}", f"m{b}"): sum(k % 3 == a and m == f"m{b}" for _, k, m in near) for a in range(3) for b in range(3) if a != b}
+
+
 def test_small_groups_need_no_brackets(spark):
     rows = [(None if k % 4 == 0 else k % 4, None if k % 7 == 0 else float(k * 37 % 101)) for k in range(90)] + [(9, None)]
     data = spark.createDataFrame(rows, "k int, v double")

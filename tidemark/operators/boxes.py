@@ -79,8 +79,8 @@ def plates_in_vehicles(plates: DataFrame, faces: DataFrame, vehicles: DataFrame,
 
 def agreement(detections: DataFrame, frame: list[str], least: float = 0.5) -> DataFrame:
     """model, other, share: the share of a model's boxes that overlap any box of the other by IoU."""
-    best = overlaps(detections, detections, frame).where("a_model <> b_model").groupBy(*frame, "a_model", "a_no", "b_model").agg(F.max("iou").alias("best"))
-    hits = best.where(F.col("best") >= least).groupBy("a_model", "b_model").agg(F.count("*").alias("hits"))
+    near = overlaps(detections, detections, frame).where((F.col("a_model") != F.col("b_model")) & (F.col("iou") >= least))
+    hits = near.select(*frame, "a_model", "a_no", "b_model").distinct().groupBy("a_model", "b_model").agg(F.count("*").alias("hits"))
     counts = detections.groupBy("model").agg(F.count("*").alias("boxes"))
     models = counts.agg(F.collect_list("model")).scalar()  # a handful of names
     pairs = counts.select(F.col("model").alias("a_model"), "boxes", F.explode(models).alias("b_model"))
