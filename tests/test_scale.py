@@ -72,3 +72,16 @@ def test_small_groups_need_no_brackets(spark):
     assert "Join" not in plan(got)
     wide = Q.exact_quantiles(data, ["k"], "v", {"a": 0.05, "b": 0.5}, limit=10)
     assert sorted(map(str, got.collect())) == sorted(map(str, wide.collect())) and got.count() == 4
+
+
+def test_lines_are_shuffled_before_they_become_cells(spark):
+    rng = random.Random(9)
+    lines = [(k % 5, *(rng.randrange(-9, 9) for _ in range(4))) for k in range(60)]
+    got = T.line_cells(spark.createDataFrame(lines, "k int, r0 int, c0 int, r1 int, c1 int"), ["k"])
+    want = set()
+    for k, r0, c0, r1, c1 in lines:
+        n = max(abs(r1 - r0), abs(c1 - c0))
+        want |= {(k, math.floor(r0 + (r1 - r0) * i / max(n, 1) + 0.5), math.floor(c0 + (c1 - c0) * i / max(n, 1) + 0.5)) for i in range(n + 1)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    text = plan(got)
+    assert text.count("Aggregate") == 1 and text.index("Generate") < text.index("Aggregate")
