@@ -85,3 +85,8 @@ def test_lines_are_shuffled_before_they_become_cells(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     text = plan(got)
     assert text.count("Aggregate") == 1 and text.index("Generate") < text.index("Aggregate")
+
+
+def test_cells_are_dealt_before_those_around_them(spark):
+    got = T.buffered(spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 5, 5)], "k int, r int, c int"), ["k"], 2, 3)
+    assert plan(got).index("Generate") < plan(got).index("RepartitionByExpression") and got.count() == 28 + 23
