@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import catalog as J
 from tidemark.operators import consensus as C
 from tidemark.operators import terrain as G
+from tidemark.plans import api as A
 from tidemark.sources import feeds as R
 from tidemark.streaming import tracking as T
 
@@ -83,3 +84,14 @@ def test_sources_of_one_grid_share_its_first(spark):
     sources = spark.createDataFrame(rows, "source_id long, lat double, lon double, stage int, rain_mm double, kind string")
     assert {r["source_id"]: r["first"] for r in G.alike(sources).select("source_id", F.col("first")).collect()} == {5: 3, 3: 3, 4: 4, 2: 2}
     assert G.analysis_grid(sources).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_places_that_repeat_an_id_meet_the_readings_once(spark):
+    cameras = spark.createDataFrame([("A", 35.9, 129.3)] * 40 + [("B", 35.9, 129.3), ("C", None, None)], "id string, lat double, lon double")
+    fields = "id long, sensor_type string, sensor_id string, sensor_name string, value double, lat double, lon double, us long"
+    readings = spark.createDataFrame([(k, "rain", "S1", "s", k * 1.0, 35.9, 129.3, k * 60_000_000) for k in range(10)], fields)
+    found = A.environment_by_id(cameras, readings, 300_000_000, 600_000_000, 1)
+    assert sorted({(r.id, r.copies, r.n) for r in found.groupBy("id", "copies").agg(F.count("*").alias("n")).collect()}) == [("A", 40, 6), ("B", 1, 6), ("C", 1, 6)]
+    each = A.environment_history(cameras, readings, 300_000_000, 600_000_000, 1)
+    assert each.columns == ["id", "sensor_type", "sensor_id", "metres", "us", "value", "previous"]
+    assert {(r.id, r["count"]) for r in each.groupBy("id").count().collect()} == {("A", 240), ("B", 6), ("C", 6)}
