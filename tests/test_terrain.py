@@ -264,3 +264,18 @@ def test_past_floods_count_at_every_latitude(spark):
     past = [(lat + 1e-9, lon + sign * away(lat, 600), 4, 1.0) for _, lat, lon in places for sign in (1, -1)]
     found = G.history_influence(cells, spark.createDataFrame(past, "plat double, plon double, stage int, recency double"), reach_m=600)
     assert {x.source_id: x.influence for x in found.collect()} == {k: pytest.approx(math.exp(-1), rel=1e-3) for k, _, _ in places}
+
+
+def test_sources_that_repeat_an_id_have_grids_of_their_own(spark):
+    places = [(36.02, 129.36, 4), (36.05, 129.40, 2), (36.02, 129.36, 1)]  # the third is the first one's place
+    ground = spark.createDataFrame([(12, x + i, y + j, [0.1 * (k % 7) for k in range(16)]) for x, y in {tuple(map(math.floor, tile_place(lon, lat, 12))) for lat, lon, _ in places} for i in (-1, 0, 1) for j in (-1, 0, 1)], "z int, x int, y int, elev array<double>").dropDuplicates(["z", "x", "y"])
+    lines = spark.createDataFrame([], "id long, line int, point int, lon double, lat double")
+    past = spark.createDataFrame([], "plat double, plon double, stage int, recency double")
+    got = []
+    for names in ("abc", "aaa"):
+        markers = spark.createDataFrame([(n, lat, lon, stage, 12.0, 30.0, "CCTV") for n, (lat, lon, stage) in zip(names, places)], "id string, lat double, lon double, stage int, rain_mm double, depth_cm double, kind string")
+        layers, report = A.flood_surface(markers, ground, [12], 4, lines, lines, past)
+        both = layers.join(report, ["source_id", "rank"]).collect()
+        assert {x.source_id for x in both} == set(names[:2])
+        got.append(sorted((x.level, x.cells, x.max_depth_cm, x.wet_cells) for x in both))
+    assert got[0] == got[1] and len(got[0]) >= 2
