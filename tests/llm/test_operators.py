@@ -354,3 +354,15 @@ def test_null_ids_do_not_crash(spark):
     assert bpe.round_trip(docs, VOCABULARY).count() == 3 and fertility.rules(docs, PIECES).count() == 3
     assert near_dup.near_duplicates(docs).count() == 2 and passages.cut_repeats(docs).count() == 2
     assert sharding.place(docs, "doc_id", ["a", "b"], 101).where(F.col("shard").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("good", [90, 20])
+def test_every_labelled_row_is_in_a_pair(spark, good):
+    rows = [(int(k < good), [float(k), 0.0] if k < good else [0.0, -float(k)]) for k in range(110)]  # a pair's difference names both
+    taught = spark.createDataFrame(rows, "label int, x array<float>")
+    with Scratch(spark) as scratch:
+        pairs = [tuple(r.d) for r in quality_rank.paired(taught, {1: good, 0: 110 - good}, scratch, chunk=7).collect()]
+    counts = [Counter(p[k] for p in pairs) for k in (0, 1)]
+    assert set(counts[0]) == set(map(float, range(good))) and set(counts[1]) == set(map(float, range(good, 110)))
+    few, many = sorted(counts, key=len)
+    assert set(many.values()) == {1} and max(few.values()) - min(few.values()) <= 1
