@@ -42,10 +42,11 @@ def first_within(stream: DataFrame, keys: list[str], time: str, watermark: str =
     return stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def ordered_state(stream: DataFrame, key: str, order: list[str], start: tuple, step: Callable[[tuple, object], tuple[tuple, tuple | None]], output: str, state: str, time: str | None = None, silence: str = "10 seconds") -> DataFrame:
+def ordered_state(stream: DataFrame, key: str, order: list[str], start: tuple, step: Callable[[tuple, object], tuple[tuple, tuple | None]], output: str, state: str, time: str | None = None, silence: str = "10 seconds", load: Callable[[tuple], tuple] = tuple, save: Callable[[tuple], tuple] = tuple) -> DataFrame:
     """Runs ``step(state, row) -> (state, output row or None)`` over each key's rows, a batch's rows in order.
 
-    output and state are schemas; output starts with the key's column. Files arrive in time order for an exact match
+    output and state are schemas; output starts with the key's column. A step may hold its state in a form of its own,
+    which ``load`` makes from the stored one at the start of a batch and ``save`` stores at its end. Files arrive in time order for an exact match
     with the batch twin. With an event time, a key's state ends once the watermark is ``silence`` past its newest row,
     by which time the rule has forgotten it, so state does not grow with every key ever seen."""
     names = [c.split()[0] for c in output.split(", ")]
@@ -57,13 +58,14 @@ def ordered_state(stream: DataFrame, key: str, order: list[str], start: tuple, s
             held.remove()
             return
         now = tuple(None if v is None or v != v else v for v in held.get) if held.exists else start
+        now = load(now)
         out = []
         rows = pd.concat(list(frames)).sort_values(order)
         for row in rows.itertuples():
             now, made = step(now, row)
             if made is not None:
                 out.append((*k, *made))
-        held.update(now)
+        held.update(save(now))
         if time is not None:
             held.setTimeoutTimestamp(max(int(rows[time].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + wait)
         yield pd.DataFrame(out, columns=names)
@@ -74,26 +76,46 @@ def ordered_state(stream: DataFrame, key: str, order: list[str], start: tuple, s
 
 
 def track_step(gap: int = 1) -> Callable:
-    """Tracks of the confirmed boxes of whole frames (a list in ``boxes``): state (JSON of what is remembered)."""
-    import json
-
+    """Tracks of the confirmed boxes of whole frames (a list in ``boxes``). State: frame, boxes seen, tracks, next id;
+    ``track_load`` and ``track_save`` turn it from and into JSON."""
     import numpy as np
 
     from tidemark.streaming import tracking as T
 
-    load = lambda held, kinds: T.Boxes(held["box"], **{k: np.array(held[k], kind) for k, kind in kinds.items()})
+    sides = [*T.SIDES, "conf", "box_no"]
 
     def step(state: tuple, r) -> tuple[tuple, tuple]:
-        held = json.loads(state[0]) if state[0] else None
-        if held is None or r.frame - held["frame"] > gap:
+        last, seen, tracks, next_id = state
+        if last is None or r.frame - last > gap:
             seen, tracks, next_id = T.nothing(**T.UNSEEN), T.nothing(**T.NO_TRACKS), 1
-        else:
-            seen, tracks, next_id = load(held["seen"], T.UNSEEN), load(held["tracks"], T.NO_TRACKS), held["next"]
-        frame = T.Boxes.of(pd.DataFrame([b.asDict() if hasattr(b, "asDict") else b for b in r.boxes]), ["conf", "box_no"])
-        found, seen = T.confirm(frame, seen)
+        rows = np.array([[b[c] for c in sides] for b in r.boxes], float)
+        rows = rows[np.lexsort((rows[:, 5], -rows[:, 4]))]
+        found, seen = T.confirm(T.Boxes(rows[:, :4], conf=rows[:, 4], box_no=rows[:, 5].astype(np.int64)), seen)
         sure = found.take(found["confirmed"])
         tracks, next_id = T.associate(sure, tracks, next_id)
-        now = json.dumps({"frame": int(r.frame), "seen": seen.given(label=np.full(len(seen), "")).plain(), "tracks": tracks.plain(), "next": next_id})
-        return (now,), (int(r.frame), len(tracks), int(tracks["track_id"].max()) if len(tracks) else 0)
+        return (int(r.frame), seen, tracks, next_id), (int(r.frame), len(tracks), int(tracks["track_id"].max()) if len(tracks) else 0)
 
     return step
+
+
+def track_load(state: tuple) -> tuple:
+    import json
+
+    import numpy as np
+
+    from tidemark.streaming import tracking as T
+
+    if not state[0]:
+        return None, None, None, 1
+    held = json.loads(state[0])
+    boxes = lambda name, kinds: T.Boxes(held[name]["box"], **{k: np.array(held[name][k], kind) for k, kind in kinds.items()})
+    return held["frame"], boxes("seen", T.UNSEEN), boxes("tracks", T.NO_TRACKS), held["next"]
+
+
+def track_save(state: tuple) -> tuple:
+    import json
+
+    import numpy as np
+
+    frame, seen, tracks, next_id = state
+    return (json.dumps({"frame": frame, "seen": seen.given(label=np.full(len(seen), "")).plain(), "tracks": tracks.plain(), "next": int(next_id)}),)
