@@ -1,9 +1,11 @@
 """Tables that hold copies: repeated ids and places, and ties of averages."""
 
+import hashlib
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars as N
 from tidemark.operators import catalog as J
 from tidemark.operators import consensus as C
 from tidemark.operators import terrain as G
@@ -111,3 +113,11 @@ def test_tracker_frames_do_not_write_their_state_each():
         state = S.track_load(held)  # a batch may end at any frame
         assert S.track_save(S.track_load(S.track_save(state))) == S.track_save(state)
     assert out == [(0, 1, 1), (15, 1, 1), (30, 1, 1), (90, 1, 1)]
+
+
+def test_repeated_ids_are_signed_in_the_order_of_their_keys(spark):
+    rows = [("a", 1, 9.0), ("a", 2, 5.0), ("b", 3, 1.0)]
+    signed = lambda r, shown: spark.createDataFrame(r, "id string, n int, lat double").agg(N.signature(F.collect_list(F.struct("id", "n", "lat")), shown).alias("s")).first().s
+    text = '[{"id":"a","lat":9.0},{"id":"a","lat":5.0},{"id":"b","lat":1.0}]'
+    assert signed(rows, ["id", "lat"]) == signed(rows[::-1], ["id", "lat"]) == hashlib.sha256(text.encode()).hexdigest()
+    assert signed(rows, None) == signed(rows[::-1], None)

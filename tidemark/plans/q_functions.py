@@ -221,5 +221,5 @@ def _(t):
 
 @query("fn_33", """select name, sha256('[' || string_agg('{"id":"' || id || '"' || coalesce(',"lat":' || cast(round(lat, 7) as varchar), '') || coalesce(',"lon":' || cast(round(lon, 7) as varchar), '') || '}', ',' order by id) || ']') as signature from v_cams group by name""")
 def _(t):
-    rows = F.collect_list(F.struct("id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon")))
-    return t.v_cams.groupBy("name").agg(S.signature(rows).alias("signature"))
+    rows = F.collect_list(F.struct("id", "c_custkey", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon")))  # ids may repeat
+    return t.v_cams.groupBy("name").agg(S.signature(rows, ["id", "lat", "lon"]).alias("signature"))
