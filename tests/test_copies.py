@@ -121,3 +121,9 @@ def test_repeated_ids_are_signed_in_the_order_of_their_keys(spark):
     text = '[{"id":"a","lat":9.0},{"id":"a","lat":5.0},{"id":"b","lat":1.0}]'
     assert signed(rows, ["id", "lat"]) == signed(rows[::-1], ["id", "lat"]) == hashlib.sha256(text.encode()).hexdigest()
     assert signed(rows, None) == signed(rows[::-1], None)
+
+
+def test_of_readings_of_one_time_the_first_or_the_last_is_taken(spark):
+    rows = [(k, "rain", "S", float(k), 7) for k in (3, 1, 2)] + [(0, "rain", "S", 9.0, 6)]
+    readings = spark.createDataFrame(rows, "id long, sensor_type string, sensor_id string, value double, us long")
+    assert [J.previous_reading(readings, 9, first).first().value for first in (False, True)] == [3.0, 1.0]

@@ -77,7 +77,7 @@ def _(t):
 
 @query("jn_06", f"""select sensor_type, sensor_id, max(us) as us, arg_max(value, us) as value from v_env where us < {START_US} group by sensor_type, sensor_id""")
 def _(t):
-    return J.previous_reading(t.v_env, START_US)
+    return J.previous_reading(t.v_env, START_US, first=True)  # arg_max keeps the first row of a tie
 
 
 @query("jn_06_many", """select user_id, id, us, previous from (select user_id, id, us, side, last_value(v ignore nulls) over (partition by user_id order by us, side rows between unbounded preceding and 1 preceding) as previous from (select user_id, us, 1 as side, value as v, null as id from v_env union all select user_id, us, 0, null, id from v_flood)) where side = 0""")
