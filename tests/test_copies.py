@@ -127,3 +127,11 @@ def test_of_readings_of_one_time_the_first_or_the_last_is_taken(spark):
     rows = [(k, "rain", "S", float(k), 7) for k in (3, 1, 2)] + [(0, "rain", "S", 9.0, 6)]
     readings = spark.createDataFrame(rows, "id long, sensor_type string, sensor_id string, value double, us long")
     assert [J.previous_reading(readings, 9, first).first().value for first in (False, True)] == [3.0, 1.0]
+
+
+def test_probes_take_the_last_id_of_the_readings_of_one_time(spark):
+    readings = spark.createDataFrame([(k, u, 5, float(k)) for u in range(40) for k in (2, 3, 1)], "id long, u int, us long, value double")
+    probes = spark.createDataFrame([(9, u, 6) for u in range(40)] + [(8, u, 5) for u in range(40)], "id long, u int, us long")
+    for order in (F.asc("id"), F.desc("id")):
+        found = J.as_of(probes, readings.coalesce(1).sortWithinPartitions(order), "u").collect()
+        assert {(r.id, r.previous) for r in found} == {(9, 3.0), (8, None)}
