@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.sources.sinks import shared_path
 from tidemark.streaming.ordered import rocks_state
@@ -12,17 +13,18 @@ from tidemark.streaming.ordered import rocks_state
 
 def replay(rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str = "append", batch: Column | None = None, batches: int = 1) -> DataFrame:
     """The rows that a streaming job puts out until its input ends. With ``batch`` (a number below ``batches``), rows
-    come in so many files, one in each micro-batch, in that order."""
+    come in so many folders, each with a run of the job of its own, which goes on from the checkpoint of the one before."""
     spark, base = rows.sparkSession, shared_path(rows.sparkSession, "replay")
-    stream = spark.readStream.schema(rows.schema)
-    if batch is None:
-        rows.write.parquet(f"{base}/in")
-    else:
-        stream = stream.option("maxFilesPerTrigger", 1)
-        for k in range(batches):
-            rows.where(batch == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    given = rows.withColumn("_batch", F.lit(0) if batch is None else batch).where(F.col("_batch").between(0, batches - 1))
+    given.write.partitionBy("_batch").parquet(f"{base}/given")
+    files = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(f"{base}/in/none"))
     with rocks_state(spark):
-        sink = job(stream.parquet(f"{base}/in")).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
-        run = sink.trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start()
-        run.awaitTermination()
+        for k in range(batches):
+            if files.exists(path(f"{base}/given/_batch={k}")):
+                files.rename(path(f"{base}/given/_batch={k}"), path(f"{base}/in/{k}"))
+            sink = job(spark.readStream.schema(rows.schema).parquet(f"{base}/in/*")).writeStream.outputMode(mode)
+            run = sink.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start()
+            run.awaitTermination()
     return spark.read.parquet(f"{base}/out")
