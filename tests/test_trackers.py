@@ -1,12 +1,16 @@
 """The trackers: runs side by side, spans and micro-batches against loops over frames."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import shared_path
+from tidemark.streaming import jobs as S
 from tidemark.streaming import tracking as T
+from tidemark.streaming.replay import replay_batches
 
 
 def some_boxes(seed, frames, most=7):
@@ -61,3 +65,31 @@ def test_runs_that_cross_spans_stay_whole(spark, monkeypatch):
     assert sorted(T.tracks(df, ["cam"], "frame", 1).collect()) == whole
     groups = T.dealt(df, ["cam"], "frame", 1).groupBy("cam", "_near").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).collect()
     assert len(groups) > 8 and {r.b - r.a for r in groups} > {10}
+
+
+def test_micro_batches_of_frames_agree_with_a_loop(spark):
+    columns = ("x1", "y1", "x2", "y2", "conf", "box_no")
+    frames = {(cam, f): [] for cam in (1, 2, 3) for f in range(120) if f % 31 not in (7, 8, 20 + cam)}
+    for cam in (1, 2, 3):
+        for f, k, *b in some_boxes(cam, [f for c, f in frames if c == cam], 6):
+            frames[cam, f].append(dict(zip(columns, (*b, k))))
+    given = [(c, f, 0 if f < 40 else 1 if f < 43 else 2, b) for (c, f), b in frames.items() if c != 3 or not 40 <= f < 43]  # the second has no frame of one camera
+    want, state = set(), {}
+    step = S.track_step(1)
+    for c, f, _, b in sorted(given, key=lambda r: r[:2]):
+        state[c], made = step(state.get(c, S.track_load((None,))), SimpleNamespace(frame=f, boxes=b))
+        want.add((c, *made))
+    fields = "x1: double, y1: double, x2: double, y2: double, conf: double, box_no: bigint"
+    rows = spark.createDataFrame(given, f"cam long, frame long, part int, boxes array<struct<{fields}>>").repartition(3)
+    for batches in (1, 3):
+        base = shared_path(spark, "tracks")
+        write = S.track_batches(base, "cam", "frame", 1)
+
+        def twice(batch, number):
+            write(batch, number)
+            write(batch, number)  # as after a failure
+
+        replay_batches(rows.drop("part"), twice) if batches == 1 else replay_batches(rows, twice, F.col("part"), batches)
+        found = S.track_counts(rows, base, "cam", "frame").collect()
+        assert len(found) == len(given) and {tuple(r) for r in found} == want
+    assert any(not b for _, _, _, b in given) and max(w[3] for w in want) > 5

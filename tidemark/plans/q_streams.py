@@ -12,7 +12,7 @@ from tidemark.sources import store
 from tidemark.sources.sinks import shared_path
 from tidemark.streaming import jobs as J
 from tidemark.streaming import ordered as O
-from tidemark.streaming.replay import replay
+from tidemark.streaming.replay import replay, replay_batches
 
 
 def flushed(rows, time: str):
@@ -130,7 +130,9 @@ def _(t):
 def _(t):
     boxes = F.collect_list(F.struct("x1", "y1", "x2", "y2", "conf", "box_no"))
     rows = t.v_boxes.groupBy("cam", "frame").agg(boxes.alias("boxes"))
-    return replay(rows, lambda s: J.ordered_state(s, "cam", ["frame"], (None,), J.track_step(15), "cam long, frame long, tracks int, newest int", "held string", load=J.track_load, save=J.track_save))
+    base = shared_path(t.spark, "tracks")
+    replay_batches(rows, J.track_batches(base, "cam", "frame", 15))
+    return J.track_counts(rows, base, "cam", "frame")
 
 
 @query("ss_10", CHANGES.format(least=0).replace("us, id", "t_us, event_id").replace("select id, camera_id, level, us", "select camera_id, event_id, level").replace("v_flood", "(select *, stage as level from v_frames)"))

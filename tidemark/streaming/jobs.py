@@ -1,6 +1,6 @@
 """Structured Streaming jobs. Rows later than the watermark are dropped (the batch twins see all rows). Windows and
-sessions use Spark's own state; rules that depend on what they decided before are in ``ordered``, the tracker's frames
-keep a small state for each camera."""
+sessions use Spark's own state; rules that depend on what they decided before are in ``ordered``, the tracker keeps a
+small state for each camera from batch to batch."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.sources.sinks import written
+from tidemark.sources.store import exists
+
 
 def bucket_votes(stream: DataFrame, key: str, time: str, width: str, level: str = "level", confidence: str = "confidence", watermark: str = "30 seconds") -> DataFrame:
     """key, start, votes and confidence sums by level of tumbling windows; the consensus is columns of these."""
@@ -85,15 +88,10 @@ def track_step(gap: int = 1) -> Callable:
     sides = [*T.SIDES, "conf", "box_no"]
 
     def step(state: tuple, r) -> tuple[tuple, tuple]:
-        last, seen, tracks, next_id = state
-        if last is None or r.frame - last > gap:
-            seen, tracks, next_id = T.nothing(**T.UNSEEN), T.nothing(**T.NO_TRACKS), 1
-        rows = np.array([[b[c] for c in sides] for b in r.boxes], float)
+        rows = np.array([[b[c] for c in sides] for b in r.boxes], float).reshape(-1, len(sides))
         rows = rows[np.lexsort((rows[:, 5], -rows[:, 4]))]
-        found, seen = T.confirm(T.Boxes(rows[:, :4], conf=rows[:, 4], box_no=rows[:, 5].astype(np.int64)), seen)
-        sure = found.take(found["confirmed"])
-        tracks, next_id = T.associate(sure, tracks, next_id)
-        return (int(r.frame), seen, tracks, next_id), (int(r.frame), len(tracks), int(tracks["track_id"].max()) if len(tracks) else 0)
+        state = T.track_frame(state, r.frame, T.Boxes(rows[:, :4], conf=rows[:, 4], box_no=rows[:, 5].astype(np.int64)), gap)
+        return state, (state[0], *T.counts(state[2]))
 
     return step
 
@@ -119,3 +117,37 @@ def track_save(state: tuple) -> tuple:
 
     frame, seen, tracks, next_id = state
     return (json.dumps({"frame": frame, "seen": seen.given(label=np.full(len(seen), "")).plain(), "tracks": tracks.plain(), "next": int(next_id)}),)
+
+
+def track_batches(base: str, key: str, frame: str, gap: int = 1) -> Callable[[DataFrame, int], None]:
+    """Writes, for each micro-batch of whole frames (a list in ``boxes``), what ``track_step`` gives of them under ``base``.
+    The runs of a camera's frames are worked through apart; each camera's state after a batch is a row of a table, from
+    which the next batch goes on. A batch that is run again replaces what it had written. Read by ``track_counts``."""
+    from tidemark.streaming import tracking as T
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        earlier = f"{base}/held/batch={number - 1}"
+        before = spark.read.parquet(earlier) if exists(spark, earlier) else None
+        frames = batch.select(key, frame, "boxes")
+        if before is None:
+            frames = frames.withColumn("held", F.lit(None).cast("string"))
+        else:
+            first = frames.groupBy(key).agg(F.min(frame).alias(frame)).join(before, key).where(F.col(frame) - F.col("last") <= gap)
+            frames = frames.join(written(first.select(key, frame, "held"), "held"), [key, frame], "left")
+        path = f"{base}/steps/batch={number}"
+        T.confirmed_track_counts(frames, key, frame, gap, track_load, track_save).write.mode("overwrite").parquet(path)
+        steps = spark.read.parquet(path)
+        now = steps.where("held is not null").groupBy(key).agg(F.max_by("held", frame).alias("held"), F.max(frame).alias("last"))
+        if before is not None:
+            now = now.unionByName(before.join(now, key, "left_anti"))
+        now.coalesce(1).write.mode("overwrite").parquet(f"{base}/held/batch={number}")
+
+    return write
+
+
+def track_counts(rows: DataFrame, base: str, key: str, frame: str) -> DataFrame:
+    """key, frame, tracks, newest of the batches of ``rows`` that were written under ``base``."""
+    like = rows.select(key, frame, F.lit(0).alias("tracks"), F.lit(0).alias("newest")).limit(0)
+    spark, path = rows.sparkSession, f"{base}/steps"
+    return spark.read.schema(like.schema).parquet(path).select(*like.columns) if exists(spark, path) else like
