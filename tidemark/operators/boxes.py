@@ -23,17 +23,19 @@ def overlaps(a: DataFrame, b: DataFrame, frame: list[str]) -> DataFrame:
     return pairs.withColumn("iou", iou([F.col(f"a_{c}") for c in SIDES], [F.col(f"b_{c}") for c in SIDES]))
 
 
-def _sorted(boxes: DataFrame, frame: list[str], keep: list[str]) -> DataFrame:
-    items = F.collect_list(F.struct((-F.col("conf")).alias("order"), "box_no", *SIDES, "conf", *keep))
-    return boxes.groupBy(*frame).agg(F.array_sort(items).alias("items"))
+def _sorted(boxes: DataFrame, frame: list[str], keep: list[str], use: Column | None = None, aggs: tuple[Column, ...] = ()) -> DataFrame:
+    item = F.struct((-F.col("conf")).alias("order"), "box_no", *SIDES, *keep)
+    items = F.collect_list(item if use is None else F.when(use, item))
+    return boxes.groupBy(*frame).agg(F.array_sort(items).alias("items"), *aggs)
 
 
 def _empty(items: str) -> Column:
     return F.slice(F.col(items), F.lit(1), F.lit(0))
 
 
-def suppress(boxes: DataFrame, frame: list[str], least_iou: float = 0.38, least_overlap: float = 0.72, centre: float = 0.12, centre_iou: float = 0.18, most: int = 40) -> DataFrame:
-    """Class-agnostic greedy suppression: strongest first, a box goes if a kept one overlaps it; at most ``most``."""
+def suppress(boxes: DataFrame, frame: list[str], least_iou: float = 0.38, least_overlap: float = 0.72, centre: float = 0.12, centre_iou: float = 0.18, most: int = 40, keep: list[str] = (), use: Column | None = None, aggs: tuple[Column, ...] = ()) -> DataFrame:
+    """Class-agnostic greedy suppression: strongest first, a box goes if a kept one overlaps it; at most ``most``. Gives
+    the boxes with their columns ``keep``, of those that are of ``use``, and ``aggs`` over all boxes of their frame."""
 
     def step(kept: Column, box: Column) -> Column:
         def same(k: Column) -> Column:
@@ -43,8 +45,12 @@ def suppress(boxes: DataFrame, frame: list[str], least_iou: float = 0.38, least_
 
         return F.when((F.size(kept) >= most) | F.exists(kept, same), kept).otherwise(F.concat(kept, F.array(box)))
 
-    kept = _sorted(boxes, frame, []).select(*frame, F.aggregate("items", _empty("items"), step).alias("kept"))
-    return kept.select(*frame, F.explode("kept").alias("b")).select(*frame, "b.box_no", *(f"b.{c}" for c in SIDES), "b.conf")
+    items = _sorted(boxes, frame, list(keep), use, aggs)
+    more = [c for c in items.columns if c not in (*frame, "items")]
+    kept = items.select(*frame, *more, F.aggregate("items", _empty("items"), step).alias("kept"))
+    # explode would have the optimizer work the fold out twice, for a filter on its size as well
+    each = kept.select(*frame, *more, F.explode_outer("kept").alias("b")).where("b is not null")
+    return each.select(*frame, "b.box_no", *(f"b.{c}" for c in SIDES), (-F.col("b.order")).alias("conf"), *(f"b.{c}" for c in keep), *more)
 
 
 def merge_candidates(boxes: DataFrame, frame: list[str], least_iou: float = 0.55, least_side: float = 8.0) -> DataFrame:
